@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules, sentencepiece_bpe, token_counts
+from . import quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts
 from .common import table
 
 
@@ -25,12 +25,16 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op7_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op7_sentencepiece, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
