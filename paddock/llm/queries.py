@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts
+from . import pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity
 from .common import table
 
+#: For the queries over test tables; real use passes a secret key of its own
+PII_KEY = b"paddock test tables"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -21,6 +24,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -34,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op7_sentencepiece, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op5_toxicity, op6_pii, op7_sentencepiece, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
