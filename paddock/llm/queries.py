@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity
+from . import decontamination, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity
 from .common import table
 
 #: For the queries over test tables; real use passes a secret key of its own
@@ -36,6 +36,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op5_toxicity, op6_pii, op7_sentencepiece, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op5_toxicity, op6_pii, op7_sentencepiece, op8_decontamination, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
