@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity
+from . import decontamination, html_extraction, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity, url_filters
 from .common import table
 
 #: For the queries over test tables; real use passes a secret key of its own
@@ -24,6 +24,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.html_extraction(table(spark, sf_dir, "pages"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filters(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -49,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op5_toxicity, op6_pii, op7_sentencepiece, op8_decontamination, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_html_extraction, op4_url_filters, op5_toxicity, op6_pii, op7_sentencepiece, op8_decontamination, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
