@@ -2,44 +2,85 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from paddock.functions.storage import stored
 from paddock.operators import matching, rules, traces, zones
 
 
-@dataclass(frozen=True)
-class Analysis:
-    aligned: DataFrame
-    zones: DataFrame
-    entries: DataFrame
-    exits: DataFrame
-    corners: DataFrame
-    zone_deltas: DataFrame
-    entry_deltas: DataFrame
-    exit_deltas: DataFrame
-    corner_deltas: DataFrame
-    issues: DataFrame
-    corner_issues: DataFrame
-    advice: DataFrame
-    plan: DataFrame
-    report: DataFrame
-
-
-def analyze(pairs: DataFrame, trace: DataFrame, points: int = 201) -> Analysis:
-    """Align, detect, match, compare, diagnose, advise and report every pair at once."""
-    aligned = traces.align(pairs, trace, points)
-    zone = zones.braking_zones(trace)
-    entry = zones.corner_entries(trace, zone)
-    leave = zones.corner_exits(trace, entry)
-    corner = zones.corners(zone, entry, leave)
-    deltas = (
-        matching.zone_deltas(pairs, zone, aligned), matching.entry_deltas(pairs, entry, aligned),
-        matching.exit_deltas(pairs, leave, aligned), matching.corner_deltas(pairs, corner, aligned),
-    )
-    issues = rules.all_issues(*deltas[:3])
-    placed = rules.corner_issues(deltas[3], issues)
-    advice = rules.advice(placed)
-    plan = rules.coaching_plan(advice)
-    return Analysis(aligned, zone, entry, leave, corner, *deltas, issues, placed, advice, plan, rules.report(pairs, deltas[3], issues, advice, plan))
+class LapPairAnalysis:
+    """Align, detect, match, compare, diagnose, advise and report every pair at once.
+
+    A stage runs when it is first asked for. Those that several others read are written to the
+    shared folder, so that each is planned and computed once.
+    """
+
+    def __init__(self, pairs: DataFrame, trace: DataFrame, points: int = 201):
+        self.points = points
+        self._pairs, self._trace = pairs, trace
+
+    @cached_property
+    def trace(self) -> DataFrame:
+        return stored(self._trace, "trace")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return stored(self._pairs, "pairs")
+
+    @cached_property
+    def aligned(self) -> DataFrame:
+        return stored(traces.align(self.pairs, self.trace, self.points), "aligned")
+
+    @cached_property
+    def zones(self) -> DataFrame:
+        return stored(zones.braking_zones(self.trace), "zones")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return stored(zones.corner_entries(self.trace, self.zones), "entries")
+
+    @cached_property
+    def exits(self) -> DataFrame:
+        return stored(zones.corner_exits(self.trace, self.entries), "exits")
+
+    @cached_property
+    def corners(self) -> DataFrame:
+        return stored(zones.corners(self.zones, self.entries, self.exits), "corners")
+
+    @cached_property
+    def zone_deltas(self) -> DataFrame:
+        return stored(matching.zone_deltas(self.pairs, self.zones, self.aligned), "zone-deltas")
+
+    @cached_property
+    def entry_deltas(self) -> DataFrame:
+        return stored(matching.entry_deltas(self.pairs, self.entries, self.aligned), "entry-deltas")
+
+    @cached_property
+    def exit_deltas(self) -> DataFrame:
+        return stored(matching.exit_deltas(self.pairs, self.exits, self.aligned), "exit-deltas")
+
+    @cached_property
+    def corner_deltas(self) -> DataFrame:
+        return stored(matching.corner_deltas(self.pairs, self.corners, self.aligned), "corner-deltas")
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return rules.all_issues(self.zone_deltas, self.entry_deltas, self.exit_deltas)
+
+    @cached_property
+    def corner_issues(self) -> DataFrame:
+        return stored(rules.corner_issues(self.corner_deltas, self.issues), "corner-issues")
+
+    @cached_property
+    def advice(self) -> DataFrame:
+        return rules.advice(self.corner_issues)
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        return rules.coaching_plan(self.advice)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return rules.report(self.pairs, self.corner_deltas, self.issues, self.advice, self.plan)

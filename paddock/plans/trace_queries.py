@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.operators import matching, rules, traces, zones
-from paddock.plans.lap_pair_pipeline import Analysis, analyze
+from paddock.plans.lap_pair_pipeline import LapPairAnalysis
 from paddock.plans.session_queries import query
 from paddock.plans.views import PAIRS_SQL, TRACE_SQL, pairs, trace
 
@@ -172,9 +172,9 @@ def e18_unchained_parts(spark, sf_dir):
     return zones.unchained(*parts, zones.corners(*parts))
 
 
-def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+def _analysis(spark: SparkSession, sf_dir: str) -> LapPairAnalysis:
     t = trace(spark, sf_dir)
-    return analyze(pairs(t), t)
+    return LapPairAnalysis(pairs(t), t)
 
 
 #: The greedy matching depends on its order and has no SQL: brute-force tests cover it
