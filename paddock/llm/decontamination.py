@@ -167,6 +167,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     )
     # one row per window of the item that the document holds, wherever and however often it does
     held = joined.groupBy(doc_id, item_id, "at", "size", "item_words").agg(F.first("pairs").alias("pairs"), F.count("*").alias("n"))
+    held = graph.saved(held, "held")  # the scan of the documents happens once for all that follows
     words = held.groupBy(doc_id, item_id, "item_words").agg(
         F.count("*").alias("n_windows"),
         F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))).alias("covered_words"),
