@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from paddock.functions.storage import shared_folder
 from paddock.operators import catalog, learn, parity, quality, setups, traces
+from paddock.plans import lap_queries
 from paddock.plans.session_queries import AUDIT_SQL, ONCE_SQL, VALID_SQL, _once, _valid, query
 from paddock.plans.views import CHANNELS, LAPS_SQL, TELEMETRY_SQL, TRACE_SQL, laps, telemetry, trace
 from paddock.sources import frames, kafka
 from paddock.sources import traces as trace_files
-from paddock.streaming import stages
+from paddock.streaming import live, stages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -320,3 +321,19 @@ def h2_streamed_silver(spark, sf_dir):
     source.write.parquet(f"{run}/in")
     stages.run_available(spark, f"{run}/in", source.schema, f"{run}/out", stages.Settings(source.schema.simpleString(), watermark="60 days", files_per_trigger=1000))
     return spark.read.parquet(f"{run}/out/silver").groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_FLAGGED = lap_queries._FLAGS_SQL
+
+
+@query(
+    "SELECT source_id, session_number, arrival, 'lap' AS kind, completed_laps AS lap_number, CAST(NULL AS BIGINT) AS sector_number, greatest(0, last_time_ms) AS time_ms, last_time_ms > 0 AND best_time_ms > 0 AND last_time_ms <= best_time_ms AS is_best "
+    f"FROM ({_FLAGGED}) WHERE lap_completed UNION ALL SELECT source_id, session_number, arrival, 'sector', greatest(1, CASE WHEN lap_completed THEN completed_laps ELSE completed_laps + 1 END), greatest(0, sector_before) + 1, greatest(0, last_sector_time_ms), NULL FROM ({_FLAGGED}) WHERE sector_changed"
+)
+def h10_live_events(spark, sf_dir):
+    """The stateful stream over all snapshots as files."""
+    run = f"{shared_folder(spark)}/live/{uuid.uuid4().hex}"
+    source = lap_queries.snapshots(spark, sf_dir)
+    source.write.parquet(f"{run}/in")
+    stages.start(live.live_events(stages.read_stream(spark, f"{run}/in", source.schema, 1000)), f"{run}/out", "events").awaitTermination()
+    return spark.read.parquet(f"{run}/out/events")

@@ -35,3 +35,21 @@ def test_stages(spark, tmp_path):
         stages.run_available(spark, source, first.schema, out, stages.Settings(first.schema.simpleString(), window="5 seconds"))
     with pytest.raises(ValueError, match="nested"):
         stages.freeze(spark, stages.Settings("x"), f"{source}/out", source)
+
+
+def test_live_events_over_batches(spark, tmp_path):
+    from paddock.operators import events
+    from paddock.streaming import live
+
+    columns = "source_id long, arrival long, packet_id long, status string, car_model string, track string, session_type string, completed_laps long, current_sector_index long, last_time_ms long, best_time_ms long, last_sector_time_ms long, position long"
+    made = [(s, n, n, "LIVE", "c" if n < 25 else "d", "t", "race", n // 6 % 4, n // 2 % 3, 60000 + n, 60010, 20000 + n, 1) for s in (1, 2) for n in range(40)]
+    whole = spark.createDataFrame(made, columns)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for low, high in ((0, 7), (7, 20), (20, 40)):
+        whole.where(f"arrival >= {low} and arrival < {high}").coalesce(1).write.mode("append").parquet(source)
+        stages.start(live.live_events(stages.read_stream(spark, source, whole.schema)), out, "events").awaitTermination()
+    got = {(r.source_id, r.session_number, r.arrival, r.kind, r.lap_number, r.sector_number, r.time_ms) for r in spark.read.parquet(f"{out}/events").collect()}
+    flags = events.progress_flags(events.sessionize(whole))
+    want = {(r.source_id, r.session_number, r.arrival, "lap", r.lap_number, None, r.lap_time_ms) for r in events.lap_events(flags).collect()}
+    want |= {(r.source_id, r.session_number, r.arrival, "sector", r.lap_number, r.sector_number, r.sector_time_ms) for r in events.sector_events(flags).collect()}
+    assert got == want
