@@ -26,7 +26,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return laps_view(spark, sf_dir), sectors_view(spark, sf_dir)
 
 
-@query(f"{_TABLES} {_HISTORY}".replace("WITH", "SELECT * REPLACE (round(average_lap_time_ms, 6) AS average_lap_time_ms, round(stddev_lap_time_ms, 6) AS stddev_lap_time_ms) FROM (WITH", 1) + ")")
+@query(f"{_TABLES} {_HISTORY}".replace("WITH", "SELECT * REPLACE (round(average_lap_time_ms + 1e-9, 6) AS average_lap_time_ms, round(stddev_lap_time_ms + 1e-9, 6) AS stddev_lap_time_ms) FROM (WITH", 1) + ")")
 def d8_session_history(spark, sf_dir):
     return laps.history(*_tables(spark, sf_dir))
 
@@ -103,7 +103,7 @@ _DIAGNOSE = (
 )
 
 
-@query(f"SELECT * REPLACE (round(loss_share, 6) AS loss_share) FROM ({_PAIRED} {_DIAGNOSE})")
+@query(f"SELECT * REPLACE (round(loss_share + 1e-9, 6) AS loss_share) FROM ({_PAIRED} {_DIAGNOSE})")
 def e5_sector_diagnosis(spark, sf_dir):
     lap, sector = _tables(spark, sf_dir)
     return laps.diagnose(_pairs(lap), lap, sector)
@@ -200,7 +200,7 @@ _SINCE = "last_value(CASE WHEN {0} THEN seen_at_seconds END IGNORE NULLS) OVER (
 _CHANGED = f"(SELECT *, coalesce(packet_id <> lag(packet_id) OVER ({_W}), true) AS changed FROM ({SNAPSHOT_SQL}))"
 
 
-@query(f"SELECT source_id, arrival, round(seen_at_seconds - {_SINCE.format('changed')}, 6) AS unchanged_seconds, seen_at_seconds - {_SINCE.format('changed')} >= 0.5e0 AS is_stale FROM {_CHANGED}")
+@query(f"SELECT source_id, arrival, round(seen_at_seconds - {_SINCE.format('changed')} + 1e-9, 6) AS unchanged_seconds, seen_at_seconds - {_SINCE.format('changed')} >= 0.5e0 AS is_stale FROM {_CHANGED}")
 def c8_stale_sources(spark, sf_dir):
     return events.stale(snapshots(spark, sf_dir), seconds=0.5).select("source_id", "arrival", "unchanged_seconds", "is_stale")
 

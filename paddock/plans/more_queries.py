@@ -88,8 +88,8 @@ _PROBE = "SELECT session_id, ref_lap, target_lap, 0.21e0 + 0.03e0 * (target_lap
 
 
 @query(
-    f"SELECT * REPLACE (round(time_delta_seconds, 6) AS time_delta_seconds) FROM ({trace_queries._ALIGNED}, probes AS ({_PROBE}), pts AS (SELECT *, target_elapsed_seconds - ref_elapsed_seconds AS d, lag(progress) OVER w AS px, lag(target_elapsed_seconds - ref_elapsed_seconds) OVER w AS pd FROM aligned WINDOW w AS (PARTITION BY session_id, ref_lap, target_lap ORDER BY grid_index)) "
-    "SELECT p.session_id, p.ref_lap, p.target_lap, round(p.position, 6) AS position, pd + (d - pd) * ((p.position - px) / (progress - px)) AS time_delta_seconds FROM probes p LEFT JOIN pts a ON a.session_id = p.session_id AND a.ref_lap = p.ref_lap AND a.target_lap = p.target_lap AND px < p.position AND p.position <= progress)"
+    f"SELECT * REPLACE (round(time_delta_seconds + 1e-9, 6) AS time_delta_seconds) FROM ({trace_queries._ALIGNED}, probes AS ({_PROBE}), pts AS (SELECT *, target_elapsed_seconds - ref_elapsed_seconds AS d, lag(progress) OVER w AS px, lag(target_elapsed_seconds - ref_elapsed_seconds) OVER w AS pd FROM aligned WINDOW w AS (PARTITION BY session_id, ref_lap, target_lap ORDER BY grid_index)) "
+    "SELECT p.session_id, p.ref_lap, p.target_lap, round(p.position + 1e-9, 6) AS position, pd + (d - pd) * ((p.position - px) / (progress - px)) AS time_delta_seconds FROM probes p LEFT JOIN pts a ON a.session_id = p.session_id AND a.ref_lap = p.ref_lap AND a.target_lap = p.target_lap AND px < p.position AND p.position <= progress)"
 )
 def e8_time_delta_probes(spark, sf_dir):
     analysis = trace_queries._analysis(spark, sf_dir)
@@ -101,7 +101,7 @@ _REFERENCE = f"SELECT car_id, track_id, progress AS x, elapsed_seconds AS e, lag
 
 
 @query(
-    f"SELECT * REPLACE (round(delta_seconds, 6) AS delta_seconds) FROM (WITH r AS MATERIALIZED ({_REFERENCE}), s AS (SELECT session_id, lap_number, sample_index, car_id, track_id, progress + 0.003e0 AS p, elapsed_seconds FROM ({TRACE_SQL}) WHERE lap_number = 2) "
+    f"SELECT * REPLACE (round(delta_seconds + 1e-9, 6) AS delta_seconds) FROM (WITH r AS MATERIALIZED ({_REFERENCE}), s AS (SELECT session_id, lap_number, sample_index, car_id, track_id, progress + 0.003e0 AS p, elapsed_seconds FROM ({TRACE_SQL}) WHERE lap_number = 2) "
     "SELECT s.session_id, s.sample_index, s.elapsed_seconds - (pe + (e - pe) * ((p - px) / (x - px))) AS delta_seconds, CASE WHEN NOT EXISTS (SELECT 1 FROM r WHERE r.car_id = s.car_id AND r.track_id = s.track_id) THEN 'incompatible' WHEN x IS NULL THEN 'not_covered' END AS unavailable_reason "
     "FROM s LEFT JOIN r ON r.car_id = s.car_id AND r.track_id = s.track_id AND px < p AND p <= x)"
 )

@@ -221,7 +221,7 @@ def d12_sweep_eda(spark, sf_dir):
 
 @query(
     " UNION ALL ".join(
-        f"SELECT sweep_id, '{m}' AS metric, CASE WHEN min({m}) < max({m}) AND min(parameter_value) < max(parameter_value) THEN round(covar_pop(parameter_value, {m}) / (stddev_pop(parameter_value) * stddev_pop({m})), 6) END AS correlation FROM ({SWEEP_SQL}) GROUP BY sweep_id"
+        f"SELECT sweep_id, '{m}' AS metric, CASE WHEN min({m}) < max({m}) AND min(parameter_value) < max(parameter_value) THEN round(covar_pop(parameter_value, {m}) / (stddev_pop(parameter_value) * stddev_pop({m})) + 1e-9, 6) END AS correlation FROM ({SWEEP_SQL}) GROUP BY sweep_id"
         for m in ("front_pressure_psi", "rear_pressure_psi", "front_slip_angle_deg", "rear_slip_angle_deg")
     )
 )

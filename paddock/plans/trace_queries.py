@@ -15,7 +15,7 @@ _T = f"WITH t AS MATERIALIZED ({TRACE_SQL})"
 
 
 def _replace(sql: str, doubles: str) -> str:
-    return f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in doubles.split())}) FROM ({sql})"
+    return f"SELECT * REPLACE ({', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in doubles.split())}) FROM ({sql})"
 
 
 @query(
@@ -23,7 +23,7 @@ def _replace(sql: str, doubles: str) -> str:
         f"{_T} SELECT {_LAP}, count(*) AS samples, min(progress) AS start, max(progress) AS \"end\", max(gap) AS largest_gap, arg_min(before, -round(gap, 9) * 1000 + sample_index / 1e6) FILTER (gap IS NOT NULL) AS gap_start, "
         f"arg_min(progress, -round(gap, 9) * 1000 + sample_index / 1e6) FILTER (gap IS NOT NULL) AS gap_end FROM (SELECT *, lag(progress) OVER w AS before, progress - lag(progress) OVER w AS gap FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY progress, sample_index)) GROUP BY {_LAP}",
         "largest_gap",
-    ).replace("SELECT * REPLACE (round(largest_gap, 6) AS largest_gap)", 'SELECT session_id, lap_number, samples, round(start, 6) AS start, round("end", 6) AS "end", round(largest_gap, 6) AS largest_gap')
+    ).replace("SELECT * REPLACE (round(largest_gap + 1e-9, 6) AS largest_gap)", 'SELECT session_id, lap_number, samples, round(start + 1e-9, 6) AS start, round("end" + 1e-9, 6) AS "end", round(largest_gap + 1e-9, 6) AS largest_gap')
 )
 def d14_trace_coverage(spark, sf_dir):
     return traces.coverage(trace(spark, sf_dir)).drop("gap_start", "gap_end")
