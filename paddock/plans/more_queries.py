@@ -89,7 +89,7 @@ _PROBE = "SELECT session_id, ref_lap, target_lap, 0.21e0 + 0.03e0 * (target_lap
 
 @query(
     f"SELECT * REPLACE (round(time_delta_seconds + 1e-9, 6) AS time_delta_seconds) FROM ({trace_queries._ALIGNED}, probes AS ({_PROBE}), pts AS (SELECT *, target_elapsed_seconds - ref_elapsed_seconds AS d, lag(progress) OVER w AS px, lag(target_elapsed_seconds - ref_elapsed_seconds) OVER w AS pd FROM aligned WINDOW w AS (PARTITION BY session_id, ref_lap, target_lap ORDER BY grid_index)) "
-    "SELECT p.session_id, p.ref_lap, p.target_lap, round(p.position + 1e-9, 6) AS position, pd + (d - pd) * ((p.position - px) / (progress - px)) AS time_delta_seconds FROM probes p LEFT JOIN pts a ON a.session_id = p.session_id AND a.ref_lap = p.ref_lap AND a.target_lap = p.target_lap AND px < p.position AND p.position <= progress)"
+    "SELECT p.session_id, p.ref_lap, p.target_lap, round(p.position + 1e-9, 6) AS position, pd + (d - pd) * ((p.position - px) / (progress - px)) AS time_delta_seconds FROM probes p ASOF LEFT JOIN pts a ON a.session_id = p.session_id AND a.ref_lap = p.ref_lap AND a.target_lap = p.target_lap AND a.progress >= p.position)"
 )
 def e8_time_delta_probes(spark, sf_dir):
     analysis = trace_queries._analysis(spark, sf_dir)

@@ -48,8 +48,7 @@ def _at(side: str, c: str) -> str:
 _ALIGNED = (
     f"{_P}, {_SEGMENTS}, {_GRID}, aligned AS (SELECT {', '.join('g.' + c for c in _PAIR.split(', '))}, g.grid_index, g.progress, "
     + ", ".join(f"{_at('r', c)} AS ref_{c}, {_at('q', c)} AS target_{c}" for c in traces.CHANNELS)
-    + " FROM grid g JOIN segs r ON r.session_id = g.session_id AND r.lap_number = g.ref_lap AND (r.px < g.progress OR (r.px IS NULL AND r.x = g.progress)) AND g.progress <= r.x "
-    "JOIN segs q ON q.session_id = g.session_id AND q.lap_number = g.target_lap AND (q.px < g.progress OR (q.px IS NULL AND q.x = g.progress)) AND g.progress <= q.x)"
+    + " FROM grid g ASOF JOIN segs r ON r.session_id = g.session_id AND r.lap_number = g.ref_lap AND r.x >= g.progress ASOF JOIN segs q ON q.session_id = g.session_id AND q.lap_number = g.target_lap AND q.x >= g.progress)"
 )
 _ALIGNED_DOUBLES = "progress " + " ".join(f"{s}_{c}" for c in traces.CHANNELS for s in ("ref", "target"))
 
