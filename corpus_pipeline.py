@@ -38,9 +38,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids, their number, and the text decoded from them."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_bpe.encode(docs, path, keep=("doc_id", "lang", "source"))
-    return sentencepiece_bpe.decode(coded.withColumn("n_tokens", F.size("ids").cast("long")), path, keep=("doc_id", "lang", "source", "n_tokens", "ids"))
+    coded = sentencepiece_bpe.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
+    return coded.withColumnRenamed("decoded", "text")
 
 
 STAGES = [("quality", quality), ("dedup", dedup), ("decontaminate", decontaminate), ("pii", private), ("sentencepiece", tokenize)]

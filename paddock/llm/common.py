@@ -18,6 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What tasks of a worker keep for those after them (vocabularies, words met before), by name
+_KEPT: dict = {}
+_ASKED: set = set()
+
+
+def kept(name, build: Callable):
+    """What ``build`` makes, once in a worker for all tasks that ask for ``name``."""
+    _ASKED.add(name)
+    if name not in _KEPT:
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
+def prepared(make: Callable):
+    """``make()`` at the start of a task; what it doesn't ask for by ``kept`` is let go, so that stages don't pile up in a worker."""
+    _ASKED.clear()
+    made = make()
+    for name in set(_KEPT) - _ASKED:
+        del _KEPT[name]
+    return made
+
+
 def slices(texts: Sequence[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with ``most`` characters together at most, or of single texts."""
     start = size = 0
@@ -54,7 +76,7 @@ def map_texts(
     source = df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = prepared(make)
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
             for start, stop in slices(texts):

@@ -9,14 +9,16 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import kept, map_texts, prepared
 
 SPACE = "▁"
 #: Units that a worker remembers at most.
-MOST_UNITS = 400_000
+MOST_UNITS = 250_000
 #: Longer units are encoded anew each time.
 MOST_UNIT_CHARS = 64
+DECODE_ROWS = 256
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
 
@@ -208,13 +210,16 @@ def decoded(parts: list[bytes]) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
 
 
-_CODECS: dict[tuple[str, bool], Codec] = {}
+def codec(path: str, check: bool = True) -> Codec:
+    return kept(("sentencepiece", path, check), lambda: Codec(path, check))
 
 
-def codec(path: str, check: bool = True) -> Codec:
-    if (path, check) not in _CODECS:
-        _CODECS[path, check] = Codec(path, check)
-    return _CODECS[path, check]
+def _ids(parts: list[list[tuple[int, str, bytes]]]) -> pa.Array:
+    """One list of ids for each text."""
+    lengths = [sum(p[0] for p in units) for units in parts]
+    each = [np.fromstring(",".join([p[1] for p in units]), np.int32, sep=",") for units in parts if units]
+    values = np.concatenate(each) if each else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), check: bool = True) -> DataFrame:
@@ -222,23 +227,40 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def make():
         coder = codec(path, check)
-        return lambda texts: [[[int(x) for _, ids, _ in parts for x in ids.split(",")] for parts in coder.encode(texts)]]
+        return lambda texts: [_ids(coder.encode(texts))]
 
     return map_texts(docs, make, "ids array<int>", text, keep)
 
 
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), check: bool = True) -> DataFrame:
+    """Every row with ``ids``, their number ``n_tokens``, and ``decoded``, the text that they decode to."""
+
+    def make():
+        coder = codec(path, check)
+
+        def work(texts):
+            parts = coder.encode(texts)
+            return [_ids(parts), [sum(p[0] for p in units) for units in parts], [decoded([p[2] for p in units]) for units in parts]]
+
+        return work
+
+    return map_texts(docs, make, "ids array<int>, n_tokens long, decoded string", text, keep)
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row with ``text`` decoded from its ids; null and empty: empty text."""
-    kept = [c for c in keep if c != "text"]
-    source = rows.select(*kept, ids)
+    stay = [c for c in keep if c != "text"]
+    source = rows.select(*stay, F.coalesce(ids, F.array().cast("array<int>")).alias("__ids"))
 
     def run(batches):
-        raw = codec(path).vocabulary.raw
+        raw = prepared(lambda: codec(path)).vocabulary.raw
         for batch in batches:
-            texts = [decoded([raw[x] for x in row]) if row else "" for row in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
+            for start in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(start, DECODE_ROWS)
+                texts = [decoded([raw[x] for x in row.as_py()]) for row in part.column(len(stay))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(stay)], pa.array(texts, pa.string())], names=[*stay, "text"])
 
-    return source.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[: len(kept)]), "text string"]))
+    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(stay)]), "text string"]))
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), check: bool = True) -> DataFrame:

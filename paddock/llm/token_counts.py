@@ -7,7 +7,7 @@ from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import kept, map_texts
 
 #: How the byte-level vocabularies part a text before merging (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,13 +128,8 @@ class Merges:
         return bool(piece) and not (piece[0].isspace() or piece[-1].isspace() or piece[0] == "\u180e" or piece[-1] == "\u180e")
 
 
-_MERGES: dict[str, Merges] = {}
-
-
 def merges(path: str) -> Merges:
-    if path not in _MERGES:
-        _MERGES[path] = Merges(path)
-    return _MERGES[path]
+    return kept(("merges", path), lambda: Merges(path))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
