@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import slices
+from .common import kept, prepared, slices
 
 WINDOW = 8
 #: Words of a window that must be no placeholders
@@ -35,45 +35,58 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?[%°]?")
 _EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "“”‘’«»„…–—"
+_NOT_UNITS = _EDGE.replace("$", "").replace("%", "")
+_NUMBER_HASH, _NAME_HASH, _UNIT_HASH = map(xxhash.xxh64_intdigest, (NUMBER, NAME, UNIT))
 _ENDS = ".!?:\"”»"
 FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Templates:
-    """Template word and hash of each word; words met before come from a bounded cache."""
+    """Hash and slot of each word's template. Words met before keep their place in two arrays; full arrays start anew."""
 
-    MOST = 400_000
+    def __init__(self, most: int = 200_000):
+        self.most = most
+        self.place: dict[str, int] = {}
+        self.hash, self.slot = np.zeros(most, np.uint64), np.zeros(most, np.int8)
 
-    def __init__(self):
-        self.cache: dict[str, tuple[int, int]] = {}
-
-    def word(self, word: str) -> tuple[int, int]:
+    @staticmethod
+    def word(word: str) -> tuple[int, int]:
         """(hash of the template word, slot): slot 0 for a plain word, 1 for a number or unit, 2 for a capitalised word, which is a name inside a sentence."""
-        found = self.cache.get(word)
-        if found is None:
-            core = word.strip(_EDGE.replace("$", "").replace("%", "")) or word
-            plain = core.strip(_EDGE).lower() or core
+        core = word.strip(_NOT_UNITS) or word
+        if core[0].isdigit() or not core.isalnum():
             if _NUMBER.fullmatch(core):
-                found = xxhash.xxh64_intdigest(NUMBER), 1
-            elif core.lower() in UNITS:
-                found = xxhash.xxh64_intdigest(UNIT), 1
-            else:
-                found = xxhash.xxh64_intdigest(plain), 2 if core[:1].isupper() and core[1:2].islower() else 0
-            if len(self.cache) < self.MOST and len(word) <= 64:
-                self.cache[word] = found
-        return found
+                return _NUMBER_HASH, 1
+        if core.lower() in UNITS:
+            return _UNIT_HASH, 1
+        plain = core.strip(_EDGE).lower() or core
+        return xxhash.xxh64_intdigest(plain), 2 if core[:1].isupper() and core[1:2].islower() else 0
+
+    def _add(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        if len(self.place) + len(new) > self.most:
+            self.place.clear()
+            new = list(dict.fromkeys(words))
+            if len(new) > self.most:  # one text with more words than the arrays hold
+                self.most = len(new)
+                self.hash, self.slot = np.zeros(self.most, np.uint64), np.zeros(self.most, np.int8)
+        for w in new:
+            at = self.place[w] = len(self.place)
+            self.hash[at], self.slot[at] = self.word(w)
 
     def text(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, slots) of a text's words. A capitalised word is a name unless it starts the text or a sentence."""
-        pairs = np.array(list(map(self.word, words)) or np.zeros((0, 2)), np.uint64).reshape(-1, 2)
-        hashes, slots = pairs[:, 0].copy(), pairs[:, 1].astype(np.int8)
-        name = xxhash.xxh64_intdigest(NAME)
-        for i in np.flatnonzero(slots == 2).tolist():
-            inside = i > 0 and words[i - 1][-1] not in _ENDS
-            slots[i] = inside
-            if inside:
-                hashes[i] = name
+        try:
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self._add(words)
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        hashes, slots = self.hash[at], self.slot[at]
+        capital = np.flatnonzero(slots == 2)
+        if len(capital):
+            inside = np.array([i > 0 and words[i - 1][-1] not in _ENDS for i in capital.tolist()])
+            slots[capital] = inside
+            hashes[capital[inside]] = _NAME_HASH
         return hashes, slots
 
 
@@ -93,7 +106,6 @@ def windows(hashes: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 _SPACE = re.compile(r"[^\x20\x09-\x0D]+")
-_TEMPLATES = Templates()
 
 
 def _words(text: str) -> list[str]:
@@ -106,13 +118,14 @@ ARROW = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32(
 def _windows_of(batches: Iterator[pa.RecordBatch], sizes: list[int], marks: bytes | None) -> Iterator[pa.RecordBatch]:
     """The windows of each text; with ``marks`` those whose bit is set, without them those of one size (all words of a short text)."""
     bits = None if marks is None else np.frombuffer(marks, np.uint8)
+    templates = prepared(lambda: kept("templates", Templates))
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices(texts):
             out: list[dict] = []
             for i, text in zip(ids[a:b], texts[a:b], strict=True):
                 words = _words(text)
-                hashes, slots = _TEMPLATES.text(words)
+                hashes, slots = templates.text(words)
                 for size in sizes:
                     if bits is None and size != min(WINDOW, len(words)):
                         continue
