@@ -74,9 +74,9 @@ def b6_deduplicate(spark, sf_dir):
     return _once(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("frames"), F.countDistinct("sample_index").alias("distinct_frames"), F.max("timestamp").cast("timestamp_ntz").alias("last_seen"))
 
 
-@query(f"SELECT session_id, CAST(min(timestamp) AS DATE) AS date FROM ({ONCE_SQL}) GROUP BY session_id")
+@query(f"SELECT session_id, CAST(CAST(min(timestamp) AS DATE) AS VARCHAR) AS date FROM ({ONCE_SQL}) GROUP BY session_id")
 def b9_partition_date(spark, sf_dir):
-    return quality.partition_dates(_once(spark, sf_dir))
+    return quality.partition_dates(_once(spark, sf_dir)).withColumn("date", F.col("date").cast("string"))
 
 
 @query(
