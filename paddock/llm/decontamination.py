@@ -7,6 +7,7 @@ names has the same template. A match counts if its placeholders stand for each o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,11 +113,26 @@ def _words(text: str) -> list[str]:
     return _SPACE.findall(text)
 
 
-ARROW = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("n_words", pa.int32()), ("slots", pa.list_(pa.string()))])
+ARROW = pa.schema(
+    [("id", pa.int64()), ("copy", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("n_words", pa.int32()), ("slots", pa.list_(pa.string())), ("roles", pa.list_(pa.string()))]
+)
+DDL = "id long, copy long, hash long, start int, size int, n_words int, slots array<string>, roles array<string>"
+
+
+def _value(word: str) -> str:
+    return word.strip(_EDGE).lower() or word
+
+
+def _role(words: list[str], j: int, slot: int) -> str:
+    """What a slot's value stands for: a name for itself, a number or unit for itself before its next word, so that '2 apples' and '2 friends' may change apart."""
+    return f"{_value(words[j])}\0{_value(words[j + 1]) if slot == 1 and j + 1 < len(words) else ''}"
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch], sizes: list[int], marks: bytes | None) -> Iterator[pa.RecordBatch]:
-    """The windows of each text; with ``marks`` those whose bit is set, without them those of one size (all words of a short text)."""
+    """The windows of each text; with ``marks`` those whose bit is set, without them those of one size (all words of a short text).
+
+    ``slots`` and ``roles`` hold a text for each word, empty where it isn't a placeholder.
+    """
     bits = None if marks is None else np.frombuffer(marks, np.uint8)
     templates = prepared(lambda: kept("templates", Templates))
     for batch in batches:
@@ -134,19 +150,23 @@ def _windows_of(batches: Iterator[pa.RecordBatch], sizes: list[int], marks: byte
                         spot = (found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                         hit = (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
                         starts, found = starts[hit], found[hit]
+                    copy = xxhash.xxh64_intdigest(text) - (1 << 63) if len(starts) else 0
                     for s, h in zip(starts.tolist(), found.view(np.int64).tolist(), strict=True):
-                        values = [words[j].strip(_EDGE).lower() or words[j] for j in range(s, s + size) if slots[j]]
-                        out.append({"id": i, "hash": h, "start": s, "size": size, "n_words": len(words), "slots": values})
+                        span = range(s, s + size)
+                        out.append({
+                            "id": i, "copy": copy, "hash": h, "start": s, "size": size, "n_words": len(words), "slots": [_value(words[j]) if slots[j] else "" for j in span],
+                            "roles": [_role(words, j, slots[j]) if slots[j] else "" for j in span] if bits is None else None,
+                        })
             if out:
                 yield pa.RecordBatch.from_pylist(out, ARROW)
 
 
 def _emit(rows: DataFrame, key: str, sizes: list[int], marks=None) -> DataFrame:
-    """(id, hash, start, size, n_words, slots) of windows; ``marks`` is a broadcast bit map."""
+    """(id, copy, hash, start, size, n_words, slots, roles) of windows; ``copy`` tells texts of one id apart, ``marks`` is a broadcast bit map."""
     source = rows.select(F.col(key).cast("long"), F.coalesce("text", F.lit("")))
     return source.mapInArrow(
         lambda batches: _windows_of(batches, sizes, marks.value if marks else None),
-        "id long, hash long, start int, size int, n_words int, slots array<string>",
+        DDL,
     )
 
 
@@ -162,12 +182,94 @@ def _marks(item_windows: DataFrame) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+class Occurrence:
+    """Where a document holds words of an item: the item's positions, the pairs of values at its slots and those that agree literally."""
+
+    def __init__(self):
+        self.windows: set[int] = set()
+        self.covered: set[int] = set()
+        self.same: set[int] = set()
+        self.pairs: dict[int, tuple[str, str]] = {}
+
+    def add(self, at: int, slots: list[str], roles: list[str]) -> None:
+        self.windows.add(at)
+        for p, (y, x) in enumerate(zip(slots, roles, strict=True), at):
+            self.covered.add(p)
+            if x:
+                self.pairs[p] = x, y
+            if not x or x.partition("\0")[0] == y:
+                self.same.add(p)
+
+    def joined(self, other: Occurrence) -> Occurrence:
+        """Both together; where both hold a position this one's value stays."""
+        new = Occurrence()
+        new.windows, new.covered, new.pairs = self.windows | other.windows, self.covered | other.covered, other.pairs | self.pairs
+        new.same = self.same | (other.same - self.covered)
+        return new
+
+    def share(self) -> float:
+        """Share of the slots whose value is the commonest partner of their role."""
+        partners = Counter(self.pairs.values())
+        best: dict[str, int] = {}
+        for (x, _), n in partners.items():
+            best[x] = max(best.get(x, 0), n)
+        return sum(best.values()) / len(self.pairs) if self.pairs else 1.0
+
+    def enough(self, item_words: int) -> bool:
+        return len(self.covered) >= min(COVER_WORDS, COVER_SHARE * item_words)
+
+    def key(self) -> tuple:
+        return tuple(sorted(self.covered)), tuple(sorted(self.pairs.items())), tuple(sorted(self.same))
+
+
+def verdict(hits: list[dict], item_words: int) -> tuple[int, int, float] | None:
+    """(windows, covered words, slot share) of the best occurrence that makes a document contaminated, None if none does.
+
+    Hits of one alignment (document start minus item start) are one occurrence, so values of different copies never mix.
+    Where no occurrence suffices (words inserted, sentences apart), those that agree with each other are taken together.
+    """
+    aligned: dict[int, Occurrence] = {}
+    for h in hits:
+        aligned.setdefault(h["start"] - h["at"], Occurrence()).add(h["at"], h["slots"], h["roles"])
+    found = {o.key(): o for o in aligned.values()}
+    order = [o for _, o in sorted(found.items(), key=lambda x: (-len(x[1].covered), x[0]))]
+    passes = lambda o: o.enough(item_words) and o.share() >= CONSISTENT
+    good = [o for o in order if passes(o)]
+    if not good and len(set().union(*(o.covered for o in order))) >= min(COVER_WORDS, COVER_SHARE * item_words):
+        taken: set[int] = set()
+        for i, seed in enumerate(order):
+            if i in taken:
+                continue
+            for j, other in enumerate(order):
+                if j != i and not other.covered <= seed.covered and (both := seed.joined(other)).share() >= CONSISTENT:
+                    seed = both
+                    taken.add(j)
+            if passes(seed):
+                good.append(seed)
+                break
+    if not good:
+        return None
+    return max((len(o.windows), len(o.covered), o.share()) for o in good)
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("n_windows", pa.int64()), ("covered_words", pa.int64()), ("item_words", pa.int64()), ("slot_share", pa.float64())])
+    for batch in batches:
+        out = []
+        for doc, item, words, hits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            made = verdict(hits, words)
+            if made:
+                out.append((doc, item, made[0], made[1], words, made[2]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, n_windows, covered_words, item_words, slot_share) of the contaminated documents, a row for each item they hold.
 
     Only windows whose hash is marked leave the scan of the documents; they meet the items' windows
-    in a hash join. Per document and item, a slot pair is consistent if it is the commonest partner
-    of its item value. Null texts and ids, texts shorter than an item and empty tables match
+    in a hash join. Per occurrence of the item, a slot pair is consistent if it is the commonest
+    partner of its item value's role. Null texts and ids, texts shorter than an item and empty tables match
     nothing; an item of fewer than 8 words has one window of all its words (of 3 at least).
     """
     items = graph.saved(_emit(benchmark.where(F.col(item_id).isNotNull()), item_id, list(range(3, window + 1))), "items")
@@ -175,24 +277,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     marks = docs.sparkSession.sparkContext.broadcast(_marks(items))
     hits = _emit(docs.where(F.col(doc_id).isNotNull()), doc_id, sizes, marks)
     joined = hits.alias("d").join(items.alias("b"), (F.col("d.hash") == F.col("b.hash")) & (F.col("d.size") == F.col("b.size"))).select(
-        F.col("d.id").alias(doc_id), F.col("b.id").alias(item_id), F.col("b.start").alias("at"), F.col("b.size").alias("size"), F.col("b.n_words").alias("item_words"),
-        F.arrays_zip(F.col("b.slots").alias("x"), F.col("d.slots").alias("y")).alias("pairs"),
+        F.col("d.id").alias("doc"), F.col("d.copy").alias("doc_copy"), F.col("b.id").alias("item"), F.col("b.copy").alias("item_copy"), F.col("b.n_words").alias("item_words"),
+        F.struct(F.col("d.start").alias("start"), F.col("b.start").alias("at"), F.col("d.slots").alias("slots"), F.col("b.roles").alias("roles")).alias("hit"),
     )
-    # one row per window of the item that the document holds, wherever and however often it does
-    held = joined.groupBy(doc_id, item_id, "at", "size", "item_words").agg(F.first("pairs").alias("pairs"), F.count("*").alias("n"))
-    held = graph.saved(held, "held")  # the scan of the documents happens once for all that follows
-    words = held.groupBy(doc_id, item_id, "item_words").agg(
-        F.count("*").alias("n_windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))).alias("covered_words"),
-    )
-    pairs = held.select(doc_id, item_id, F.explode("pairs").alias("p")).groupBy(doc_id, item_id, "p.x", "p.y").agg(F.count("*").alias("n"))
-    slots = pairs.groupBy(doc_id, item_id, "x").agg(F.max("n").alias("best"), F.sum("n").alias("all")).groupBy(doc_id, item_id).agg((F.sum("best") / F.sum("all")).alias("slot_share"))
-    return (
-        words.join(slots, [doc_id, item_id], "left")
-        .withColumn("slot_share", F.coalesce("slot_share", F.lit(1.0)))
-        .where((F.col("slot_share") >= CONSISTENT) & ((F.col("covered_words") >= COVER_WORDS) | (F.col("covered_words") >= COVER_SHARE * F.col("item_words"))))
-        .select(doc_id, item_id, "n_windows", F.col("covered_words").cast("long").alias("covered_words"), F.col("item_words").cast("long").alias("item_words"), "slot_share")
-    )
+    # one row per document and item, with every place where the document holds a window of the item
+    held = joined.groupBy("doc", "doc_copy", "item", "item_copy", "item_words").agg(F.collect_list("hit").alias("hits"))
+    made = held.select("doc", "item", "item_words", "hits").mapInArrow(_verdicts, "doc long, item long, n_windows long, covered_words long, item_words long, slot_share double")
+    best = made.groupBy("doc", "item").agg(F.max(F.struct("covered_words", "slot_share", "n_windows", "item_words")).alias("m"))
+    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "m.n_windows", "m.covered_words", "m.item_words", "m.slot_share")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -75,3 +75,19 @@ def test_pipeline(spark):
             assert docs.count() == before.count()
     joined = docs.join(before.withColumnRenamed("text", "original"), "doc_id")
     assert joined.where("text != original or size(ids) != n_tokens").count() == 0
+
+
+def test_differing_copies(spark):
+    question = "If Alice buys 12 apples at 3 dollars each and Bob eats 4 apples, how many apples does Alice have left in the basket today"
+    other = question.replace("Alice", "Carol").replace("12", "15").replace("Bob", "David").replace(" 3 ", " 8 ").replace(" 4 ", " 9 ")
+    part = " ".join(other.split()[:16])
+    roles = "the teacher gives each of 2 apples to some of her 2 friends and counts what is left of all of them"
+    items = spark.createDataFrame([(1, question), (2, roles)], "item_id long, text string")
+    texts = [f"{part} no more. {question}", f"{question} and then {part}", f"{other} {question} {other}", roles.replace("2 apples", "3 apples").replace("2 friends", "5 friends")]
+    docs = spark.createDataFrame([*enumerate(texts), (9, part), (9, "another text under the same id")], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (9, 1)}
+    # pieces that stand for different values are no copy, in whatever order they come
+    a = {"start": 0, "at": 0, "slots": ["x"] * 6, "roles": ["a\0"] * 6}
+    b = {"start": 50, "at": 6, "slots": ["y"] * 6, "roles": ["a\0"] * 6}
+    assert decontamination.verdict([a, b], 20) is None is decontamination.verdict([b, a], 20)
