@@ -1,14 +1,15 @@
 """Operator 8, benchmark decontamination: windows of template words, hash-joined, with consistent slots.
 
 Numbers, names and units become typed placeholders, so a benchmark question with other numbers or
-names has the same template. A match counts if its placeholders stand for each other consistently.
+names has the same template. A match counts if its placeholders stand for each other consistently. Windows of literal words find
+verbatim copies however many placeholders they hold.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from . import graph
 from .common import kept, prepared, slices
 
 WINDOW = 8
-#: Words of a window that must be no placeholders
+#: Words of an occurrence that must agree or stand for one value again (fewer, in proportion, where it has less than a window)
 PLAIN = 5
 #: A document is contaminated if consistent windows cover so many words of an item, or this share of it
 COVER_WORDS, COVER_SHARE = 13, 0.5
@@ -38,30 +39,36 @@ _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?[%°]?")
 _EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "“”‘’«»„…–—"
 _NOT_UNITS = _EDGE.replace("$", "").replace("%", "")
 _NUMBER_HASH, _NAME_HASH, _UNIT_HASH = map(xxhash.xxh64_intdigest, (NUMBER, NAME, UNIT))
+_NAME = np.uint64(_NAME_HASH)
 _ENDS = ".!?:\"”»"
 FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Templates:
-    """Hash and slot of each word's template. Words met before keep their place in two arrays; full arrays start anew."""
+    """Template, literal and slot of each word. Words met before keep their place in arrays; full arrays start anew."""
 
     def __init__(self, most: int = 200_000):
-        self.most = most
         self.place: dict[str, int] = {}
-        self.hash, self.slot = np.zeros(most, np.uint64), np.zeros(most, np.int8)
+        self._room(most)
+
+    def _room(self, most: int) -> None:
+        self.most = most
+        self.hash, self.literal = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+        self.slot, self.ends = np.zeros(most, np.int8), np.zeros(most, bool)
 
     @staticmethod
-    def word(word: str) -> tuple[int, int]:
-        """(hash of the template word, slot): slot 0 for a plain word, 1 for a number or unit, 2 for a capitalised word, which is a name inside a sentence."""
+    def word(word: str) -> tuple[int, int, int]:
+        """(hash of the template word, hash of the word, slot): slot 0 for a plain word, 1 for a number or unit, 2 for a capitalised word, which may be a name."""
         core = word.strip(_NOT_UNITS) or word
+        plain = core.strip(_EDGE).lower() or core
+        literal = xxhash.xxh64_intdigest(plain)
         if core[0].isdigit() or not core.isalnum():
             if _NUMBER.fullmatch(core):
-                return _NUMBER_HASH, 1
+                return _NUMBER_HASH, literal, 1
         if core.lower() in UNITS:
-            return _UNIT_HASH, 1
-        plain = core.strip(_EDGE).lower() or core
-        return xxhash.xxh64_intdigest(plain), 2 if core[:1].isupper() and core[1:2].islower() else 0
+            return _UNIT_HASH, literal, 1
+        return literal, literal, 2 if core[:1].isupper() and core[1:2].islower() else 0
 
     def _add(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.place]
@@ -69,41 +76,78 @@ class Templates:
             self.place.clear()
             new = list(dict.fromkeys(words))
             if len(new) > self.most:  # one text with more words than the arrays hold
-                self.most = len(new)
-                self.hash, self.slot = np.zeros(self.most, np.uint64), np.zeros(self.most, np.int8)
+                self._room(len(new))
         for w in new:
             at = self.place[w] = len(self.place)
-            self.hash[at], self.slot[at] = self.word(w)
+            self.hash[at], self.literal[at], self.slot[at] = self.word(w)
+            self.ends[at] = w[-1] in _ENDS
+
+    def text(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template hashes, literal hashes, slots) of a text's words.
 
-    def text(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, slots) of a text's words. A capitalised word is a name unless it starts the text or a sentence."""
+        A capitalised word inside a sentence is a name (2). At the start of the text or of a
+        sentence it may be one or not (3): its template is the word, and that of a name as well.
+        """
         try:
             at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         except KeyError:
             self._add(words)
             at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        hashes, slots = self.hash[at], self.slot[at]
-        capital = np.flatnonzero(slots == 2)
-        if len(capital):
-            inside = np.array([i > 0 and words[i - 1][-1] not in _ENDS for i in capital.tolist()])
-            slots[capital] = inside
-            hashes[capital[inside]] = _NAME_HASH
-        return hashes, slots
+        hashes, literals, slots = self.hash[at], self.literal[at], self.slot[at]
+        capital = slots == 2
+        if capital.any():
+            start = capital & np.r_[True, self.ends[at[:-1]]]
+            hashes[capital & ~start] = _NAME_HASH
+            slots[start] = 3
+        return hashes, literals, slots
 
 
-def windows(hashes: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows of ``size`` words with enough plain ones."""
-    n = len(hashes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _mixed(columns: Iterable[np.ndarray], n: int, size: int) -> np.ndarray:
     mixed = np.full(n, size, np.uint64)
-    for k in range(size):
-        mixed = (mixed ^ hashes[k : n + k]) * _MIX
+    for c in columns:
+        mixed = (mixed ^ c) * _MIX
         mixed ^= mixed >> np.uint64(29)
-    filled = np.r_[0, np.cumsum(slots)]
-    plain = size - (filled[size:] - filled[:-size])
-    at = np.flatnonzero(plain >= min(PLAIN, size))
-    return at, mixed[at]
+    return mixed
+
+
+def windows(hashes: np.ndarray, literals: np.ndarray, slots: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(starts, hashes, names) of the windows of ``size`` words: by templates, with each reading of the capitals that start a sentence, and by literal words.
+
+    ``names`` tells of each word of a window whether it is read as a placeholder; it is None for literal windows. Only a
+    window of nothing but placeholders has no template (it would say nothing); its literal words stand for it.
+    """
+    n = len(hashes) - size + 1
+    if n < 1:
+        return
+    sure, unsure = (slots == 1) | (slots == 2), slots == 3
+    spread = lambda x: [x[k : n + k] for k in range(size)]
+    count = lambda x: (c := np.r_[0, np.cumsum(x)])[size:] - c[:-size]
+    filled, open_ = count(sure), count(unsure)
+    at = np.flatnonzero(filled < size)
+    yield at, _mixed(spread(hashes), n, size)[at], sure
+    at = np.flatnonzero(filled + open_ > 0)  # elsewhere the template is literal
+    if len(at):
+        yield at, _mixed(spread(literals), n, size)[at], None
+    at = np.flatnonzero((open_ > 0) & (filled + open_ < size))
+    if len(at):
+        yield at, _mixed(spread(np.where(unsure, _NAME, hashes)), n, size)[at], sure | unsure
+    # other readings of windows with several such capitals, or with no other plain word
+    for k in np.unique(open_[open_ > 0]).tolist():
+        at = np.flatnonzero(open_ == k)
+        if k < 2:
+            continue
+        # ordinals of the capitals in each window; combinations are taken one after the other
+        places = np.flatnonzero(unsure)
+        first = np.searchsorted(places, at)
+        for reading in range(1, (1 << k) - 1):
+            chosen = [places[first + j] - at for j in range(k) if reading >> j & 1]
+            cells = hashes[at[:, None] + np.arange(size)]
+            names = sure[at[:, None] + np.arange(size)]
+            for c in chosen:
+                cells[np.arange(len(at)), c] = _NAME
+                names[np.arange(len(at)), c] = True
+            some = ~names.all(1)
+            yield at[some], _mixed(cells.T, len(at), size)[some], names[some]
 
 
 _SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,22 +185,29 @@ def _windows_of(batches: Iterator[pa.RecordBatch], sizes: list[int], marks: byte
             out: list[dict] = []
             for i, text in zip(ids[a:b], texts[a:b], strict=True):
                 words = _words(text)
-                hashes, slots = templates.text(words)
+                hashes, literals, slots = templates.text(words)
+                copy = None
                 for size in sizes:
                     if bits is None and size != min(WINDOW, len(words)):
                         continue
-                    starts, found = windows(hashes, slots, size)
-                    if bits is not None:
-                        spot = (found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                        hit = (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-                        starts, found = starts[hit], found[hit]
-                    copy = xxhash.xxh64_intdigest(text) - (1 << 63) if len(starts) else 0
-                    for s, h in zip(starts.tolist(), found.view(np.int64).tolist(), strict=True):
-                        span = range(s, s + size)
-                        out.append({
-                            "id": i, "copy": copy, "hash": h, "start": s, "size": size, "n_words": len(words), "slots": [_value(words[j]) if slots[j] else "" for j in span],
-                            "roles": [_role(words, j, slots[j]) if slots[j] else "" for j in span] if bits is None else None,
-                        })
+                    for starts, found, names in windows(hashes, literals, slots, size):
+                        rows = None if names is None or names.ndim == 1 else np.arange(len(starts))
+                        if bits is not None:
+                            spot = (found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                            hit = (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+                            starts, found = starts[hit], found[hit]
+                            rows = rows if rows is None else rows[hit]
+                        if not len(starts):
+                            continue
+                        if copy is None:
+                            copy = xxhash.xxh64_intdigest(text) - (1 << 63)
+                        for r, (s, h) in enumerate(zip(starts.tolist(), found.view(np.int64).tolist(), strict=True)):
+                            named = [False] * size if names is None else (names[s : s + size] if rows is None else names[rows[r]]).tolist()
+                            span = range(s, s + size)
+                            out.append({
+                                "id": i, "copy": copy, "hash": h, "start": s, "size": size, "n_words": len(words), "slots": [_value(words[j]) if y else "" for j, y in zip(span, named, strict=True)],
+                                "roles": [_role(words, j, slots[j]) if y else "" for j, y in zip(span, named, strict=True)] if bits is None else None,
+                            })
             if out:
                 yield pa.RecordBatch.from_pylist(out, ARROW)
 
@@ -195,10 +246,10 @@ class Occurrence:
         self.windows.add(at)
         for p, (y, x) in enumerate(zip(slots, roles, strict=True), at):
             self.covered.add(p)
-            if x:
+            if x and y:
                 self.pairs[p] = x, y
-            if not x or x.partition("\0")[0] == y:
-                self.same.add(p)
+            if not x or not y or x.partition("\0")[0] == y:
+                self.same.add(p)  # by a literal window or a plain word, or with the item's value
 
     def joined(self, other: Occurrence) -> Occurrence:
         """Both together; where both hold a position this one's value stays."""
@@ -218,6 +269,15 @@ class Occurrence:
     def enough(self, item_words: int) -> bool:
         return len(self.covered) >= min(COVER_WORDS, COVER_SHARE * item_words)
 
+    def proven(self) -> bool:
+        """Whether enough words tell of the item: those that agree, and slots whose role comes again and stands for one value."""
+        partners: dict[str, list[str]] = {}
+        for x, y in self.pairs.values():
+            partners.setdefault(x, []).append(y)
+        steady = {x for x, ys in partners.items() if len(ys) > 1 and len(set(ys)) == 1}
+        sure = self.same | {p for p, (x, _) in self.pairs.items() if x in steady}
+        return len(sure) >= min(PLAIN, (PLAIN * len(self.covered) + WINDOW // 2) // WINDOW)
+
     def key(self) -> tuple:
         return tuple(sorted(self.covered)), tuple(sorted(self.pairs.items())), tuple(sorted(self.same))
 
@@ -233,7 +293,7 @@ def verdict(hits: list[dict], item_words: int) -> tuple[int, int, float] | None:
         aligned.setdefault(h["start"] - h["at"], Occurrence()).add(h["at"], h["slots"], h["roles"])
     found = {o.key(): o for o in aligned.values()}
     order = [o for _, o in sorted(found.items(), key=lambda x: (-len(x[1].covered), x[0]))]
-    passes = lambda o: o.enough(item_words) and o.share() >= CONSISTENT
+    passes = lambda o: o.enough(item_words) and o.share() >= CONSISTENT and o.proven()
     good = [o for o in order if passes(o)]
     if not good and len(set().union(*(o.covered for o in order))) >= min(COVER_WORDS, COVER_SHARE * item_words):
         taken: set[int] = set()

@@ -91,3 +91,19 @@ def test_differing_copies(spark):
     a = {"start": 0, "at": 0, "slots": ["x"] * 6, "roles": ["a\0"] * 6}
     b = {"start": 50, "at": 6, "slots": ["y"] * 6, "roles": ["a\0"] * 6}
     assert decontamination.verdict([a, b], 20) is None is decontamination.verdict([b, a], 20)
+
+
+def test_slot_dense_items(spark):
+    paid = "In 1990 Alice paid $5, in 1991 Bob paid $7, in 1992 Carol paid $9."
+    short, start = "Alice has 12 red apples", "Tom has 3 green pears and gives 2 of them to the boy next door"
+    table = "Alice 12 Bob 15 Carol 18 David 21 Erin 24 Frank 27"
+    items = spark.createDataFrame([(1, paid), (2, short), (3, start), (4, table)], "item_id long, text string")
+    texts = [
+        f"before this {paid} after this", paid.lower(), "In 1980 Dora paid $6, in 1981 Erin paid $8, in 1982 Frank paid $3.",
+        "they say Alice has 12 red apples now", "they say Bob has 15 red apples now",
+        f"we know that {start}", start.replace("Tom", "then Anna").replace("3", "5"), start.replace("Tom", "Anna").replace("3", "5"),
+        f"of them {table} and so on", table.replace("1", "3").replace("Alice", "Grace"), "Anna met Tom on Monday. In 1990 she left.",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3), (8, 4)}
