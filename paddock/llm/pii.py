@@ -20,14 +20,17 @@ _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(209
 #: Forms of personal data; each find is validated before it is changed
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,}[\"']?)"
+    r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?i:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,}[\"']?)"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
     r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,}(?![\w-]))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w|-\d)|(?<!\w)\+\d{8,15}(?!\w))"
 )
+#: Forms that end a run of digits in which a card is looked for: they are exchanged by themselves
+_OWN = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{3}-\d{2}-\d{4})(?![\w/-]|\.\d)")
+_GROUP = re.compile(r"(?<=[ -])\d")
 #: Every form has one of these characters
 _MARKS = "0123456789@=:"
 
@@ -151,17 +154,40 @@ def _ssn(text: str, c: Cipher, back: bool) -> str | None:
     return f"{rank + 1 + (rank >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-def _card(text: str, c: Cipher, back: bool) -> str | None:
+def _valid_card(text: str) -> bool:
     digits = re.sub(r"\D", "", text)
-    if luhn_digit(digits[:-1]) != digits[-1] or not digits.strip("0"):
-        return None
-    # issuers' numbers start with 1 to 9: so does the pseudonym where the number does
-    lead = digits[0] != "0"
-    size = 10 ** (len(digits) - 1)
-    low = size // 10 if lead else 0
-    value = low + c.permute(int(digits[:-1]) - low, size - low if lead else size // 10, b"card%d" % len(digits), back)
-    body = f"{value:0{len(digits) - 1}d}"
-    return _put(text, body + luhn_digit(body))
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and digits.strip("0") != ""
+
+
+def _first_card(run: str) -> tuple[int, int] | None:
+    """(start, end) of the card that ends first in a run of digit groups. It depends on no digit after its end, which may be exchanged too."""
+    starts: list[int] = []
+    for m in re.finditer(r"\d+", run):
+        if run[m.start() - 1 : m.start()] != "-":
+            starts = [x for x in starts if m.start() - x < 40] + [m.start()]
+        if run[m.end() : m.end() + 1] != "-":
+            for start in starts:
+                if _valid_card(run[start : m.end()]):
+                    return start, m.end()
+    return None
+
+
+def _card(run: str, at: tuple[int, int], c: Cipher, back: bool) -> str:
+    """The run up to the card's end, the card exchanged: permuted until it is again the first card of the run, so that it is found again."""
+    text, before = run[at[0] : at[1]], run[: at[0]]
+    near = before if len(before) < 40 else before[-40:].lstrip("0123456789-")
+    place = len(near), len(near) + len(text)
+    while True:
+        digits = re.sub(r"\D", "", text)
+        # issuers' numbers start with 1 to 9: so does the pseudonym where the number does
+        lead = digits[0] != "0"
+        size = 10 ** (len(digits) - 1)
+        low = size // 10 if lead else 0
+        value = low + c.permute(int(digits[:-1]) - low, size - low if lead else size // 10, b"card%d" % len(digits), back)
+        body = f"{value:0{len(digits) - 1}d}"
+        text = _put(text, body + luhn_digit(body))
+        if _first_card(near + text) == place:
+            return before + text
 
 
 def _phone(text: str, c: Cipher, back: bool) -> str | None:
@@ -174,7 +200,7 @@ def _phone(text: str, c: Cipher, back: bool) -> str | None:
     return head + _put(text[len(head) :], f"{c.permute(int(digits), size, b'phone%d' % len(digits), back):0{len(digits)}d}")
 
 
-_CHANGE = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+_CHANGE = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
 class Pseudonyms:
@@ -187,15 +213,27 @@ class Pseudonyms:
         if not any(x in text for x in _MARKS):
             return text, found
 
-        def change(match: re.Match) -> str:
-            kind = match.lastgroup
-            new = _CHANGE[kind](match[0], self.cipher, back) if kind in self.kinds else None
-            if new is None:
-                return match[0]
-            found[kind] += 1
-            return new
-
-        return PATTERN.sub(change, text), found
+        out, done, at, end, stop = [], 0, 0, -1, -1
+        while match := PATTERN.search(text, at):
+            kind, at = match.lastgroup, match.end()
+            if kind == "card":
+                # a run ends before an address or a date, which is searched by itself as what follows a card is
+                if at != end or stop <= match.start():
+                    end = at
+                    stop = next((m.start() - 1 for m in _GROUP.finditer(text, match.start() + 1, end) if _OWN.match(text, m.start())), end)
+                at = stop
+                run = text[match.start() : at]
+                place = _first_card(run)
+                if place:
+                    at = match.start() + place[1]
+                new = _card(run, place, self.cipher, back) if place and kind in self.kinds else None
+            else:
+                new = _CHANGE[kind](match[0], self.cipher, back) if kind in self.kinds else None
+            if new is not None:
+                found[kind] += 1
+                out += text[done : match.start()], new
+                done = at
+        return "".join(out) + text[done:], found
 
 
 def pseudonymize(docs: DataFrame, key: bytes, kinds: tuple[str, ...] = KINDS, text: str = "text", keep: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
