@@ -1,13 +1,16 @@
 """Operator 8, benchmark decontamination: windows of template words, hash-joined, with consistent slots.
 
 Numbers, names and units become typed placeholders, so a benchmark question with other numbers or
-names has the same template. A match counts if its placeholders stand for each other consistently. Windows of literal words find
-verbatim copies however many placeholders they hold.
+names has the same template. A match counts if its placeholders stand for each other consistently, in
+both directions. Windows of literal words find verbatim copies however many placeholders they hold.
+
+Most of a corpus has nothing of the benchmark. A bit map of fixed size holds the hashes of the items'
+windows and of all pairs of neighbours in them; a window of a document is only built where each of its
+pairs is marked, and only leaves the scan if it is marked itself.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -16,225 +19,200 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import graph
-from .common import kept, prepared, slices
+from . import graph, templates
+from .common import fields, kept, prepared, slices
+from .templates import EITHER, MIX, NAME_HASH, PLAIN, Words
 
 WINDOW = 8
 #: Words of an occurrence that must agree or stand for one value again (fewer, in proportion, where it has less than a window)
-PLAIN = 5
+SURE = 5
 #: A document is contaminated if consistent windows cover so many words of an item, or this share of it
 COVER_WORDS, COVER_SHARE = 13, 0.5
 #: Share of a match's placeholders that must stand for one value each
 CONSISTENT = 0.8
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
-#: Units of measure (fixed values)
-UNITS = frozenset(
-    "mm cm m km in ft yd mi mile miles inch inches foot feet yard yards meter meters metre metres kilometer kilometers kilometre kilometres "
-    "g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons cup cups "
-    "s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
-    "km/h mph m/s usd eur gbp dollar dollars euro euros cent cents percent % $ € £ °c °f degrees".split()
-)
-_NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?[%°]?")
-_EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "“”‘’«»„…–—"
-_NOT_UNITS = _EDGE.replace("$", "").replace("%", "")
-_NUMBER_HASH, _NAME_HASH, _UNIT_HASH = map(xxhash.xxh64_intdigest, (NUMBER, NAME, UNIT))
-_NAME = np.uint64(_NAME_HASH)
-_ENDS = ".!?:\"”»"
-FILTER_BITS = 22
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Templates:
-    """Template, literal and slot of each word. Words met before keep their place in arrays; full arrays start anew."""
-
-    def __init__(self, most: int = 200_000):
-        self.place: dict[str, int] = {}
-        self._room(most)
-
-    def _room(self, most: int) -> None:
-        self.most = most
-        self.hash, self.literal = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
-        self.slot, self.ends = np.zeros(most, np.int8), np.zeros(most, bool)
-
-    @staticmethod
-    def word(word: str) -> tuple[int, int, int]:
-        """(hash of the template word, hash of the word, slot): slot 0 for a plain word, 1 for a number or unit, 2 for a capitalised word, which may be a name."""
-        core = word.strip(_NOT_UNITS) or word
-        plain = core.strip(_EDGE).lower() or core
-        literal = xxhash.xxh64_intdigest(plain)
-        if core[0].isdigit() or not core.isalnum():
-            if _NUMBER.fullmatch(core):
-                return _NUMBER_HASH, literal, 1
-        if core.lower() in UNITS:
-            return _UNIT_HASH, literal, 1
-        return literal, literal, 2 if core[:1].isupper() and core[1:2].islower() else 0
-
-    def _add(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if len(self.place) + len(new) > self.most:
-            self.place.clear()
-            new = list(dict.fromkeys(words))
-            if len(new) > self.most:  # one text with more words than the arrays hold
-                self._room(len(new))
-        for w in new:
-            at = self.place[w] = len(self.place)
-            self.hash[at], self.literal[at], self.slot[at] = self.word(w)
-            self.ends[at] = w[-1] in _ENDS
-
-    def text(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hashes, literal hashes, slots) of a text's words.
-
-        A capitalised word inside a sentence is a name (2). At the start of the text or of a
-        sentence it may be one or not (3): its template is the word, and that of a name as well.
-        """
-        try:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._add(words)
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        hashes, literals, slots = self.hash[at], self.literal[at], self.slot[at]
-        capital = slots == 2
-        if capital.any():
-            start = capital & np.r_[True, self.ends[at[:-1]]]
-            hashes[capital & ~start] = _NAME_HASH
-            slots[start] = 3
-        return hashes, literals, slots
-
-
-def _mixed(columns: Iterable[np.ndarray], n: int, size: int) -> np.ndarray:
-    mixed = np.full(n, size, np.uint64)
+#: The bit map's size: 2**22 to 2**26 bits (8 MB), by the number of hashes. Beyond that it lets more through, and the join decides as before.
+LEAST_BITS, MOST_BITS = 22, 26
+PAGE_BITS = 15
+#: Rows of one hash are dealt over so many tasks
+SALT = 8
+_NAME = np.array([NAME_HASH])
+
+
+def _mixed(columns: Iterable[np.ndarray], size: int) -> np.ndarray:
+    mixed = np.array([size], np.uint64)
     for c in columns:
-        mixed = (mixed ^ c) * _MIX
-        mixed ^= mixed >> np.uint64(29)
+        mixed = (mixed ^ c) * MIX
+        mixed = mixed ^ (mixed >> np.uint64(29))
     return mixed
 
 
-def windows(hashes: np.ndarray, literals: np.ndarray, slots: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(starts, hashes, names) of the windows of ``size`` words: by templates, with each reading of the capitals that start a sentence, and by literal words.
-
-    ``names`` tells of each word of a window whether it is read as a placeholder; it is None for literal windows. Only a
-    window of nothing but placeholders has no template (it would say nothing); its literal words stand for it.
-    """
-    n = len(hashes) - size + 1
-    if n < 1:
-        return
-    sure, unsure = (slots == 1) | (slots == 2), slots == 3
-    spread = lambda x: [x[k : n + k] for k in range(size)]
-    count = lambda x: (c := np.r_[0, np.cumsum(x)])[size:] - c[:-size]
-    filled, open_ = count(sure), count(unsure)
-    at = np.flatnonzero(filled < size)
-    yield at, _mixed(spread(hashes), n, size)[at], sure
-    at = np.flatnonzero(filled + open_ > 0)  # elsewhere the template is literal
-    if len(at):
-        yield at, _mixed(spread(literals), n, size)[at], None
-    at = np.flatnonzero((open_ > 0) & (filled + open_ < size))
-    if len(at):
-        yield at, _mixed(spread(np.where(unsure, _NAME, hashes)), n, size)[at], sure | unsure
-    # other readings of windows with several such capitals, or with no other plain word
-    for k in np.unique(open_[open_ > 0]).tolist():
-        at = np.flatnonzero(open_ == k)
-        if k < 2:
-            continue
-        # ordinals of the capitals in each window; combinations are taken one after the other
-        places = np.flatnonzero(unsure)
-        first = np.searchsorted(places, at)
-        for reading in range(1, (1 << k) - 1):
-            chosen = [places[first + j] - at for j in range(k) if reading >> j & 1]
-            cells = hashes[at[:, None] + np.arange(size)]
-            names = sure[at[:, None] + np.arange(size)]
-            for c in chosen:
-                cells[np.arange(len(at)), c] = _NAME
-                names[np.arange(len(at)), c] = True
-            some = ~names.all(1)
-            yield at[some], _mixed(cells.T, len(at), size)[some], names[some]
+class Marks:
+    """A bit map of hashes."""
 
+    def __init__(self, packed: bytes):
+        self.bytes = np.frombuffer(packed, np.uint8)
+        self.shift = np.uint64(64 - (len(packed) * 8).bit_length() + 1)
 
-_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        spot = (hashes >> self.shift).astype(np.int64)
+        return (self.bytes[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _words(text: str) -> list[str]:
-    return _SPACE.findall(text)
+def _pairs(words: Words, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word and the next are marked as neighbours: by templates, in some reading of them, and by literals."""
+    t, either = words.template, words.kind == EITHER
+    found = marks(_mixed((t[:-1], t[1:]), 2))
+    for first, second in ((True, False), (False, True), (True, True)):
+        at = np.flatnonzero(~found & (either[:-1] | (not first)) & (either[1:] | (not second)) & (either[:-1] | either[1:]))
+        if len(at):
+            a, b = _NAME if first else t[at], _NAME if second else t[at + 1]
+            found[at] = marks(np.broadcast_to(_mixed((a, b), 2), len(at)))
+    literal = found.copy()
+    at = np.flatnonzero((words.kind[:-1] != PLAIN) | (words.kind[1:] != PLAIN))
+    literal[at] = marks(_mixed((words.literal[at], words.literal[at + 1]), 2))
+    return found, literal
 
 
-ARROW = pa.schema(
-    [("id", pa.int64()), ("copy", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("n_words", pa.int32()), ("slots", pa.list_(pa.string())), ("roles", pa.list_(pa.string()))]
-)
-DDL = "id long, copy long, hash long, start int, size int, n_words int, slots array<string>, roles array<string>"
+def windows(words: Words, size: int, marks: Marks | None = None, pairs: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, hashes, names, pair hashes) of the windows of ``size`` words.
 
-
-def _value(word: str) -> str:
-    return word.strip(_EDGE).lower() or word
+    ``names`` tells of each word of a window whether it is read as a placeholder. A window comes once for each reading of the capitals
+    that start its sentences, and by its literal words if it holds a placeholder or such a capital. A
+    window of nothing but placeholders has no template (it would say nothing); its literal words stand for it.
+    With ``marks`` only marked windows come.
+    """
+    n = len(words.kind) - size + 1
+    if n < 1:
+        return
+    inside = words.left()[:n] >= size
+    among = lambda flags, width: (c := np.r_[0, np.cumsum(flags)])[width : width + n] - c[:n]
+    either = words.kind == EITHER
+    sure = (words.kind != PLAIN) & ~either
+    filled, opened = among(sure, size), among(either, size)
+    by_template, by_literal = inside & (filled < size), inside & (filled + opened > 0)
+    if pairs is not None:
+        by_template &= among(pairs[0], size - 1) == size - 1
+        by_literal &= among(pairs[1], size - 1) == size - 1
+
+    def made(at: np.ndarray, cells: np.ndarray, names: np.ndarray):
+        hashes = _mixed(cells.T, size)
+        if marks is not None:
+            hit = marks(hashes)
+            at, hashes, cells, names = at[hit], hashes[hit], cells[hit], names[hit]
+        if len(at):
+            yield at, hashes, names, np.stack([_mixed((cells[:, j], cells[:, j + 1]), 2) for j in range(size - 1)], axis=1)
+
+    spread = lambda x, at: x[at[:, None] + np.arange(size)]
+    at = np.flatnonzero(by_literal)
+    if len(at):
+        yield from made(at, spread(words.literal, at), np.zeros((len(at), size), bool))
+    found = np.flatnonzero(by_template)
+    for k in np.unique(opened[found]).tolist():
+        at = found[opened[found] == k]
+        places = np.argsort(~spread(either, at), axis=1, kind="stable")[:, :k]
+        for reading in range(1 << k):
+            cells, names = spread(words.template, at), spread(sure, at)
+            for j in range(k):
+                if reading >> j & 1:
+                    cells[np.arange(len(at)), places[:, j]] = NAME_HASH
+                    names[np.arange(len(at)), places[:, j]] = True
+            some = ~names.all(axis=1)
+            yield from made(at[some], cells[some], names[some])
+
+
+def _role(words: list[str], j: int, kind: int) -> str:
+    """What a slot's value stands for: a name for itself, a number or unit for itself before its next word, so that '2 apples' and '2 friends' may change apart."""
+    after = templates.value(words[j + 1]) if kind in (templates.NUMBER, templates.UNIT) and j + 1 < len(words) else ""
+    return f"{templates.value(words[j])}\0{after}"
 
 
-def _role(words: list[str], j: int, slot: int) -> str:
-    """What a slot's value stands for: a name for itself, a number or unit for itself before its next word, so that '2 apples' and '2 friends' may change apart."""
-    return f"{_value(words[j])}\0{_value(words[j + 1]) if slot == 1 and j + 1 < len(words) else ''}"
+WINDOW_DDL = "copy long, hash long, start int, size int, n_words int, roles array<string>, pairs array<long>"
 
 
-def _windows_of(batches: Iterator[pa.RecordBatch], sizes: list[int], marks: bytes | None) -> Iterator[pa.RecordBatch]:
-    """The windows of each text; with ``marks`` those whose bit is set, without them those of one size (all words of a short text).
+def _windows_of(batches: Iterator[pa.RecordBatch], sizes: list[int] | None, packed: bytes | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The windows of each text; with a bit map those that are marked, without ``sizes`` those of one size (all words of a short text).
 
-    ``slots`` and ``roles`` hold a text for each word, empty where it isn't a placeholder.
+    ``copy`` is a hash of the text: it tells texts of one id apart. ``roles`` holds a text for each word, empty where it isn't a placeholder.
     """
-    bits = None if marks is None else np.frombuffer(marks, np.uint8)
-    templates = prepared(lambda: kept("templates", Templates))
+    marks = None if packed is None else Marks(packed)
+    read = prepared(lambda: kept("templates", templates.Reader))
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in slices(texts):
-            out: list[dict] = []
-            for i, text in zip(ids[a:b], texts[a:b], strict=True):
-                words = _words(text)
-                hashes, literals, slots = templates.text(words)
-                copy = None
-                for size in sizes:
-                    if bits is None and size != min(WINDOW, len(words)):
-                        continue
-                    for starts, found, names in windows(hashes, literals, slots, size):
-                        rows = None if names is None or names.ndim == 1 else np.arange(len(starts))
-                        if bits is not None:
-                            spot = (found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                            hit = (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-                            starts, found = starts[hit], found[hit]
-                            rows = rows if rows is None else rows[hit]
-                        if not len(starts):
-                            continue
-                        if copy is None:
-                            copy = xxhash.xxh64_intdigest(text) - (1 << 63)
-                        for r, (s, h) in enumerate(zip(starts.tolist(), found.view(np.int64).tolist(), strict=True)):
-                            named = [False] * size if names is None else (names[s : s + size] if rows is None else names[rows[r]]).tolist()
-                            span = range(s, s + size)
-                            out.append({
-                                "id": i, "copy": copy, "hash": h, "start": s, "size": size, "n_words": len(words), "slots": [_value(words[j]) if y else "" for j, y in zip(span, named, strict=True)],
-                                "roles": [_role(words, j, slots[j]) if y else "" for j, y in zip(span, named, strict=True)] if bits is None else None,
-                            })
-            if out:
-                yield pa.RecordBatch.from_pylist(out, ARROW)
-
-
-def _emit(rows: DataFrame, key: str, sizes: list[int], marks=None) -> DataFrame:
-    """(id, copy, hash, start, size, n_words, slots, roles) of windows; ``copy`` tells texts of one id apart, ``marks`` is a broadcast bit map."""
-    source = rows.select(F.col(key).cast("long"), F.coalesce("text", F.lit("")))
-    return source.mapInArrow(
-        lambda batches: _windows_of(batches, sizes, marks.value if marks else None),
-        DDL,
-    )
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for a, b in slices(texts, 2_000_000):
+            found = read(texts[a:b])
+            counts = np.diff(found.bound)
+            pairs = None if marks is None or len(found.kind) < 2 else _pairs(found, marks)
+            rows: dict[str, list] = {n: [] for n in ("text", *schema.names[1:])}
+            told: dict[int, tuple[int, list[str]]] = {}
+            for size in sizes or range(3, WINDOW + 1):
+                for starts, hashes, names, near in windows(found, size, marks, pairs):
+                    owner = np.searchsorted(found.bound, starts, "right") - 1
+                    if sizes is None:  # windows of the text's own size only
+                        own = np.minimum(WINDOW, counts[owner]) == size
+                        starts, hashes, names, near, owner = (x[own] for x in (starts, hashes, names, near, owner))
+                    for i, s, h, named, p in zip(owner.tolist(), starts.tolist(), hashes.view(np.int64).tolist(), names.tolist(), near.view(np.int64), strict=True):
+                        if i not in told:
+                            told[i] = xxhash.xxh64_intdigest(texts[a + i], 42), templates.words(texts[a + i])
+                        copy, words = told[i]
+                        first = s - int(found.bound[i])
+                        roles = [_role(words, first + j, found.kind[s + j]) if y else "" for j, y in enumerate(named)]
+                        for name, v in zip(rows, (a + i, copy - (1 << 64) if copy >> 63 else copy, h, first, size, len(words), roles, p if marks is None else None), strict=True):
+                            rows[name].append(v)
+            if rows["text"]:
+                values = [ids.take(pa.array(rows["text"])).cast(schema.field(0).type), *(pa.array(rows[f.name], f.type) for f in list(schema)[1:])]
+                yield pa.RecordBatch.from_arrays(values, schema=schema)
+
+
+def _emit(rows: DataFrame, key: str, text: str, sizes: list[int] | None = None, marks=None) -> DataFrame:
+    """(id, copy, hash, start, size, n_words, roles, pairs) of windows; ``marks`` is a broadcast bit map."""
+    source = rows.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), *fields(WINDOW_DDL)])
+    arrow = to_arrow_schema(schema)
+    return source.mapInArrow(lambda batches: _windows_of(batches, sizes, marks.value if marks else None, arrow), schema)
 
 
 def _marks(item_windows: DataFrame) -> bytes:
-    """A bit map of the items' window hashes. Its size is fixed, whatever the benchmark: what it lets through is joined exactly."""
-    top = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    rows = (
-        item_windows.select(F.shiftright(top, 15).alias("page"), top.bitwiseAND(32767).cast("int").alias("bit")).groupBy("page").agg(F.collect_set("bit").alias("bits"))
-    ).collect()
-    bits = np.zeros(1 << FILTER_BITS, np.uint8)
-    for r in rows:
-        bits[r["page"] * 32768 + np.array(r["bits"])] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    """The bit map of the items' windows and pairs, made page by page on the executors."""
+    hashes = item_windows.select("hash").union(item_windows.select(F.explode("pairs"))).distinct()
+    n = hashes.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
+    top = F.shiftrightunsigned("hash", 64 - bits)
+    dealt = hashes.select(F.shiftright(top, PAGE_BITS).alias("page"), top.bitwiseAND((1 << PAGE_BITS) - 1).cast("int").alias("bit"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for found in batch.column(1).to_pylist():
+                page = np.zeros(1 << PAGE_BITS, bool)
+                page[found] = True
+                out.append(np.packbits(page, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["page", "bits"])
+
+    pages = dealt.groupBy("page").agg(F.collect_set("bit").alias("bits")).mapInArrow(packed, "page long, bits binary").collect()
+    whole, size = bytearray(1 << bits >> 3), 1 << PAGE_BITS >> 3
+    for r in pages:
+        whole[r["page"] * size : (r["page"] + 1) * size] = r["bits"]
+    return bytes(whole)
+
+
+def _share(pairs: Iterable[tuple[str, str]]) -> float:
+    """Share of the pairs whose second is the commonest partner of their first."""
+    partners = Counter(pairs)
+    best: dict[str, int] = {}
+    for (x, _), n in partners.items():
+        best[x] = max(best.get(x, 0), n)
+    return sum(best.values()) / sum(partners.values()) if partners else 1.0
+
+
+def _bare(role: str) -> str:
+    return role.partition("\0")[0]
 
 
 class Occurrence:
-    """Where a document holds words of an item: the item's positions, the pairs of values at its slots and those that agree literally."""
+    """Where a document holds words of an item: the item's positions, the pairs of roles at its slots and the positions that agree literally."""
 
     def __init__(self):
         self.windows: set[int] = set()
@@ -242,13 +220,14 @@ class Occurrence:
         self.same: set[int] = set()
         self.pairs: dict[int, tuple[str, str]] = {}
 
-    def add(self, at: int, slots: list[str], roles: list[str]) -> None:
+    def add(self, at: int, theirs: list[str], roles: list[str]) -> None:
+        """A window at the item's position ``at``: the document's roles and the item's."""
         self.windows.add(at)
-        for p, (y, x) in enumerate(zip(slots, roles, strict=True), at):
+        for p, (y, x) in enumerate(zip(theirs, roles, strict=True), at):
             self.covered.add(p)
             if x and y:
                 self.pairs[p] = x, y
-            if not x or not y or x.partition("\0")[0] == y:
+            if not x or not y or _bare(x) == _bare(y):
                 self.same.add(p)  # by a literal window or a plain word, or with the item's value
 
     def joined(self, other: Occurrence) -> Occurrence:
@@ -259,12 +238,9 @@ class Occurrence:
         return new
 
     def share(self) -> float:
-        """Share of the slots whose value is the commonest partner of their role."""
-        partners = Counter(self.pairs.values())
-        best: dict[str, int] = {}
-        for (x, _), n in partners.items():
-            best[x] = max(best.get(x, 0), n)
-        return sum(best.values()) / len(self.pairs) if self.pairs else 1.0
+        """Share of the slots that stand for each other, in the worse direction: of an item's role for one value, and of a document's for one of the item's."""
+        found = self.pairs.values()
+        return min(_share((x, _bare(y)) for x, y in found), _share((y, _bare(x)) for x, y in found))
 
     def enough(self, item_words: int) -> bool:
         return len(self.covered) >= min(COVER_WORDS, COVER_SHARE * item_words)
@@ -273,10 +249,13 @@ class Occurrence:
         """Whether enough words tell of the item: those that agree, and slots whose role comes again and stands for one value."""
         partners: dict[str, list[str]] = {}
         for x, y in self.pairs.values():
-            partners.setdefault(x, []).append(y)
+            partners.setdefault(x, []).append(_bare(y))
         steady = {x for x, ys in partners.items() if len(ys) > 1 and len(set(ys)) == 1}
         sure = self.same | {p for p, (x, _) in self.pairs.items() if x in steady}
-        return len(sure) >= min(PLAIN, (PLAIN * len(self.covered) + WINDOW // 2) // WINDOW)
+        return len(sure) >= min(SURE, (SURE * len(self.covered) + WINDOW // 2) // WINDOW)
+
+    def passes(self, item_words: int) -> bool:
+        return self.enough(item_words) and self.share() >= CONSISTENT and self.proven()
 
     def key(self) -> tuple:
         return tuple(sorted(self.covered)), tuple(sorted(self.pairs.items())), tuple(sorted(self.same))
@@ -290,12 +269,11 @@ def verdict(hits: list[dict], item_words: int) -> tuple[int, int, float] | None:
     """
     aligned: dict[int, Occurrence] = {}
     for h in hits:
-        aligned.setdefault(h["start"] - h["at"], Occurrence()).add(h["at"], h["slots"], h["roles"])
-    found = {o.key(): o for o in aligned.values()}
-    order = [o for _, o in sorted(found.items(), key=lambda x: (-len(x[1].covered), x[0]))]
-    passes = lambda o: o.enough(item_words) and o.share() >= CONSISTENT and o.proven()
-    good = [o for o in order if passes(o)]
-    if not good and len(set().union(*(o.covered for o in order))) >= min(COVER_WORDS, COVER_SHARE * item_words):
+        aligned.setdefault(h["start"] - h["at"], Occurrence()).add(h["at"], h["theirs"], h["roles"])
+    good = [o for o in aligned.values() if o.passes(item_words)]
+    if not good and len(set().union(*(o.covered for o in aligned.values()))) >= min(COVER_WORDS, COVER_SHARE * item_words):
+        found = {o.key(): o for o in aligned.values()}
+        order = [o for _, o in sorted(found.items(), key=lambda x: (-len(x[1].covered), x[0]))]
         taken: set[int] = set()
         for i, seed in enumerate(order):
             if i in taken:
@@ -304,7 +282,7 @@ def verdict(hits: list[dict], item_words: int) -> tuple[int, int, float] | None:
                 if j != i and not other.covered <= seed.covered and (both := seed.joined(other)).share() >= CONSISTENT:
                     seed = both
                     taken.add(j)
-            if passes(seed):
+            if seed.passes(item_words):
                 good.append(seed)
                 break
     if not good:
@@ -312,41 +290,52 @@ def verdict(hits: list[dict], item_words: int) -> tuple[int, int, float] | None:
     return max((len(o.windows), len(o.covered), o.share()) for o in good)
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("n_windows", pa.int64()), ("covered_words", pa.int64()), ("item_words", pa.int64()), ("slot_share", pa.float64())])
+def _judged(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for doc, item, words, hits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            made = verdict(hits, words)
-            if made:
-                out.append((doc, item, made[0], made[1], words, made[2]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, n_windows, covered_words, item_words, slot_share) of the contaminated documents, a row for each item they hold.
-
-    Only windows whose hash is marked leave the scan of the documents; they meet the items' windows
-    in a hash join. Per occurrence of the item, a slot pair is consistent if it is the commonest
-    partner of its item value's role. Null texts and ids, texts shorter than an item and empty tables match
-    nothing; an item of fewer than 8 words has one window of all its words (of 3 at least).
+        made = [verdict(hits, words) for words, hits in zip(batch.column("item_words").to_pylist(), batch.column("hits").to_pylist(), strict=True)]
+        some = batch.filter(pa.array([m is not None for m in made]))
+        if some.num_rows:
+            found = list(zip(*(m for m in made if m), strict=True))
+            columns = [some.column(f.name) for f in list(schema)[:4]] + [pa.array(v, f.type) for v, f in zip(found, list(schema)[4:], strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def found(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc, copy, item, item_words, n_windows, covered_words, slot_share): a row for each item that a document's text holds; ``copy`` is Spark's xxhash64 of the text.
+
+    Only marked windows leave the scan of the documents; they meet the items' windows in a hash join,
+    dealt by hash and salt so that a window which many documents share is spread. The ids keep their types. Null texts, texts shorter
+    than an item and empty tables match nothing; an item of fewer than 8 words has one window of all
+    its words (of 3 at least). Extra columns are left aside.
     """
-    items = graph.saved(_emit(benchmark.where(F.col(item_id).isNotNull()), item_id, list(range(3, window + 1))), "items")
+    items = graph.saved(_emit(benchmark.where(F.col(f"`{item_id}`").isNotNull()), item_id, text), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     marks = docs.sparkSession.sparkContext.broadcast(_marks(items))
-    hits = _emit(docs.where(F.col(doc_id).isNotNull()), doc_id, sizes, marks)
-    joined = hits.alias("d").join(items.alias("b"), (F.col("d.hash") == F.col("b.hash")) & (F.col("d.size") == F.col("b.size"))).select(
-        F.col("d.id").alias("doc"), F.col("d.copy").alias("doc_copy"), F.col("b.id").alias("item"), F.col("b.copy").alias("item_copy"), F.col("b.n_words").alias("item_words"),
-        F.struct(F.col("d.start").alias("start"), F.col("b.start").alias("at"), F.col("d.slots").alias("slots"), F.col("b.roles").alias("roles")).alias("hit"),
+    hits = _emit(docs, doc_id, text, sizes or [WINDOW], marks).withColumn("salt", F.pmod(F.xxhash64("copy", "start"), F.lit(SALT)).cast("int"))
+    theirs = items.select(
+        "hash", "size", F.col("id").alias("item"), F.col("copy").alias("item_copy"), F.col("n_words").alias("item_words"), F.col("start").alias("at"), F.col("roles").alias("item_roles"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"),
     )
-    # one row per document and item, with every place where the document holds a window of the item
-    held = joined.groupBy("doc", "doc_copy", "item", "item_copy", "item_words").agg(F.collect_list("hit").alias("hits"))
-    made = held.select("doc", "item", "item_words", "hits").mapInArrow(_verdicts, "doc long, item long, n_windows long, covered_words long, item_words long, slot_share double")
-    best = made.groupBy("doc", "item").agg(F.max(F.struct("covered_words", "slot_share", "n_windows", "item_words")).alias("m"))
-    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "m.n_windows", "m.covered_words", "m.item_words", "m.slot_share")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    return docs.join(matches(docs, benchmark, doc_id).select(doc_id).distinct(), doc_id, "left_anti").select(*docs.columns)
+    joined = hits.join(theirs, ["hash", "size", "salt"]).select(
+        F.col("id").alias("doc"), "copy", "item", "item_copy", "item_words", F.struct("start", "at", F.col("roles").alias("theirs"), F.col("item_roles").alias("roles")).alias("hit")
+    )
+    # one row per text and item, with every place where the text holds a window of the item
+    held = joined.groupBy("doc", "copy", "item", "item_copy", "item_words").agg(F.collect_list("hit").alias("hits"))
+    schema = T.StructType([*(held.schema[c] for c in ("doc", "copy", "item", "item_words")), *fields("n_windows long, covered_words long, slot_share double")])
+    arrow = to_arrow_schema(schema)
+    made = held.mapInArrow(lambda batches: _judged(batches, arrow), schema)
+    best = made.groupBy("doc", "copy", "item").agg(F.max(F.struct("covered_words", "slot_share", "n_windows", "item_words")).alias("m"))
+    return best.select("doc", "copy", "item", "m.item_words", "m.n_windows", "m.covered_words", "m.slot_share")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_windows, covered_words, item_words, slot_share) of the contaminated documents, a row for each item they hold. Rows without an id are left out."""
+    best = found(docs, benchmark, doc_id, item_id, text).where("doc is not null").groupBy("doc", "item").agg(F.max(F.struct("covered_words", "slot_share", "n_windows", "item_words")).alias("m"))
+    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "m.n_windows", "m.covered_words", F.col("m.item_words").cast("long").alias("item_words"), "m.slot_share")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated ones, also those without an id. Of texts under one id only the contaminated go."""
+    bad = found(docs, benchmark, doc_id, text=text).select(F.col("doc").alias("__doc"), F.col("copy").alias("__copy")).distinct()
+    id_, own = F.col(f"`{doc_id}`"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return docs.join(bad, id_.eqNullSafe(F.col("__doc")) & (own == F.col("__copy")), "left_anti")
