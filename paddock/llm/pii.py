@@ -5,10 +5,12 @@ from __future__ import annotations
 import calendar
 import datetime
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts
 
@@ -17,22 +19,34 @@ ROUNDS = 8
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-#: Forms of personal data; each find is validated before it is changed
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?i:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,}[\"']?)"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w|-\d)|(?<!\w)\+\d{8,15}(?!\w))"
+#: Forms of personal data (fixed values); each find is validated before it is changed
+_SECRET_HEADS = r"(?:AKIA|ASIA)(?=[A-Z0-9]{16}(?!\w))|gh[pousr]_(?=[A-Za-z0-9]{20})|github_pat_(?=\w{20})|[spr]k_(?:live|test)_(?=[A-Za-z0-9]{10})|sk-(?=[\w-]{20})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[\w-]{35})|eyJ(?=[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
+_SECRET_KEYS = r"(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s?[=:]\s?[\"']?"
+_SECRET = re.compile(
+    rf"(?P<head>(?<!\w)(?:{_SECRET_HEADS}))(?P<body>[\w.-]+)"
+    r"|(?P<bearer>(?<!\w)(?i:bearer)\s+)(?P<shown>[A-Za-z0-9._~+/-]{16,}=*)"
+    rf"|(?P<key>(?<![A-Za-z0-9]){_SECRET_KEYS})(?P<given>[^\s\"',;<>()]{{8,}})"
+    r"|(?P<begin>-----BEGIN [A-Z ]*PRIVATE KEY-----)(?P<block>[A-Za-z0-9+/=\s]+)"
 )
+_FORMS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "secret": re.sub(r"\?P<\w+>", "?:", _SECRET.pattern),
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<!\w)(?i:ssn|social security(?: number)?)[:# ]{1,3}\d{3} \d{2} \d{4}(?![\w-])",
+    "card": r"(?<![\w+-])\d(?:[ -]?\d){12,}(?![\w-])",
+    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w|-\d)|(?<!\w)\+\d{1,3}(?:[ .-]\d{2,4}){2,6}(?!\w)|(?<!\w)\+[1-9]\d{7,14}(?!\w)"
+    r"|(?<![\w.+-])[2-9]\d\d(?P<mark>[ .-])[2-9]\d\d(?P=mark)\d{4}(?!\w|[.-]\d)|(?<![\w.+-])0[1-9](?:\d{8,9}|(?:[ .-]\d\d){4})(?!\w|[.-]\d)",
+}
+PATTERN, _NO_CARD = (re.compile("|".join(f"(?P<{k}>{f})" for k, f in _FORMS.items() if k != without)) for without in ("", "card"))
 #: Forms that end a run of digits in which a card is looked for: they are exchanged by themselves
 _OWN = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{3}-\d{2}-\d{4})(?![\w/-]|\.\d)")
 _GROUP = re.compile(r"(?<=[ -])\d")
-#: Every form has one of these characters
-_MARKS = "0123456789@=:"
+#: What stands before four numbers that are a version or a section, not an address
+_VERSION = re.compile(r"(?i)(?<!\w)(?:version|ver|v|release|revision|rev|build|section|chapter|firmware)[.:]?\s?\Z")
+#: Every form has one of these characters, or is a key's block
+_MARKS = re.compile(r"[0-9@=:]|bearer|-----BEGIN|eyJ|gh[pousr]_|github_pat_", re.I)
 
 
 class Cipher:
@@ -61,21 +75,37 @@ class Cipher:
             if value < size:
                 return value
 
-    def characters(self, text: str, tag: bytes, back: bool = False) -> str:
-        """Letters and digits permuted as one number whose digits are these characters; case, length and all other characters stay."""
-        classes = [next((c for c in (_LOWER, _UPPER, _DIGITS) if x in c), "") for x in text]
-        value, size = 0, 1
-        for x, c in zip(text, classes, strict=True):
-            if c:
-                value, size = value * len(c) + c.index(x), size * len(c)
-        if size < 2:
-            return text
-        value, out = self.permute(value, size, tag + b"%d" % len(text), back), []
-        for x, c in zip(reversed(text), reversed(classes), strict=True):
-            if c:
-                value, k = divmod(value, len(c))
-                x = c[k]
-            out.append(x)
+    def characters(self, text: str, tag: bytes, back: bool = False, sets: tuple[str, ...] = (_LOWER, _UPPER, _DIGITS)) -> str:
+        """Letters and digits exchanged for others of their set; case, length and all other characters stay.
+
+        A Feistel network on the halves of the text, of any length: each round moves every character of one half
+        by a keyed stream, as long as that half, of the whole other half.
+        """
+        chosen = [(i, c) for i, x in enumerate(text) for c in sets if x in c]
+        if len(chosen) < 2:
+            return "".join(c[self.permute(c.index(x), len(c), tag, back)] if (c := next((c for c in sets if x in c), "")) else x for x in text)
+        size = [len(c) for _, c in chosen]
+        now = [c.index(text[i]) for i, c in chosen]
+        middle, out = len(now) // 2, list(text)
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            mine, other = (slice(0, middle), slice(middle, None)) if r % 2 else (slice(middle, None), slice(0, middle))
+            n = len(now[mine])
+            stream = hashlib.shake_256(b"%s|%s|%d|%d|" % (self.key, tag, len(now), r) + bytes(now[other])).digest(8 * n)
+            moves = (int.from_bytes(stream[8 * k : 8 * k + 8], "big") for k in range(n))
+            now[mine] = [(x - m if back else x + m) % s for x, m, s in zip(now[mine], moves, size[mine], strict=True)]
+        for (i, c), x in zip(chosen, now, strict=True):
+            out[i] = c[x]
+        return "".join(out)
+
+    def digits(self, digits: str, lowest: str, tag: bytes, back: bool = False) -> str:
+        """Digits exchanged as one number; each is at least that of ``lowest`` at its place, as it was before."""
+        value, size, out = 0, 1, []
+        for d, low in zip(digits, map(int, lowest), strict=True):
+            value, size = value * (10 - low) + int(d) - low, size * (10 - low)
+        value = self.permute(value, size, tag, back)
+        for low in map(int, reversed(lowest)):
+            value, d = divmod(value, 10 - low)
+            out.append(str(d + low))
         return "".join(reversed(out))
 
 
@@ -97,8 +127,13 @@ def _email(text: str, c: Cipher, back: bool) -> str | None:
 
 
 def _secret(text: str, c: Cipher, back: bool) -> str | None:
-    head = re.match(r"(?:AKIA|ASIA)|\w+\s?[=:]\s?[\"']?", text)[0]
-    return head + c.characters(text[len(head) :], b"secret", back)
+    m = _SECRET.fullmatch(text)
+    head = m["head"] or m["bearer"] or m["key"] or m["begin"]
+    body = text[len(head) :]
+    # after "password:" without quotes, prose may follow: only what has a digit or capitals inside counts
+    if m["key"] and "=" not in head and head[-1] not in "\"'" and not re.search(r"\d|[^A-Z\W_][A-Z]", body):
+        return None
+    return head + c.characters(body, b"secret", back)
 
 
 def _iban(text: str, c: Cipher, back: bool) -> str | None:
@@ -112,6 +147,20 @@ def _iban(text: str, c: Cipher, back: bool) -> str | None:
 
 
 def _ip(text: str, c: Cipher, back: bool) -> str | None:
+    if ":" in text:
+        groups = [g for g in text.split(":") if g]
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        if len(groups) < 3 or not any(x in _DIGITS for x in text):
+            return None
+        small = lambda x: any(y in _LOWER for y in x) or not any(y in _UPPER for y in x)
+        sets, new = ("0123456789abcdef", "ABCDEF") if small(text) else ("0123456789ABCDEF",), text
+        while True:
+            new = c.characters(new, b"ipv6", back, sets)
+            if any(x in _DIGITS for x in new) and small(new) == small(text):
+                return new
     parts = [int(x) for x in text.split(".")]
     if max(parts) > 255:
         return None
@@ -145,18 +194,22 @@ def _date(text: str, c: Cipher, back: bool) -> str | None:
 
 
 def _ssn(text: str, c: Cipher, back: bool) -> str | None:
-    area, group, serial = map(int, text.split("-"))
+    area, group, serial = map(int, re.findall(r"\d+", text))
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     rank = area - 1 - (area > 666)
     value = c.permute((rank * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, b"ssn", back)
     (rank, group), serial = divmod(value // 9999, 99), value % 9999
-    return f"{rank + 1 + (rank >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+    return _put(text, f"{rank + 1 + (rank >= 665):03d}{group + 1:02d}{serial + 1:04d}")
+
+
+#: A card's digits stand together, in fours, or as 4, 6 and 4 or 5
+_CARD_FORM = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}[ -]\d{1,4}|\d{4}[ -]\d{6}[ -]\d{4,5}")
 
 
 def _valid_card(text: str) -> bool:
     digits = re.sub(r"\D", "", text)
-    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and digits.strip("0") != ""
+    return _CARD_FORM.fullmatch(text) is not None and 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and digits.strip("0") != ""
 
 
 def _first_card(run: str) -> tuple[int, int] | None:
@@ -190,14 +243,23 @@ def _card(run: str, at: tuple[int, int], c: Cipher, back: bool) -> str:
             return before + text
 
 
+def _phone_end(text: str) -> int:
+    """Where a phone number in international form ends: a run of groups with over 15 digits holds another number as well, and goes on after at most 13 of them."""
+    if text[0] == "+" and "(" not in text and sum(x in _DIGITS for x in text) > 15:
+        ends = [m.end() for m in re.finditer(r"\d+", text)]
+        return max((e for e in ends if sum(x in _DIGITS for x in text[:e]) <= 13), default=0)
+    return len(text)
+
+
 def _phone(text: str, c: Cipher, back: bool) -> str | None:
-    country = re.match(r"\+\d{1,3}(?=[ .-])", text)
-    head = country[0] if country else ""
+    """Country codes, the first digit of compact numbers and a leading 0 stay; area codes and exchanges that start with 2 to 9 still do."""
+    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|0|", text)[0]
     digits = re.sub(r"\D", "", text[len(head) :])
-    if not 7 <= len(digits) <= 15:
+    if not 8 <= len(digits) + sum(x in _DIGITS for x in head) <= 15:
         return None
-    size = 10 ** len(digits)
-    return head + _put(text[len(head) :], f"{c.permute(int(digits), size, b'phone%d' % len(digits), back):0{len(digits)}d}")
+    plain = not head and text[0] != "("
+    lowest = "".join("2" if plain and i in (0, 3) else "1" if head == "0" and not i else "0" for i in range(len(digits)))
+    return head + _put(text[len(head) :], c.digits(digits, lowest, b"phone%d" % len(digits), back))
 
 
 _CHANGE = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
@@ -210,25 +272,38 @@ class Pseudonyms:
     def text(self, text: str, back: bool = False) -> tuple[str, Counter]:
         """The text with its values of the chosen kinds exchanged, and how many of each kind."""
         found: Counter = Counter()
-        if not any(x in text for x in _MARKS):
+        if not _MARKS.search(text):
             return text, found
 
-        out, done, at, end, stop = [], 0, 0, -1, -1
-        while match := PATTERN.search(text, at):
-            kind, at = match.lastgroup, match.end()
+        out, done, at, end, stop, refused = [], 0, 0, -1, -1, -1
+        while True:
+            match = (_NO_CARD if at < refused else PATTERN).search(text, at)
+            if match and at < refused <= match.start():
+                at = refused
+                continue
+            if not match:
+                break
+            kind, at = next(k for k, v in match.groupdict().items() if v is not None and k in KINDS), match.end()
+            new = None
             if kind == "card":
                 # a run ends before an address or a date, which is searched by itself as what follows a card is
                 if at != end or stop <= match.start():
                     end = at
                     stop = next((m.start() - 1 for m in _GROUP.finditer(text, match.start() + 1, end) if _OWN.match(text, m.start())), end)
-                at = stop
-                run = text[match.start() : at]
+                run = text[match.start() : stop]
                 place = _first_card(run)
                 if place:
                     at = match.start() + place[1]
-                new = _card(run, place, self.cipher, back) if place and kind in self.kinds else None
+                    new = _card(run, place, self.cipher, back) if kind in self.kinds else None
+                else:  # its groups may be other numbers
+                    at, refused = match.start(), stop
             else:
-                new = _CHANGE[kind](match[0], self.cipher, back) if kind in self.kinds else None
+                value = match[0]
+                if kind == "phone":
+                    value = value[: _phone_end(value)]
+                    at = match.start() + max(1, len(value))
+                known = kind in self.kinds and value and not (kind == "ip" and _VERSION.search(text, max(0, match.start() - 12), match.start()))
+                new = _CHANGE[kind](value, self.cipher, back) if known else None
             if new is not None:
                 found[kind] += 1
                 out += text[done : match.start()], new
@@ -236,11 +311,18 @@ class Pseudonyms:
         return "".join(out) + text[done:], found
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of ``spark.paddock.pii.key``; a session without one gets a random key, so that nobody can restore what it writes."""
+    given = spark.conf.get("spark.paddock.pii.key", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
 def pseudonymize(docs: DataFrame, key: bytes, kinds: tuple[str, ...] = KINDS, text: str = "text", keep: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
     """Every row with ``text`` rewritten, ``n_pii`` and a count ``n_<kind>`` of each kind.
 
     A value is validated first: card numbers by their check digit, IBANs by theirs, addresses by
-    their ranges, dates by the calendar. One key gives equal values equal pseudonyms in all
+    their ranges and what stands before them, dates by the calendar, phone numbers by their form (a country code, an area code in
+    brackets, the North American plan or a leading 0). A run of digit groups that forms a card only once its other numbers are exchanged isn't restored. One key gives equal values equal pseudonyms in all
     documents; with the key, ``back`` restores the text. Null and empty texts become empty.
     """
 

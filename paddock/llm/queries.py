@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, html_extraction, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity, url_filters
 from .common import table
 
-#: For the queries over test tables; real use passes a secret key of its own
-PII_KEY = b"paddock test tables"
-
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -37,7 +34,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
