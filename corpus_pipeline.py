@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from paddock.llm import decontamination, graph, pii, quality_classifier, sentencepiece_bpe, simhash
 from paddock.llm.common import table
-from paddock.llm.queries import PII_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; ``n_chars`` follows the text."""
-    made = pii.pseudonymize(docs, PII_KEY, keep=tuple(c for c in docs.columns if c != "text"))
+    made = pii.pseudonymize(docs, pii.session_key(spark), keep=tuple(c for c in docs.columns if c != "text"))
     return made.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
