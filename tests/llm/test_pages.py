@@ -68,10 +68,63 @@ def test_url_rules(spark):
     assert got == [slow(u) for u in urls]
 
 
+def test_hosts_and_fixed_rules_equal_sql(spark):
+    """What SQL can express of operator 4: host, path and the fixed rule."""
+    import duckdb
+
+    rules = ", ".join(f"({i}, '{v}', '{h}', '{p}')" for i, (v, h, p) in enumerate(url_filters.RULES))
+    sql = f"""
+        with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from '/root/testdata/sf0.01/pages.parquet'),
+        parts as (select page_id, lower(regexp_extract(rest, '^[^/?#]*')) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+        r(k, verdict, h, p) as (values {rules}),
+        fits as (select page_id, h || p as rule, r.verdict, row_number() over (partition by page_id order by length(h || p) desc, k desc) as n from parts join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+        select parts.*, rule, verdict from parts left join fits on parts.page_id = fits.page_id and n = 1 order by parts.page_id"""
+    got = url_filters.url_filter(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), []).orderBy("page_id").collect()
+    assert [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got] == [(*x[:4], x[4] or "allow") for x in duckdb.sql(sql).fetchall()]
+
+
 def test_mined_rules(spark):
-    rows = [(f"http://a{i}.casino.net/p/{i}", True) for i in range(20)] + [(f"http://b{i}.net/p/{i}", False) for i in range(40)]
+    rows = [(f"http://a{i}.casino-win.net/p/{i}", True) for i in range(20)] + [(f"http://b{i}.net/p/{i}", False) for i in range(40)]
     mined = url_filters.mine(spark.createDataFrame(rows, "url string, block boolean"))
-    assert (frozenset({"h:casino"}), 1.0) in mined and not any(frozenset({"h:casino"}) < items for items, _ in mined)
-    pages = spark.createDataFrame([(1, "http://z.casino.net/q"), (2, "http://z.net/p/1"), (2, "http://z.net/p/1")], "page_id long, url string")
+    assert (frozenset({"h:casino"}), 1.0) in mined and (frozenset({"h:win"}), 1.0) in mined and not any(frozenset({"h:casino"}) < items for items, _ in mined)
+    pages = spark.createDataFrame([(1, "http://z.win-more.net/q", 0), (2, "http://z.net/p/1", 0), (2, "http://z.net/p/1", 0)], "page_id long, url string, host int")
     assert [r.verdict for r in url_filters.url_filter(pages, mined).orderBy("page_id").collect()] == ["block", "allow", "allow"]
     assert url_filters.mine(spark.createDataFrame([], "url string, block boolean")) == []
+    assert url_filters.url_filter(pages.limit(0), mined).count() == 0
+
+
+def test_rules_are_all_that_counting_finds(spark):
+    """FP-growth and counting give the rules that a loop over all combinations gives, also for URLs of many tokens."""
+    import itertools
+    import math
+    import random
+    import zlib
+
+    rng = random.Random(4)
+    rows = {}
+    for i in range(500):
+        keys = [k for k in "abcdefgh" if rng.random() < 0.4]
+        rows[f"http://x{i}.net/?" + "&".join(keys)] = {"a", "b"} <= set(keys) or {"c", "d", "e"} <= set(keys) or rng.random() < 0.05
+    df = spark.createDataFrame(list(rows.items()), "url string, block boolean")
+    train = [({f"q:{k}" for k in u.split("?")[1].split("&") if k}, b) for u, b in rows.items() if zlib.crc32(u.encode()) % 5]
+    share, want = sum(b for _, b in train) / len(train), {}
+    for k in (1, 2, 3):
+        for items in map(frozenset, itertools.combinations([f"q:{x}" for x in "abcdefgh"], k)):
+            hit = [b for t, b in train if items <= t]
+            p = sum(math.comb(len(hit), j) * share**j * (1 - share) ** (len(hit) - j) for j in range(sum(hit), len(hit) + 1))
+            if sum(hit) >= max(3, 0.8 * len(hit)) and p <= 0.001 and not any(x < items for x in want):
+                want[items] = sum(hit) / len(hit)
+    assert frozenset({"q:a", "q:b"}) in want and frozenset({"q:c", "q:d", "q:e"}) in want
+    for long_basket in (12, 3):
+        got = {items: c for items, c in url_filters.mine(df, long_basket) if all(i.startswith("q:") for i in items)}
+        assert got == want
+    # twenty different URLs that share 25 query keys, blocked or not by chance
+    many = "&".join(f"k{i}=1" for i in range(25))
+    df = spark.createDataFrame([(f"http://h{i}.net/?{many}", i % 2 == 0) for i in range(20)] + [(f"http://y{i}.net/", i < 20) for i in range(200)], "url string, block boolean")
+    assert url_filters.mine(df) == []
+
+
+def test_rules_of_the_tables(spark):
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "labels"))
+    mined = url_filters.mine(url_filters.training_rows(pages, labels))
+    assert mined and all(any(i.startswith("h:") for i in items) for items, _ in mined)
