@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -21,19 +22,49 @@ _ENDS = {"p": frozenset("address article aside blockquote div dl fieldset footer
 _SCOPE = frozenset("ul ol dl table article section div body nav aside".split())
 
 
+class Element:
+    """An open element: its names (the tag, then its marks: ".mark") and the one that holds it."""
+
+    __slots__ = ("names", "parent", "known")
+
+    def __init__(self, names: tuple[str, ...], parent: Element | None):
+        self.names, self.parent, self.known = names, parent, None
+
+    def path(self) -> tuple[str, ...]:
+        """Names of all elements from the root down to this one."""
+        found, at = [], self
+        while at is not None:
+            found.append(at.names)
+            at = at.parent
+        return tuple(x for names in reversed(found) for x in names)
+
+
+def element(path: tuple[str, ...]) -> Element | None:
+    """Elements one in another with these names."""
+    at = None
+    for name in path:
+        at = Element((name,), at)
+    return at
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[str, ...]  # names of the elements above it, each followed by its marks: "tag", ".mark"
+    inside: Element | None
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.inside.path() if self.inside else ()
+
 
 def blocks(html: str) -> list[Block]:
-    """The page's blocks in order: runs of text between the edges of block elements, white space folded."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """The page's blocks in order: runs of text between the edges of block elements, white space folded. Time and memory grow with the page, however deep it is nested."""
+    stack: list[tuple[str, Element]] = []
+    opened: Counter = Counter()
     out: list[Block] = []
     parts: list[str] = []
-    path: tuple[str, ...] = ()
+    inside: Element | None = None
     linked = silent = 0
 
     def flush() -> None:
@@ -41,7 +72,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, path, linked))
+                out.append(Block(text, inside, linked))
             parts.clear()
         linked = 0
 
@@ -49,6 +80,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal silent
         while len(stack) > depth:
             tag, _ = stack.pop()
+            opened[tag] -= 1
             silent -= tag in SILENT
 
     at, size = 0, len(html)
@@ -60,21 +92,20 @@ def blocks(html: str) -> list[Block]:
         if (text := token["text"]) is not None:
             if not silent:
                 if not parts:
-                    path = tuple(x for _, names in stack for x in names)
+                    inside = stack[-1][1] if stack else None
                 text = unescape(text) if "&" in text else text
                 parts.append(text)
-                if any(t == "a" for t, _ in stack):
+                if opened["a"]:
                     linked += len(text)
             continue
         tag = (token["tag"] or "").lower()
         if not tag:
             continue
         if token["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag not in INLINE:
                 flush()
-            if depth is not None:
-                pop_to(depth)
+            if opened[tag]:
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -82,12 +113,13 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in _ENDS.get(stack[i][0], ()):
-                    pop_to(i)
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
+            if any(opened[t] for t in _ENDS):
+                for i in range(len(stack) - 1, -1, -1):
+                    if tag in _ENDS.get(stack[i][0], ()):
+                        pop_to(i)
+                        break
+                    if stack[i][0] in _SCOPE:
+                        break
         rest = token["rest"]
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
@@ -99,7 +131,8 @@ def blocks(html: str) -> list[Block]:
         if rest:
             for name, *values in _ATTRIBUTE.findall(rest):
                 marks += ["." + m for v in values for m in _NAME.findall(v.lower())] or (["." + name.lower()] if name.lower() == "hidden" else [])
-        stack.append((tag, (tag, *dict.fromkeys(marks))))
+        stack.append((tag, Element((tag, *dict.fromkeys(marks)), stack[-1][1] if stack else None)))
+        opened[tag] += 1
         silent += tag in SILENT
     flush()
     return out

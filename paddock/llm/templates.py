@@ -99,7 +99,7 @@ class Words:
         return np.repeat(self.bound[1:], np.diff(self.bound)) - np.arange(len(self.kind))
 
 
-def _spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.r_[True, _IS_GAP[data], True].astype(np.int8)))
     return edge[0::2], edge[1::2]
 
@@ -113,6 +113,23 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def groups(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts, cut where they are long, in groups of up to PIECE characters, with the number of the text that each part is of."""
+    parts: list[str] = []
+    owners: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for part in _parts(text):
+            if parts and size + len(part) > PIECE:
+                yield parts, owners
+                parts, owners, size = [], [], 0
+            parts.append(part)
+            owners.append(i)
+            size += len(part)
+    if parts:
+        yield parts, owners
+
+
 class Reader:
     """Reads texts. Odd words met before keep their place in arrays, which start anew when full."""
 
@@ -158,11 +175,11 @@ class Reader:
         encoded = [p.encode() for p in parts]
         joined = b"\n".join(encoded)
         raw = np.frombuffer(joined, np.uint8)
-        begin, end = _spans(raw)
+        begin, end = spans(raw)
         low, low_begin, low_end = _LOWERED[raw], begin, end
         if not joined.isascii():
             low = np.frombuffer("\n".join(parts).lower().encode(), np.uint8)
-            low_begin, low_end = _spans(low)
+            low_begin, low_end = spans(low)
         bounds = np.searchsorted(begin, np.cumsum([0, *(len(e) + 1 for e in encoded)]))
         if not len(begin):
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.diff(bounds)
@@ -187,27 +204,10 @@ class Reader:
 
     def __call__(self, texts: list[str]) -> Words:
         made, counts = [], np.zeros(len(texts), np.int64)
-        group: list[str] = []
-        owners: list[int] = []
-        size = 0
-
-        def flush() -> None:
-            *arrays, many = self._read(group)
+        for parts, owners in groups(texts):
+            *arrays, many = self._read(parts)
             made.append(arrays)
             np.add.at(counts, owners, many)
-            group.clear()
-            owners.clear()
-
-        for i, text in enumerate(texts):
-            for part in _parts(text):
-                if group and size + len(part) > PIECE:
-                    flush()
-                    size = 0
-                group.append(part)
-                owners.append(i)
-                size += len(part)
-        if group:
-            flush()
         literal, kind, ends = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool))
         bound = np.r_[0, np.cumsum(counts)]
         starts = np.r_[True, ends[:-1]] if len(ends) else ends

@@ -4,6 +4,7 @@ import html
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from paddock.llm import html_extraction, url_filters
 from paddock.llm.html_blocks import blocks
@@ -52,6 +53,41 @@ def test_extraction(spark):
     assert got[-1].text == got[-2].text == "" and got[-1].n_chars == 0
 
 
+def test_pages_under_other_names(spark):
+    """Pages that weren't learned from, their main element under names that tell nothing, or without any element; the names of the rest gone too."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    network = html_extraction.fit(pages, most=120)
+    learned = {r.page_id for r in pages.orderBy(F.xxhash64("page_id"), "page_id").limit(120).collect()}
+    rest = [r.html for r in pages.collect() if r.page_id not in learned]
+    swap = lambda a, b: lambda x: x.replace("<article>", a).replace("</article>", b)
+    nameless = lambda x: swap("<div id='x1'>", "</div>")(x).replace("<nav>", "<div>").replace("</nav>", "</div>").replace('class="ad"', 'class="zz"').replace("<footer>", "<div>").replace("</footer>", "</div>")
+    alone = lambda x: re.search(r"<article>(.*?)(</article>|$)", x, re.S)[1]
+    ways = [swap('<div class="c-37">', "</div>"), swap('<div class="post-body">', "</div>"), swap("<section>", "</section>"), swap("", ""), nameless, alone]
+    for way in ways:
+        whole = 0
+        for x in rest:
+            want = [b.text for b in blocks(x) if html_extraction.weak_label(b)]
+            page = blocks(way(x))
+            (main,) = html_extraction.labelled([page], network)
+            whole += [b.text for b, m in zip(page, main, strict=True) if m] == want
+        assert whole >= 0.9 * len(rest)
+
+
+def test_long_and_deep_pages(spark):
+    network = html_extraction.Network.new(3).single()
+    page = blocks("<html><body>" + "<p>one <a>two</a></p><div class=x>three four" * 700)
+    whole = network.score(*html_extraction._stack([html_extraction.vectors(page)]))[:, 0]
+    assert np.allclose(network.score_page(page, 97), whole, atol=1e-4)
+    deep = "<div class=a>" * 20_000 + "x" + "</div><p>y" * 20_000 + "<b>" * 5_000 + "</i>" * 20_000
+    assert len(blocks(deep)) == 20_001
+    long = "<p>" + "word " * 500_000 + "</p>"
+    rows = [(1, "u", long, 5), (1, "u", long, 5), (2, None, "<article><p>" + "many words are here. " * 10, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = html_extraction.extract(df, network).collect()
+    assert len(got) == 3 and got[0] == got[1] and got[0].n_chars == len(got[0].text)
+    assert html_extraction.extract(df.limit(0), html_extraction.fit(df.limit(0))).count() == 0
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?y", "http://example.org/en/12", "http://x.com/fr/1#z", "http://com/de/", "http://xcom/de/", "http://a.org", "http://a.org/?q", "http://b.net/x"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
