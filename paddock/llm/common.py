@@ -96,13 +96,17 @@ def held_out(doc_id: str = "doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, label) of labelled rows that aren't held out, at most ``most`` of them.
 
-    The bound makes the sample small enough to broadcast; which rows it takes depends on a hash
-    of the id alone. Rows without a label, id or text are left out.
+    The bound makes the sample small enough to broadcast and for the driver; which rows it takes depends on a hash
+    of the id alone. Of an id's texts it takes one, by a hash of the text, and of its labels the least. Rows without a label, id or text are left out.
     """
+    key, mark = F.col(f"`{doc_id}`"), F.col(f"`{label}`").cast("int")
     chosen = (
-        labels.select(F.col(doc_id), F.col(label).cast("int").alias("label"))
-        .where(F.col(doc_id).isNotNull() & F.col("label").isin(0, 1) & ~held_out(doc_id))
-        .orderBy(F.xxhash64(doc_id), doc_id, "label")
+        labels.select(key.alias("doc_id"), mark.alias("label"), held_out(doc_id).alias("held"))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~F.col("held"))
+        .groupBy("doc_id").agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
-    )
-    return docs.where(F.col(text).isNotNull()).select(doc_id, text).join(F.broadcast(chosen), doc_id)
+    )
+    texts = docs.select(key.alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("doc_id", "text", "label")

@@ -1,12 +1,13 @@
 """Base counts against brute force, the trees, and accuracy on held-out labels."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paddock.llm import quality_classifier, quality_rules, toxicity, trees
+from paddock.llm import common, quality_classifier, quality_rules, toxicity, trees
 from paddock.llm.common import held_out
 
 DIR = "/root/testdata/sf0.01"
@@ -20,12 +21,13 @@ def slow_base(text: str) -> tuple:
             copies += line in seen
             seen.add(line)
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    repeated = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    times = Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(5)}
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), copies, len(repeated)
 
 
 def test_base_counts(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 6000")
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "é x\x0by\n\né x\x0by"), (-4, "a b c d e f a b c d e f g"), (-5, "w " * 400)], "doc_id long, text string")
     docs = df.select("doc_id", "text").union(odd)
     forest = trees.fit(np.zeros((0, 20)), np.zeros(0))
@@ -64,6 +66,47 @@ def test_traversal_equals_walking_one_tree():
         assert forest.score(row[None])[0] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def test_sample_is_bounded(spark):
+    """One text and one label for each id, however many share it."""
+    docs = spark.range(3000).selectExpr("if(id < 2900, 1, id) as doc_id", "concat('text ', id) as text")
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality").unionByName(spark.createDataFrame([(1, 0)], "doc_id long, quality int"))
+    rows = common.labelled_sample(docs, labels, "quality", 10_000).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) and {r.label for r in rows if r.doc_id == 1} <= {0}
+    assert common.labelled_sample(docs, labels, "quality", 10).count() <= 10
+
+
+def test_grams_against_brute_force():
+    """Every n-gram of code points has its bucket, and equal ones the same."""
+    texts = ["Ab\tc d", "", "x", "é\u4e2d\u6587\U0001f600 Z", "abc d" * 30]
+    row, bucket = toxicity.grams(texts)
+    seen, want = {}, []
+    for k, n in enumerate(toxicity.ORDERS):
+        for i, t in enumerate(texts):
+            folded = " " + "".join(" " if c in "\t\n\v\f\r" else c.lower() if c.isascii() else c for c in t) + " "
+            want += [(i, folded[j : j + n]) for j in range(len(folded) - n + 1)]
+    assert len(want) == len(row)
+    for (i, g), r, b in zip(want, row.tolist(), bucket.tolist(), strict=True):
+        assert i == r and seen.setdefault(g, b) == b and b >> toxicity.BITS == toxicity.ORDERS.index(len(g))
+    assert len(set(seen.values())) >= len(seen) - 1
+
+
+def test_ratios_and_scores_against_brute_force(spark):
+    """Class counts by Spark against a loop, and scores against a plain sum over the n-grams."""
+    rows = [(i, ("bad words here " if i % 3 == 0 else "good things there ") + "abcdefgh"[i % 7 :], int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    got = {r.bucket: (r.pos, r.neg) for r in toxicity._counts(df).collect()}
+    want: dict = {}
+    for _, t, y in rows:
+        for b in set(toxicity.grams([t])[1].tolist()):
+            p, q = want.get(b, (0, 0))
+            want[b] = p + y, q + 1 - y
+    assert got == want
+    model = toxicity.fit(df.select("doc_id", "text"), df.selectExpr("doc_id", "label as toxic"))
+    for _, t, _ in rows[:10]:
+        total = model.bias + sum(model.weight[b] for b in set(toxicity.grams([t])[1].tolist()))
+        assert model.score([t])[0] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 @pytest.mark.parametrize("module, label", [(quality_classifier, "quality"), (toxicity, "toxic")])
 def test_held_out_accuracy(spark, module, label):
     docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
