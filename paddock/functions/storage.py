@@ -1,24 +1,54 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that the open scopes delete, the innermost last
+_SCOPES: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local session that has none gets a temporary one."""
+    """The session's checkpoint folder; a local session that has none gets a temporary one, any other fails, since its executors couldn't read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="paddock-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: later stages plan and compute from there, also after an executor is lost."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``stored`` has written, wherever the shared folder is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables stored inside when it ends. What is still to be read must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read again: later stages plan and compute from there, also after an executor is lost.
+
+    The table stays until the innermost ``scratch`` ends, or with ``keep`` until someone deletes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)

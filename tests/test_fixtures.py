@@ -208,3 +208,15 @@ def test_sweep_and_regression(spark):
 def test_lap_time_text(spark):
     df = spark.createDataFrame([(104500, -500), (None, None), (59999, 1250)], "a int, b int").select(scalars.lap_time_text(F.col("a")), scalars.signed_delta_text(F.col("b")))
     assert [tuple(r) for r in df.collect()] == [("1:44.500", "-0.500 s"), ("--:--.---", None), ("0:59.999", "+1.250 s")]
+
+
+def test_scratch_tables_go(spark):
+    import glob
+
+    from paddock.functions.storage import scratch, shared_folder, stored
+
+    found = lambda: glob.glob(f"{shared_folder(spark).removeprefix('file:')}/gone-*")
+    with scratch(spark):
+        assert stored(spark.range(3), "gone").count() == 3 and len(found()) == 1
+        kept = stored(spark.range(4), "kept", keep=True)
+    assert not found() and kept.count() == 4
