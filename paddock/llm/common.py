@@ -88,6 +88,11 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with each whole row in one column, ``__row``, beside its text: no new column can clash with one of the row's, whatever their names."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("text"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for rows that no classifier learns from: crc32 of the id as text leaves 0 modulo 5."""
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string")) % 5 == 0, F.lit(False))

@@ -1,29 +1,14 @@
-"""Connected components of links, and tables that cut the lineage between steps."""
+"""Connected components of links."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import delete, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="paddock-")  # no cluster has set one: a local session
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again, so that later steps don't repeat it if an executor is lost."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+saved = stored
 
 
 class Union:
@@ -63,7 +48,8 @@ def connected(spark: SparkSession, links: DataFrame, rounds: int = 40) -> DataFr
 
     Large-star and small-star steps take turns until nothing changes: each node hooks its
     neighbours to the smallest one it knows. Every step is a grouping with partial aggregation and
-    a join that splits large keys; its result is written, so a lost executor repeats one step.
+    a join that splits large keys; its result is written, so a lost executor repeats one step, and what it
+    was made from is deleted. The steps grow with the logarithm of the longest chain of links; after ``rounds`` of them (more than any chain of 2**40) it raises.
     """
     edges = saved(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
@@ -77,6 +63,9 @@ def connected(spark: SparkSession, links: DataFrame, rounds: int = 40) -> DataFr
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         new = saved(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
         sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, new)]
+        for old in (edges, large):
+            for path in {f.rpartition("/")[0] for f in old.inputFiles()}:
+                delete(spark, path)
         edges = new
         if sums[0] == sums[1]:
             break

@@ -250,8 +250,9 @@ def fit(pages: DataFrame, most: int = MOST_PAGES, html: str = "html", page_id: s
     Their labels are weak: the standard elements and usual names around a block. Most copies
     lack these names, so the network learns what else tells main text from other matter. The two bounds make the sample small enough for the driver.
     """
-    key, source = F.col(f"`{page_id}`"), F.col(f"`{html}`")
-    rows = pages.where(F.length(source) <= most_chars).select(key.alias("k"), source.alias("html")).orderBy(F.xxhash64("k"), "k", F.xxhash64("html")).limit(most).collect()
+    some = pages.select(F.col(f"`{page_id}`").alias("k"), F.col(f"`{html}`").alias("html")).where(F.col("k").isNotNull() & (F.length("html") <= most_chars))
+    chosen = some.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(most)
+    rows = some.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min(F.struct(F.xxhash64("html"), "html"))["html"].alias("html")).orderBy("k").collect()
     parsed = [p for r in rows if (p := blocks(r["html"]))]
     rng, network = random.Random(seed), Network.new(seed).single()
     made = [(p, [weak_label(b) for b in p]) for p in parsed]

@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import map_texts
 
-SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
+SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in one tree at most; a larger shard is dealt over several trees, and each tree meets each part.
 TREE = 4096
+#: Joins on a component are dealt over so many tasks
+SALT = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -135,13 +137,22 @@ def _links(shard: np.ndarray, value: np.ndarray, side: np.ndarray, radius: int)
     return (value[np.concatenate(left)], value[np.concatenate(right)]) if left else (none, none)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE, bits: str = "bits") -> DataFrame:
+def blocks_for(n: int, radius: int = RADIUS, tree: int = TREE) -> int:
+    """The fewest blocks, from ``radius + 2``, for which a shard of ``n`` evenly spread fingerprints fits in a quarter of a tree: so shards don't grow with the corpus."""
+    blocks = radius + 2
+    while blocks < 16 and n >> 64 * (blocks - radius) // blocks > tree // 4:
+        blocks += 1
+    return blocks
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, tree: int = TREE, bits: str = "bits") -> DataFrame:
     """(a, b) of linked fingerprints: within each tree's meeting enough links to join all that it links.
 
     ``distinct`` holds each fingerprint once. Shards of one fingerprint are left out before any
     data go to Python. A shard larger than ``tree`` is dealt by a hash over parts of about that
     size; each pair of parts meets in a task of its own, so no task holds more than two of them.
     """
+    blocks = blocks or blocks_for(distinct.count(), radius, tree)
     widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
     offsets = [sum(widths[i + 1 :]) for i in range(blocks)]
     masks = [sum(((1 << widths[i]) - 1) << offsets[i] for i in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
@@ -185,22 +196,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree:
     return dealt.select("v", *key, "side").mapInPandas(run, "a long, b long")
 
 
+def _named(marked: DataFrame, least: str, radius: int) -> DataFrame:
+    """(bits, name) for each fingerprint of ``marked``: the smallest ``least`` of its component, nulls aside."""
+    distinct = graph.saved(marked.groupBy("bits").agg(F.min(least).alias("least")), "distinct")
+    labels = graph.saved(graph.connected(marked.sparkSession, links(distinct.select("bits"), radius)), "labels")
+    linked = graph.saved(labels.join(distinct, labels["node"] == distinct["bits"]).select("bits", "root", "least"), "linked")
+    # a component may hold a large share of all fingerprints: partial minima, then a join dealt by salt
+    roots = linked.groupBy("root").agg(F.min("least").alias("name")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = linked.withColumn("salt", F.pmod(F.xxhash64("bits"), F.lit(SALT)).cast("int")).join(roots, ["root", "salt"]).select("bits", "name")
+    alone = distinct.join(linked.select("bits"), "bits", "left_anti").select("bits", F.col("least").alias("name"))
+    return graph.saved(alone.unionByName(own), "names")
+
+
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(doc_id, bits, component_id): component_id is the smallest doc_id reachable over links, itself included.
 
     Rows without an id belong to a component like others and don't name it; a component of such
-    rows only has a null id. Rows without words all have fingerprint 0. Repeated rows stay.
+    rows only has a null id. Rows without words all have fingerprint 0. Repeated rows stay; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    marked = graph.saved(fingerprints(docs, text, (doc_id,)), "fingerprints")
-    distinct = graph.saved(marked.groupBy("bits").agg(F.min(doc_id).alias("least")), "distinct")
-    found = links(distinct.select("bits"), radius)
-    labels = graph.connected(spark, found)
-    # the smallest id of each component of several fingerprints
-    named = distinct.join(labels, distinct["bits"] == labels["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = graph.saved(named.join(roots, "root").select("bits", "component_id"), "names")
-    return marked.join(names, "bits").select(doc_id, "bits", "component_id")
+    marked = graph.saved(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", ("id",)), "fingerprints")
+    names = _named(marked, "id", radius)
+    return marked.join(names, "bits").select(F.col("id").alias(doc_id), "bits", F.col("name").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,6 +224,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The document with the smallest id of each component, one row of it; rows without an id all stay."""
-    kept = components(docs, text, doc_id).where(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    return docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
+    """One document of each component, with all its columns: that with the smallest id, and of several texts under it the one whose hash is smallest.
+
+    Of rows with that id and that text one stays. Rows without an id all stay, since they can't be told apart.
+    """
+    id_, copy = F.col(f"`{doc_id}`"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    source = docs.where(id_.isNotNull()).select(F.struct(id_.alias("id"), copy.alias("copy")).alias("row"), F.col(f"`{text}`").alias("text"))
+    marked = graph.saved(fingerprints(source, "text", ("row",)), "fingerprints")
+    kept = _named(marked, "row", RADIUS).select(F.col("name.id").alias("__id"), F.col("name.copy").alias("__copy")).distinct()
+    # both steps are keyed by id and text: one shuffle of the documents, before which repeated rows are merged
+    own = docs.where(id_.isNotNull()).withColumns({"__id": id_, "__copy": copy}).dropDuplicates(["__id", "__copy"]).join(kept, ["__id", "__copy"], "left_semi").drop("__id", "__copy")
+    return own.unionByName(docs.where(id_.isNull()))

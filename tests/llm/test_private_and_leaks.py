@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paddock.llm import decontamination, graph, pii, simhash, templates
@@ -139,6 +140,38 @@ def test_pipeline(spark):
     assert joined.where("text != original or size(ids) != n_tokens").count() == 0
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, and extra columns with the names that stages use themselves."""
+    good = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").orderBy("doc_id").limit(30).collect()]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(good)] + [(50, None, None, None, None), (51, "", "en", "s", 0), (None, "no id here", "en", "s", 1), (52, "word " * 300_000 + "x@y.org", "en", "s", 7), (0, good[0], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "predicted", "n_pii", "bits", "copy", "doc", "id", "row", "a.b", "__text", "n_tokens"):
+        docs = docs.withColumn(c, F.lit(f"my {c}"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        found = out.collect()
+        assert stage(spark, docs.limit(0), DIR).count() == 0
+        if name == "sentencepiece":
+            assert len(found) == len(rows) and out.columns[:3] == ["doc_id", "lang", "source"]
+            continue
+        assert out.columns == docs.columns and all(r["score"] == "my score" and r["a.b"] == "my a.b" and r["n_pii"] == "my n_pii" for r in found)
+        if name == "dedup":
+            assert len([r for r in found if r.doc_id == 0]) == 1 and len([r for r in found if r.doc_id is None]) == 1
+        if name == "pii":
+            assert len(found) == len(rows) and all(r.n_chars == len(r.text) for r in found) and not any("x@y.org" in r.text for r in found)
+
+
+def test_run_leaves_only_its_result(spark):
+    import glob
+
+    from paddock.functions.storage import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    out = corpus_pipeline.run(spark, DIR)
+    assert out.count() > 0 and len(set(glob.glob(f"{folder}/*")) - before) == 1
+
+
 def test_differing_copies(spark):
     question = "If Alice buys 12 apples at 3 dollars each and Bob eats 4 apples, how many apples does Alice have left in the basket today"
     other = question.replace("Alice", "Carol").replace("12", "15").replace("Bob", "David").replace(" 3 ", " 8 ").replace(" 4 ", " 9 ")

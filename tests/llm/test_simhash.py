@@ -55,8 +55,8 @@ def test_links_over_small_trees(spark):
     expected = slow_components(array)
     df = spark.createDataFrame([(v,) for v in values], "bits long")
     at = {v: i for i, v in enumerate(values)}
-    for tree in (32, 4096):
-        found = simhash.links(df, tree=tree).toPandas()
+    for tree, blocks in ((32, 6), (32, None), (4096, None), (4096, 7)):
+        found = simhash.links(df, tree=tree, blocks=blocks).toPandas()
         assert (np.bitwise_count(found.a.to_numpy().view(np.uint64) ^ found.b.to_numpy().view(np.uint64)) <= 4).all()
         joined = graph.Union(len(values))
         joined.add(found.a.map(at).to_numpy(), found.b.map(at).to_numpy())
@@ -69,6 +69,36 @@ def test_long_chains(spark):
     assert len(got) == 501 and set(got.root) == {0}
 
 
+def test_shards_keep_their_size():
+    assert simhash.blocks_for(10**6) == 6
+    for n in (10**6, 10**9, 10**11, 10**13):
+        blocks = simhash.blocks_for(n)
+        assert n / 2 ** (64 * (blocks - simhash.RADIUS) // blocks) <= simhash.TREE
+
+
+def test_one_component_of_half_the_rows(spark):
+    """A chain of fingerprints and many copies: one name, and one document kept."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(100 + i, text + f" end{i % 40}") for i in range(400)] + [(1000 + i, f"other {i} " * 9) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = simhash.near_duplicates(df).toPandas()
+    values = np.array([int(f, 16) for f in got.fingerprint], np.uint64)
+    got["c"] = slow_components(values)
+    assert (got.groupby("c").doc_id.transform("min") == got.component_id).all()
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(got.component_id))
+
+
+def test_keep_one_is_defined(spark):
+    """An id with two texts, repeated rows, dotted and clashing names."""
+    rows = [(9, "a b c d e", 1), (9, "quite another text of words", 2), (9, "a b c d e", 3), (None, "x y z", 4), (None, None, 5), (3, None, 6), (4, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `bits.x` int").withColumn("name", F.lit("n")).withColumn("id", F.lit(1))
+    kept = simhash.keep_one(df)
+    found = kept.collect()
+    assert kept.columns == df.columns
+    assert sorted(str((r.doc_id, r.text)) for r in found) == sorted(map(str, [(9, "a b c d e"), (9, "quite another text of words"), (None, "x y z"), (None, None), (3, None)]))
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_edge_cases(spark):
     rows = [(5, ""), (3, None), (4, " \n"), (None, "a b c d e"), (9, "a b c d e"), (9, "a b c d e"), (7, "x"), (8, "y " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bits", F.lit("mine"))
