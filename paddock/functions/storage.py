@@ -24,10 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a table that ``stored`` has written, wherever the shared folder is."""
+def _at(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table or a partition of one, wherever it is stored."""
+    files, at = _at(spark, path)
+    files.delete(at, True)
 
 
 @contextmanager

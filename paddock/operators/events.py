@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OFF, REPLAY, LIVE, PAUSE = "OFF", "REPLAY", "LIVE", "PAUSE"
@@ -68,51 +71,83 @@ def stale(snapshots: DataFrame, seconds: float = 2.0, source: str = "source_id",
 
 
 def live_state(snapshots: DataFrame, seconds: float = 2.0, source: str = "source_id", arrival: str = "arrival", clock: str = "seen_at_seconds") -> DataFrame:
-    """``live_state``: waiting, live, paused, replay or disconnected. A pause counts as a change; more than ``seconds`` without one is disconnected."""
+    """``live_state``: waiting, live, paused, replay or disconnected.
+
+    A pause counts as a change; more than ``seconds`` without one is disconnected, as is a live snapshot with a value that isn't a finite number.
+    """
+    numbers = [f.name for f in snapshots.schema.fields if f.dataType.typeName() in ("double", "float")]
+    broken = F.lit(False)
+    for c in numbers:
+        broken = broken | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
     w = _order(source, arrival)
     changed = ~F.lag("packet_id").over(w).eqNullSafe(F.col("packet_id")) | (F.col("status") == PAUSE)
     since = F.last(F.when(changed, F.col(clock)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     state = (
         F.when(F.col("status") == OFF, "waiting").when(F.col("status") == REPLAY, "replay").when(F.col("status") == PAUSE, "paused")
-        .when(F.col(clock) - since > seconds, "disconnected").otherwise("live")
+        .when(broken | (F.col(clock) - since > seconds), "disconnected").otherwise("live")
     )
     return snapshots.withColumn("live_state", state)
 
 
-def _accepted(samples: Column) -> Column:
-    """Samples in order without those behind the last accepted one; equal progress replaces it."""
-    empty = F.filter(samples, lambda _: F.lit(False))
+def _accept(samples: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Samples in order without those behind the last accepted one in elapsed time or progress; of equal progress the last stays.
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        behind = (s["elapsed_seconds"] < last["elapsed_seconds"]) | (s["progress"] < last["progress"])
-        same = s["progress"] == last["progress"]
-        return (
-            F.when(F.size(kept) == 0, F.array(s)).when(behind, kept)
-            .when(same, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(s))).otherwise(F.concat(kept, F.array(s)))
-        )
-
-    return F.aggregate(samples, empty, step)
+    What was accepted last holds the greatest progress so far among the accepted, and its elapsed time.
+    A sample that is behind in either is skipped, and doesn't raise the bar for the other; so a window
+    that carries the pair of both maxima isn't enough, and each lap's samples are folded in order in a
+    grouped map whose memory is one batch: the state is the pair alone.
+    """
+    schema = samples.schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+        for frame in frames:
+            keep = []
+            for row in zip(*(frame[c] for c in (*key, "elapsed_seconds", "progress")), strict=True):
+                *k, elapsed, progress = row
+                k = tuple(k)
+                if k not in state:
+                    state = {k: (elapsed, progress)}  # sorted by key: only one is open
+                    keep.append(True)
+                    continue
+                last_elapsed, last_progress = state[k]
+                good = not (elapsed < last_elapsed or progress < last_progress)
+                keep.append(good)
+                if good:
+                    state[k] = elapsed, progress
+            yield frame[keep]
+
+    kept = samples.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+    # of equal progress the last accepted
+    last = F.lead("progress").over(Window.partitionBy(*key).orderBy(order))
+    return kept.withColumn("__next", last).where("__next is null or __next != progress").drop("__next")
 
 
 def lap_traces(sessions: DataFrame, least_samples: int = 3, start: float = 0.05, start_seconds: float = 5.0, end: float = 0.9) -> DataFrame:
     """Samples of complete laps, numbered, with the lap's time from the snapshot that closes it.
 
     Within a session a stretch of equal ``completed_laps`` is a lap. It is recorded if the stretch
-    before had fewer laps, or it starts near the line; it is closed by a stretch with more laps.
+    before had fewer laps, or it starts near the line; it is closed by a stretch with more laps. Only
+    the samples of such stretches are looked at; no stretch is held in one row.
     """
-    w = Window.partitionBy("source_id", "session_number").orderBy("arrival")
+    session = ["source_id", "session_number"]
+    w = Window.partitionBy(*session).orderBy("arrival")
     marked = sessions.withColumn("__change", F.coalesce((F.col("completed_laps") != F.lag("completed_laps").over(w)).cast("int"), F.lit(0)))
     marked = marked.withColumn("__stretch", F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sample = F.struct("arrival", "progress", "elapsed_seconds", "speed_kmh", "throttle", "brake", "steering_angle_deg")
-    stretches = marked.groupBy("source_id", "session_number", "__stretch").agg(
-        F.first("completed_laps").alias("laps"), F.array_sort(F.collect_list(sample)).alias("samples"), F.min_by("last_time_ms", "arrival").alias("first_last_time_ms"),
-    )
-    by = Window.partitionBy("source_id", "session_number").orderBy("__stretch")
-    near = (F.col("samples")[0]["progress"] <= start) & (F.col("samples")[0]["elapsed_seconds"] <= start_seconds)
-    placed = stretches.withColumns({"__rose": F.coalesce(F.lag("laps").over(by) < F.col("laps"), F.lit(False)), "__closed": F.lead("laps").over(by) > F.col("laps"), "lap_time_ms": F.lead("first_last_time_ms").over(by)})
-    kept = placed.where((F.col("__rose") | near) & F.col("__closed") & (F.col("lap_time_ms") > 0)).withColumn("kept", _accepted(F.col("samples")))
-    whole = kept.where((F.size("kept") >= least_samples) & (F.col("kept")[0]["progress"] <= start) & (F.element_at("kept", -1)["progress"] >= end))
-    return whole.select("source_id", "session_number", (F.col("laps") + 1).alias("lap_number"), "lap_time_ms", F.posexplode("kept").alias("sample_index", "s")).select(
-        "source_id", "session_number", "lap_number", "lap_time_ms", "sample_index", "s.progress", "s.elapsed_seconds", "s.speed_kmh", "s.throttle", "s.brake", "s.steering_angle_deg"
+    first = lambda c: F.min_by(c, "arrival")
+    stretches = marked.groupBy(*session, "__stretch").agg(
+        first("completed_laps").alias("laps"), first("progress").alias("p"), first("elapsed_seconds").alias("e"), first("last_time_ms").alias("first_last_time_ms")
     )
+    by = Window.partitionBy(*session).orderBy("__stretch")
+    near = (F.col("p") <= start) & (F.col("e") <= start_seconds)
+    rose, closed = F.coalesce(F.lag("laps").over(by) < F.col("laps"), F.lit(False)), F.lead("laps").over(by) > F.col("laps")
+    placed = stretches.withColumns({"__rose": rose, "__closed": closed, "lap_time_ms": F.lead("first_last_time_ms").over(by)})
+    recorded = placed.where((F.col("__rose") | near) & F.col("__closed") & (F.col("lap_time_ms") > 0)).select(*session, "__stretch", (F.col("laps") + 1).alias("lap_number"), "lap_time_ms")
+    key = [*session, "__stretch"]
+    channels = ("progress", "elapsed_seconds", "speed_kmh", "throttle", "brake", "steering_angle_deg")
+    kept = _accept(marked.select(*key, "arrival", *channels).join(recorded, key), key, "arrival")
+    lap = Window.partitionBy(*key)
+    numbered = kept.withColumns({"sample_index": F.row_number().over(lap.orderBy("arrival")) - 1, "__n": F.count(F.lit(1)).over(lap), "__low": F.min("progress").over(lap), "__high": F.max("progress").over(lap)})
+    # progress never falls within a lap, so its ends are its least and its greatest
+    whole = numbered.where((F.col("__n") >= least_samples) & (F.col("__low") <= start) & (F.col("__high") >= end))
+    return whole.select(*session, "lap_number", "lap_time_ms", "sample_index", *channels)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.schemas import require_columns
+
 FEATURE, TARGET = "absolute_parameter_delta_from_baseline", "front_slip_angle_deg"
 
 
@@ -15,12 +20,19 @@ def group_split(df: DataFrame, group: str = "seed", test_size: float = 0.2, rand
     """``df`` with ``is_test``: all rows of a group are on one side, the first ceil(test_size · n) groups by hash are the test groups."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    groups = df.select(group).distinct()
-    # groups are seeds: a few, not rows
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(group, F.lit(random_state)), group)
-    ranked = groups.withColumns({"__rank": F.row_number().over(order), "__n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
-    marked = ranked.select(group, (F.col("__rank") <= F.ceil(F.col("__n") * test_size)).alias("is_test"))
-    return df.join(marked, group)
+    groups = df.select(group).distinct().withColumn("__h", F.xxhash64(group, F.lit(random_state)))
+    # where the last test group lies: counts of 1,024 ranges of hashes, then ranks within the one range that is cut
+    ranged = groups.withColumn("__range", F.shiftright("__h", 54))
+    counts = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, cut = math.ceil(sum(counts.values()) * test_size), None
+    for cut in sorted(counts):
+        if left <= counts[cut]:
+            break
+        left -= counts[cut]
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("__h", group))
+    inside = ranged.where(F.col("__range") == F.lit(cut)).select(group, (rank <= left).alias("is_test"))
+    outside = ranged.where(F.col("__range") != F.lit(cut)).select(group, (F.col("__range") < F.lit(cut)).alias("is_test"))
+    return df.join(inside.unionByName(outside), group)
 
 
 def simple_regression(df: DataFrame, by: tuple[str, ...] = (), x: str = FEATURE, y: str = TARGET) -> DataFrame:
@@ -36,6 +48,19 @@ def pressure_feature(df: DataFrame, pressure: str, baseline: float) -> DataFrame
     return df.withColumn(FEATURE, F.abs(F.col(pressure) - baseline))
 
 
+def fit_line(df: DataFrame, features: tuple[str, ...] = (FEATURE,)):
+    """A linear model over ``features``; rows that lack one are left out."""
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip"), LinearRegression(featuresCol="x", labelCol=TARGET)]).fit(df)
+
+
+def predict(model, rows: DataFrame, features: tuple[str, ...] = (FEATURE,)) -> DataFrame:
+    """``rows`` with ``prediction``; a column that is missing raises, as does a row that lacks a value."""
+    require_columns(rows, features, "prediction input")
+    lacking = reduce(lambda a, b: a | b, (F.col(f).isNull() for f in features))
+    checked = {f: F.when(lacking, F.raise_error(F.lit(f"a row lacks one of {', '.join(features)}")).cast("double")).otherwise(F.col(f)) for f in features[:1]}
+    return model.transform(rows.withColumns(checked)).drop("x")
+
+
 def metrics(df: DataFrame, by: tuple[str, ...] = (), y: str = TARGET, prediction: str = "prediction") -> DataFrame:
     """MAE, RMSE and R² of each group; R² is null where the target doesn't vary."""
     error = F.col(y) - F.col(prediction)

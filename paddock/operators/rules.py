@@ -44,7 +44,10 @@ def braking_issues(deltas: DataFrame, least: float = LEAST_LOSS, point: float =
         ("BRAKING_TOO_EARLY", d("start_progress_delta") <= -point, [_evidence("braking_start_progress", "start_progress", place)]),
         ("BRAKING_TOO_LATE", d("start_progress_delta") >= point, [_evidence("braking_start_progress", "start_progress", place)]),
         ("OVER_SLOWING", d("minimum_speed_kmh_delta") <= -slowing_kmh, [_evidence("minimum_speed", "minimum_speed_kmh", speed)]),
-        ("LATE_BRAKE_RELEASE", (d("end_progress_delta") >= release) & (d("duration_seconds_delta") >= longer_seconds), [_evidence("brake_release_progress", "end_progress", place), _evidence("braking_duration", "duration_seconds", "s")]),
+        (
+            "LATE_BRAKE_RELEASE", (d("end_progress_delta") >= release) & (d("duration_seconds_delta") >= longer_seconds),
+            [_evidence("brake_release_progress", "end_progress", place), _evidence("braking_duration", "duration_seconds", "s")],
+        ),
         ("EXCESSIVE_BRAKE_PRESSURE", harder | peak, [_evidence("average_brake", "mean_brake", "normalized"), _evidence("peak_brake", "peak_brake", "normalized")]),
     ]
     return _issues(deltas, "BRAKING", d("ref_center_progress"), rules, least)
@@ -57,8 +60,14 @@ def entry_issues(deltas: DataFrame, least: float = LEAST_LOSS, turn_in: float =
         ("LATE_TURN_IN", d("turn_in_progress_delta") >= turn_in, [_evidence("turn_in_progress", "turn_in_progress", place)]),
         ("ENTRY_OVER_SLOWING", d("speed_loss_kmh_delta") >= slowing_kmh, [_evidence("entry_speed_loss", "speed_loss_kmh", speed)]),
         ("POOR_APEX_SPEED", d("apex_speed_kmh_delta") <= -slowing_kmh, [_evidence("apex_speed", "apex_speed_kmh", speed)]),
-        ("EXCESSIVE_TRAIL_BRAKING", (d("brake_overlap_seconds_delta") >= overlap_seconds) & (d("brake_at_turn_in_delta") >= brake), [_evidence("brake_overlap", "brake_overlap_seconds", "s"), _evidence("brake_at_turn_in", "brake_at_turn_in", "normalized")]),
-        ("EXCESSIVE_STEERING", (d("maximum_abs_steering_deg_delta") >= steering_max_deg) | (d("average_abs_steering_deg_delta") >= steering_mean_deg), [_evidence("maximum_steering", "maximum_abs_steering_deg", "deg"), _evidence("average_steering", "average_abs_steering_deg", "deg")]),
+        (
+            "EXCESSIVE_TRAIL_BRAKING", (d("brake_overlap_seconds_delta") >= overlap_seconds) & (d("brake_at_turn_in_delta") >= brake),
+            [_evidence("brake_overlap", "brake_overlap_seconds", "s"), _evidence("brake_at_turn_in", "brake_at_turn_in", "normalized")],
+        ),
+        (
+            "EXCESSIVE_STEERING", (d("maximum_abs_steering_deg_delta") >= steering_max_deg) | (d("average_abs_steering_deg_delta") >= steering_mean_deg),
+            [_evidence("maximum_steering", "maximum_abs_steering_deg", "deg"), _evidence("average_steering", "average_abs_steering_deg", "deg")],
+        ),
     ]
     return _issues(deltas, "CORNER_ENTRY", (d("ref_turn_in_progress") + d("ref_apex_progress")) / 2, rules, least)
 
@@ -66,10 +75,16 @@ def entry_issues(deltas: DataFrame, least: float = LEAST_LOSS, turn_in: float =
 def exit_issues(deltas: DataFrame, least: float = LEAST_LOSS, point: float = 0.01, later_seconds: float = 0.15, speed_kmh: float = 3.0, throttle: float = 0.1, steering_deg: float = 3.0) -> DataFrame:
     d = F.col
     rules = [
-        ("LATE_THROTTLE_APPLICATION", (d("throttle_application_progress_delta") >= point) | (d("time_to_throttle_seconds_delta") >= later_seconds), [_evidence("throttle_application_progress", "throttle_application_progress", "normalized_progress"), _evidence("time_to_throttle", "time_to_throttle_seconds", "s")]),
+        (
+            "LATE_THROTTLE_APPLICATION", (d("throttle_application_progress_delta") >= point) | (d("time_to_throttle_seconds_delta") >= later_seconds),
+            [_evidence("throttle_application_progress", "throttle_application_progress", "normalized_progress"), _evidence("time_to_throttle", "time_to_throttle_seconds", "s")],
+        ),
         ("POOR_EXIT_SPEED", d("exit_speed_kmh_delta") <= -speed_kmh, [_evidence("exit_speed", "exit_speed_kmh", "km/h")]),
         ("LOW_EXIT_THROTTLE", d("throttle_at_exit_delta") <= -throttle, [_evidence("exit_throttle", "throttle_at_exit", "normalized")]),
-        ("SLOW_STEERING_UNWIND", (d("abs_steering_at_exit_deg_delta") >= steering_deg) | (d("steering_unwind_deg_delta") <= -steering_deg), [_evidence("exit_steering", "abs_steering_at_exit_deg", "deg"), _evidence("steering_unwind", "steering_unwind_deg", "deg")]),
+        (
+            "SLOW_STEERING_UNWIND", (d("abs_steering_at_exit_deg_delta") >= steering_deg) | (d("steering_unwind_deg_delta") <= -steering_deg),
+            [_evidence("exit_steering", "abs_steering_at_exit_deg", "deg"), _evidence("steering_unwind", "steering_unwind_deg", "deg")],
+        ),
     ]
     return _issues(deltas, "CORNER_EXIT", (d("ref_apex_progress") + d("ref_exit_progress")) / 2, rules, least)
 
@@ -101,14 +116,24 @@ def stray_issues(corners: DataFrame, issues: DataFrame) -> DataFrame:
     return issues.join(corner_issues(corners, issues), [*PAIR, "source", "code", "center_progress"], "left_anti")
 
 
-#: Advice of each diagnostic (fixed values)
+#: Advice of each diagnostic: source, code, type, phase (fixed values)
 TEMPLATES = (
-    ("BRAKING", "BRAKING_TOO_EARLY", "braking_point", "BRAKING"), ("BRAKING", "BRAKING_TOO_LATE", "braking_point", "BRAKING"), ("BRAKING", "OVER_SLOWING", "minimum_speed", "BRAKING"),
-    ("BRAKING", "LATE_BRAKE_RELEASE", "brake_release", "BRAKING"), ("BRAKING", "EXCESSIVE_BRAKE_PRESSURE", "brake_pressure", "BRAKING"), ("CORNER_ENTRY", "EARLY_TURN_IN", "turn_in", "ENTRY"),
-    ("CORNER_ENTRY", "LATE_TURN_IN", "turn_in", "ENTRY"), ("CORNER_ENTRY", "ENTRY_OVER_SLOWING", "minimum_speed", "ENTRY"), ("CORNER_ENTRY", "EXCESSIVE_TRAIL_BRAKING", "trail_braking", "ENTRY"),
-    ("CORNER_ENTRY", "EXCESSIVE_STEERING", "steering_input", "ENTRY"), ("CORNER_ENTRY", "POOR_APEX_SPEED", "apex_speed", "ENTRY"), ("CORNER_EXIT", "LATE_THROTTLE_APPLICATION", "throttle_application", "EXIT"),
-    ("CORNER_EXIT", "POOR_EXIT_SPEED", "exit_speed", "EXIT"), ("CORNER_EXIT", "LOW_EXIT_THROTTLE", "throttle_application", "EXIT"), ("CORNER_EXIT", "SLOW_STEERING_UNWIND", "steering_unwind", "EXIT"),
-)
+    ("BRAKING", "BRAKING_TOO_EARLY", "braking_point", "ENTRY"),
+    ("BRAKING", "BRAKING_TOO_LATE", "braking_point", "ENTRY"),
+    ("BRAKING", "OVER_SLOWING", "minimum_speed", "ENTRY"),
+    ("BRAKING", "LATE_BRAKE_RELEASE", "brake_release", "ENTRY"),
+    ("BRAKING", "EXCESSIVE_BRAKE_PRESSURE", "brake_pressure", "ENTRY"),
+    ("CORNER_ENTRY", "EARLY_TURN_IN", "turn_in", "ENTRY"),
+    ("CORNER_ENTRY", "LATE_TURN_IN", "turn_in", "ENTRY"),
+    ("CORNER_ENTRY", "ENTRY_OVER_SLOWING", "minimum_speed", "ENTRY"),
+    ("CORNER_ENTRY", "EXCESSIVE_TRAIL_BRAKING", "trail_braking", "ENTRY"),
+    ("CORNER_ENTRY", "EXCESSIVE_STEERING", "steering_input", "ENTRY"),
+    ("CORNER_ENTRY", "POOR_APEX_SPEED", "apex_speed", "ENTRY"),
+    ("CORNER_EXIT", "LATE_THROTTLE_APPLICATION", "throttle_application", "EXIT"),
+    ("CORNER_EXIT", "POOR_EXIT_SPEED", "exit_speed", "EXIT"),
+    ("CORNER_EXIT", "LOW_EXIT_THROTTLE", "throttle_application", "EXIT"),
+    ("CORNER_EXIT", "SLOW_STEERING_UNWIND", "steering_unwind", "EXIT"),
+)
 
 
 def templates(df: DataFrame) -> DataFrame:
@@ -116,11 +141,11 @@ def templates(df: DataFrame) -> DataFrame:
 
 
 def advice(corner_issues: DataFrame, least: float = LEAST_LOSS) -> DataFrame:
-    """Advice for the issues of corners that lose ``least`` seconds or more, numbered within each pair. Unknown codes give none."""
+    """Advice for the issues of corners that lose ``least`` seconds or more, numbered within each pair; the order of equal ones is that of the corner's issues. Unknown codes give none."""
     known = F.broadcast(templates(corner_issues))  # fifteen rows
-    rows = corner_issues.drop("rank").where(F.col("time_lost_seconds") >= least).join(known, ["source", "code"])
-    order = Window.partitionBy(*PAIR).orderBy("corner_number", "phase", "source", "code", "center_progress")
-    return rows.withColumn("priority", F.col("severity")).withColumn("advice_number", F.row_number().over(order))
+    rows = corner_issues.where(F.col("time_lost_seconds") >= least).join(known, ["source", "code"])
+    order = Window.partitionBy(*PAIR).orderBy("corner_number", "phase", "source", "code", "rank")
+    return rows.withColumn("priority", F.col("severity")).withColumn("advice_number", F.row_number().over(order)).drop("rank")
 
 
 def unknown_codes(corner_issues: DataFrame, least: float = LEAST_LOSS) -> DataFrame:
@@ -133,11 +158,13 @@ def coaching_plan(advice: DataFrame, per_corner: int = 2, overall: int = 3) -> D
     weight = F.when(F.col("priority") == "HIGH", 3.0).when(F.col("priority") == "MEDIUM", 2.0).otherwise(1.0)
     impact = F.greatest(F.lit(0.0), "time_lost_seconds") * 10.0 + F.greatest(F.lit(0.0), "time_loss_seconds") * 5.0 + weight
     scored = advice.withColumn("impact_score", impact)
-    first = lambda n, *key: F.row_number().over(Window.partitionBy(*PAIR, *key).orderBy(F.desc("impact_score"), "advice_number")) <= n
-    for keep in (first(1, "corner_number", "recommendation_type"), first(per_corner, "corner_number"), first(overall)):
+    within = lambda *key: Window.partitionBy(*PAIR, *key)
+    order = (F.desc("impact_score"), "corner_number", "phase", "recommendation_type")
+    # of one type in a corner the first advice of the greatest impact; of equal impacts the lower corner, phase and type
+    best = F.row_number().over(within("corner_number", "recommendation_type").orderBy(F.desc("impact_score"), "advice_number")) == 1
+    for keep in (best, F.row_number().over(within("corner_number").orderBy(*order)) <= per_corner, F.row_number().over(within().orderBy(*order)) <= overall):
         scored = scored.withColumn("__keep", keep).where("__keep")
-    rank = F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.desc("impact_score"), "advice_number"))
-    out = scored.drop("__keep").withColumn("focus_rank", rank)
+    out = scored.drop("__keep").withColumn("focus_rank", F.row_number().over(within().orderBy(*order)))
     return out.withColumn("level", F.when(F.col("focus_rank") == 1, "primary").when(F.col("focus_rank") == 2, "secondary").otherwise("optional"))
 
 

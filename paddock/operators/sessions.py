@@ -37,12 +37,12 @@ def gold_summary(df: DataFrame, schema_version: int | None = 1) -> DataFrame:
 
 
 def sql_summary(df: DataFrame) -> DataFrame:
-    """16 columns for each session, car and track, through a view and SQL text."""
-    df.createOrReplaceTempView("paddock_silver")
+    """16 columns for each session, car and track, as SQL text over the frame."""
     averages = ", ".join(f"avg({c}) AS average_{c}" for c in (*_AVERAGES[:6], "front_slip_angle_deg", "rear_slip_angle_deg"))
     return df.sparkSession.sql(
         "SELECT session_id, car_id, track_id, count(*) AS sample_count, max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds, max(vehicle_speed_kmh) AS maximum_speed_kmh, "
-        f"avg(vehicle_speed_kmh) AS average_speed_kmh, {averages}, avg(CASE WHEN is_valid THEN 1.0D ELSE 0.0D END) * 100.0D AS valid_row_percentage FROM paddock_silver GROUP BY session_id, car_id, track_id"
+        f"avg(vehicle_speed_kmh) AS average_speed_kmh, {averages}, avg(CASE WHEN is_valid THEN 1.0D ELSE 0.0D END) * 100.0D AS valid_row_percentage FROM {{frames}} GROUP BY session_id, car_id, track_id",
+        frames=df,
     )
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paddock.functions.storage import stored
 from paddock.operators import sessions
 
 AXLE_METRICS = ("pressure_psi", "core_temp_c", "brake_temp_c", "suspension_travel_mm", "slip_angle_deg")
@@ -53,7 +54,7 @@ def compare_experiments(pairs: DataFrame, frames: DataFrame) -> DataFrame:
     places = frames.select("session_id", "car_id", "track_id").distinct()
     side = lambda n: places.select(F.col("session_id").alias(f"{n}_session"), "car_id", "track_id")
     same = pairs.join(side("baseline"), "baseline_session").join(side("candidate"), ["candidate_session", "car_id", "track_id"])
-    reports = session_reports(frames)
+    reports = stored(session_reports(frames), "session-reports")  # both sides read it
     part = lambda n: reports.select(F.col("session_id").alias(f"{n}_session"), "area", "wheel", "metric", F.col("value").alias(f"{n}_value"))
     both = same.join(part("baseline"), "baseline_session").join(part("candidate"), ["candidate_session", "area", "wheel", "metric"])
     return both.select("baseline_session", "candidate_session", "area", "wheel", "metric", "baseline_value", "candidate_value", (F.col("candidate_value") - F.col("baseline_value")).alias("delta"))

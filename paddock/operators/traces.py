@@ -18,7 +18,7 @@ def violations(trace: DataFrame) -> DataFrame:
     outside = lambda c, low, high: F.coalesce(~F.col(c).between(low, high) | F.isnan(c), F.lit(True))
     reasons = {
         "progress": outside("progress", 0, 1), "throttle": outside("throttle", 0, 1), "brake": outside("brake", 0, 1), "elapsed": F.coalesce((F.col("elapsed_seconds") < 0) | F.isnan("elapsed_seconds"), F.lit(True)),
-        "speed": F.coalesce((F.col("speed_kmh") < 0) | F.isnan("speed_kmh"), F.lit(True)), "steering": F.coalesce(F.isnan("steering_angle_deg"), F.lit(True)),
+        "speed": F.coalesce((F.col("speed_kmh") < 0) | F.isnan("speed_kmh"), F.lit(True)), "steering": F.col("steering_angle_deg").isNull() | F.isnan("steering_angle_deg"),
         "clutch": F.coalesce(~F.col("clutch").between(0, 1), F.lit(False)), "gear": F.coalesce(F.col("gear") < -1, F.lit(False)),
         "progress_order": F.coalesce(F.col("progress") <= F.lag("progress").over(w), F.lit(False)), "elapsed_order": F.coalesce(F.col("elapsed_seconds") < F.lag("elapsed_seconds").over(w), F.lit(False)),
     }
@@ -64,8 +64,8 @@ def unique_progress(trace: DataFrame) -> DataFrame:
 def interpolate(probes: DataFrame, points: DataFrame, key: tuple[str, ...], position: str, channels: tuple[str, ...], clamp: bool = False, hold: tuple[str, ...] = ()) -> DataFrame:
     """``probes`` with the channels of ``points`` at their position, on the line between the points around it.
 
-    An as-of join without a range join: probes and points of a key are sorted together once, and
-    running windows carry the nearest point from either side. Outside the points the channels are
+    An as-of join without a range join: probes and points of a key are shuffled together once, sorted
+    up and down, and running windows carry the nearest point from either side. Outside the points the channels are
     null, or with ``clamp`` those of the end point. Channels in ``hold`` keep the left point's value.
     """
     carried = [c for c in probes.columns if c not in (*key, position)]
@@ -120,15 +120,31 @@ def time_delta_at(probes: DataFrame, aligned: DataFrame, position: str, name: st
     return interpolate(probes, points, PAIR, position, (name,))
 
 
-def live_delta(samples: DataFrame, reference: DataFrame) -> DataFrame:
-    """Samples with the time against their car's and track's reference lap at the same progress, or the reason why there is none."""
+def live_delta(samples: DataFrame, reference: DataFrame, buckets: int = 256) -> DataFrame:
+    """Samples with the time against their car's and track's reference lap at the same progress, or the reason why there is none.
+
+    The reference lap's stretches between points are keyed by the parts of the track that they cross,
+    and samples meet them by car, track and part: an equality join, whose keys don't gather the samples of a car and track.
+    """
     key = ("car_id", "track_id")
     counts = reference.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    points = reference.select(*key, "progress", F.col("elapsed_seconds").alias("reference_seconds"))
-    placed = interpolate(samples, points, key, "progress", ("reference_seconds",)).join(counts, list(key), "left")
+    w = Window.partitionBy(*key).orderBy("progress")
+    part = lambda c: F.floor(F.col(c) * buckets)
+    points = reference.groupBy(*key, "progress").agg(F.max("elapsed_seconds").alias("__e"))
+    stretches = points.select(*key, F.lag("progress").over(w).alias("__px"), F.lag("__e").over(w).alias("__pe"), F.col("progress").alias("__x"), "__e")
+    parted = stretches.withColumn("__part", F.explode(F.sequence(part("__px"), part("__x")))).where("__px is not null")
+    first = points.groupBy(*key).agg(F.min_by(F.struct("progress", "__e"), "progress").alias("f")).select(*key, F.lit(None).cast("double").alias("__px"), F.col("f.__e").alias("__pe"), F.col("f.progress").alias("__x"), F.col("f.__e").alias("__e"))
+    ends = first.withColumn("__part", part("__x"))
+    within = F.coalesce((F.col("__px") < F.col("progress")) & (F.col("progress") <= F.col("__x")), F.col("progress") == F.col("__x"))
+    numbered = samples.withColumn("__part", part("progress"))
+    placed = numbered.alias("s").join(
+        parted.unionByName(ends).alias("r"), [F.col(f"s.{c}") == F.col(f"r.{c}") for c in (*key, "__part")] + [within], "left"
+    ).select("s.*", "r.__px", "r.__pe", "r.__x", "r.__e").drop("__part")
+    at = F.when(F.col("progress") == F.col("__x"), F.col("__e")).otherwise(F.col("__pe") + (F.col("__e") - F.col("__pe")) * ((F.col("progress") - F.col("__px")) / (F.col("__x") - F.col("__px"))))
+    out = placed.withColumn("reference_seconds", at).drop("__px", "__pe", "__x", "__e").join(counts, list(key), "left")
     reason = F.when(F.col("__n").isNull(), "incompatible").when(F.col("__n") < 2, "too_few_samples").when(F.col("reference_seconds").isNull(), "not_covered")
     usable = F.when(reason.isNull(), F.col("elapsed_seconds") - F.col("reference_seconds"))
-    return placed.withColumns({"delta_seconds": usable, "unavailable_reason": reason}).drop("__n")
+    return out.withColumns({"delta_seconds": usable, "unavailable_reason": reason}).drop("__n")
 
 
 def resample(trace: DataFrame, times: DataFrame) -> DataFrame:

@@ -59,11 +59,12 @@ def d11_pace(spark, sf_dir):
     return laps.pace(laps_view(spark, sf_dir))
 
 
-_PAIRS = "SELECT session_id, lap_number AS ref_lap, lap_number + 1 AS target_lap FROM laps WHERE lap_number % 2 = 1"
+#: Each lap and the next
+_PAIRS = "SELECT session_id, lap_number AS ref_lap, lap_number + 1 AS target_lap FROM laps"
 
 
 def _pairs(df: DataFrame) -> DataFrame:
-    return df.where("lap_number % 2 = 1").select("session_id", F.col("lap_number").alias("ref_lap"), (F.col("lap_number") + 1).alias("target_lap"))
+    return df.select("session_id", F.col("lap_number").alias("ref_lap"), (F.col("lap_number") + 1).alias("target_lap"))
 
 
 _DELTAS = (

@@ -97,20 +97,24 @@ def e8_time_delta_probes(spark, sf_dir):
     return traces.time_delta_at(probes, analysis.aligned, "position", "time_delta_seconds")
 
 
-_REFERENCE = f"SELECT car_id, track_id, progress AS x, elapsed_seconds AS e, lag(progress) OVER w AS px, lag(elapsed_seconds) OVER w AS pe FROM ({TRACE_SQL}) WHERE lap_number = 1 AND CAST(substr(session_id, 2) AS BIGINT) < 12 WINDOW w AS (PARTITION BY car_id, track_id ORDER BY progress)"
+#: The reference lap of a car and track: of complete laps the one of least time, ties by session and lap
+_BEST = f"SELECT car_id, track_id, first(session_id ORDER BY e, session_id, lap_number) AS session_id, first(lap_number ORDER BY e, session_id, lap_number) AS lap_number FROM (SELECT session_id, lap_number, car_id, track_id, max(elapsed_seconds) AS e FROM ({TRACE_SQL}) GROUP BY ALL HAVING count(*) = 100 AND car_id <> 'car4') GROUP BY car_id, track_id"
+_REFERENCE = "SELECT car_id, track_id, progress AS x, elapsed_seconds AS e, lag(progress) OVER w AS px, lag(elapsed_seconds) OVER w AS pe FROM t SEMI JOIN best USING (car_id, track_id, session_id, lap_number) WINDOW w AS (PARTITION BY car_id, track_id ORDER BY progress)"
 
 
 @query(
-    f"SELECT * REPLACE (round(delta_seconds + 1e-9, 6) AS delta_seconds) FROM (WITH r AS MATERIALIZED ({_REFERENCE}), s AS (SELECT session_id, lap_number, sample_index, car_id, track_id, progress + 0.003e0 AS p, elapsed_seconds FROM ({TRACE_SQL}) WHERE lap_number = 2) "
-    "SELECT s.session_id, s.sample_index, s.elapsed_seconds - (pe + (e - pe) * ((p - px) / (x - px))) AS delta_seconds, CASE WHEN NOT EXISTS (SELECT 1 FROM r WHERE r.car_id = s.car_id AND r.track_id = s.track_id) THEN 'incompatible' WHEN x IS NULL THEN 'not_covered' END AS unavailable_reason "
-    "FROM s LEFT JOIN r ON r.car_id = s.car_id AND r.track_id = s.track_id AND px < p AND p <= x)"
+    f"SELECT * REPLACE (round(delta_seconds + 1e-9, 6) AS delta_seconds) FROM (WITH t AS MATERIALIZED ({TRACE_SQL}), best AS ({_BEST}), r AS MATERIALIZED ({_REFERENCE}), s AS (SELECT session_id, lap_number, sample_index, car_id, track_id, progress + 0.003e0 AS p, elapsed_seconds FROM t) "
+    "SELECT s.session_id, s.lap_number, s.sample_index, s.elapsed_seconds - CASE WHEN p = x THEN e ELSE pe + (e - pe) * ((p - px) / (x - px)) END AS delta_seconds, CASE WHEN NOT EXISTS (SELECT 1 FROM best b WHERE b.car_id = s.car_id AND b.track_id = s.track_id) THEN 'incompatible' WHEN r.e IS NULL OR (px IS NULL AND p <> x) THEN 'not_covered' END AS unavailable_reason "
+    "FROM s ASOF LEFT JOIN r ON r.car_id = s.car_id AND r.track_id = s.track_id AND r.x >= s.p)"
 )
 def e9_live_delta(spark, sf_dir):
-    """Second laps, a little further on, against the first laps of a few sessions."""
+    """All samples, a little further on, against the best complete lap of their car and track; one car has none."""
     t = trace(spark, sf_dir)
-    reference = t.where((F.col("lap_number") == 1) & (F.substring("session_id", 2, 20).cast("long") < 12))
-    samples = t.where("lap_number = 2").select("session_id", "sample_index", "car_id", "track_id", (F.col("progress") + 0.003).alias("progress"), "elapsed_seconds")
-    return traces.live_delta(samples, reference).select("session_id", "sample_index", "delta_seconds", "unavailable_reason")
+    whole = t.groupBy("session_id", "lap_number", "car_id", "track_id").agg(F.max("elapsed_seconds").alias("e"), F.count(F.lit(1)).alias("n")).where("n = 100 and car_id <> 'car4'")
+    best = whole.groupBy("car_id", "track_id").agg(F.min(F.struct("e", "session_id", "lap_number")).alias("b")).select("car_id", "track_id", "b.session_id", "b.lap_number")
+    reference = t.join(best, ["car_id", "track_id", "session_id", "lap_number"], "left_semi")
+    samples = t.withColumn("progress", F.col("progress") + 0.003).select("session_id", "lap_number", "sample_index", "car_id", "track_id", "progress", "elapsed_seconds")
+    return traces.live_delta(samples, reference).select("session_id", "lap_number", "sample_index", "delta_seconds", "unavailable_reason")
 
 
 @query()

@@ -110,18 +110,35 @@ def a19_distance_import(spark, sf_dir):
 _ERROR = "CASE WHEN event_id % 19 = 0 THEN 'invalid_json' WHEN event_id % 23 = 0 THEN 'unsupported_schema' WHEN event_id % 29 = 0 THEN 'invalid_metadata' END"
 
 
-@query(f"SELECT session_id, sample_index, {_ERROR} AS decode_error, coalesce({_ERROR} IS NULL AND is_valid, false) AS is_valid FROM ({AUDIT_SQL}) WHERE event_id % 19 <> 0 UNION ALL SELECT NULL, NULL, 'invalid_json', false FROM ({ONCE_SQL}) WHERE event_id % 19 = 0")
-def b7_kafka_decode(spark, sf_dir):
-    """Broker records of all frames, some broken, of another version or with a wrong key, decoded and flagged."""
+DECODED_SQL = (
+    f"SELECT session_id, sample_index, {_ERROR} AS decode_error, coalesce({_ERROR} IS NULL AND is_valid AND event_id % 31 <> 0, false) AS is_valid, event_id % 31 <> 0 AS has_time FROM ({AUDIT_SQL}) WHERE event_id % 19 <> 0 "
+    f"UNION ALL SELECT NULL, NULL, 'invalid_json', false, false FROM ({ONCE_SQL}) WHERE event_id % 19 = 0"
+)
+
+
+def broker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broker records of all frames, some broken, of another version, with a wrong key or with a time that can't be read."""
     numbered = _once(spark, sf_dir)
     at = numbered.select(F.col("session_id").cast("binary").alias("key"), F.col("sample_index").alias("sequence"), "event_id")
     sent = kafka.encode(frames.unflatten(numbered)).join(at, ["key", "sequence"])
     text = F.col("value").cast("string")
-    value = F.when(F.col("event_id") % 19 == 0, F.substring(text, 1, 40)).when(F.col("event_id") % 23 == 0, F.regexp_replace(text, '"schema_version":1', '"schema_version":99')).otherwise(text)
+    timed = F.when(F.col("event_id") % 31 == 0, F.regexp_replace(text, r'"timestamp":"[^"]*"', '"timestamp":"not a time"')).otherwise(text)
+    value = F.when(F.col("event_id") % 19 == 0, F.substring(text, 1, 40)).when(F.col("event_id") % 23 == 0, F.regexp_replace(timed, '"schema_version":1', '"schema_version":99')).otherwise(timed)
     key = F.when(F.col("event_id") % 29 == 0, F.lit("wrong").cast("binary")).otherwise(F.col("key"))
-    records = sent.select(key.alias("key"), value.cast("binary").alias("value"), F.lit("telemetry").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"))
+    return sent.select(
+        key.alias("key"), value.cast("binary").alias("value"), F.lit("telemetry").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp")
+    )
+
+
+def decoded(rows: DataFrame) -> DataFrame:
     known = lambda c: F.when(F.col("decode_error").isNull() | (F.col("decode_error") != "invalid_json"), F.col(c))
-    return kafka.with_message_flag(quality.audited(kafka.decode(records))).select(known("session_id").alias("session_id"), known("sample_index").alias("sample_index"), "decode_error", "is_valid")
+    return rows.select(known("session_id").alias("session_id"), known("sample_index").alias("sample_index"), "decode_error", "is_valid", F.coalesce(known("timestamp").isNotNull(), F.lit(False)).alias("has_time"))
+
+
+@query(DECODED_SQL)
+def b7_kafka_decode(spark, sf_dir):
+    """The records decoded and flagged as a batch."""
+    return decoded(kafka.bronze_and_audit(broker_records(spark, sf_dir)))
 
 
 _SESSIONS = f"SELECT session_id AS id, min(occurred_at) AS started_at, count(*) AS n FROM ({LAPS_SQL}) GROUP BY session_id"
@@ -279,7 +296,7 @@ def i5_metrics_by_seed(spark, sf_dir):
 
 @query()
 def i4_model_comparison(spark, sf_dir):
-    return learn.compare_models(learn.group_split(_dataset(spark, sf_dir)), trees=20).drop("rows")
+    return learn.compare_models(learn.group_split(_dataset(spark, sf_dir))).drop("rows")
 
 
 _RUNS = "SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'linear' WHEN 1 THEN 'polynomial_2' ELSE 'random_forest' END AS model, 0.1e0 + s_suppkey % 17 / 100e0 AS mae, 0.2e0 + s_suppkey % 13 / 100e0 AS rmse, 0.5e0 + s_suppkey % 41 / 100e0 AS r2, s_nationkey AS dataset FROM supplier"

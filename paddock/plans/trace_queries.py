@@ -20,22 +20,44 @@ def _replace(sql: str, doubles: str) -> str:
 
 @query(
     _replace(
-        f"{_T} SELECT {_LAP}, count(*) AS samples, min(progress) AS start, max(progress) AS \"end\", max(gap) AS largest_gap, arg_min(before, -round(gap, 9) * 1000 + sample_index / 1e6) FILTER (gap IS NOT NULL) AS gap_start, "
-        f"arg_min(progress, -round(gap, 9) * 1000 + sample_index / 1e6) FILTER (gap IS NOT NULL) AS gap_end FROM (SELECT *, lag(progress) OVER w AS before, progress - lag(progress) OVER w AS gap FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY progress, sample_index)) GROUP BY {_LAP}",
-        "largest_gap",
-    ).replace("SELECT * REPLACE (round(largest_gap + 1e-9, 6) AS largest_gap)", 'SELECT session_id, lap_number, samples, round(start + 1e-9, 6) AS start, round("end" + 1e-9, 6) AS "end", round(largest_gap + 1e-9, 6) AS largest_gap')
+        f"{_T} SELECT {_LAP}, count(*) AS samples, min(progress) AS start, max(progress) AS \"end\", max(gap) AS largest_gap, first(before ORDER BY gap DESC NULLS LAST, progress) FILTER (gap IS NOT NULL) AS gap_start, "
+        "first(progress ORDER BY gap DESC NULLS LAST, progress) FILTER (gap IS NOT NULL) AS gap_end "
+        f"FROM (SELECT *, lag(progress) OVER w AS before, progress - lag(progress) OVER w AS gap FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY progress, sample_index)) GROUP BY {_LAP}",
+        "largest_gap gap_start gap_end",
+    )
 )
 def d14_trace_coverage(spark, sf_dir):
-    return traces.coverage(trace(spark, sf_dir)).drop("gap_start", "gap_end")
+    return traces.coverage(trace(spark, sf_dir))
+
+
+#: One fault for each reason, in samples that a rule picks; the same in both forms
+_FAULTS = {
+    "progress": "CASE WHEN k % 31 = 5 THEN progress + 2e0 ELSE progress END",
+    "throttle": "CASE WHEN k % 37 = 6 THEN -0.5e0 ELSE throttle END",
+    "brake": "brake + 0.3e0",
+    "elapsed_seconds": "CASE WHEN k % 41 = 7 THEN -1e0 ELSE elapsed_seconds END",
+    "speed_kmh": "CASE WHEN k % 43 = 8 THEN -1e0 ELSE speed_kmh END",
+    "steering_angle_deg": "CASE WHEN k % 47 = 9 THEN NULL ELSE steering_angle_deg END",
+    "gear": "CASE WHEN k % 53 = 10 THEN -2 ELSE gear END",
+    "clutch": "clutch + 0.3e0",
+}
+_FAULTY = f"SELECT session_id, lap_number, sample_index, {', '.join(f'{e} AS {c}' for c, e in _FAULTS.items())} FROM (SELECT *, sample_index + lap_number AS k FROM ({{0}}))"
+_REASONS = {
+    "progress": "NOT progress BETWEEN 0 AND 1", "throttle": "NOT throttle BETWEEN 0 AND 1", "brake": "NOT brake BETWEEN 0 AND 1", "elapsed": "elapsed_seconds < 0", "speed": "speed_kmh < 0",
+    "steering": "steering_angle_deg IS NULL", "clutch": "NOT clutch BETWEEN 0 AND 1", "gear": "gear < -1", "progress_order": "progress <= lag(progress) OVER w", "elapsed_order": "elapsed_seconds < lag(elapsed_seconds) OVER w",
+}
 
 
-@query(f"SELECT session_id, lap_number, sample_index, 'clutch' AS reason FROM ({TRACE_SQL}) WHERE clutch > 0.7e0 UNION ALL SELECT session_id, lap_number, sample_index, 'brake' FROM ({TRACE_SQL}) WHERE brake + 0.3e0 > 1")
+@query(
+    "SELECT session_id, lap_number, sample_index, reason FROM (SELECT session_id, lap_number, sample_index, unnest([" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _REASONS.items()) + "]) AS reason "
+    f"FROM ({_FAULTY.format(TRACE_SQL)}) WINDOW w AS (PARTITION BY session_id, lap_number ORDER BY sample_index)) WHERE reason IS NOT NULL"
+)
 def b12_trace_violations(spark, sf_dir):
-    shifted = trace(spark, sf_dir).withColumns({"clutch": F.col("clutch") + 0.3, "brake": F.col("brake") + 0.3})
-    return traces.violations(shifted).select("session_id", "lap_number", "sample_index", F.explode("reasons").alias("reason")).where("reason in ('clutch', 'brake')")
+    faulty = trace(spark, sf_dir).withColumn("k", F.col("sample_index") + F.col("lap_number")).withColumns({c: F.expr(e) for c, e in _FAULTS.items()})
+    return traces.violations(faulty).select("session_id", "lap_number", "sample_index", F.explode("reasons").alias("reason"))
 
 
-_P = f"{_T}, pairs AS (SELECT DISTINCT session_id, 1 AS ref_lap, lap_number AS target_lap FROM t WHERE lap_number BETWEEN 2 AND 6), ends AS (SELECT {_LAP}, min(progress) AS lo, max(progress) AS hi FROM t GROUP BY {_LAP}), "
+_P = f"{_T}, pairs AS (SELECT DISTINCT session_id, 1 AS ref_lap, lap_number AS target_lap FROM t WHERE lap_number >= 2), ends AS (SELECT {_LAP}, min(progress) AS lo, max(progress) AS hi FROM t GROUP BY {_LAP}), "
 _P += f"shared AS (SELECT {_PAIR}, greatest(r.lo, g.lo) AS lo, least(r.hi, g.hi) AS hi, greatest(0e0, least(r.hi, g.hi) - greatest(r.lo, g.lo)) AS span FROM pairs p JOIN ends r USING (session_id) JOIN ends g USING (session_id) WHERE r.lap_number = ref_lap AND g.lap_number = target_lap)"
 _SEGMENTS = f"segs AS (SELECT {_LAP}, progress AS x, lag(progress) OVER w AS px, " + ", ".join(f"{c} AS {c}, lag({c}) OVER w AS p_{c}" for c in traces.CHANNELS) + f" FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY progress))"
 _GRID = f"grid AS (SELECT {_PAIR}, CAST(i AS INTEGER) AS grid_index, CASE WHEN i = 200 THEN hi ELSE least(hi, lo + span / 200 * i) END AS progress FROM shared, range(201) g(i) WHERE span > 0)"
@@ -65,30 +87,33 @@ def e7_aligned_laps(spark, sf_dir):
 
 @query(
     _replace(
-        f"{_ALIGNED} SELECT {_PAIR}, arg_max(target_elapsed_seconds - ref_elapsed_seconds, grid_index) AS final_time_delta_seconds, avg(target_speed_kmh - ref_speed_kmh) AS mean_speed_delta_kmh FROM aligned GROUP BY {_PAIR}",
-        "final_time_delta_seconds mean_speed_delta_kmh",
+        f"{_ALIGNED} SELECT {_PAIR}, arg_max(target_elapsed_seconds - ref_elapsed_seconds, grid_index) AS final_time_delta_seconds, avg(target_speed_kmh - ref_speed_kmh) AS mean_speed_delta_kmh, "
+        "first(progress ORDER BY target_speed_kmh - ref_speed_kmh, grid_index) AS largest_speed_loss_progress, first(progress ORDER BY ref_speed_kmh - target_speed_kmh, grid_index) AS largest_speed_gain_progress "
+        f"FROM aligned GROUP BY {_PAIR}",
+        "final_time_delta_seconds mean_speed_delta_kmh largest_speed_loss_progress largest_speed_gain_progress",
     )
 )
 def e7_alignment_summary(spark, sf_dir):
-    return traces.alignment_summary(_aligned(spark, sf_dir)).select(*traces.PAIR, "final_time_delta_seconds", "mean_speed_delta_kmh")
+    return traces.alignment_summary(_aligned(spark, sf_dir))
 
 
+_RESAMPLED = ("progress", "speed_kmh", "throttle", "brake", "steering_angle_deg", "clutch")
 _PROBE = "p AS (SELECT session_id, lap_number, CAST(i AS INTEGER) AS probe, i * 7.3e0 AS elapsed_seconds FROM (SELECT DISTINCT session_id, lap_number FROM t), range(12) r(i))"
-_TIMES = f"s AS (SELECT {_LAP}, elapsed_seconds AS x, lag(elapsed_seconds) OVER w AS px, lead(elapsed_seconds) OVER w IS NULL AS final, progress, lag(progress) OVER w AS p_progress, speed_kmh, lag(speed_kmh) OVER w AS p_speed_kmh, gear, lag(gear) OVER w AS p_gear FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY elapsed_seconds))"
+_TIMES = f"s AS (SELECT {_LAP}, elapsed_seconds AS x, lag(elapsed_seconds) OVER w AS px, lead(elapsed_seconds) OVER w IS NULL AS final, gear, lag(gear) OVER w AS p_gear, {', '.join(f'{c}, lag({c}) OVER w AS p_{c}' for c in _RESAMPLED)} FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY elapsed_seconds))"
 _LERP = "CASE WHEN p.elapsed_seconds >= s.x OR s.px IS NULL THEN s.{0} ELSE s.p_{0} + (s.{0} - s.p_{0}) * ((p.elapsed_seconds - s.px) / (s.x - s.px)) END AS {0}"
 
 
 @query(
     _replace(
-        f"{_T}, {_PROBE}, {_TIMES} SELECT p.session_id, p.lap_number, probe, {_LERP.format('progress')}, {_LERP.format('speed_kmh')}, CASE WHEN p.elapsed_seconds >= s.x OR s.px IS NULL THEN s.gear ELSE s.p_gear END AS gear FROM p JOIN s ON p.session_id = s.session_id AND p.lap_number = s.lap_number "
+        f"{_T}, {_PROBE}, {_TIMES} SELECT p.session_id, p.lap_number, probe, {', '.join(_LERP.format(c) for c in _RESAMPLED)}, CASE WHEN p.elapsed_seconds >= s.x OR s.px IS NULL THEN s.gear ELSE s.p_gear END AS gear FROM p JOIN s ON p.session_id = s.session_id AND p.lap_number = s.lap_number "
         "AND ((s.px IS NULL AND p.elapsed_seconds <= s.x) OR (s.px < p.elapsed_seconds AND p.elapsed_seconds <= s.x) OR (s.final AND p.elapsed_seconds > s.x))",
-        "progress speed_kmh",
+        " ".join(_RESAMPLED),
     )
 )
 def e10_resample_by_time(spark, sf_dir):
     t = trace(spark, sf_dir)
     times = t.select(*traces.LAP).distinct().select(*traces.LAP, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: i * F.lit(7.3))).alias("probe", "elapsed_seconds"))
-    return traces.resample(t, times).select(*traces.LAP, "probe", "progress", "speed_kmh", "gear")
+    return traces.resample(t, times).select(*traces.LAP, "probe", "gear", *_RESAMPLED)
 
 
 _ON = f"SELECT *, sum(CASE WHEN brake >= 0.1e0 AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {_LAP} ORDER BY progress, sample_index) AS run FROM (SELECT *, lag(brake >= 0.1e0) OVER (PARTITION BY {_LAP} ORDER BY progress, sample_index) AS was FROM t)"

@@ -122,8 +122,8 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Laps of a session compared with its lap 1
-PAIRS_SQL = f"SELECT DISTINCT session_id, 1 AS ref_lap, lap_number AS target_lap FROM ({TRACE_SQL}) WHERE lap_number BETWEEN 2 AND 6"
+PAIRS_SQL = f"SELECT DISTINCT session_id, 1 AS ref_lap, lap_number AS target_lap FROM ({TRACE_SQL}) WHERE lap_number >= 2"
 
 
 def pairs(trace: DataFrame) -> DataFrame:
-    return trace.where("lap_number between 2 and 6").select("session_id", F.lit(1).alias("ref_lap"), F.col("lap_number").alias("target_lap")).distinct()
+    return trace.where("lap_number >= 2").select("session_id", F.lit(1).alias("ref_lap"), F.col("lap_number").alias("target_lap")).distinct()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from paddock.functions.storage import delete, exists
 from paddock.schemas import ENVIRONMENT_FIELDS, FRAME, SESSION_METADATA, VEHICLE_FIELDS, WHEEL_FIELDS, WHEELS, require_columns
 
 CORRUPT = "_corrupt_record"
@@ -18,11 +22,11 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_frames(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    schema = FRAME.add(CORRUPT, "string") if CORRUPT not in FRAME.names else FRAME
+    schema = T.StructType([*FRAME.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = lines.withColumn("__f", F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     bad = F.col(f"__f.{CORRUPT}").isNotNull() | F.col("__f").isNull() | F.col("__f.session_id").isNull()
     rest = [c for c in lines.columns if c != value]
-    return parsed.where(~bad).select(*rest, *(f"__f.{c}" for c in FRAME.names if c != CORRUPT)), parsed.where(bad).select(*rest, value)
+    return parsed.where(~bad).select(*rest, *(f"__f.{c}" for c in FRAME.names)), parsed.where(bad).select(*rest, value)
 
 
 def failed_sessions(corrupt: DataFrame) -> DataFrame:
@@ -35,6 +39,14 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SESSION_METADATA).option("multiLine", True).json(path).where("sample_count > 0 and duration_seconds >= 0")
 
 
+def wheel_problems(frames: DataFrame) -> DataFrame:
+    """(session_id, problem) of sessions whose frames don't all have the same wheels, or lack one of FL, FR, RL and RR."""
+    wheels = F.array_sort(F.map_keys("wheels"))
+    seen = frames.groupBy("session_id").agg(F.min(wheels).alias("a"), F.max(wheels).alias("b"), F.min(F.forall(F.array(*map(F.lit, WHEELS)), lambda w: F.array_contains(F.map_keys("wheels"), w))).alias("whole"), F.count_if(F.col("wheels").isNull()).alias("none"))
+    problem = F.when((F.col("none") > 0) | ~F.coalesce("whole", F.lit(False)), "missing_wheel").when(F.col("a") != F.col("b"), "changing_wheels")
+    return seen.select("session_id", problem.alias("problem")).where("problem is not null")
+
+
 def _wheel(w: str) -> Column:
     return F.try_element_at("wheels", F.lit(w))
 
@@ -88,6 +100,18 @@ def write_table(rows: DataFrame, path: str, mode: str = "append", partitions: tu
 
 
 def write_silver(valid: DataFrame, quarantined: DataFrame, path: str, partitions: tuple[str, ...] = ("session_id",)) -> None:
-    """Valid and quarantined rows to trees of their own, each replaced whole for the sessions of this run."""
-    write_table(valid, f"{path}/valid", "overwrite", partitions)
-    write_table(quarantined, f"{path}/quarantine", "overwrite", partitions)
+    """Valid and quarantined rows to trees of their own. Every session of this run is replaced whole in both, so a row that was quarantined before and is valid now is in one tree only.
+
+    Dynamic overwrite leaves a session's partition in a tree for which this run has no rows of it;
+    such partitions are looked up by their folders and deleted first.
+    """
+    spark = valid.sparkSession
+    trees = {f"{path}/valid": valid, f"{path}/quarantine": quarantined}
+    sessions = valid.select("session_id").union(quarantined.select("session_id")).distinct()
+    for tree, rows in trees.items():
+        if exists(spark, tree):
+            stale = spark.read.parquet(tree).select("session_id", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+            gone = stale.join(sessions, "session_id", "left_semi").join(rows.select("session_id").distinct(), "session_id", "left_anti")
+            for r in gone.select("folder").collect():
+                delete(spark, unquote(r["folder"]))  # it comes as a URI
+        write_table(rows, tree, "overwrite", partitions)

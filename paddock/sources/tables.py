@@ -24,6 +24,14 @@ def read_catalog(spark: SparkSession, path: str, schema: T.StructType, multi_lin
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
+def get(catalog: DataFrame, key: str, value) -> DataFrame:
+    """The one row of a catalog under an id; raises if there is none."""
+    found = catalog.where(F.col(key) == value)
+    if found.isEmpty():
+        raise KeyError(f"no {key} {value!r}")
+    return found
+
+
 def append_run(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").json(path)
 
@@ -34,5 +42,8 @@ def mixed_batches(batch: DataFrame, by: str) -> DataFrame:
 
 
 def publish(batch: DataFrame, path: str) -> None:
-    """Appends a batch; its files appear together when the write is done."""
+    """Appends a batch of one session, car and track; its files appear together when the write is done. An empty or mixed batch raises and writes nothing."""
+    identities = batch.select("session_id", "car_id", "track_id").distinct().limit(2).collect()
+    if len(identities) != 1:
+        raise ValueError("a batch must hold frames of one session, car and track")
     batch.write.mode("append").parquet(path)

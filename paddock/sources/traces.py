@@ -49,10 +49,32 @@ def parse_exchange(texts: DataFrame, value: str = "value", name: str = "name") -
     return texts.select(name, F.posexplode(samples).alias("sample_index", "s")).select(name, "sample_index", "s.*")
 
 
+FORMAT, FORMAT_VERSION = "lap-trace", 1
+
+
+def refused_exchange(texts: DataFrame, value: str = "value", name: str = "name") -> DataFrame:
+    """(name, problem) of files that can't be imported: another format or version than ours where they state one, or no samples."""
+    told = F.from_json(value, "format string, version int")
+    empty = parse_exchange(texts, value, name).select(name).distinct().withColumn("__some", F.lit(True))
+    joined = texts.select(name, told.alias("t"), F.ltrim(value).startswith("{").alias("o")).join(empty, name, "left")
+    problem = (
+        F.when(F.col("o") & (F.col("t.format") != FORMAT), "format").when(F.col("o") & (F.col("t.version") != FORMAT_VERSION), "version").when(F.col("__some").isNull(), "no_samples")
+    )
+    return joined.select(name, problem.alias("problem")).where("problem is not null")
+
+
+def refused_pairs(pairs: DataFrame, places: DataFrame, name: str = "name") -> DataFrame:
+    """Pairs of files (ref, target) that aren't of the same car and track; ``places`` has name, car_id and track_id. Unknown ones count as different."""
+    side = lambda n: places.select(F.col(name).alias(n), F.struct("car_id", "track_id").alias(f"__{n}"))
+    joined = pairs.join(side("ref"), "ref", "left").join(side("target"), "target", "left")
+    return joined.where(~F.coalesce(F.col("__ref") == F.col("__target"), F.lit(False))).select("ref", "target")
+
+
 def export_exchange(trace: DataFrame) -> DataFrame:
-    """Each lap as one JSON document with its samples in order."""
+    """Each lap as one JSON document with its format, version and samples in order."""
     sample = F.struct("sample_index", "progress", "elapsed_seconds", "speed_kmh", "throttle", "brake", "steering_angle_deg")
-    return trace.groupBy(*LAP).agg(F.to_json(F.struct(F.array_sort(F.collect_list(sample)).alias("samples"))).alias("document"))
+    document = F.struct(F.lit(FORMAT).alias("format"), F.lit(FORMAT_VERSION).alias("version"), F.array_sort(F.collect_list(sample)).alias("samples"))
+    return trace.groupBy(*LAP).agg(F.to_json(document).alias("document"))
 
 
 def normalize_distance(samples: DataFrame, name: str = "name", pair: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +88,11 @@ def normalize_distance(samples: DataFrame, name: str = "name", pair: tuple[str,
     whole = Window.partitionBy(*pair, name)
     marked = samples.withColumns({"__step": step, "__part": F.coalesce(F.try_divide(step, mean_speed), F.lit(0.0))})
     marked = marked.withColumns({"__ok": F.min(F.coalesce((F.col("__step") > 0).cast("int"), F.lit(1))).over(whole), "__percent": F.max(F.greatest("throttle", "brake")).over(whole) > 1.0})
-    length = F.max("lap_distance_m").over(Window.partitionBy(*pair) if pair else Window.partitionBy(F.lit(0)))
+    longest = samples.groupBy(*pair).agg(F.max("lap_distance_m").alias("__length"))
+    if pair:
+        marked, length = marked.join(longest, list(pair)), F.col("__length")
+    else:  # one number for all
+        length = longest.scalar()
     share = lambda c: F.when(F.col("__percent"), F.col(c) / 100).otherwise(F.col(c))
     elapsed = F.coalesce("elapsed_seconds", F.sum("__part").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where("__ok = 1").withColumns({"progress": F.col("lap_distance_m") / length, "elapsed_seconds": elapsed, "throttle": share("throttle"), "brake": share("brake")}).drop("__step", "__part", "__ok", "__percent")
+    return marked.where("__ok = 1").withColumns({"progress": F.col("lap_distance_m") / length, "elapsed_seconds": elapsed, "throttle": share("throttle"), "brake": share("brake")}).drop("__step", "__part", "__ok", "__percent", "__length")

@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paddock.functions import scalars
-from paddock.operators import events, laps, learn, matching, parity, quality, sessions, setups, traces, zones
-from paddock.sources import frames, kafka
+from paddock.operators import events, laps, learn, matching, parity, quality, rules, sessions, setups, traces, zones
+from paddock.schemas import WHEEL_FIELDS
+from paddock.sources import frames, kafka, tables
 from paddock.sources import traces as trace_files
 
 
@@ -180,6 +182,179 @@ def test_kafka_errors(spark):
     assert got == ["invalid_json", "unsupported_schema", "invalid_metadata", "invalid_metadata", "invalid_json", None]
 
 
+def test_kafka_metadata_and_times(spark):
+    value = '{"schema_version":1,"source":%s,"session_type":"race","setup_id":null,"frame":{"timestamp":%s,"session_id":%s}}'
+    made = [('" "', '"2024-01-01T00:00:00Z"', '"s"'), ('""', '"2024-01-01T00:00:00Z"', '"s"'), ('"a"', '"not a date"', '"s"'), ('"a"', "null", "null")]
+    rows = [(None if i == 3 else b"s", (value % v).encode(), "t", 0, i) for i, v in enumerate(made)]
+    got = kafka.decode(spark.createDataFrame(rows, "key binary, value binary, topic string, partition int, offset long")).orderBy("kafka_offset").collect()
+    assert [r.decode_error for r in got] == [None, "invalid_metadata", None, "invalid_metadata"]
+    assert [r.timestamp is None for r in got] == [False, False, True, True]
+    with pytest.raises(Exception, match="invalid message"):
+        kafka.checked(kafka.decode(spark.createDataFrame(rows[1:2], "key binary, value binary, topic string, partition int, offset long"))).collect()
+
+
+DELTAS = {
+    "braking": dict.fromkeys("center_progress start_progress end_progress minimum_speed_kmh duration_seconds mean_brake peak_brake".split(), (0.5, 0.5)),
+    "entry": dict.fromkeys("turn_in_progress apex_progress speed_loss_kmh apex_speed_kmh brake_overlap_seconds brake_at_turn_in maximum_abs_steering_deg average_abs_steering_deg".split(), (0.5, 0.5)),
+    "exit": dict.fromkeys("apex_progress exit_progress throttle_application_progress time_to_throttle_seconds exit_speed_kmh throttle_at_exit abs_steering_at_exit_deg steering_unwind_deg".split(), (0.5, 0.5)),
+}
+
+
+def deltas(spark, kind, rows):
+    """Rows of one pair with a reference and a target value of each measure, equal but for those given as changes."""
+    names = list(DELTAS[kind])
+    made = [("s", 1, 2, i + 1, loss, *(0.5 for _ in names), *(0.5 + change.get(n, 0.0) for n in names), *(float(change.get(n, 0.0)) for n in names)) for i, (loss, change) in enumerate(rows)]
+    columns = ["session_id string", "ref_lap int", "target_lap int", "ref_number int", "time_lost_seconds double", *(f"{p}{n}{q} double" for p, q in (("ref_", ""), ("target_", ""), ("", "_delta")) for n in names)]
+    return spark.createDataFrame(made, ", ".join(columns))
+
+
+def test_every_diagnostic_rule(spark):
+    """Each rule fires at its threshold, none just below it or where too little time is lost."""
+    cases = {
+        "braking": (rules.braking_issues, [("BRAKING_TOO_EARLY", {"start_progress": -0.01}), ("BRAKING_TOO_LATE", {"start_progress": 0.01}), ("OVER_SLOWING", {"minimum_speed_kmh": -3}), ("LATE_BRAKE_RELEASE", {"end_progress": 0.01, "duration_seconds": 0.1}), ("EXCESSIVE_BRAKE_PRESSURE", {"mean_brake": 0.08}), ("EXCESSIVE_BRAKE_PRESSURE", {"peak_brake": 0.08})]),
+        "entry": (rules.entry_issues, [("EARLY_TURN_IN", {"turn_in_progress": -0.01}), ("LATE_TURN_IN", {"turn_in_progress": 0.01}), ("ENTRY_OVER_SLOWING", {"speed_loss_kmh": 3}), ("POOR_APEX_SPEED", {"apex_speed_kmh": -3}), ("EXCESSIVE_TRAIL_BRAKING", {"brake_overlap_seconds": 0.15, "brake_at_turn_in": 0.08}), ("EXCESSIVE_STEERING", {"maximum_abs_steering_deg": 3}), ("EXCESSIVE_STEERING", {"average_abs_steering_deg": 2})]),
+        "exit": (rules.exit_issues, [("LATE_THROTTLE_APPLICATION", {"throttle_application_progress": 0.01}), ("LATE_THROTTLE_APPLICATION", {"time_to_throttle_seconds": 0.15}), ("POOR_EXIT_SPEED", {"exit_speed_kmh": -3}), ("LOW_EXIT_THROTTLE", {"throttle_at_exit": -0.1}), ("SLOW_STEERING_UNWIND", {"abs_steering_at_exit_deg": 3}), ("SLOW_STEERING_UNWIND", {"steering_unwind_deg": -3})]),
+    }
+    for kind, (rule, wanted) in cases.items():
+        fires = [(0.05, c) for _, c in wanted]
+        below = [(0.05, {k: v * 0.99 for k, v in c.items()}) for _, c in wanted] + [(0.049, c) for _, c in wanted]
+        got = sorted((r.reference_number, r.code) for r in rule(deltas(spark, kind, fires + below)).collect())
+        assert got == [(i + 1, code) for i, (code, _) in enumerate(wanted)]
+    half = deltas(spark, "entry", [(0.2, {"brake_overlap_seconds": 0.15})])
+    assert rules.entry_issues(half).count() == 0  # trail braking needs both
+    both = rules.braking_issues(deltas(spark, "braking", [(0.4, {"mean_brake": 0.1, "start_progress": -0.02}), (0.15, {"mean_brake": 0.1})])).orderBy("rank").collect()
+    assert [(r.code, r.severity, r.rank) for r in both] == [("BRAKING_TOO_EARLY", "HIGH", 1), ("EXCESSIVE_BRAKE_PRESSURE", "HIGH", 2), ("EXCESSIVE_BRAKE_PRESSURE", "MEDIUM", 3)]
+
+
+def test_coaching_plan_ties_and_caps(spark):
+    """Equal impacts go by corner, phase and type; two focuses a corner and three in all; of one type in a corner the greatest impact."""
+    issue = "source string, code string, severity string, corner_number int, time_lost_seconds double, time_loss_seconds double, rank int"
+    rows = [
+        ("BRAKING", "BRAKING_TOO_EARLY", "HIGH", 2, 0.5, 0.4, 1), ("BRAKING", "EXCESSIVE_BRAKE_PRESSURE", "HIGH", 2, 0.5, 0.4, 2), ("CORNER_EXIT", "POOR_EXIT_SPEED", "HIGH", 2, 0.5, 0.4, 3),
+        ("CORNER_EXIT", "LATE_THROTTLE_APPLICATION", "LOW", 1, 0.2, 0.1, 1), ("CORNER_EXIT", "LOW_EXIT_THROTTLE", "MEDIUM", 1, 0.2, 0.1, 2), ("CORNER_ENTRY", "EARLY_TURN_IN", "MEDIUM", 1, 0.2, 0.1, 3),
+        ("BRAKING", "OVER_SLOWING", "HIGH", 3, 0.04, 0.4, 1), ("BRAKING", "A_NEW_CODE", "HIGH", 2, 0.5, 0.4, 4),
+    ]
+    issues = spark.createDataFrame(rows, issue).withColumns({"session_id": F.lit("s"), "ref_lap": F.lit(1), "target_lap": F.lit(2), "center_progress": F.lit(0.5)})
+    given = rules.advice(issues)
+    assert [(a.corner_number, a.phase, a.code) for a in given.orderBy("advice_number").collect()] == [
+        (1, "ENTRY", "EARLY_TURN_IN"), (1, "EXIT", "LATE_THROTTLE_APPLICATION"), (1, "EXIT", "LOW_EXIT_THROTTLE"),
+        (2, "ENTRY", "BRAKING_TOO_EARLY"), (2, "ENTRY", "EXCESSIVE_BRAKE_PRESSURE"), (2, "EXIT", "POOR_EXIT_SPEED"),
+    ]
+    plan = rules.coaching_plan(given).orderBy("focus_rank").collect()
+    assert [(p.corner_number, p.recommendation_type, p.level) for p in plan] == [(2, "brake_pressure", "primary"), (2, "braking_point", "secondary"), (1, "turn_in", "optional")]
+    assert plan[0].impact_score == pytest.approx(0.5 * 10 + 0.4 * 5 + 3)
+    assert rules.unknown_codes(issues).first().unmapped_issue_count == 1
+    throttle = rules.coaching_plan(given.where("corner_number = 1")).where("recommendation_type = 'throttle_application'").first()
+    assert throttle.code == "LOW_EXIT_THROTTLE"
+
+
+def test_unmatched_parts(spark):
+    pairs = spark.createDataFrame([("s", 1, 2)], "session_id string, ref_lap int, target_lap int")
+    exits = spark.createDataFrame([("s", 1, 1), ("s", 1, 2), ("s", 2, 1)], "session_id string, lap_number int, exit_number int")
+    matches = spark.createDataFrame([("s", 1, 2, 2, 1)], "session_id string, ref_lap int, target_lap int, ref_number int, target_number int")
+    assert [tuple(r) for r in matching.unmatched(pairs, exits, "exit_number", matches).collect()] == [("s", 1, 2, "ref", 1)]
+
+
+def test_silver_replaces_quarantine(spark, tmp_path):
+    rows = lambda *items: spark.createDataFrame(list(items), "session_id string, sample_index int, timestamp int")
+    none, path = rows(("x", 0, 0)).limit(0), str(tmp_path / "silver")
+    frames.write_silver(rows(("a/b c", 1, 1), ("b", 1, 1)), rows(("a/b c", 2, 2), ("b", 2, 2)), path)
+    frames.write_silver(rows(("a/b c", 1, 1), ("a/b c", 2, 2)), none, path)
+    read = lambda t: sorted((r.session_id, r.sample_index) for r in spark.read.parquet(f"{path}/{t}").collect())
+    assert read("valid") == [("a/b c", 1), ("a/b c", 2), ("b", 1)] and read("quarantine") == [("b", 2)]
+
+
+def test_wheels(spark):
+    wheel = "struct(" + ", ".join(f"1.0D as {f}" for f in WHEEL_FIELDS) + ")"
+    all_four = f"map('FL', {wheel}, 'FR', {wheel}, 'RL', {wheel}, 'RR', {wheel})"
+    df = spark.sql(f"select 'good' as session_id, {all_four} as wheels union all select 'bad', map('FL', {wheel}) union all select 'bad', {all_four} union all select 'more', {all_four} union all select 'more', map_concat({all_four}, map('XX', {wheel}))")
+    assert {tuple(r) for r in frames.wheel_problems(df).collect()} == {("bad", "missing_wheel"), ("more", "changing_wheels")}
+
+
+def test_metadata_datasets_and_catalogs(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    for i, n in enumerate((3, 0)):
+        (tmp_path / "m" / f"{i}.metadata.json").write_text(f'{{\n"session_id": "s{i}", "sample_count": {n}, "duration_seconds": 1.5}}')
+    assert [r.session_id for r in frames.read_metadata(spark, str(tmp_path / "m")).collect()] == ["s0"]
+    data = spark.createDataFrame([(1, 2.0, "x"), (2, None, "y")], "a int, b double, c string")
+    tables.write_csv(data, str(tmp_path / "d.csv"))
+    assert [tuple(r) for r in tables.read_dataset(spark, str(tmp_path / "d.csv"), ("a", "b"), data.schema).collect()] == [(1, 2.0)]
+    with pytest.raises(ValueError, match="lacks columns"):
+        tables.read_dataset(spark, str(tmp_path / "d.csv"), ("a", "z"))
+    tables.append_run(data, str(tmp_path / "runs"))
+    tables.append_run(data.limit(1), str(tmp_path / "runs"))
+    runs = tables.read_catalog(spark, str(tmp_path / "runs"), data.schema, multi_line=False)
+    assert runs.count() == 3 and tables.get(runs, "a", 2).count() == 1
+    with pytest.raises(KeyError):
+        tables.get(runs, "a", 9)
+    batch = spark.createDataFrame([("s", "c", "t"), ("s", "c", "t")], "session_id string, car_id string, track_id string")
+    tables.publish(batch, str(tmp_path / "out"))
+    for wrong in (batch.limit(0), batch.unionByName(batch.withColumn("car_id", F.lit("d")))):
+        with pytest.raises(ValueError, match="one session"):
+            tables.publish(wrong, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_exchange_is_checked(spark):
+    texts = spark.createDataFrame([("ok", '{"format": "lap-trace", "version": 1, "samples": [{"progress": 0.1}]}'), ("other", '{"format": "x", "samples": [{"progress": 0.1}]}'), ("new", '{"version": 2, "samples": [{"progress": 0.1}]}'), ("none", "[]"), ("bare", '[{"progress": 0.1}]')], "name string, value string")
+    assert {tuple(r) for r in trace_files.refused_exchange(texts).collect()} == {("other", "format"), ("new", "version"), ("none", "no_samples")}
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d")], "ref string, target string")
+    places = spark.createDataFrame([("a", "x", "t"), ("b", "x", "t"), ("c", "y", "t")], "name string, car_id string, track_id string")
+    assert {r.target for r in trace_files.refused_pairs(pairs, places).collect()} == {"c", "d"}
+
+
+def test_predict_and_evaluate(spark):
+    data = spark.createDataFrame([(float(x), 2.0 * x + 1, x % 3) for x in range(12)], f"{learn.FEATURE} double, {learn.TARGET} double, seed int")
+    model = learn.fit_line(data.where("seed != 2"))
+    made = learn.predict(model, data.where("seed = 2"))
+    assert all(r.prediction == pytest.approx(r[learn.TARGET]) for r in made.collect())
+    assert learn.evaluate(data, made.select(learn.FEATURE, "prediction"), spark.createDataFrame([(2,)], "seed int")).first().mae == pytest.approx(0)
+    assert learn.residuals(made).agg(F.max(F.abs("residual"))).first()[0] == pytest.approx(0)
+    with pytest.raises(ValueError, match="lacks columns"):
+        learn.predict(model, data.drop(learn.FEATURE))
+    with pytest.raises(Exception, match="lacks one of"):
+        learn.predict(model, data.withColumn(learn.FEATURE, F.lit(None).cast("double"))).collect()
+
+
+def test_live_delta_equals_interpolation(spark):
+    rng = random.Random(2)
+    points = sorted({round(rng.random(), 2) for _ in range(40)})
+    ref = spark.createDataFrame([("c", "t", p, 50 * p * p) for p in points] + [("c", "one", 0.5, 1.0)], "car_id string, track_id string, progress double, elapsed_seconds double")
+    asked = [("c", "t", p / 200, 1.0) for p in range(201)] + [("c", "t", p, 1.0) for p in points] + [("c", "one", 0.5, 1.0), ("d", "t", 0.5, 1.0)]
+    got = traces.live_delta(spark.createDataFrame(asked, "car_id string, track_id string, progress double, elapsed_seconds double"), ref).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        if (r.car_id, r.track_id) == ("c", "t"):
+            inside = points[0] <= r.progress <= points[-1]
+            assert (r.unavailable_reason is None) == inside and (not inside or r.delta_seconds == pytest.approx(1 - np.interp(r.progress, points, [50 * p * p for p in points])))
+        else:
+            assert r.unavailable_reason == ("too_few_samples" if r.car_id == "c" else "incompatible")
+
+
+def test_lap_traces_equal_a_loop(spark):
+    """Random walks of samples against a loop that keeps the last accepted one."""
+    rng, rows, want = random.Random(6), [], []
+    for source in range(4):
+        arrival = 0
+        for lap in range(4):
+            kept, p, e = [], 0.0, 0.0
+            for _ in range(30):
+                p, e = max(0.0, min(1.0, p + rng.choice((-0.02, 0.0, 0.04, 0.08)))), max(0.0, e + rng.choice((-1, 0, 1, 2)))
+                rows.append((source, arrival, lap, p, e))
+                arrival += 1
+                if kept and (e < kept[-1][1] or p < kept[-1][0]):
+                    continue
+                if kept and p == kept[-1][0]:
+                    kept[-1] = (p, e)
+                else:
+                    kept.append((p, e))
+            if lap < 3 and len(kept) >= 3 and kept[0][0] <= 0.05 and kept[-1][0] >= 0.9:
+                want += [(source, lap + 1, i, *s) for i, s in enumerate(kept)]
+    df = spark.createDataFrame(rows, "source_id int, arrival int, completed_laps int, progress double, elapsed_seconds double").withColumns({"session_number": F.lit(1), "last_time_ms": F.lit(90000)} | {c: F.lit(0.0) for c in ("speed_kmh", "throttle", "brake", "steering_angle_deg")})
+    got = events.lap_traces(df.repartition(3)).select("source_id", "lap_number", "sample_index", "progress", "elapsed_seconds").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_upsert_table_skips_and_replaces(spark, tmp_path):
     t = trace(spark, BRAKING, (*P, "brake")).withColumn("lap_time_ms", F.lit(90000))
     trace_files.write_traces(t, str(tmp_path / "t"))

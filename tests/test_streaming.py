@@ -37,6 +37,29 @@ def test_stages(spark, tmp_path):
         stages.freeze(spark, stages.Settings("x"), f"{source}/out", source)
 
 
+def test_continuous_group(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first = rows(spark, [(0, 1, 80.0, 0.5), (1, 30, 120.0, 1.5), (2, 60, 100.0, 0.5)])
+    first.write.mode("append").parquet(source)
+    for name in ("audit", "silver"):
+        (tmp_path / "out" / name).mkdir(parents=True)
+    group = stages.run_continuous(spark, source, first.schema, out, every="100 milliseconds")
+    try:
+        for _ in range(3):
+            group.drain()
+        assert spark.read.parquet(f"{out}/audit").count() == 3 and spark.read.parquet(f"{out}/silver").count() == 2
+    finally:
+        group.stop()
+    group.check()
+    assert not any(q.isActive for q in group.queries)
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        with pytest.raises(ValueError, match="other settings"):
+            stages.freeze(spark, stages.Settings(first.schema.simpleString()), out, source)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_live_events_over_batches(spark, tmp_path):
     from paddock.operators import events
     from paddock.streaming import live
