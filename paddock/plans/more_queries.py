@@ -117,12 +117,6 @@ def e9_live_delta(spark, sf_dir):
     return traces.live_delta(samples, reference).select("session_id", "lap_number", "sample_index", "delta_seconds", "unavailable_reason")
 
 
-@query()
-def e24_stray_issues(spark, sf_dir):
-    analysis = trace_queries._analysis(spark, sf_dir)
-    return trace_queries._flat(rules.stray_issues(analysis.corner_deltas, analysis.issues))
-
-
 @query(
     "SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, session_id, car_id, track_id, count(*) AS sample_count, avg(vehicle_speed_kmh) AS average_speed_kmh, max(vehicle_speed_kmh) AS maximum_speed_kmh, avg(front_pressure_psi) AS average_front_pressure_psi "
     f"FROM (SELECT *, date_trunc('day', timestamp) AS window_start, max(timestamp) OVER () AS latest FROM ({VALID_SQL})) GROUP BY window_start, session_id, car_id, track_id HAVING window_start + INTERVAL 1 DAY <= max(latest) - INTERVAL 10 SECOND",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.operators import matching, rules, traces, zones
+from paddock.plans import pair_sql
 from paddock.plans.lap_pair_pipeline import LapPairAnalysis
 from paddock.plans.session_queries import query
 from paddock.plans.views import PAIRS_SQL, TRACE_SQL, pairs, trace
@@ -68,7 +69,7 @@ def _at(side: str, c: str) -> str:
 
 
 _ALIGNED = (
-    f"{_P}, {_SEGMENTS}, {_GRID}, aligned AS (SELECT {', '.join('g.' + c for c in _PAIR.split(', '))}, g.grid_index, g.progress, "
+    f"{_P}, {_SEGMENTS}, {_GRID}, aligned AS MATERIALIZED (SELECT {', '.join('g.' + c for c in _PAIR.split(', '))}, g.grid_index, g.progress, "
     + ", ".join(f"{_at('r', c)} AS ref_{c}, {_at('q', c)} AS target_{c}" for c in traces.CHANNELS)
     + " FROM grid g ASOF JOIN segs r ON r.session_id = g.session_id AND r.lap_number = g.ref_lap AND r.x >= g.progress ASOF JOIN segs q ON q.session_id = g.session_id AND q.lap_number = g.target_lap AND q.x >= g.progress)"
 )
@@ -136,9 +137,9 @@ _WITHIN = (
     "e3 AS (SELECT *, first_value(n) OVER (PARTITION BY session_id, lap_number, zone_number ORDER BY speed_kmh, progress, n) AS apex, count(*) OVER (PARTITION BY session_id, lap_number, zone_number) AS left_over FROM e2), "
     "entries AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, lap_number ORDER BY source_braking_zone_number) AS INTEGER) AS entry_number FROM (SELECT session_id, lap_number, zone_number AS source_braking_zone_number, min(progress) AS turn_in_progress, max(progress) AS apex_progress, "
     "max(elapsed_seconds) - min(elapsed_seconds) AS entry_duration_seconds, greatest(0e0, any_value(end_elapsed_seconds) - min(elapsed_seconds)) AS brake_overlap_seconds, arg_min(speed_kmh, n) AS entry_speed_kmh, arg_max(speed_kmh, n) AS apex_speed_kmh, greatest(0e0, arg_min(speed_kmh, n) - arg_max(speed_kmh, n)) AS speed_loss_kmh, "
-    "arg_min(brake, n) AS brake_at_turn_in, arg_max(throttle, n) AS throttle_at_apex, max(abs(steering_angle_deg)) AS maximum_abs_steering_deg, avg(abs(steering_angle_deg)) AS average_abs_steering_deg, count(*) AS sample_count FROM e3 WHERE left_over >= 2 AND n <= apex GROUP BY 1, 2, 3 HAVING count(*) >= 2))"
+    "arg_min(brake, n) AS brake_at_turn_in, arg_min(throttle, n) AS throttle_at_turn_in, arg_max(throttle, n) AS throttle_at_apex, max(abs(steering_angle_deg)) AS maximum_abs_steering_deg, avg(abs(steering_angle_deg)) AS average_abs_steering_deg, count(*) AS sample_count FROM e3 WHERE left_over >= 2 AND n <= apex GROUP BY 1, 2, 3 HAVING count(*) >= 2))"
 )
-_ENTRY_DOUBLES = "turn_in_progress apex_progress entry_duration_seconds brake_overlap_seconds entry_speed_kmh apex_speed_kmh speed_loss_kmh brake_at_turn_in throttle_at_apex maximum_abs_steering_deg average_abs_steering_deg"
+_ENTRY_DOUBLES = "turn_in_progress apex_progress entry_duration_seconds brake_overlap_seconds entry_speed_kmh apex_speed_kmh speed_loss_kmh brake_at_turn_in throttle_at_turn_in throttle_at_apex maximum_abs_steering_deg average_abs_steering_deg"
 _ENTRY_COLUMNS = ("session_id", "lap_number", "entry_number", "source_braking_zone_number", "sample_count", *_ENTRY_DOUBLES.split())
 
 
@@ -157,9 +158,9 @@ _EXITS = (
     "x3 AS (SELECT * FROM (SELECT *, min(n) FILTER (n >= open AND throttle >= 0.7e0 AND abs(steering_angle_deg) <= 8) OVER (PARTITION BY session_id, lap_number, entry_number) AS done FROM x2) WHERE n <= done), "
     "exits AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, lap_number ORDER BY source_entry_number) AS INTEGER) AS exit_number FROM (SELECT session_id, lap_number, entry_number AS source_entry_number, min(progress) AS apex_progress, max(progress) AS exit_progress, max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds, "
     "max(progress) FILTER (n = open) AS throttle_application_progress, max(elapsed_seconds) FILTER (n = open) - min(elapsed_seconds) AS time_to_throttle_seconds, arg_min(speed_kmh, n) AS apex_speed_kmh, arg_max(speed_kmh, n) AS exit_speed_kmh, arg_max(speed_kmh, n) - arg_min(speed_kmh, n) AS speed_gain_kmh, "
-    "arg_max(throttle, n) AS throttle_at_exit, greatest(0e0, abs(arg_min(steering_angle_deg, n)) - abs(arg_max(steering_angle_deg, n))) AS steering_unwind_deg, max(elapsed_seconds) AS exit_elapsed_seconds, count(*) AS sample_count FROM x3 GROUP BY 1, 2, 3 HAVING count(*) >= 2))"
+    "arg_max(throttle, n) AS throttle_at_exit, abs(arg_max(steering_angle_deg, n)) AS abs_steering_at_exit_deg, greatest(0e0, abs(arg_min(steering_angle_deg, n)) - abs(arg_max(steering_angle_deg, n))) AS steering_unwind_deg, max(elapsed_seconds) AS exit_elapsed_seconds, count(*) AS sample_count FROM x3 GROUP BY 1, 2, 3 HAVING count(*) >= 2))"
 )
-_EXIT_DOUBLES = "apex_progress exit_progress duration_seconds throttle_application_progress time_to_throttle_seconds apex_speed_kmh exit_speed_kmh speed_gain_kmh throttle_at_exit steering_unwind_deg exit_elapsed_seconds"
+_EXIT_DOUBLES = "apex_progress exit_progress duration_seconds throttle_application_progress time_to_throttle_seconds apex_speed_kmh exit_speed_kmh speed_gain_kmh throttle_at_exit abs_steering_at_exit_deg steering_unwind_deg exit_elapsed_seconds"
 
 
 @query(_replace(f"{_T}, {_ZONES}, {_WITHIN}, {_EXITS} SELECT * FROM exits", _EXIT_DOUBLES))
@@ -201,32 +202,52 @@ def _analysis(spark: SparkSession, sf_dir: str) -> LapPairAnalysis:
     return LapPairAnalysis(pairs(t), t)
 
 
-#: The greedy matching depends on its order and has no SQL: brute-force tests cover it
-@query()
+_PARTS = f"{_ALIGNED}, {_ZONES}, {_WITHIN}, {_EXITS}, {_CORNERS}"
+_CHAIN = pair_sql.chain(_PARTS)
+
+
+@query(f"{_CHAIN} SELECT * FROM zone_delta", pair_sql.doubles("zone"))
 def e15_zone_deltas(spark, sf_dir):
     return _analysis(spark, sf_dir).zone_deltas
 
 
-@query()
+@query(f"{_CHAIN} SELECT * FROM entry_delta", pair_sql.doubles("entry"))
 def e16_entry_deltas(spark, sf_dir):
     return _analysis(spark, sf_dir).entry_deltas
 
 
-@query()
+@query(f"{_CHAIN} SELECT * FROM exit_delta", pair_sql.doubles("exit"))
 def e17_exit_deltas(spark, sf_dir):
     return _analysis(spark, sf_dir).exit_deltas
 
 
-@query()
+@query(f"{_CHAIN} {pair_sql.LOSSES}", pair_sql.doubles("corner"))
 def e19_corner_deltas(spark, sf_dir):
     return _analysis(spark, sf_dir).corner_deltas
 
 
-@query()
+@query(f"{_CHAIN} {pair_sql.unmatched('zone', 'zones')}")
 def e20_unmatched_zones(spark, sf_dir):
-    t = trace(spark, sf_dir)
-    zone = zones.braking_zones(t)
-    return matching.unmatched(pairs(t), zone, "zone_number", matching.match_zones(pairs(t), zone)[1])
+    a = _analysis(spark, sf_dir)
+    return matching.unmatched(a.pairs, a.zones, "zone_number", matching.match_zones(a.pairs, a.zones)[1])
+
+
+@query(f"{_CHAIN} {pair_sql.unmatched('entry', 'entries')}")
+def e20_unmatched_entries(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
+    return matching.unmatched(a.pairs, a.entries, "entry_number", matching.match_entries(a.pairs, a.entries)[1])
+
+
+@query(f"{_CHAIN} {pair_sql.unmatched('exit', 'exits')}")
+def e20_unmatched_exits(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
+    return matching.unmatched(a.pairs, a.exits, "exit_number", a.exit_deltas.select(*traces.PAIR, "ref_number", "target_number"))
+
+
+@query(f"{_CHAIN} {pair_sql.unmatched('corner', 'corners')}")
+def e20_unmatched_corners(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
+    return matching.unmatched(a.pairs, a.corners, "corner_number", a.corner_deltas.select(*traces.PAIR, "ref_number", "target_number"))
 
 
 def _flat(issues: DataFrame) -> DataFrame:
@@ -234,36 +255,42 @@ def _flat(issues: DataFrame) -> DataFrame:
     return issues.withColumns({"evidence_count": F.size("evidence"), "metric": first["metric"], "reference_value": first["reference_value"], "target_value": first["target_value"]}).drop("evidence")
 
 
-@query()
+@query(f"{_CHAIN} {pair_sql.ranked('zone')}", pair_sql.ISSUE_DOUBLES)
 def e21_braking_issues(spark, sf_dir):
     return _flat(rules.braking_issues(_analysis(spark, sf_dir).zone_deltas))
 
 
-@query()
+@query(f"{_CHAIN} {pair_sql.ranked('entry')}", pair_sql.ISSUE_DOUBLES)
 def e22_entry_issues(spark, sf_dir):
     return _flat(rules.entry_issues(_analysis(spark, sf_dir).entry_deltas))
 
 
-@query()
+@query(f"{_CHAIN} {pair_sql.ranked('exit')}", pair_sql.ISSUE_DOUBLES)
 def e23_exit_issues(spark, sf_dir):
     return _flat(rules.exit_issues(_analysis(spark, sf_dir).exit_deltas))
 
 
-@query()
+@query(f"{_CHAIN} SELECT * FROM corner_issues", pair_sql.CORNER_ISSUE_DOUBLES)
 def e24_corner_issues(spark, sf_dir):
     return _flat(_analysis(spark, sf_dir).corner_issues)
 
 
-@query()
+@query(f"{_CHAIN} SELECT * FROM issues ANTI JOIN corner_issues USING (session_id, ref_lap, target_lap, source, code, center_progress)", pair_sql.ISSUE_DOUBLES)
+def e24_stray_issues(spark, sf_dir):
+    analysis = _analysis(spark, sf_dir)
+    return _flat(rules.stray_issues(analysis.corner_deltas, analysis.issues))
+
+
+@query(f"{_CHAIN} SELECT * FROM advice", pair_sql.CORNER_ISSUE_DOUBLES)
 def e25_advice(spark, sf_dir):
     return _flat(_analysis(spark, sf_dir).advice)
 
 
-@query()
+@query(f"{_CHAIN} SELECT * FROM plan", f"{pair_sql.CORNER_ISSUE_DOUBLES} impact_score")
 def e26_coaching_plan(spark, sf_dir):
     return _flat(_analysis(spark, sf_dir).plan)
 
 
-@query()
+@query(f"{_CHAIN} {pair_sql.REPORT}", "total_time_lost_seconds total_time_gained_seconds net_delta_seconds")
 def e28_lap_pair_report(spark, sf_dir):
     return _analysis(spark, sf_dir).report

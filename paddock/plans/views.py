@@ -88,17 +88,18 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("session_id", "lap_number", F.col("l_linenumber").alias("sector_number")).agg(F.min("ms").cast("int").alias("sector_time_ms"))
 
 
+#: Two corners a lap, at c1 and c2. Laps differ in braking points, pressure, release, steering, throttle and pace, so that each kind of difference occurs
 _TRACE = {
-    "brake": "CASE WHEN p >= c1 - 0.11e0 AND p < c1 - 0.015e0 THEN 0.85e0 * (c1 - 0.015e0 - p) / 0.095e0 WHEN p >= c2 - 0.11e0 AND p < c2 - 0.015e0 THEN 0.85e0 * (c2 - 0.015e0 - p) / 0.095e0 ELSE 0e0 END",
-    "throttle": "CASE WHEN (p >= c1 - 0.11e0 AND p < c1 - 0.015e0) OR (p >= c2 - 0.11e0 AND p < c2 - 0.015e0) THEN 0e0 WHEN p >= c1 - 0.015e0 AND p <= c1 + 0.11e0 THEN least(1e0, greatest(0e0, (p - c1) / 0.11e0)) "
-    "WHEN p >= c2 - 0.015e0 AND p <= c2 + 0.11e0 THEN least(1e0, greatest(0e0, (p - c2) / 0.11e0)) ELSE 1e0 END",
-    "speed_kmh": "160e0 - (85 + 2 * (lap % 4)) * h",
-    "steering_angle_deg": "22e0 * h",
-    "elapsed_seconds": "k * (0.6e0 + 0.002e0 * (lap % 7))",
+    "brake": "CASE WHEN p >= c1 - 0.11e0 AND p < c1 - release THEN (0.75e0 + 0.05e0 * (lap % 4)) * (c1 - 0.015e0 - p) / 0.095e0 WHEN p >= c2 - 0.11e0 AND p < c2 - release THEN (0.75e0 + 0.05e0 * (lap % 4)) * (c2 - 0.015e0 - p) / 0.095e0 ELSE 0e0 END",
+    "throttle": "CASE WHEN (p >= c1 - 0.11e0 AND p < c1 - 0.015e0) OR (p >= c2 - 0.11e0 AND p < c2 - 0.015e0) THEN 0e0 WHEN p >= c1 - 0.015e0 AND p <= c1 + 0.11e0 THEN least(1e0, greatest(0e0, (p - c1) / (0.07e0 + 0.01e0 * (lap % 5)))) "
+    "WHEN p >= c2 - 0.015e0 AND p <= c2 + 0.11e0 THEN least(1e0, greatest(0e0, (p - c2) / (0.07e0 + 0.01e0 * (lap % 5)))) ELSE 1e0 END",
+    "speed_kmh": "160e0 - (85 + 3 * (lap % 4)) * h",
+    "steering_angle_deg": "(18e0 + 3 * (lap % 3)) * h",
+    "elapsed_seconds": "k * (0.6e0 + 0.006e0 * (lap % 7))",
 }
 _TRACE_NUMBERED = "SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem"
 _TRACE_PLACED = (
-    "SELECT *, 0.35e0 + (lap % 5) * 0.002e0 AS c1, 0.72e0 - (lap % 4) * 0.002e0 AS c2 FROM (SELECT l_suppkey, CAST({div} + 1 AS INTEGER) AS lap, CAST(i % 100 AS INTEGER) AS k, (i % 100) / 99e0 AS p FROM ({numbered}))"
+    "SELECT *, 0.35e0 + (lap % 5) * 0.006e0 AS c1, 0.72e0 - (lap % 4) * 0.006e0 + CASE WHEN lap % 6 = 0 THEN 0.09e0 ELSE 0e0 END AS c2, 0.015e0 + 0.01e0 * (lap % 3) AS release FROM (SELECT l_suppkey, CAST({div} + 1 AS INTEGER) AS lap, CAST(i % 100 AS INTEGER) AS k, (i % 100) / 99e0 AS p FROM ({numbered}))"
 )
 _TRACE_SHAPED = "SELECT *, greatest(0e0, 1 - abs(p - c1) / 0.11e0) + greatest(0e0, 1 - abs(p - c2) / 0.11e0) AS h FROM ({placed})"
 
