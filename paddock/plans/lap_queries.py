@@ -216,7 +216,25 @@ def c9_live_state(spark, sf_dir):
     return events.live_state(snapshots(spark, sf_dir), seconds=0.5).select("source_id", "arrival", "live_state")
 
 
-@query()
+_STRETCHES = f"SELECT *, sum(CASE WHEN coalesce(completed_laps <> before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, session_number ORDER BY arrival) AS stretch FROM (SELECT *, lag(completed_laps) OVER (PARTITION BY source_id, session_number ORDER BY arrival) AS before FROM ({_SESSIONS_SQL}))"
+_CHANNELS = "progress, elapsed_seconds, speed_kmh, throttle, brake, steering_angle_deg"
+_SAMPLE = "{'i': arrival, " + ", ".join(f"'{c}': {c}" for c in _CHANNELS.split(", ")) + "}"
+_ACCEPT = (
+    "list_reduce(list_transform(list(s ORDER BY arrival), lambda x: {'m': [x]}), lambda kept, x: CASE WHEN x.m[1].elapsed_seconds < kept.m[-1].elapsed_seconds OR x.m[1].progress < kept.m[-1].progress THEN kept "
+    "WHEN x.m[1].progress = kept.m[-1].progress THEN {'m': list_concat(kept.m[:-2], x.m)} ELSE {'m': list_concat(kept.m, x.m)} END).m"
+)
+_LAP_TRACES = (
+    f"SELECT source_id, session_number, laps + 1 AS lap_number, lap_time_ms, unnest(range(len(kept))) AS sample_index, unnest(kept) AS s FROM (SELECT *, lag(laps) OVER w AS laps_before, lead(laps) OVER w AS laps_after, lead(first_time) OVER w AS lap_time_ms "
+    f"FROM (SELECT source_id, session_number, stretch, arg_min(completed_laps, arrival) AS laps, arg_min(progress, arrival) AS p, arg_min(elapsed_seconds, arrival) AS e, arg_min(last_time_ms, arrival) AS first_time, {_ACCEPT} AS kept "
+    f"FROM (SELECT *, {_SAMPLE} AS s FROM ({_STRETCHES})) GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY source_id, session_number ORDER BY stretch)) "
+    "WHERE (coalesce(laps_before < laps, false) OR (p <= 0.05e0 AND e <= 5e0)) AND laps_after > laps AND lap_time_ms > 0 AND len(kept) >= 3 AND kept[1].progress <= 0.05e0 AND kept[-1].progress >= 0.9e0"
+)
+
+
+@query(
+    f"SELECT source_id, session_number, lap_number, lap_time_ms, CAST(sample_index AS INTEGER) AS sample_index, {', '.join(f's.{c} AS {c}' for c in _CHANNELS.split(', '))} FROM ({_LAP_TRACES})",
+    _CHANNELS.replace(",", ""),
+)
 def c5_lap_traces(spark, sf_dir):
-    """Lap traces with the order-dependent acceptance of samples: checked on small fixtures."""
+    """Lap traces with the order-dependent acceptance of samples."""
     return events.lap_traces(events.sessionize(snapshots(spark, sf_dir)), end=0.9)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.functions import snapshots
 from paddock.functions.storage import shared_folder, stored
-from paddock.operators import catalog, laps, rules, sessions, traces
+from paddock.operators import catalog, laps, sessions, traces
 from paddock.plans import trace_queries
 from paddock.plans.lap_queries import _BEST_SECTORS, _TABLES, snapshots as snapshot_view
 from paddock.plans.session_queries import VALID_SQL, _gold_sql, _plain_times, _valid, query
-from paddock.plans.views import LAPS_SQL, TRACE_SQL, trace
+from paddock.plans.views import LAPS_SQL, SECTORS_SQL, TRACE_SQL, trace
 from paddock.plans.views import laps as laps_view
 from paddock.plans.views import sectors as sectors_view
+from paddock.sources import tables
 from paddock.streaming import stages
 
 #: Raw counters from events: single value or array of four
@@ -57,10 +59,36 @@ def b13_trace_availability(spark, sf_dir):
     return traces.availability(lap, files.withColumn("sample_count", F.when(F.col("sample_count") == 0, 1).otherwise(99)))
 
 
-@query(f"SELECT session_id, row_count, duration_seconds, CAST(metrics->>'sample_count' AS BIGINT) AS stored_samples FROM (SELECT session_id, sample_count AS row_count, duration_seconds, to_json({{'sample_count': sample_count}}) AS metrics FROM ({_gold_sql(VALID_SQL)}))")
+_STORED = ("average_speed_kmh", "maximum_speed_kmh", "fuel_used_l", "maximum_braking_g", "valid_row_percentage")
+
+
+@query(
+    f"SELECT session_id, sample_count AS row_count, duration_seconds, sample_count AS stored_samples, 1 AS schema_version, {', '.join(f'{m} AS stored_{m}' for m in _STORED)} FROM ({_gold_sql(VALID_SQL)})",
+    "duration_seconds " + " ".join(f"stored_{m}" for m in _STORED),
+)
 def a26_metrics_store(spark, sf_dir):
+    """Metrics of the stored JSON map beside the rows that it was made from."""
     store = catalog.metrics_store(sessions.gold_summary(_valid(spark, sf_dir), None))
-    return store.select("session_id", "row_count", "duration_seconds", F.get_json_object("metrics", "$.sample_count").cast("long").alias("stored_samples"))
+    of = lambda m: F.get_json_object("metrics", f"$.{m}")
+    return store.select("session_id", "row_count", "duration_seconds", of("sample_count").cast("long").alias("stored_samples"), "schema_version", *(of(m).cast("double").alias(f"stored_{m}") for m in _STORED))
+
+
+@query(f"{_TABLES} SELECT session_id, CAST(sum(best_sector_time_ms) AS BIGINT) AS theoretical_best_ms FROM ({_BEST_SECTORS}) WHERE session_id = (SELECT max(session_id) FROM ({_BEST_SECTORS})) GROUP BY session_id")
+def e29_analysis_by_id(spark, sf_dir):
+    """One stored report, looked up by its id."""
+    history = laps.history(laps_view(spark, sf_dir), sectors_view(spark, sf_dir)).where("theoretical_best_ms is not null")
+    kept = stored(catalog.store_analyses(history, F.concat(F.lit("a-"), "session_id"), F.lit("2024-01-01").cast("timestamp")), "analyses")
+    wanted = kept.agg(F.max("analysis_id")).first()[0]
+    return tables.get(kept, "analysis_id", wanted).select("session_id", F.get_json_object("report", "$.theoretical_best_ms").cast("long").alias("theoretical_best_ms"))
+
+
+@query(f"SELECT l.session_id, l.lap_number, lap_time_ms, sector_number, sector_time_ms FROM ({LAPS_SQL}) l JOIN ({SECTORS_SQL}) s ON s.session_id = l.session_id AND s.lap_number = l.lap_number WHERE l.session_id = (SELECT min(session_id) FROM ({LAPS_SQL}))")
+def e30_listed_laps(spark, sf_dir):
+    """Laps of a session and the sectors of each, by lookups."""
+    lap = laps_view(spark, sf_dir)
+    first = lap.agg(F.min("session_id")).first()[0]
+    found = catalog.listed(lap, ("lap_number",), session_id=first).select("session_id", "lap_number", "lap_time_ms")
+    return found.join(catalog.listed(sectors_view(spark, sf_dir), ("lap_number", "sector_number"), session_id=first), ["session_id", "lap_number"])
 
 
 @query(f"{_TABLES} SELECT session_id, concat('a-', session_id) AS analysis_id, CAST(theoretical AS BIGINT) AS theoretical_best_ms FROM (SELECT session_id, sum(best_sector_time_ms) AS theoretical FROM ({_BEST_SECTORS}) GROUP BY session_id) ORDER BY (SELECT max(occurred_at) FROM laps l WHERE l.session_id = session_id), analysis_id DESC LIMIT 15")
@@ -74,14 +102,21 @@ def e29_stored_analyses(spark, sf_dir):
 _COUNTS = f"SELECT session_id, lap_number, count(*) AS n, any_value(car_id) AS car_id FROM ({TRACE_SQL}) GROUP BY 1, 2"
 
 
-@query(f"SELECT session_id, lap_number, CASE WHEN CAST(substr(session_id, 2) AS BIGINT) % 4 = 0 THEN 'car' ELSE 'sample_count' END AS mismatch FROM ({_COUNTS}) WHERE (CAST(substr(session_id, 2) AS BIGINT) % 4 = 0) OR lap_number = 3")
+_N = "CAST(substr(session_id, 2) AS BIGINT)"
+_MISMATCH = f"concat_ws(',', CASE WHEN {_N} % 4 = 0 THEN 'car' END, CASE WHEN {_N} % 6 = 0 THEN 'track' END, CASE WHEN lap_number = 2 THEN 'lap_time' END, CASE WHEN lap_number = 3 OR {_N} % 5 = 0 THEN 'sample_count' END)"
+
+
+@query(f"SELECT * FROM (SELECT session_id, lap_number, {_MISMATCH} AS mismatches FROM ({_COUNTS})) WHERE mismatches <> ''")
 def e31_trace_consistency(spark, sf_dir):
+    """Every kind of mismatch, alone and with others."""
     t = trace(spark, sf_dir)
     per_lap = t.groupBy(*traces.LAP).agg(F.count("*").alias("n"), F.first("car_id").alias("car_id"), F.first("track_id").alias("track_id")).withColumn("lap_time_ms", F.lit(1))
     number = F.substring("session_id", 2, 20).cast("long")
-    files = per_lap.withColumn("sample_count", F.when(F.col("lap_number") == 3, F.col("n") + 1).otherwise(F.col("n")))
-    owners = t.select("session_id", "car_id", "track_id").distinct().withColumn("car_id", F.when(number % 4 == 0, "another").otherwise(F.col("car_id")))
-    return traces.consistency(files, owners, per_lap, t).select(*traces.LAP, F.col("mismatches")[0].alias("mismatch"))
+    wrong = (F.col("lap_number") == 3) | (number % 5 == 0)
+    files = per_lap.withColumns({"sample_count": F.when(wrong, F.col("n") + 1).otherwise(F.col("n")), "lap_time_ms": F.when(F.col("lap_number") == 2, 2).otherwise(1)})
+    owners = t.select("session_id", "car_id", "track_id").distinct()
+    owners = owners.withColumns({"car_id": F.when(number % 4 == 0, "another").otherwise(F.col("car_id")), "track_id": F.when(number % 6 == 0, "another").otherwise(F.col("track_id"))})
+    return traces.consistency(files, owners, per_lap, t).select(*traces.LAP, F.array_join("mismatches", ",").alias("mismatches"))
 
 
 _PROBE = "SELECT session_id, ref_lap, target_lap, 0.21e0 + 0.03e0 * (target_lap % 5) AS position FROM pairs"
@@ -102,19 +137,40 @@ _BEST = f"SELECT car_id, track_id, first(session_id ORDER BY e, session_id, lap_
 _REFERENCE = "SELECT car_id, track_id, progress AS x, elapsed_seconds AS e, lag(progress) OVER w AS px, lag(elapsed_seconds) OVER w AS pe FROM t SEMI JOIN best USING (car_id, track_id, session_id, lap_number) WINDOW w AS (PARTITION BY car_id, track_id ORDER BY progress)"
 
 
-@query(
+_LIVE_SQL = (
     f"SELECT * REPLACE (round(delta_seconds + 1e-9, 6) AS delta_seconds) FROM (WITH t AS MATERIALIZED ({TRACE_SQL}), best AS ({_BEST}), r AS MATERIALIZED ({_REFERENCE}), s AS (SELECT session_id, lap_number, sample_index, car_id, track_id, progress + 0.003e0 AS p, elapsed_seconds FROM t) "
     "SELECT s.session_id, s.lap_number, s.sample_index, s.elapsed_seconds - CASE WHEN p = x THEN e ELSE pe + (e - pe) * ((p - px) / (x - px)) END AS delta_seconds, CASE WHEN NOT EXISTS (SELECT 1 FROM best b WHERE b.car_id = s.car_id AND b.track_id = s.track_id) THEN 'incompatible' WHEN r.e IS NULL OR (px IS NULL AND p <> x) THEN 'not_covered' END AS unavailable_reason "
     "FROM s ASOF LEFT JOIN r ON r.car_id = s.car_id AND r.track_id = s.track_id AND r.x >= s.p)"
 )
+
+
+@query(_LIVE_SQL)
 def e9_live_delta(spark, sf_dir):
     """All samples, a little further on, against the best complete lap of their car and track; one car has none."""
+    return traces.live_delta(*_live(spark, sf_dir)).select(*_DELTA)
+
+
+@query(_LIVE_SQL)
+def h10_live_delta(spark, sf_dir):
+    """The same on a stream of samples, which meets the stored reference laps."""
+    samples, reference = _live(spark, sf_dir)
+    run = f"{shared_folder(spark)}/deltas-{uuid.uuid4().hex}"
+    samples.write.parquet(f"{run}/in")
+    made = traces.live_delta(stages.read_stream(spark, f"{run}/in", samples.schema, 1000), stored(reference, "reference")).select(*_DELTA)
+    stages.start(made, f"{run}/out", "deltas").awaitTermination()
+    return spark.read.parquet(f"{run}/out/deltas")
+
+
+_DELTA = ("session_id", "lap_number", "sample_index", "delta_seconds", "unavailable_reason")
+
+
+def _live(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = trace(spark, sf_dir)
     whole = t.groupBy("session_id", "lap_number", "car_id", "track_id").agg(F.max("elapsed_seconds").alias("e"), F.count(F.lit(1)).alias("n")).where("n = 100 and car_id <> 'car4'")
     best = whole.groupBy("car_id", "track_id").agg(F.min(F.struct("e", "session_id", "lap_number")).alias("b")).select("car_id", "track_id", "b.session_id", "b.lap_number")
     reference = t.join(best, ["car_id", "track_id", "session_id", "lap_number"], "left_semi")
     samples = t.withColumn("progress", F.col("progress") + 0.003).select("session_id", "lap_number", "sample_index", "car_id", "track_id", "progress", "elapsed_seconds")
-    return traces.live_delta(samples, reference).select("session_id", "lap_number", "sample_index", "delta_seconds", "unavailable_reason")
+    return samples, reference
 
 
 @query(

@@ -12,13 +12,15 @@ from paddock.schemas import WHEELS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: SQL before its doubles are rounded, for queries that build on others
+UNROUNDED: dict[str, str] = {}
 
 
 def query(sql: str | None = None, doubles: str = ""):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
-            SQL[f.__name__] = rounded_sql(sql, doubles) if doubles else sql
+            SQL[f.__name__], UNROUNDED[f.__name__] = rounded_sql(sql, doubles) if doubles else sql, sql
         return f
 
     return add

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.functions.storage import shared_folder
+from paddock.functions.storage import shared_folder, stored
 from paddock.operators import catalog, learn, parity, quality, setups, traces
 from paddock.plans import lap_queries
-from paddock.plans.session_queries import AUDIT_SQL, ONCE_SQL, VALID_SQL, _once, _valid, query
+from paddock.plans.session_queries import AUDIT_SQL, ONCE_SQL, UNROUNDED, VALID_SQL, _once, _valid, query
 from paddock.plans.views import CHANNELS, LAPS_SQL, TELEMETRY_SQL, TRACE_SQL, laps, telemetry, trace
 from paddock.sources import frames, kafka
 from paddock.sources import traces as trace_files
@@ -196,13 +196,33 @@ def e1_setup_diff(spark, sf_dir):
     return setups.setup_diff(_setup_values(spark, sf_dir), spark.sql(_SETUP_PAIRS.replace("FROM part", "FROM paddock_part")).where("new_setup is not null"))
 
 
-@query()
+def _long_sql(name: str, area: str, wheel: bool, drop: str = "") -> str:
+    keys = "session_id, wheel" if wheel else "session_id"
+    numbers = f"SELECT {keys}, CAST(COLUMNS(* EXCLUDE ({keys}{drop})) AS DOUBLE) FROM ({UNROUNDED[name]})"
+    return f"SELECT session_id, '{area}' AS area, {'wheel' if wheel else repr('all')} AS wheel, metric, value FROM ({numbers}) UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE ({keys}))))"
+
+
+_REPORTS = " UNION ALL ".join(
+    (
+        _long_sql("d4_tyre_report", "tyre", True), _long_sql("c13_first_last_windows", "brake", True), _long_sql("d5_brake_report", "brake", False, ", sample_count"),
+        _long_sql("d6_suspension_report", "suspension", True), _long_sql("d7_dynamics_report", "dynamics", False, ", sample_count"),
+    )
+)
+
+
+@query(
+    f"WITH reports AS MATERIALIZED ({_REPORTS}), places AS (SELECT DISTINCT session_id, car_id, track_id, CAST(substr(session_id, 2) AS BIGINT) AS n FROM ({VALID_SQL})) "
+    "SELECT b.session_id AS baseline_session, c.session_id AS candidate_session, x.area, x.wheel, x.metric, x.value AS baseline_value, y.value AS candidate_value, y.value - x.value AS delta "
+    "FROM places b JOIN places c ON c.n = b.n + 15 AND c.car_id = b.car_id AND c.track_id = b.track_id JOIN reports x ON x.session_id = b.session_id "
+    "JOIN reports y ON y.session_id = c.session_id AND y.area = x.area AND y.wheel = x.wheel AND y.metric = x.metric",
+    "baseline_value candidate_value delta",
+)
 def e2_experiment_comparison(spark, sf_dir):
-    """Session pairs on the same car and track; its reports have SQL of their own (d4 to d7)."""
+    """Session pairs on the same car and track."""
     valid = _valid(spark, sf_dir)
     ids = valid.select("session_id", F.substring("session_id", 2, 20).cast("long").alias("n")).distinct()
     pairs = ids.select(F.col("session_id").alias("baseline_session"), F.concat(F.lit("s"), F.col("n") + 15).alias("candidate_session"))
-    return setups.compare_experiments(pairs, valid)
+    return setups.compare_experiments(pairs, stored(valid, "valid"))
 
 
 #: Sweeps derived from parts: one per brand, seeds by part
@@ -246,16 +266,20 @@ def d12_sweep_correlations(spark, sf_dir):
     return setups.sweep_correlations(_sweep(spark, sf_dir).drop("point_id", "seed"))
 
 
+_AXLES = [f"{a}_{m}" for m in setups.AXLE_METRICS for a in ("front", "rear")]
+
+
 @query(
-    f"SELECT sweep_id, parameter_value, avg(front_slip_angle_deg) FILTER (seed < 2) AS front_slip_angle_deg, avg(front_slip_angle_deg) FILTER (seed >= 2) AS rear_slip_angle_deg FROM ({SWEEP_SQL}) GROUP BY 1, 2",
-    "front_slip_angle_deg rear_slip_angle_deg",
-)
+    "SELECT sweep_id, parameter_value, " + ", ".join(f"avg({k} * front_slip_angle_deg + rear_slip_angle_deg) FILTER (seed {'< 2' if a == 'front' else '>= 2'}) AS {a}_{m}" for k, m in enumerate(setups.AXLE_METRICS) for a in ("front", "rear"))
+    + f" FROM ({SWEEP_SQL}) GROUP BY 1, 2",
+    " ".join(_AXLES),
+)
 def d15_sweep_rollup(spark, sf_dir):
     """Seeds stand in for wheels."""
     wheel = F.element_at(F.array(*map(F.lit, ("FL", "FR", "RL", "RR", "RR"))), (F.col("seed") + 1).cast("int"))
-    none = {m: F.lit(None).cast("double") for m in ("pressure_psi", "core_temp_c", "brake_temp_c", "suspension_travel_mm")}
-    rows = _sweep(spark, sf_dir).withColumns({"wheel": wheel, "slip_angle_deg": F.col("front_slip_angle_deg")} | none)
-    return setups.sweep_rollup(rows).select("sweep_id", "parameter_value", "front_slip_angle_deg", "rear_slip_angle_deg")
+    metrics = {m: F.lit(k) * F.col("front_slip_angle_deg") + F.col("rear_slip_angle_deg") for k, m in enumerate(setups.AXLE_METRICS)}
+    rows = _sweep(spark, sf_dir).withColumns({"wheel": wheel} | metrics)
+    return setups.sweep_rollup(rows).select("sweep_id", "parameter_value", *_AXLES)
 
 
 _DATASET = f"SELECT s.seed, point_id, parameter_value - b AS parameter_delta_from_baseline, abs(parameter_value - b) AS absolute_parameter_delta_from_baseline, front_slip_angle_deg FROM ({SWEEP_SQL}) s JOIN (SELECT seed, avg(parameter_value) AS b FROM ({SWEEP_SQL}) GROUP BY seed) USING (seed)"
@@ -311,14 +335,21 @@ def d13_run_analytics(spark, sf_dir):
     return learn.run_analytics(spark.sql(_RUNS.replace("FROM supplier", "FROM paddock_supplier")))
 
 
+_FASTER = f"SELECT *, CASE WHEN event_id % 89 = 3 THEN vehicle_speed_kmh + 1 ELSE vehicle_speed_kmh END AS faster FROM ({VALID_SQL})"
+_FAR = "abs({0} - {1}) > greatest(1e-6 * greatest(abs({0}), abs({1})), 1e-6)"
+_FAILED = f"CAST({_FAR.format('ma', 'mb')} AS INTEGER) + CAST({_FAR.format('aa', 'ab')} AS INTEGER)"
+
+
 @query(
-    f"SELECT session_id, count(*) AS a_rows, count(*) AS b_rows, 0 AS unpaired_frames, max(CASE WHEN event_id % 89 = 3 THEN 1 ELSE 0 END) AS touched FROM ({VALID_SQL}) GROUP BY session_id".replace("0 AS unpaired_frames", "CAST(0 AS BIGINT) AS unpaired_frames")
+    f"SELECT session_id, n AS a_rows, n AS b_rows, CAST(0 AS BIGINT) AS unpaired_frames, {_FAILED} AS failed_metrics, greatest(abs(ma - mb), abs(aa - ab)) AS maximum_difference, {_FAILED} = 0 AS is_equal "
+    f"FROM (SELECT session_id, count(*) AS n, max(vehicle_speed_kmh) AS ma, max(faster) AS mb, avg(vehicle_speed_kmh) AS aa, avg(faster) AS ab FROM ({_FASTER}) GROUP BY session_id)",
+    "maximum_difference",
 )
 def e32_parity(spark, sf_dir):
     """Silver against a copy with a faster speed in some frames: those sessions differ."""
     a = _valid(spark, sf_dir)
     b = a.withColumn("vehicle_speed_kmh", F.when(F.col("event_id") % 89 == 3, F.col("vehicle_speed_kmh") + 1).otherwise(F.col("vehicle_speed_kmh")))
-    return parity.compare(a, b).select("session_id", "a_rows", "b_rows", "unpaired_frames", (~F.col("is_equal")).cast("int").alias("touched"))
+    return parity.compare(a, b)
 
 
 @query(f"SELECT session_id, lap_number, CAST(count(*) AS INTEGER) - 1 AS last_index, max(progress) AS last_progress FROM ({TRACE_SQL}) GROUP BY 1, 2", "last_progress")

@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical(got) == canonical(expected)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"e2_experiment_comparison"}))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     df = registry.queries()[name](spark, DIR)
     assert all(t[:5] not in ("array", "struc", "map<") for _, t in df.dtypes)
