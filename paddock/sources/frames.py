@@ -94,9 +94,12 @@ def new_sessions(rows: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def write_table(rows: DataFrame, path: str, mode: str = "append", partitions: tuple[str, ...] = PARTITIONS) -> None:
-    """Parquet by date, car, track and session; rows of a task are in time order. ``overwrite`` replaces only the partitions it has rows for."""
-    order = [c for c in ("session_id", "timestamp", "sample_index") if c in rows.columns]
-    rows.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    """Parquet by date, car, track and session; rows of a task are in time order. ``overwrite`` replaces only the partitions it has rows for.
+
+    Rows are first brought together by partition, so that each has few files; a large partition is split over tasks at run time.
+    """
+    order = [*partitions, *(c for c in ("session_id", "timestamp", "sample_index") if c in rows.columns and c not in partitions)]
+    rows.hint("rebalance", *partitions).sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def write_silver(valid: DataFrame, quarantined: DataFrame, path: str, partitions: tuple[str, ...] = ("session_id",)) -> None:

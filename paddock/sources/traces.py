@@ -19,7 +19,8 @@ def numbered(samples: DataFrame) -> DataFrame:
 
 def write_traces(samples: DataFrame, path: str) -> None:
     """The trace table; a lap that is written again replaces its partition."""
-    numbered(require_columns(samples, REQUIRED)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "lap_number").parquet(path)
+    rows = numbered(require_columns(samples, REQUIRED)).hint("rebalance", *LAP).sortWithinPartitions(*LAP, "sample_index")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "lap_number").parquet(path)
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
