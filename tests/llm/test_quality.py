@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paddock.llm import common, quality_classifier, quality_rules, toxicity, trees
 from paddock.llm.common import held_out
+from paddock.llm.statistics import statistics
 
 DIR = "/root/testdata/sf0.01"
 
@@ -38,6 +39,38 @@ def test_base_counts(spark):
         assert g.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (g.kept and g.base_failed)
 
 
+def slow_features(text: str) -> list[float]:
+    """The statistics one by one, from their definitions."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return [0.0] * 20
+    n, _, symbols, copies, repeats = slow_base(text)
+    body = "".join(words)
+    chars = len(body)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    count = lambda marks: sum(body.count(m) for m in marks)
+    ascii_letters = sum(c.isascii() and c.isalpha() for c in body)
+    digits = sum(c in "0123456789" for c in body)
+    foreign = sum(not c.isascii() for c in body)
+    known = ascii_letters + digits + count(".,!?;:'\"-()") + symbols
+    return [
+        np.log1p(n), chars / n, symbols / chars, copies / len(lines), repeats / n, sum("A" <= c <= "Z" for c in body) / chars,
+        digits / chars, count("!") / n, count("|") / n, count(".") / n, count(",") / n,
+        len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, sum(len(w.encode()) > 24 for w in words) / n, sum(len(w.encode()) == 1 for w in words) / n,
+        np.log1p(n / len(lines)), foreign / chars, max(0, chars - known - foreign) / chars, count('"') / n, count("()[]{}") / n,
+    ]
+
+
+def test_features_against_brute_force():
+    rows = [r for r in ["", " \n ", "é x\x0by\n\né x\x0by", "a b c d e f a b c d e f g", "Ab, ab! | (x) \"q\" #1 2 2 2 " * 9, "ß" * 30 + " \x01\x7f"]]
+    import pyarrow.parquet as pq
+
+    rows += pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()[:150]
+    got = statistics(rows)[1]
+    for text, g in zip(rows, got, strict=True):
+        assert g == pytest.approx(slow_features(text), abs=1e-12), text[:80]
+
+
 def test_monotone_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
