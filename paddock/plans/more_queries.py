@@ -27,8 +27,10 @@ _RAW_SQL = "SELECT event_id, " + ", ".join(f"{e} AS {n}" for n, e in _RAW.items(
 
 
 @query(
-    "SELECT event_id, gear_raw - 1 AS vehicle_gear, least(1e0, greatest(0e0, gas)) AS vehicle_throttle, least(1e0, greatest(0e0, brake_raw)) AS vehicle_brake, degrees(steer_angle_rad) AS vehicle_steering_angle_deg, greatest(0e0, fuel_l) AS vehicle_fuel_l, "
-    f"least(1e0, greatest(0e0, surface_grip)) AS environment_grip_level, (event_id % 40 + 2) * 0.3e0 * 3.6e0 AS rl_wheel_speed_kmh, (event_id % 9 + 3) / 100e0 * 1000e0 AS rr_suspension_travel_mm FROM ({_RAW_SQL})",
+    "SELECT event_id, gear_raw - 1 AS vehicle_gear, least(1e0, greatest(0e0, gas)) AS vehicle_throttle, least(1e0, greatest(0e0, brake_raw)) "
+    "AS vehicle_brake, degrees(steer_angle_rad) AS vehicle_steering_angle_deg, greatest(0e0, fuel_l) AS vehicle_fuel_l, "
+    "least(1e0, greatest(0e0, surface_grip)) AS environment_grip_level, (event_id % 40 + 2) * 0.3e0 * 3.6e0 AS rl_wheel_speed_kmh, "
+    f"(event_id % 9 + 3) / 100e0 * 1000e0 AS rr_suspension_travel_mm FROM ({_RAW_SQL})",
     "vehicle_throttle vehicle_brake vehicle_steering_angle_deg vehicle_fuel_l environment_grip_level rl_wheel_speed_kmh rr_suspension_travel_mm",
 )
 def b1_unit_normalisation(spark, sf_dir):
@@ -48,7 +50,10 @@ def b2_code_names(spark, sf_dir):
     return snapshot_view(spark, sf_dir).groupBy("source_id", "status", "session_type").agg(F.count("*").alias("snapshots"))
 
 
-_REASON = "CASE WHEN lap_key % 6 = 0 THEN 'missing_trace' WHEN lap_key % 7 = 0 THEN 'version_mismatch' WHEN lap_key % 5 = 0 THEN 'too_few_samples' WHEN lap_key % 11 = 0 THEN 'missing_file' END"
+_REASON = (
+    "CASE WHEN lap_key % 6 = 0 THEN 'missing_trace' WHEN lap_key % 7 = 0 THEN 'version_mismatch' WHEN lap_key % 5 = 0 THEN 'too_few_samples' "
+    "WHEN lap_key % 11 = 0 THEN 'missing_file' END"
+)
 
 
 @query(f"SELECT session_id, lap_number, {_REASON} AS unavailable_reason FROM ({LAPS_SQL})")
@@ -63,7 +68,8 @@ _STORED = ("average_speed_kmh", "maximum_speed_kmh", "fuel_used_l", "maximum_bra
 
 
 @query(
-    f"SELECT session_id, sample_count AS row_count, duration_seconds, sample_count AS stored_samples, 1 AS schema_version, {', '.join(f'{m} AS stored_{m}' for m in _STORED)} FROM ({_gold_sql(VALID_SQL)})",
+    "SELECT session_id, sample_count AS row_count, duration_seconds, sample_count AS stored_samples, 1 AS schema_version, "
+    f"{', '.join(f'{m} AS stored_{m}' for m in _STORED)} FROM ({_gold_sql(VALID_SQL)})",
     "duration_seconds " + " ".join(f"stored_{m}" for m in _STORED),
 )
 def a26_metrics_store(spark, sf_dir):
@@ -73,7 +79,10 @@ def a26_metrics_store(spark, sf_dir):
     return store.select("session_id", "row_count", "duration_seconds", of("sample_count").cast("long").alias("stored_samples"), "schema_version", *(of(m).cast("double").alias(f"stored_{m}") for m in _STORED))
 
 
-@query(f"{_TABLES} SELECT session_id, CAST(sum(best_sector_time_ms) AS BIGINT) AS theoretical_best_ms FROM ({_BEST_SECTORS}) WHERE session_id = (SELECT max(session_id) FROM ({_BEST_SECTORS})) GROUP BY session_id")
+@query(
+    f"{_TABLES} SELECT session_id, CAST(sum(best_sector_time_ms) AS BIGINT) AS theoretical_best_ms FROM ({_BEST_SECTORS}) "
+    f"WHERE session_id = (SELECT max(session_id) FROM ({_BEST_SECTORS})) GROUP BY session_id"
+)
 def e29_analysis_by_id(spark, sf_dir):
     """One stored report, looked up by its id."""
     history = laps.history(laps_view(spark, sf_dir), sectors_view(spark, sf_dir)).where("theoretical_best_ms is not null")
@@ -82,7 +91,10 @@ def e29_analysis_by_id(spark, sf_dir):
     return tables.get(kept, "analysis_id", wanted).select("session_id", F.get_json_object("report", "$.theoretical_best_ms").cast("long").alias("theoretical_best_ms"))
 
 
-@query(f"SELECT l.session_id, l.lap_number, lap_time_ms, sector_number, sector_time_ms FROM ({LAPS_SQL}) l JOIN ({SECTORS_SQL}) s ON s.session_id = l.session_id AND s.lap_number = l.lap_number WHERE l.session_id = (SELECT min(session_id) FROM ({LAPS_SQL}))")
+@query(
+    f"SELECT l.session_id, l.lap_number, lap_time_ms, sector_number, sector_time_ms FROM ({LAPS_SQL}) l "
+    f"JOIN ({SECTORS_SQL}) s ON s.session_id = l.session_id AND s.lap_number = l.lap_number WHERE l.session_id = (SELECT min(session_id) FROM ({LAPS_SQL}))"
+)
 def e30_listed_laps(spark, sf_dir):
     """Laps of a session and the sectors of each, by lookups."""
     lap = laps_view(spark, sf_dir)
@@ -91,7 +103,11 @@ def e30_listed_laps(spark, sf_dir):
     return found.join(catalog.listed(sectors_view(spark, sf_dir), ("lap_number", "sector_number"), session_id=first), ["session_id", "lap_number"])
 
 
-@query(f"{_TABLES} SELECT session_id, concat('a-', session_id) AS analysis_id, CAST(theoretical AS BIGINT) AS theoretical_best_ms FROM (SELECT session_id, sum(best_sector_time_ms) AS theoretical FROM ({_BEST_SECTORS}) GROUP BY session_id) ORDER BY (SELECT max(occurred_at) FROM laps l WHERE l.session_id = session_id), analysis_id DESC LIMIT 15")
+@query(
+    f"{_TABLES} SELECT session_id, concat('a-', session_id) AS analysis_id, CAST(theoretical AS BIGINT) AS theoretical_best_ms "
+    f"FROM (SELECT session_id, sum(best_sector_time_ms) AS theoretical FROM ({_BEST_SECTORS}) GROUP BY session_id) ORDER BY (SELECT max(occurred_at) "
+    "FROM laps l WHERE l.session_id = session_id), analysis_id DESC LIMIT 15"
+)
 def e29_stored_analyses(spark, sf_dir):
     """Reports stored as JSON; the latest fifteen (all of one time, so by id)."""
     history = laps.history(laps_view(spark, sf_dir), sectors_view(spark, sf_dir)).where("theoretical_best_ms is not null")
@@ -103,7 +119,10 @@ _COUNTS = f"SELECT session_id, lap_number, count(*) AS n, any_value(car_id) AS c
 
 
 _N = "CAST(substr(session_id, 2) AS BIGINT)"
-_MISMATCH = f"concat_ws(',', CASE WHEN {_N} % 4 = 0 THEN 'car' END, CASE WHEN {_N} % 6 = 0 THEN 'track' END, CASE WHEN lap_number = 2 THEN 'lap_time' END, CASE WHEN lap_number = 3 OR {_N} % 5 = 0 THEN 'sample_count' END)"
+_MISMATCH = (
+    f"concat_ws(',', CASE WHEN {_N} % 4 = 0 THEN 'car' END, CASE WHEN {_N} % 6 = 0 THEN 'track' END, CASE WHEN lap_number = 2 THEN 'lap_time' END, CASE "
+    f"WHEN lap_number = 3 OR {_N} % 5 = 0 THEN 'sample_count' END)"
+)
 
 
 @query(f"SELECT * FROM (SELECT session_id, lap_number, {_MISMATCH} AS mismatches FROM ({_COUNTS})) WHERE mismatches <> ''")
@@ -123,8 +142,13 @@ _PROBE = "SELECT session_id, ref_lap, target_lap, 0.21e0 + 0.03e0 * (target_lap
 
 
 @query(
-    f"SELECT * REPLACE (round(time_delta_seconds + 1e-9, 6) AS time_delta_seconds) FROM ({trace_queries._ALIGNED}, probes AS ({_PROBE}), pts AS (SELECT *, target_elapsed_seconds - ref_elapsed_seconds AS d, lag(progress) OVER w AS px, lag(target_elapsed_seconds - ref_elapsed_seconds) OVER w AS pd FROM aligned WINDOW w AS (PARTITION BY session_id, ref_lap, target_lap ORDER BY grid_index)) "
-    "SELECT p.session_id, p.ref_lap, p.target_lap, round(p.position + 1e-9, 6) AS position, pd + (d - pd) * ((p.position - px) / (progress - px)) AS time_delta_seconds FROM probes p ASOF LEFT JOIN pts a ON a.session_id = p.session_id AND a.ref_lap = p.ref_lap AND a.target_lap = p.target_lap AND a.progress >= p.position)"
+    "SELECT * REPLACE (round(time_delta_seconds + 1e-9, 6) AS time_delta_seconds) "
+    f"FROM ({trace_queries._ALIGNED}, probes AS ({_PROBE}), pts AS (SELECT *, target_elapsed_seconds - ref_elapsed_seconds AS d, lag(progress) OVER w "
+    "AS px, lag(target_elapsed_seconds - ref_elapsed_seconds) OVER w AS pd FROM aligned WINDOW w AS (PARTITION BY session_id, ref_lap, target_lap "
+    "ORDER BY grid_index)) "
+    "SELECT p.session_id, p.ref_lap, p.target_lap, round(p.position + 1e-9, 6) AS position, pd + (d - pd) * ((p.position - px) / (progress - px)) "
+    "AS time_delta_seconds FROM probes p ASOF LEFT JOIN pts a ON a.session_id = p.session_id AND a.ref_lap = p.ref_lap AND a.target_lap = p.target_lap "
+    "AND a.progress >= p.position)"
 )
 def e8_time_delta_probes(spark, sf_dir):
     analysis = trace_queries._analysis(spark, sf_dir)
@@ -133,13 +157,24 @@ def e8_time_delta_probes(spark, sf_dir):
 
 
 #: The reference lap of a car and track: of complete laps the one of least time, ties by session and lap
-_BEST = f"SELECT car_id, track_id, first(session_id ORDER BY e, session_id, lap_number) AS session_id, first(lap_number ORDER BY e, session_id, lap_number) AS lap_number FROM (SELECT session_id, lap_number, car_id, track_id, max(elapsed_seconds) AS e FROM ({TRACE_SQL}) GROUP BY ALL HAVING count(*) = 100 AND car_id <> 'car4') GROUP BY car_id, track_id"
-_REFERENCE = "SELECT car_id, track_id, progress AS x, elapsed_seconds AS e, lag(progress) OVER w AS px, lag(elapsed_seconds) OVER w AS pe FROM t SEMI JOIN best USING (car_id, track_id, session_id, lap_number) WINDOW w AS (PARTITION BY car_id, track_id ORDER BY progress)"
+_BEST = (
+    "SELECT car_id, track_id, first(session_id ORDER BY e, session_id, lap_number) AS session_id, first(lap_number "
+    f"ORDER BY e, session_id, lap_number) AS lap_number FROM (SELECT session_id, lap_number, car_id, track_id, max(elapsed_seconds) AS e FROM ({TRACE_SQL}) "
+    "GROUP BY ALL HAVING count(*) = 100 AND car_id <> 'car4') GROUP BY car_id, track_id"
+)
+_REFERENCE = (
+    "SELECT car_id, track_id, progress AS x, elapsed_seconds AS e, lag(progress) OVER w AS px, lag(elapsed_seconds) OVER w AS pe FROM t SEMI "
+    "JOIN best USING (car_id, track_id, session_id, lap_number) WINDOW w AS (PARTITION BY car_id, track_id ORDER BY progress)"
+)
 
 
 _LIVE_SQL = (
-    f"SELECT * REPLACE (round(delta_seconds + 1e-9, 6) AS delta_seconds) FROM (WITH t AS MATERIALIZED ({TRACE_SQL}), best AS ({_BEST}), r AS MATERIALIZED ({_REFERENCE}), s AS (SELECT session_id, lap_number, sample_index, car_id, track_id, progress + 0.003e0 AS p, elapsed_seconds FROM t) "
-    "SELECT s.session_id, s.lap_number, s.sample_index, s.elapsed_seconds - CASE WHEN p = x THEN e ELSE pe + (e - pe) * ((p - px) / (x - px)) END AS delta_seconds, CASE WHEN NOT EXISTS (SELECT 1 FROM best b WHERE b.car_id = s.car_id AND b.track_id = s.track_id) THEN 'incompatible' WHEN r.e IS NULL OR (px IS NULL AND p <> x) THEN 'not_covered' END AS unavailable_reason "
+    f"SELECT * REPLACE (round(delta_seconds + 1e-9, 6) AS delta_seconds) FROM (WITH t AS MATERIALIZED ({TRACE_SQL}), best AS ({_BEST}), r "
+    f"AS MATERIALIZED ({_REFERENCE}), s AS (SELECT session_id, lap_number, sample_index, car_id, track_id, progress + 0.003e0 AS p, elapsed_seconds FROM t) "
+    "SELECT s.session_id, s.lap_number, s.sample_index, s.elapsed_seconds - CASE WHEN p = x THEN e "
+    "ELSE pe + (e - pe) * ((p - px) / (x - px)) END AS delta_seconds, CASE WHEN NOT EXISTS (SELECT 1 FROM best b "
+    "WHERE b.car_id = s.car_id AND b.track_id = s.track_id) THEN 'incompatible' "
+    "WHEN r.e IS NULL OR (px IS NULL AND p <> x) THEN 'not_covered' END AS unavailable_reason "
     "FROM s ASOF LEFT JOIN r ON r.car_id = s.car_id AND r.track_id = s.track_id AND r.x >= s.p)"
 )
 
@@ -174,8 +209,10 @@ def _live(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    "SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, session_id, car_id, track_id, count(*) AS sample_count, avg(vehicle_speed_kmh) AS average_speed_kmh, max(vehicle_speed_kmh) AS maximum_speed_kmh, avg(front_pressure_psi) AS average_front_pressure_psi "
-    f"FROM (SELECT *, date_trunc('day', timestamp) AS window_start, max(timestamp) OVER () AS latest FROM ({VALID_SQL})) GROUP BY window_start, session_id, car_id, track_id HAVING window_start + INTERVAL 1 DAY <= max(latest) - INTERVAL 10 SECOND",
+    "SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, session_id, car_id, track_id, count(*) AS sample_count, avg(vehicle_speed_kmh) "
+    "AS average_speed_kmh, max(vehicle_speed_kmh) AS maximum_speed_kmh, avg(front_pressure_psi) AS average_front_pressure_psi "
+    f"FROM (SELECT *, date_trunc('day', timestamp) AS window_start, max(timestamp) OVER () AS latest FROM ({VALID_SQL})) "
+    "GROUP BY window_start, session_id, car_id, track_id HAVING window_start + INTERVAL 1 DAY <= max(latest) - INTERVAL 10 SECOND",
     "average_speed_kmh maximum_speed_kmh average_front_pressure_psi",
 )
 def h3_closed_windows(spark, sf_dir):

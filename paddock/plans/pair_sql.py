@@ -34,7 +34,8 @@ def _matched(name: str, part: str, number: str, fields: tuple[str, ...], center:
     else:
         near, score = f"{distance} <= 0.05e0", f"'b': {distance}"
     candidate = (
-        f"{name}_cand AS MATERIALIZED (SELECT {', '.join('p.' + k for k in _KEYS)}, r.{number} AS ref_number, q.{number} AS target_number, {columns}, {{'place': {at('r')}, 'ref': r.{number}, {score}, 'target': q.{number}}} AS entry "
+        f"{name}_cand AS MATERIALIZED (SELECT {', '.join('p.' + k for k in _KEYS)}, r.{number} AS ref_number, q.{number} AS target_number, {columns}, "
+        f"{{'place': {at('r')}, 'ref': r.{number}, {score}, 'target': q.{number}}} AS entry "
         f"FROM pairs p JOIN {part} r ON r.session_id = p.session_id AND r.lap_number = p.ref_lap JOIN {part} q ON q.session_id = p.session_id AND q.lap_number = p.target_lap WHERE {near})"
     )
     fold = (
@@ -50,8 +51,10 @@ def _matched(name: str, part: str, number: str, fields: tuple[str, ...], center:
     changed = ", ".join(f"({value(b)}) - ({value(a)}) AS {n}" for n, (a, b) in changes.items())
     change = "time_delta_change_seconds"
     delta = (
-        f"{name}_delta AS MATERIALIZED (SELECT *, CASE WHEN {change} IS NOT NULL THEN greatest(0e0, {change}) END AS time_lost_seconds, CASE WHEN {change} IS NOT NULL THEN greatest(0e0, -{change}) END AS time_gained_seconds "
-        f"FROM (SELECT c.* EXCLUDE (entry), {deltas}, {changed} FROM {name}_cand c SEMI JOIN {name}_match m ON {' AND '.join(f'm.{k} = c.{k}' for k in (*_KEYS, 'ref_number', 'target_number'))} {joins}))"
+        f"{name}_delta AS MATERIALIZED (SELECT *, CASE WHEN {change} IS NOT NULL THEN greatest(0e0, {change}) END AS time_lost_seconds, CASE "
+        f"WHEN {change} IS NOT NULL THEN greatest(0e0, -{change}) END AS time_gained_seconds "
+        f"FROM (SELECT c.* EXCLUDE (entry), {deltas}, {changed} FROM {name}_cand c SEMI "
+        f"JOIN {name}_match m ON {' AND '.join(f'm.{k} = c.{k}' for k in (*_KEYS, 'ref_number', 'target_number'))} {joins}))"
     )
     return f"{candidate}, {match}, {delta}"
 
@@ -70,7 +73,8 @@ MATCHES = {
 }
 FIELDS = {"zone": matching.ZONE, "entry": matching.ENTRY, "exit": matching.EXIT, "corner": matching.CORNER}
 LOSSES = (
-    "SELECT *, greatest(0e0, coalesce(time_to_apex_change_seconds, 0e0)) AS entry_time_loss_seconds, greatest(0e0, coalesce(exit_time_change_seconds, 0e0)) AS exit_time_loss_seconds FROM corner_delta"
+    "SELECT *, greatest(0e0, coalesce(time_to_apex_change_seconds, 0e0)) AS entry_time_loss_seconds, greatest(0e0, coalesce(exit_time_change_seconds, "
+    "0e0)) AS exit_time_loss_seconds FROM corner_delta"
 )
 
 
@@ -113,8 +117,10 @@ ISSUES = {
 def _issues(kind: str) -> str:
     source, center, found = ISSUES[kind]
     return f"{kind}_issue AS (" + " UNION ALL ".join(
-        f"SELECT {PAIR}, '{source}' AS source, '{code}' AS code, {center} AS center_progress, CASE WHEN time_lost_seconds >= 0.4e0 THEN 'HIGH' WHEN time_lost_seconds >= 0.15e0 THEN 'MEDIUM' ELSE 'LOW' END AS severity, "
-        f"time_lost_seconds AS time_loss_seconds, ref_number AS reference_number, {n} AS evidence_count, '{metric}' AS metric, ref_{field} AS reference_value, target_{field} AS target_value FROM {kind}_delta WHERE time_lost_seconds >= 0.05e0 AND ({condition})"
+        f"SELECT {PAIR}, '{source}' AS source, '{code}' AS code, {center} AS center_progress, CASE WHEN time_lost_seconds >= 0.4e0 THEN 'HIGH' "
+        "WHEN time_lost_seconds >= 0.15e0 THEN 'MEDIUM' ELSE 'LOW' END AS severity, "
+        f"time_lost_seconds AS time_loss_seconds, ref_number AS reference_number, {n} AS evidence_count, '{metric}' AS metric, ref_{field} AS reference_value, "
+        f"target_{field} AS target_value FROM {kind}_delta WHERE time_lost_seconds >= 0.05e0 AND ({condition})"
         for code, condition, metric, field, n in found
     ) + ")"
 
@@ -131,33 +137,47 @@ def ranked(kind: str) -> str:
 
 _LEVEL = "CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END"
 _DIAGNOSIS = (
-    f"diagnosis AS (SELECT {PAIR}, ref_number AS corner_number, ref_start_progress, ref_exit_progress, coalesce(time_lost_seconds, 0e0) AS time_lost_seconds, coalesce(time_gained_seconds, 0e0) AS time_gained_seconds, entry_time_loss_seconds, exit_time_loss_seconds, "
-    "CASE WHEN entry_time_loss_seconds <= 0 AND exit_time_loss_seconds <= 0 THEN 'NONE' WHEN abs(entry_time_loss_seconds - exit_time_loss_seconds) <= 0.03e0 THEN 'BALANCED' WHEN entry_time_loss_seconds > exit_time_loss_seconds THEN 'ENTRY' ELSE 'EXIT' END AS dominant_phase, "
+    f"diagnosis AS (SELECT {PAIR}, ref_number AS corner_number, ref_start_progress, ref_exit_progress, coalesce(time_lost_seconds, 0e0) "
+    "AS time_lost_seconds, coalesce(time_gained_seconds, 0e0) AS time_gained_seconds, entry_time_loss_seconds, exit_time_loss_seconds, "
+    "CASE WHEN entry_time_loss_seconds <= 0 AND exit_time_loss_seconds <= 0 THEN 'NONE' "
+    "WHEN abs(entry_time_loss_seconds - exit_time_loss_seconds) <= 0.03e0 THEN 'BALANCED' "
+    "WHEN entry_time_loss_seconds > exit_time_loss_seconds THEN 'ENTRY' ELSE 'EXIT' END AS dominant_phase, "
     f"minimum_speed_kmh_delta, apex_speed_kmh_delta, exit_speed_kmh_delta FROM ({LOSSES}))"
 )
 _CORNER_ISSUES = (
-    f"corner_issues AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY {PAIR}, corner_number ORDER BY {_LEVEL}, time_loss_seconds DESC, center_progress, code) AS INTEGER) AS rank "
+    f"corner_issues AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY {PAIR}, corner_number "
+    f"ORDER BY {_LEVEL}, time_loss_seconds DESC, center_progress, code) AS INTEGER) AS rank "
     f"FROM diagnosis JOIN issues USING ({PAIR}) WHERE center_progress BETWEEN ref_start_progress - 0.02e0 AND ref_exit_progress + 0.02e0)"
 )
 _TEMPLATES = "templates(source, code, recommendation_type, phase) AS (VALUES " + ", ".join(str(t) for t in rules.TEMPLATES) + ")"
 _ADVICE = (
-    f"advice AS MATERIALIZED (SELECT * EXCLUDE (rank), severity AS priority, CAST(row_number() OVER (PARTITION BY {PAIR} ORDER BY corner_number, phase, source, code, rank) AS INTEGER) AS advice_number "
+    f"advice AS MATERIALIZED (SELECT * EXCLUDE (rank), severity AS priority, CAST(row_number() OVER (PARTITION BY {PAIR} "
+    "ORDER BY corner_number, phase, source, code, rank) AS INTEGER) AS advice_number "
     "FROM corner_issues JOIN templates USING (source, code) WHERE time_lost_seconds >= 0.05e0)"
 )
 _BY = "impact_score DESC, corner_number, phase, recommendation_type"
 _PLAN = (
-    "scored AS (SELECT *, greatest(0e0, time_lost_seconds) * 10e0 + greatest(0e0, time_loss_seconds) * 5e0 + CASE priority WHEN 'HIGH' THEN 3e0 WHEN 'MEDIUM' THEN 2e0 ELSE 1e0 END AS impact_score FROM advice), "
+    "scored AS (SELECT *, greatest(0e0, time_lost_seconds) * 10e0 + greatest(0e0, time_loss_seconds) * 5e0 + CASE priority WHEN 'HIGH' THEN 3e0 "
+    "WHEN 'MEDIUM' THEN 2e0 ELSE 1e0 END AS impact_score FROM advice), "
     f"best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY {PAIR}, corner_number, recommendation_type ORDER BY impact_score DESC, advice_number) = 1), "
     f"few AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY {PAIR}, corner_number ORDER BY {_BY}) <= 2), "
-    f"plan AS MATERIALIZED (SELECT *, CASE focus_rank WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary' ELSE 'optional' END AS level FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {PAIR} ORDER BY {_BY}) AS INTEGER) AS focus_rank FROM few) WHERE focus_rank <= 3)"
+    "plan AS MATERIALIZED (SELECT *, CASE focus_rank WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary' ELSE 'optional' END AS level "
+    f"FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {PAIR} ORDER BY {_BY}) AS INTEGER) AS focus_rank FROM few) WHERE focus_rank <= 3)"
 )
 REPORT = (
-    "SELECT *, total_time_lost_seconds - total_time_gained_seconds AS net_delta_seconds, CASE WHEN total_time_lost_seconds - total_time_gained_seconds > 0.01e0 THEN 'LOSING_TIME' WHEN total_time_lost_seconds - total_time_gained_seconds < -0.01e0 THEN 'GAINING_TIME' ELSE 'NEUTRAL' END AS trend, considered - focus_count AS suppressed FROM ("
-    f"SELECT {PAIR}, coalesce(corner_count, 0) AS corner_count, coalesce(corners_with_loss, 0) AS corners_with_loss, coalesce(lost, 0e0) AS total_time_lost_seconds, coalesce(gained, 0e0) AS total_time_gained_seconds, primary_problem_corner, coalesce(issue_count, 0) AS issue_count, "
+    "SELECT *, total_time_lost_seconds - total_time_gained_seconds AS net_delta_seconds, CASE "
+    "WHEN total_time_lost_seconds - total_time_gained_seconds > 0.01e0 THEN 'LOSING_TIME' "
+    "WHEN total_time_lost_seconds - total_time_gained_seconds < -0.01e0 THEN 'GAINING_TIME' "
+    "ELSE 'NEUTRAL' END AS trend, considered - focus_count AS suppressed FROM ("
+    f"SELECT {PAIR}, coalesce(corner_count, 0) AS corner_count, coalesce(corners_with_loss, 0) AS corners_with_loss, coalesce(lost, 0e0) "
+    "AS total_time_lost_seconds, coalesce(gained, 0e0) AS total_time_gained_seconds, primary_problem_corner, coalesce(issue_count, 0) AS issue_count, "
     "coalesce(considered, 0) AS considered, coalesce(affected_corners, 0) AS affected_corners, coalesce(focus_count, 0) AS focus_count, primary_focus FROM pairs "
-    "LEFT JOIN (SELECT session_id, ref_lap, target_lap, count(*) AS corner_count, CAST(count(*) FILTER (time_lost_seconds > 0) AS BIGINT) AS corners_with_loss, sum(time_lost_seconds) AS lost, sum(time_gained_seconds) AS gained, "
-    f"first(corner_number ORDER BY time_lost_seconds DESC, corner_number) FILTER (time_lost_seconds > 0) AS primary_problem_corner FROM diagnosis GROUP BY {PAIR}) USING ({PAIR}) LEFT JOIN (SELECT {PAIR}, count(*) AS issue_count FROM issues GROUP BY {PAIR}) USING ({PAIR}) "
-    f"LEFT JOIN (SELECT {PAIR}, count(*) AS considered, count(DISTINCT corner_number) AS affected_corners FROM advice GROUP BY {PAIR}) USING ({PAIR}) LEFT JOIN (SELECT {PAIR}, count(*) AS focus_count, arg_min(recommendation_type, focus_rank) AS primary_focus FROM plan GROUP BY {PAIR}) USING ({PAIR}))"
+    "LEFT JOIN (SELECT session_id, ref_lap, target_lap, count(*) AS corner_count, CAST(count(*) FILTER (time_lost_seconds > 0) AS BIGINT) "
+    "AS corners_with_loss, sum(time_lost_seconds) AS lost, sum(time_gained_seconds) AS gained, "
+    "first(corner_number ORDER BY time_lost_seconds DESC, corner_number) FILTER (time_lost_seconds > 0) AS primary_problem_corner FROM diagnosis "
+    f"GROUP BY {PAIR}) USING ({PAIR}) LEFT JOIN (SELECT {PAIR}, count(*) AS issue_count FROM issues GROUP BY {PAIR}) USING ({PAIR}) "
+    f"LEFT JOIN (SELECT {PAIR}, count(*) AS considered, count(DISTINCT corner_number) AS affected_corners FROM advice GROUP BY {PAIR}) USING ({PAIR}) LEFT "
+    f"JOIN (SELECT {PAIR}, count(*) AS focus_count, arg_min(recommendation_type, focus_rank) AS primary_focus FROM plan GROUP BY {PAIR}) USING ({PAIR}))"
 )
 
 

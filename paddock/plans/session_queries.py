@@ -98,7 +98,8 @@ _GOLD_DOUBLES = (
 def _gold_sql(source: str) -> str:
     return (
         "SELECT session_id, min(car_id) AS car_id, min(track_id) AS track_id, min(setup_id) AS setup_id, min(session_type) AS session_type, min(telemetry_source) AS telemetry_source, "
-        "min(timestamp) AS started_at, max(timestamp) AS ended_at, max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds, count(*) AS sample_count, max(vehicle_speed_kmh) AS maximum_speed_kmh, "
+        "min(timestamp) AS started_at, max(timestamp) AS ended_at, max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds, count(*) AS sample_count, "
+        "max(vehicle_speed_kmh) AS maximum_speed_kmh, "
         "avg(vehicle_speed_kmh) AS average_speed_kmh, avg(vehicle_rpm) AS average_rpm, avg(vehicle_throttle) AS average_throttle, avg(vehicle_brake) AS average_brake, "
         "max(abs(vehicle_lateral_g)) AS maximum_lateral_g, greatest(0e0, -min(vehicle_longitudinal_g)) AS maximum_braking_g, "
         "greatest(0e0, arg_min(vehicle_fuel_l, sample_index) - arg_max(vehicle_fuel_l, sample_index)) AS fuel_used_l, "
@@ -126,7 +127,8 @@ _D2 = (*sessions._AVERAGES[:6], "front_slip_angle_deg", "rear_slip_angle_deg")
 
 
 @query(
-    "SELECT session_id, car_id, track_id, count(*) AS sample_count, max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds, max(vehicle_speed_kmh) AS maximum_speed_kmh, avg(vehicle_speed_kmh) AS average_speed_kmh, "
+    "SELECT session_id, car_id, track_id, count(*) AS sample_count, max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds, "
+    "max(vehicle_speed_kmh) AS maximum_speed_kmh, avg(vehicle_speed_kmh) AS average_speed_kmh, "
     + ", ".join(f"avg({c}) AS average_{c}" for c in _D2) + f", avg(CASE WHEN is_valid THEN 1e0 ELSE 0e0 END) * 100e0 AS valid_row_percentage FROM ({AUDIT_SQL}) GROUP BY session_id, car_id, track_id",
     "duration_seconds maximum_speed_kmh average_speed_kmh valid_row_percentage " + " ".join(f"average_{c}" for c in _D2),
 )
@@ -135,8 +137,10 @@ def d2_sql_summary(spark, sf_dir):
 
 
 @query(
-    "SELECT session_id, count(*) AS sample_count, greatest(0e0, max(vehicle_speed_kmh)) AS maximum_speed_kmh, greatest(0e0, max(abs(vehicle_lateral_g))) AS maximum_lateral_g, greatest(0e0, -min(vehicle_longitudinal_g)) AS maximum_braking_g, "
-    f"greatest(0e0, arg_min(vehicle_fuel_l, sample_index) - arg_max(vehicle_fuel_l, sample_index)) AS fuel_used_l, arg_max(elapsed_seconds, sample_index) - arg_min(elapsed_seconds, sample_index) AS duration_seconds FROM ({VALID_SQL}) GROUP BY session_id",
+    "SELECT session_id, count(*) AS sample_count, greatest(0e0, max(vehicle_speed_kmh)) AS maximum_speed_kmh, greatest(0e0, max(abs(vehicle_lateral_g))) "
+    "AS maximum_lateral_g, greatest(0e0, -min(vehicle_longitudinal_g)) AS maximum_braking_g, "
+    "greatest(0e0, arg_min(vehicle_fuel_l, sample_index) - arg_max(vehicle_fuel_l, sample_index)) AS fuel_used_l, arg_max(elapsed_seconds, "
+    f"sample_index) - arg_min(elapsed_seconds, sample_index) AS duration_seconds FROM ({VALID_SQL}) GROUP BY session_id",
     "maximum_speed_kmh maximum_lateral_g maximum_braking_g fuel_used_l duration_seconds",
 )
 def d3_session_metrics(spark, sf_dir):
@@ -145,13 +149,18 @@ def d3_session_metrics(spark, sf_dir):
 
 def _long_sql(fields: str, source: str = VALID_SQL) -> str:
     parts = (f"SELECT session_id, sample_index, __first, __last, '{w}' AS wheel, {', '.join(f'{w.lower()}_{f} AS {f}' for f in fields.split())} FROM ends" for w in WHEELS)
-    ends = f"SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sample_index) <= 20 AS __first, row_number() OVER (PARTITION BY session_id ORDER BY sample_index DESC) <= 20 AS __last FROM ({source})"
+    ends = (
+        "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sample_index) <= 20 AS __first, row_number() OVER (PARTITION BY session_id "
+        f"ORDER BY sample_index DESC) <= 20 AS __last FROM ({source})"
+    )
     return f"WITH ends AS ({ends}) " + " UNION ALL ".join(parts)
 
 
 @query(
-    "SELECT session_id, wheel, avg(pressure_psi) AS average_pressure_psi, avg(tyre_temp_core_c) AS average_core_temp_c, avg(brake_temp_c) AS average_brake_temp_c, avg(load_n) AS average_load_n, greatest(0e0, max(tyre_temp_core_c)) AS maximum_core_temp_c, "
-    "greatest(0e0, max(brake_temp_c)) AS maximum_brake_temp_c, greatest(0e0, max(suspension_travel_mm)) AS maximum_suspension_travel_mm, max(abs(slip_ratio)) AS maximum_slip_ratio, max(abs(slip_angle_deg)) AS maximum_slip_angle_deg "
+    "SELECT session_id, wheel, avg(pressure_psi) AS average_pressure_psi, avg(tyre_temp_core_c) AS average_core_temp_c, avg(brake_temp_c) "
+    "AS average_brake_temp_c, avg(load_n) AS average_load_n, greatest(0e0, max(tyre_temp_core_c)) AS maximum_core_temp_c, "
+    "greatest(0e0, max(brake_temp_c)) AS maximum_brake_temp_c, greatest(0e0, max(suspension_travel_mm)) AS maximum_suspension_travel_mm, "
+    "max(abs(slip_ratio)) AS maximum_slip_ratio, max(abs(slip_angle_deg)) AS maximum_slip_angle_deg "
     f"FROM ({_long_sql('pressure_psi tyre_temp_core_c brake_temp_c load_n suspension_travel_mm slip_ratio slip_angle_deg')}) GROUP BY session_id, wheel",
     "average_pressure_psi average_core_temp_c average_brake_temp_c average_load_n maximum_core_temp_c maximum_brake_temp_c maximum_suspension_travel_mm maximum_slip_ratio maximum_slip_angle_deg",
 )
@@ -161,7 +170,8 @@ def d3_wheel_metrics(spark, sf_dir):
 
 _TYRE = "SELECT session_id, wheel, avg(pressure_psi) AS average_pressure_psi, " + ", ".join(f"avg(tyre_temp_{p}_c) AS average_{p}_temp_c" for p in ("inner", "middle", "outer", "core")) + (
     ", max(tyre_temp_core_c) AS peak_core_temp_c, avg(pressure_psi) FILTER (__first) AS starting_pressure_psi, avg(pressure_psi) FILTER (__last) AS ending_pressure_psi, "
-    f"avg(tyre_temp_core_c) FILTER (__first) AS starting_core_temp_c, avg(tyre_temp_core_c) FILTER (__last) AS ending_core_temp_c FROM ({_long_sql('pressure_psi tyre_temp_inner_c tyre_temp_middle_c tyre_temp_outer_c tyre_temp_core_c')}) GROUP BY session_id, wheel"
+    "avg(tyre_temp_core_c) FILTER (__first) AS starting_core_temp_c, avg(tyre_temp_core_c) FILTER (__last) AS ending_core_temp_c "
+    f"FROM ({_long_sql('pressure_psi tyre_temp_inner_c tyre_temp_middle_c tyre_temp_outer_c tyre_temp_core_c')}) GROUP BY session_id, wheel"
 )
 _THREE = "average_inner_temp_c, average_middle_temp_c, average_outer_temp_c"
 
@@ -176,9 +186,12 @@ def d4_tyre_report(spark, sf_dir):
 
 
 _EVENTS_SQL = (
-    "SELECT session_id, event_number, min(elapsed_seconds) AS started_at_seconds, arg_max(coalesce(next_elapsed, elapsed_seconds), sample_index) AS ended_at_seconds, count(*) AS sample_count, max(vehicle_brake) AS peak_brake, "
-    "arg_max(coalesce(next_elapsed, elapsed_seconds), sample_index) - min(elapsed_seconds) AS duration_seconds FROM (SELECT *, sum(CASE WHEN braking AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY sample_index) AS event_number "
-    "FROM (SELECT *, coalesce(lag(braking) OVER w, false) AS was FROM (SELECT *, vehicle_brake >= 0.1e0 AS braking, lead(elapsed_seconds) OVER (PARTITION BY session_id ORDER BY sample_index) AS next_elapsed "
+    "SELECT session_id, event_number, min(elapsed_seconds) AS started_at_seconds, arg_max(coalesce(next_elapsed, elapsed_seconds), sample_index) "
+    "AS ended_at_seconds, count(*) AS sample_count, max(vehicle_brake) AS peak_brake, "
+    "arg_max(coalesce(next_elapsed, elapsed_seconds), sample_index) - min(elapsed_seconds) AS duration_seconds FROM (SELECT *, sum(CASE "
+    "WHEN braking AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY sample_index) AS event_number "
+    "FROM (SELECT *, coalesce(lag(braking) OVER w, false) AS was FROM (SELECT *, vehicle_brake >= 0.1e0 AS braking, lead(elapsed_seconds) "
+    "OVER (PARTITION BY session_id ORDER BY sample_index) AS next_elapsed "
     f"FROM ({VALID_SQL})) WINDOW w AS (PARTITION BY session_id ORDER BY sample_index))) WHERE braking GROUP BY session_id, event_number"
 )
 
@@ -192,7 +205,8 @@ _BRAKE_WHEELS = "average_temperature_c peak_temperature_c starting_temperature_c
 
 
 @query(
-    "SELECT session_id, wheel, avg(brake_temp_c) AS average_temperature_c, max(brake_temp_c) AS peak_temperature_c, avg(brake_temp_c) FILTER (__first) AS starting_temperature_c, avg(brake_temp_c) FILTER (__last) AS ending_temperature_c, "
+    "SELECT session_id, wheel, avg(brake_temp_c) AS average_temperature_c, max(brake_temp_c) AS peak_temperature_c, avg(brake_temp_c) FILTER (__first) "
+    "AS starting_temperature_c, avg(brake_temp_c) FILTER (__last) AS ending_temperature_c, "
     f"avg(brake_temp_c) FILTER (__last) - avg(brake_temp_c) FILTER (__first) AS temperature_gain_c FROM ({_long_sql('brake_temp_c')}) GROUP BY session_id, wheel",
     _BRAKE_WHEELS,
 )
@@ -201,9 +215,11 @@ def c13_first_last_windows(spark, sf_dir):
 
 
 @query(
-    "SELECT session_id, count(*) AS sample_count, greatest(0e0, max(vehicle_brake)) AS maximum_brake_input, coalesce(avg(vehicle_brake) FILTER (vehicle_brake >= 0.1e0), 0e0) AS average_brake_input_during_events, "
+    "SELECT session_id, count(*) AS sample_count, greatest(0e0, max(vehicle_brake)) AS maximum_brake_input, "
+    "coalesce(avg(vehicle_brake) FILTER (vehicle_brake >= 0.1e0), 0e0) AS average_brake_input_during_events, "
     "(avg(fl_brake_temp_c) + avg(fr_brake_temp_c)) / 2 AS average_front_temperature_c, (avg(rl_brake_temp_c) + avg(rr_brake_temp_c)) / 2 AS average_rear_temperature_c, "
-    "(avg(fl_brake_temp_c) + avg(fr_brake_temp_c)) / 2 - (avg(rl_brake_temp_c) + avg(rr_brake_temp_c)) / 2 AS front_rear_temperature_delta_c, coalesce(any_value(n), 0) AS braking_event_count, coalesce(any_value(d), 0e0) AS average_braking_event_duration_seconds "
+    "(avg(fl_brake_temp_c) + avg(fr_brake_temp_c)) / 2 - (avg(rl_brake_temp_c) + avg(rr_brake_temp_c)) / 2 AS front_rear_temperature_delta_c, "
+    "coalesce(any_value(n), 0) AS braking_event_count, coalesce(any_value(d), 0e0) AS average_braking_event_duration_seconds "
     f"FROM ({VALID_SQL}) LEFT JOIN (SELECT session_id, count(*) AS n, avg(duration_seconds) AS d FROM ({_EVENTS_SQL}) GROUP BY session_id) USING (session_id) GROUP BY session_id",
     "maximum_brake_input average_brake_input_during_events average_front_temperature_c average_rear_temperature_c front_rear_temperature_delta_c average_braking_event_duration_seconds",
 )
@@ -212,9 +228,11 @@ def d5_brake_report(spark, sf_dir):
 
 
 _SUSPENSION = (
-    "SELECT session_id, wheel, avg(suspension_travel_mm) AS average_travel_mm, max(suspension_travel_mm) AS maximum_travel_mm, avg(load_n) AS average_load_n, max(load_n) AS maximum_load_n, min(load_n) AS minimum_load_n, "
+    "SELECT session_id, wheel, avg(suspension_travel_mm) AS average_travel_mm, max(suspension_travel_mm) AS maximum_travel_mm, avg(load_n) "
+    "AS average_load_n, max(load_n) AS maximum_load_n, min(load_n) AS minimum_load_n, "
     "CAST(sum(CASE WHEN suspension_travel_mm >= 75 AND NOT coalesce(before >= 75, false) THEN 1 ELSE 0 END) AS BIGINT) AS bottoming_event_count FROM "
-    f"(SELECT *, lag(suspension_travel_mm) OVER (PARTITION BY session_id, wheel ORDER BY sample_index) AS before FROM ({_long_sql('suspension_travel_mm load_n')})) GROUP BY session_id, wheel"
+    "(SELECT *, lag(suspension_travel_mm) OVER (PARTITION BY session_id, wheel ORDER BY sample_index) AS before "
+    f"FROM ({_long_sql('suspension_travel_mm load_n')})) GROUP BY session_id, wheel"
 )
 
 
@@ -234,7 +252,8 @@ _AXLE_PARTS = {
 
 
 @query(
-    "SELECT *, front_average_travel_mm - rear_average_travel_mm AS front_rear_travel_delta_mm, left_average_load_n - right_average_load_n AS left_right_load_delta_n FROM (SELECT session_id, "
+    "SELECT *, front_average_travel_mm - rear_average_travel_mm AS front_rear_travel_delta_mm, left_average_load_n - right_average_load_n "
+    "AS left_right_load_delta_n FROM (SELECT session_id, "
     + ", ".join(f"({_of(a, c)} + {_of(b, c)}) / 2 AS {n}" for n, (a, b, c) in _AXLE_PARTS.items()) + f", CAST(sum(bottoming_event_count) AS BIGINT) AS bottoming_event_count FROM ({_SUSPENSION}) GROUP BY session_id)",
     "front_average_travel_mm rear_average_travel_mm left_average_load_n right_average_load_n front_rear_travel_delta_mm left_right_load_delta_n",
 )
@@ -250,10 +269,13 @@ _SHARE = "coalesce(count(*) FILTER (state = '{0}') * 1e0 / nullif(count(*) FILTE
 
 
 @query(
-    "SELECT session_id, count(*) AS sample_count, count(*) FILTER (state <> 'straight') AS cornering_sample_count, greatest(0e0, max(abs(vehicle_lateral_g))) AS maximum_lateral_g, greatest(0e0, max(vehicle_longitudinal_g)) AS maximum_acceleration_g, "
-    "greatest(0e0, -min(vehicle_longitudinal_g)) AS maximum_braking_g, avg(abs(vehicle_steering_angle_deg)) AS average_absolute_steering_deg, max(abs(vehicle_steering_angle_deg)) AS maximum_absolute_steering_deg, "
+    "SELECT session_id, count(*) AS sample_count, count(*) FILTER (state <> 'straight') AS cornering_sample_count, greatest(0e0, "
+    "max(abs(vehicle_lateral_g))) AS maximum_lateral_g, greatest(0e0, max(vehicle_longitudinal_g)) AS maximum_acceleration_g, "
+    "greatest(0e0, -min(vehicle_longitudinal_g)) AS maximum_braking_g, avg(abs(vehicle_steering_angle_deg)) AS average_absolute_steering_deg, "
+    "max(abs(vehicle_steering_angle_deg)) AS maximum_absolute_steering_deg, "
     "coalesce(avg(f) FILTER (state <> 'straight'), 0e0) AS average_front_slip_angle_deg, coalesce(avg(r) FILTER (state <> 'straight'), 0e0) AS average_rear_slip_angle_deg, "
-    "count(*) FILTER (state = 'front' AND coalesce(before, 'neutral') <> 'front') AS front_limited_event_count, count(*) FILTER (state = 'rear' AND coalesce(before, 'neutral') <> 'rear') AS rear_limited_event_count, "
+    "count(*) FILTER (state = 'front' AND coalesce(before, 'neutral') <> 'front') AS front_limited_event_count, count(*) FILTER (state = 'rear' "
+    "AND coalesce(before, 'neutral') <> 'rear') AS rear_limited_event_count, "
     "coalesce(avg(f) FILTER (state <> 'straight'), 0e0) - coalesce(avg(r) FILTER (state <> 'straight'), 0e0) AS front_rear_slip_delta_deg, "
     + f"{_SHARE.format('front')} AS front_limited_percentage, {_SHARE.format('rear')} AS rear_limited_percentage, {_SHARE.format('neutral')} AS neutral_balance_percentage "
     + f"FROM (SELECT *, lag(state) OVER (PARTITION BY session_id ORDER BY sample_index) AS before FROM ({_STATE_SQL})) GROUP BY session_id",
@@ -264,7 +286,8 @@ def d7_dynamics_report(spark, sf_dir):
 
 
 @query(
-    "SELECT session_id, min(timestamp) AS started_at, max(timestamp) AS ended_at, count(*) AS sample_count, max(elapsed_seconds) AS duration_seconds, arg_min(environment_track_temperature_c, sample_index) AS initial_track_c, "
+    "SELECT session_id, min(timestamp) AS started_at, max(timestamp) AS ended_at, count(*) AS sample_count, max(elapsed_seconds) AS duration_seconds, "
+    "arg_min(environment_track_temperature_c, sample_index) AS initial_track_c, "
     f"arg_max(environment_track_temperature_c, sample_index) AS final_track_c FROM ({ONCE_SQL}) GROUP BY session_id",
     "duration_seconds initial_track_c final_track_c",
 )

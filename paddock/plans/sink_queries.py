@@ -50,7 +50,11 @@ def h9_kafka_bronze(spark, sf_dir):
     return storage_queries.decoded(spark.read.parquet(f"{run}/out/bronze"))
 
 
-@query(f"SELECT session_id, lap_number, count(*) AS samples, CAST(sum(sample_index) AS BIGINT) AS indexes, sum(speed_kmh) AS speed_sum, count(clutch) AS clutches FROM ({TRACE_SQL}) GROUP BY 1, 2", "speed_sum")
+@query(
+    "SELECT session_id, lap_number, count(*) AS samples, CAST(sum(sample_index) AS BIGINT) AS indexes, sum(speed_kmh) AS speed_sum, count(clutch) "
+    f"AS clutches FROM ({TRACE_SQL}) GROUP BY 1, 2",
+    "speed_sum",
+)
 def a11_trace_table(spark, sf_dir):
     """The trace table written and read, with the laps of even sessions written a second time."""
     path = _folder(spark, "traces")

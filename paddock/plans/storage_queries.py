@@ -54,7 +54,10 @@ def a5_rejected_sessions(spark, sf_dir):
 _LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 
-@query(f"SELECT {_LINE} FROM (SELECT {_LINE}, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey % 2 DESC, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE n = 1")
+@query(
+    f"SELECT {_LINE} FROM (SELECT {_LINE}, row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
+    "ORDER BY l_suppkey % 2 DESC, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE n = 1"
+)
 def a12_keyed_upsert(spark, sf_dir):
     """Lines of odd suppliers are new, the others already stored."""
     rows = _table(spark, sf_dir, "lineitem").select(*_LINE.split(", "))
@@ -62,7 +65,10 @@ def a12_keyed_upsert(spark, sf_dir):
     return catalog.upsert(rows.where("l_suppkey % 2 = 0"), rows.where("l_suppkey % 2 = 1"), ("l_orderkey", "l_linenumber"), order)
 
 
-@query("SELECT p_partkey AS part_key, CAST(p_partkey AS VARCHAR) AS name FROM (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem) WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@query(
+    "SELECT p_partkey AS part_key, CAST(p_partkey AS VARCHAR) AS name FROM (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem) "
+    "WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)"
+)
 def a13_missing_dimension(spark, sf_dir):
     known = _table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("part_key"))
     return catalog.missing_dimension(_table(spark, sf_dir, "lineitem"), "l_partkey", known, "part_key")
@@ -97,8 +103,11 @@ def a18_lap_exchange(spark, sf_dir):
 
 
 @query(
-    "SELECT session_id, lap_number, sample_index, d / max(d) OVER (PARTITION BY session_id) AS progress, sum(coalesce((d - pd) / ((speed_kmh + ps) / 2 / 3.6e0), 0e0)) OVER (PARTITION BY session_id, lap_number ORDER BY sample_index ROWS UNBOUNDED PRECEDING) AS elapsed_seconds, throttle "
-    f"FROM (SELECT *, lag(d) OVER w AS pd, lag(speed_kmh) OVER w AS ps FROM (SELECT *, progress * 4000e0 + 10 AS d FROM ({TRACE_SQL})) WINDOW w AS (PARTITION BY session_id, lap_number ORDER BY sample_index))",
+    "SELECT session_id, lap_number, sample_index, d / max(d) OVER (PARTITION BY session_id) AS progress, "
+    "sum(coalesce((d - pd) / ((speed_kmh + ps) / 2 / 3.6e0), 0e0)) OVER (PARTITION BY session_id, lap_number "
+    "ORDER BY sample_index ROWS UNBOUNDED PRECEDING) AS elapsed_seconds, throttle "
+    f"FROM (SELECT *, lag(d) OVER w AS pd, lag(speed_kmh) OVER w AS ps FROM (SELECT *, progress * 4000e0 + 10 AS d FROM ({TRACE_SQL})) "
+    "WINDOW w AS (PARTITION BY session_id, lap_number ORDER BY sample_index))",
     "progress elapsed_seconds throttle",
 )
 def a19_distance_import(spark, sf_dir):
@@ -111,7 +120,8 @@ _ERROR = "CASE WHEN event_id % 19 = 0 THEN 'invalid_json' WHEN event_id % 23 = 0
 
 
 DECODED_SQL = (
-    f"SELECT session_id, sample_index, {_ERROR} AS decode_error, coalesce({_ERROR} IS NULL AND is_valid AND event_id % 31 <> 0, false) AS is_valid, event_id % 31 <> 0 AS has_time FROM ({AUDIT_SQL}) WHERE event_id % 19 <> 0 "
+    f"SELECT session_id, sample_index, {_ERROR} AS decode_error, coalesce({_ERROR} IS NULL AND is_valid AND event_id % 31 <> 0, false) AS is_valid, "
+    f"event_id % 31 <> 0 AS has_time FROM ({AUDIT_SQL}) WHERE event_id % 19 <> 0 "
     f"UNION ALL SELECT NULL, NULL, 'invalid_json', false, false FROM ({ONCE_SQL}) WHERE event_id % 19 = 0"
 )
 
@@ -148,13 +158,19 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laps(spark, sf_dir).groupBy(F.col("session_id").alias("id")).agg(F.min("occurred_at").alias("started_at"))
 
 
-@query(f"SELECT id, started_at, n AS lap_count, coalesce(t, 0) AS trace_count FROM (SELECT * FROM ({_SESSIONS}) ORDER BY started_at DESC, id DESC LIMIT 20) LEFT JOIN (SELECT session_id, count(*) AS t FROM ({LAPS_SQL}) WHERE lap_key % 3 = 0 GROUP BY 1) ON id = session_id")
+@query(
+    f"SELECT id, started_at, n AS lap_count, coalesce(t, 0) AS trace_count FROM (SELECT * FROM ({_SESSIONS}) ORDER BY started_at DESC, id DESC LIMIT 20) "
+    f"LEFT JOIN (SELECT session_id, count(*) AS t FROM ({LAPS_SQL}) WHERE lap_key % 3 = 0 GROUP BY 1) ON id = session_id"
+)
 def d10_recent_sessions(spark, sf_dir):
     lap = laps(spark, sf_dir)
     return catalog.recent_sessions(_sessions(spark, sf_dir), lap, lap.where("lap_key % 3 = 0"))
 
 
-@query(f"SELECT source, arg_max(id, (started_at, id)) AS id, max(started_at) AS started_at FROM (SELECT *, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS source FROM ({_SESSIONS})) GROUP BY source")
+@query(
+    "SELECT source, arg_max(id, (started_at, id)) AS id, max(started_at) AS started_at FROM (SELECT *, CASE "
+    f"WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS source FROM ({_SESSIONS})) GROUP BY source"
+)
 def e30_latest_by_source(spark, sf_dir):
     rows = _sessions(spark, sf_dir).withColumn("source", F.when(F.substring("id", 2, 20).cast("long") % 2 == 0, "even").otherwise("odd"))
     return catalog.latest(rows, by=("source",))
@@ -174,7 +190,9 @@ def _setup_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT setup_id, car_id, parameter, value, CASE WHEN parameter = 'wing' THEN 'unknown_parameter' ELSE 'out_of_range' END AS problem FROM ({SETUPS_SQL}) WHERE parameter = 'wing' OR (parameter = 'brake_bias' AND value NOT BETWEEN 0.5e0 AND 0.75e0) OR (parameter LIKE '%pressure' AND value NOT BETWEEN 20 AND 30)",
+    "SELECT setup_id, car_id, parameter, value, CASE WHEN parameter = 'wing' THEN 'unknown_parameter' ELSE 'out_of_range' END AS problem "
+    f"FROM ({SETUPS_SQL}) WHERE parameter = 'wing' OR (parameter = 'brake_bias' AND value NOT BETWEEN 0.5e0 AND 0.75e0) OR (parameter LIKE '%pressure' "
+    "AND value NOT BETWEEN 20 AND 30)",
     "value",
 )
 def b14_setup_violations(spark, sf_dir):
@@ -188,7 +206,9 @@ _SETUP_PAIRS = "SELECT p_partkey AS previous_setup, lead(p_partkey) OVER (PARTIT
 
 
 @query(
-    f"SELECT previous_setup, new_setup, a.car_id, a.parameter, a.value AS previous_value, b.value AS new_value, b.value - a.value AS delta FROM ({_SETUP_PAIRS}) JOIN ({SETUPS_SQL}) a ON a.setup_id = previous_setup JOIN ({SETUPS_SQL}) b ON b.setup_id = new_setup AND a.parameter = b.parameter AND a.car_id = b.car_id WHERE a.value <> b.value",
+    "SELECT previous_setup, new_setup, a.car_id, a.parameter, a.value AS previous_value, b.value AS new_value, b.value - a.value AS delta "
+    f"FROM ({_SETUP_PAIRS}) JOIN ({SETUPS_SQL}) a ON a.setup_id = previous_setup "
+    f"JOIN ({SETUPS_SQL}) b ON b.setup_id = new_setup AND a.parameter = b.parameter AND a.car_id = b.car_id WHERE a.value <> b.value",
     "previous_value new_value delta",
 )
 def e1_setup_diff(spark, sf_dir):
@@ -212,7 +232,8 @@ _REPORTS = " UNION ALL ".join(
 
 @query(
     f"WITH reports AS MATERIALIZED ({_REPORTS}), places AS (SELECT DISTINCT session_id, car_id, track_id, CAST(substr(session_id, 2) AS BIGINT) AS n FROM ({VALID_SQL})) "
-    "SELECT b.session_id AS baseline_session, c.session_id AS candidate_session, x.area, x.wheel, x.metric, x.value AS baseline_value, y.value AS candidate_value, y.value - x.value AS delta "
+    "SELECT b.session_id AS baseline_session, c.session_id AS candidate_session, x.area, x.wheel, x.metric, x.value AS baseline_value, y.value "
+    "AS candidate_value, y.value - x.value AS delta "
     "FROM places b JOIN places c ON c.n = b.n + 15 AND c.car_id = b.car_id AND c.track_id = b.track_id JOIN reports x ON x.session_id = b.session_id "
     "JOIN reports y ON y.session_id = c.session_id AND y.area = x.area AND y.wheel = x.wheel AND y.metric = x.metric",
     "baseline_value candidate_value delta",
@@ -241,7 +262,9 @@ _SWEEP_FEATURES = "parameter_delta_from_baseline absolute_parameter_delta_from_b
 
 
 @query(
-    f"SELECT sweep_id, point_id, parameter_value - 23e0 AS parameter_delta_from_baseline, abs(parameter_value - 23e0) AS absolute_parameter_delta_from_baseline, front_pressure_psi - rear_pressure_psi AS front_rear_pressure_psi_delta, front_slip_angle_deg - rear_slip_angle_deg AS front_rear_slip_angle_deg_delta FROM ({SWEEP_SQL})",
+    "SELECT sweep_id, point_id, parameter_value - 23e0 AS parameter_delta_from_baseline, abs(parameter_value - 23e0) "
+    "AS absolute_parameter_delta_from_baseline, front_pressure_psi - rear_pressure_psi AS front_rear_pressure_psi_delta, "
+    f"front_slip_angle_deg - rear_slip_angle_deg AS front_rear_slip_angle_deg_delta FROM ({SWEEP_SQL})",
     _SWEEP_FEATURES,
 )
 def b15_sweep_features(spark, sf_dir):
@@ -249,7 +272,8 @@ def b15_sweep_features(spark, sf_dir):
 
 
 @query(
-    f"SELECT sweep_id, count(*) AS rows, min(parameter_value) AS minimum_value, max(parameter_value) AS maximum_value, first(parameter_value ORDER BY front_slip_angle_deg, parameter_value) AS minimum_slip_value, min(front_slip_angle_deg) AS minimum_slip FROM ({SWEEP_SQL}) GROUP BY sweep_id",
+    "SELECT sweep_id, count(*) AS rows, min(parameter_value) AS minimum_value, max(parameter_value) AS maximum_value, first(parameter_value "
+    f"ORDER BY front_slip_angle_deg, parameter_value) AS minimum_slip_value, min(front_slip_angle_deg) AS minimum_slip FROM ({SWEEP_SQL}) GROUP BY sweep_id",
     "minimum_value maximum_value minimum_slip_value minimum_slip",
 )
 def d12_sweep_eda(spark, sf_dir):
@@ -258,7 +282,8 @@ def d12_sweep_eda(spark, sf_dir):
 
 @query(
     " UNION ALL ".join(
-        f"SELECT sweep_id, '{m}' AS metric, CASE WHEN min({m}) < max({m}) AND min(parameter_value) < max(parameter_value) THEN round(covar_pop(parameter_value, {m}) / (stddev_pop(parameter_value) * stddev_pop({m})) + 1e-9, 6) END AS correlation FROM ({SWEEP_SQL}) GROUP BY sweep_id"
+        f"SELECT sweep_id, '{m}' AS metric, CASE WHEN min({m}) < max({m}) AND min(parameter_value) < max(parameter_value) THEN round(covar_pop(parameter_value, "
+        f"{m}) / (stddev_pop(parameter_value) * stddev_pop({m})) + 1e-9, 6) END AS correlation FROM ({SWEEP_SQL}) GROUP BY sweep_id"
         for m in ("front_pressure_psi", "rear_pressure_psi", "front_slip_angle_deg", "rear_slip_angle_deg")
     )
 )
@@ -282,7 +307,10 @@ def d15_sweep_rollup(spark, sf_dir):
     return setups.sweep_rollup(rows).select("sweep_id", "parameter_value", *_AXLES)
 
 
-_DATASET = f"SELECT s.seed, point_id, parameter_value - b AS parameter_delta_from_baseline, abs(parameter_value - b) AS absolute_parameter_delta_from_baseline, front_slip_angle_deg FROM ({SWEEP_SQL}) s JOIN (SELECT seed, avg(parameter_value) AS b FROM ({SWEEP_SQL}) GROUP BY seed) USING (seed)"
+_DATASET = (
+    "SELECT s.seed, point_id, parameter_value - b AS parameter_delta_from_baseline, abs(parameter_value - b) AS absolute_parameter_delta_from_baseline, "
+    f"front_slip_angle_deg FROM ({SWEEP_SQL}) s JOIN (SELECT seed, avg(parameter_value) AS b FROM ({SWEEP_SQL}) GROUP BY seed) USING (seed)"
+)
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +337,8 @@ def i3_regression_by_seed(spark, sf_dir):
 
 
 @query(
-    f"SELECT seed, count(*) AS rows, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM (SELECT seed, {_Y} AS y, c * {_X} + i AS p FROM ({_DATASET}) JOIN "
+    "SELECT seed, count(*) AS rows, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, "
+    f"1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM (SELECT seed, {_Y} AS y, c * {_X} + i AS p FROM ({_DATASET}) JOIN "
     f"(SELECT seed, regr_slope({_Y}, {_X}) AS c, regr_intercept({_Y}, {_X}) AS i FROM ({_DATASET}) GROUP BY seed) USING (seed)) GROUP BY seed",
     "mae rmse r2",
 )
@@ -323,11 +352,16 @@ def i4_model_comparison(spark, sf_dir):
     return learn.compare_models(learn.group_split(_dataset(spark, sf_dir))).drop("rows")
 
 
-_RUNS = "SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'linear' WHEN 1 THEN 'polynomial_2' ELSE 'random_forest' END AS model, 0.1e0 + s_suppkey % 17 / 100e0 AS mae, 0.2e0 + s_suppkey % 13 / 100e0 AS rmse, 0.5e0 + s_suppkey % 41 / 100e0 AS r2, s_nationkey AS dataset FROM supplier"
+_RUNS = (
+    "SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'linear' WHEN 1 THEN 'polynomial_2' "
+    "ELSE 'random_forest' END AS model, 0.1e0 + s_suppkey % 17 / 100e0 AS mae, 0.2e0 + s_suppkey % 13 / 100e0 AS rmse, 0.5e0 + s_suppkey % 41 / 100e0 "
+    "AS r2, s_nationkey AS dataset FROM supplier"
+)
 
 
 @query(
-    f"SELECT count(*) AS run_count, string_agg(DISTINCT model, ',' ORDER BY model) AS models, avg(mae) AS average_mae, avg(rmse) AS average_rmse, avg(r2) AS average_r2, min(mae) AS best_mae, max(r2) AS best_r2, count(DISTINCT dataset) AS dataset_count FROM ({_RUNS})",
+    "SELECT count(*) AS run_count, string_agg(DISTINCT model, ',' ORDER BY model) AS models, avg(mae) AS average_mae, avg(rmse) AS average_rmse, avg(r2) "
+    f"AS average_r2, min(mae) AS best_mae, max(r2) AS best_r2, count(DISTINCT dataset) AS dataset_count FROM ({_RUNS})",
     "average_mae average_rmse average_r2 best_mae best_r2",
 )
 def d13_run_analytics(spark, sf_dir):
@@ -341,7 +375,8 @@ _FAILED = f"CAST({_FAR.format('ma', 'mb')} AS INTEGER) + CAST({_FAR.format('aa',
 
 
 @query(
-    f"SELECT session_id, n AS a_rows, n AS b_rows, CAST(0 AS BIGINT) AS unpaired_frames, {_FAILED} AS failed_metrics, greatest(abs(ma - mb), abs(aa - ab)) AS maximum_difference, {_FAILED} = 0 AS is_equal "
+    f"SELECT session_id, n AS a_rows, n AS b_rows, CAST(0 AS BIGINT) AS unpaired_frames, {_FAILED} AS failed_metrics, greatest(abs(ma - mb), abs(aa - ab)) "
+    f"AS maximum_difference, {_FAILED} = 0 AS is_equal "
     f"FROM (SELECT session_id, count(*) AS n, max(vehicle_speed_kmh) AS ma, max(faster) AS mb, avg(vehicle_speed_kmh) AS aa, avg(faster) AS ab FROM ({_FASTER}) GROUP BY session_id)",
     "maximum_difference",
 )
@@ -375,8 +410,11 @@ _FLAGGED = lap_queries._FLAGS_SQL
 
 
 @query(
-    "SELECT source_id, session_number, arrival, 'lap' AS kind, completed_laps AS lap_number, CAST(NULL AS BIGINT) AS sector_number, greatest(0, last_time_ms) AS time_ms, last_time_ms > 0 AND best_time_ms > 0 AND last_time_ms <= best_time_ms AS is_best "
-    f"FROM ({_FLAGGED}) WHERE lap_completed UNION ALL SELECT source_id, session_number, arrival, 'sector', greatest(1, CASE WHEN lap_completed THEN completed_laps ELSE completed_laps + 1 END), greatest(0, sector_before) + 1, greatest(0, last_sector_time_ms), NULL FROM ({_FLAGGED}) WHERE sector_changed"
+    "SELECT source_id, session_number, arrival, 'lap' AS kind, completed_laps AS lap_number, CAST(NULL AS BIGINT) AS sector_number, greatest(0, "
+    "last_time_ms) AS time_ms, last_time_ms > 0 AND best_time_ms > 0 AND last_time_ms <= best_time_ms AS is_best "
+    f"FROM ({_FLAGGED}) WHERE lap_completed UNION ALL SELECT source_id, session_number, arrival, 'sector', greatest(1, CASE "
+    "WHEN lap_completed THEN completed_laps ELSE completed_laps + 1 END), greatest(0, sector_before) + 1, greatest(0, last_sector_time_ms), NULL "
+    f"FROM ({_FLAGGED}) WHERE sector_changed"
 )
 def h10_live_events(spark, sf_dir):
     """The stateful stream over all snapshots as files."""

@@ -21,7 +21,8 @@ def _replace(sql: str, doubles: str) -> str:
 
 @query(
     _replace(
-        f"{_T} SELECT {_LAP}, count(*) AS samples, min(progress) AS start, max(progress) AS \"end\", max(gap) AS largest_gap, first(before ORDER BY gap DESC NULLS LAST, progress) FILTER (gap IS NOT NULL) AS gap_start, "
+        f"{_T} SELECT {_LAP}, count(*) AS samples, min(progress) AS start, max(progress) AS \"end\", max(gap) AS largest_gap, first(before "
+        "ORDER BY gap DESC NULLS LAST, progress) FILTER (gap IS NOT NULL) AS gap_start, "
         "first(progress ORDER BY gap DESC NULLS LAST, progress) FILTER (gap IS NOT NULL) AS gap_end "
         f"FROM (SELECT *, lag(progress) OVER w AS before, progress - lag(progress) OVER w AS gap FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY progress, sample_index)) GROUP BY {_LAP}",
         "largest_gap gap_start gap_end",
@@ -58,10 +59,19 @@ def b12_trace_violations(spark, sf_dir):
     return traces.violations(faulty).select("session_id", "lap_number", "sample_index", F.explode("reasons").alias("reason"))
 
 
-_P = f"{_T}, pairs AS (SELECT DISTINCT session_id, 1 AS ref_lap, lap_number AS target_lap FROM t WHERE lap_number >= 2), ends AS (SELECT {_LAP}, min(progress) AS lo, max(progress) AS hi FROM t GROUP BY {_LAP}), "
-_P += f"shared AS (SELECT {_PAIR}, greatest(r.lo, g.lo) AS lo, least(r.hi, g.hi) AS hi, greatest(0e0, least(r.hi, g.hi) - greatest(r.lo, g.lo)) AS span FROM pairs p JOIN ends r USING (session_id) JOIN ends g USING (session_id) WHERE r.lap_number = ref_lap AND g.lap_number = target_lap)"
+_P = (
+    f"{_T}, pairs AS (SELECT DISTINCT session_id, 1 AS ref_lap, lap_number AS target_lap FROM t "
+    f"WHERE lap_number >= 2), ends AS (SELECT {_LAP}, min(progress) AS lo, max(progress) AS hi FROM t GROUP BY {_LAP}), "
+)
+_P += (
+    f"shared AS (SELECT {_PAIR}, greatest(r.lo, g.lo) AS lo, least(r.hi, g.hi) AS hi, greatest(0e0, least(r.hi, g.hi) - greatest(r.lo, g.lo)) AS span "
+    "FROM pairs p JOIN ends r USING (session_id) JOIN ends g USING (session_id) WHERE r.lap_number = ref_lap AND g.lap_number = target_lap)"
+)
 _SEGMENTS = f"segs AS (SELECT {_LAP}, progress AS x, lag(progress) OVER w AS px, " + ", ".join(f"{c} AS {c}, lag({c}) OVER w AS p_{c}" for c in traces.CHANNELS) + f" FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY progress))"
-_GRID = f"grid AS (SELECT {_PAIR}, CAST(i AS INTEGER) AS grid_index, CASE WHEN i = 200 THEN hi ELSE least(hi, lo + span / 200 * i) END AS progress FROM shared, range(201) g(i) WHERE span > 0)"
+_GRID = (
+    f"grid AS (SELECT {_PAIR}, CAST(i AS INTEGER) AS grid_index, CASE WHEN i = 200 THEN hi ELSE least(hi, lo + span / 200 * i) END AS progress "
+    "FROM shared, range(201) g(i) WHERE span > 0)"
+)
 
 
 def _at(side: str, c: str) -> str:
@@ -88,8 +98,10 @@ def e7_aligned_laps(spark, sf_dir):
 
 @query(
     _replace(
-        f"{_ALIGNED} SELECT {_PAIR}, arg_max(target_elapsed_seconds - ref_elapsed_seconds, grid_index) AS final_time_delta_seconds, avg(target_speed_kmh - ref_speed_kmh) AS mean_speed_delta_kmh, "
-        "first(progress ORDER BY target_speed_kmh - ref_speed_kmh, grid_index) AS largest_speed_loss_progress, first(progress ORDER BY ref_speed_kmh - target_speed_kmh, grid_index) AS largest_speed_gain_progress "
+        f"{_ALIGNED} SELECT {_PAIR}, arg_max(target_elapsed_seconds - ref_elapsed_seconds, grid_index) AS final_time_delta_seconds, "
+        "avg(target_speed_kmh - ref_speed_kmh) AS mean_speed_delta_kmh, "
+        "first(progress ORDER BY target_speed_kmh - ref_speed_kmh, grid_index) AS largest_speed_loss_progress, first(progress "
+        "ORDER BY ref_speed_kmh - target_speed_kmh, grid_index) AS largest_speed_gain_progress "
         f"FROM aligned GROUP BY {_PAIR}",
         "final_time_delta_seconds mean_speed_delta_kmh largest_speed_loss_progress largest_speed_gain_progress",
     )
@@ -100,13 +112,18 @@ def e7_alignment_summary(spark, sf_dir):
 
 _RESAMPLED = ("progress", "speed_kmh", "throttle", "brake", "steering_angle_deg", "clutch")
 _PROBE = "p AS (SELECT session_id, lap_number, CAST(i AS INTEGER) AS probe, i * 7.3e0 AS elapsed_seconds FROM (SELECT DISTINCT session_id, lap_number FROM t), range(12) r(i))"
-_TIMES = f"s AS (SELECT {_LAP}, elapsed_seconds AS x, lag(elapsed_seconds) OVER w AS px, lead(elapsed_seconds) OVER w IS NULL AS final, gear, lag(gear) OVER w AS p_gear, {', '.join(f'{c}, lag({c}) OVER w AS p_{c}' for c in _RESAMPLED)} FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY elapsed_seconds))"
+_TIMES = (
+    f"s AS (SELECT {_LAP}, elapsed_seconds AS x, lag(elapsed_seconds) OVER w AS px, lead(elapsed_seconds) OVER w IS NULL AS final, gear, lag(gear) OVER w "
+    f"AS p_gear, {', '.join(f'{c}, lag({c}) OVER w AS p_{c}' for c in _RESAMPLED)} FROM t WINDOW w AS (PARTITION BY {_LAP} ORDER BY elapsed_seconds))"
+)
 _LERP = "CASE WHEN p.elapsed_seconds >= s.x OR s.px IS NULL THEN s.{0} ELSE s.p_{0} + (s.{0} - s.p_{0}) * ((p.elapsed_seconds - s.px) / (s.x - s.px)) END AS {0}"
 
 
 @query(
     _replace(
-        f"{_T}, {_PROBE}, {_TIMES} SELECT p.session_id, p.lap_number, probe, {', '.join(_LERP.format(c) for c in _RESAMPLED)}, CASE WHEN p.elapsed_seconds >= s.x OR s.px IS NULL THEN s.gear ELSE s.p_gear END AS gear FROM p JOIN s ON p.session_id = s.session_id AND p.lap_number = s.lap_number "
+        f"{_T}, {_PROBE}, {_TIMES} SELECT p.session_id, p.lap_number, probe, {', '.join(_LERP.format(c) for c in _RESAMPLED)}, CASE "
+        "WHEN p.elapsed_seconds >= s.x OR s.px IS NULL THEN s.gear ELSE s.p_gear END AS gear FROM p "
+        "JOIN s ON p.session_id = s.session_id AND p.lap_number = s.lap_number "
         "AND ((s.px IS NULL AND p.elapsed_seconds <= s.x) OR (s.px < p.elapsed_seconds AND p.elapsed_seconds <= s.x) OR (s.final AND p.elapsed_seconds > s.x))",
         " ".join(_RESAMPLED),
     )
@@ -117,13 +134,21 @@ def e10_resample_by_time(spark, sf_dir):
     return traces.resample(t, times).select(*traces.LAP, "probe", "gear", *_RESAMPLED)
 
 
-_ON = f"SELECT *, sum(CASE WHEN brake >= 0.1e0 AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {_LAP} ORDER BY progress, sample_index) AS run FROM (SELECT *, lag(brake >= 0.1e0) OVER (PARTITION BY {_LAP} ORDER BY progress, sample_index) AS was FROM t)"
+_ON = (
+    f"SELECT *, sum(CASE WHEN brake >= 0.1e0 AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {_LAP} "
+    f"ORDER BY progress, sample_index) AS run FROM (SELECT *, lag(brake >= 0.1e0) OVER (PARTITION BY {_LAP} ORDER BY progress, sample_index) AS was FROM t)"
+)
 _ZONES = (
-    f"zones AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY {_LAP} ORDER BY run) AS INTEGER) AS zone_number FROM (SELECT {_LAP}, run, min(progress) AS start_progress, max(progress) AS end_progress, min(elapsed_seconds) AS start_elapsed_seconds, max(elapsed_seconds) AS end_elapsed_seconds, "
-    "arg_min(speed_kmh, sample_index) AS entry_speed_kmh, min(speed_kmh) AS minimum_speed_kmh, arg_max(speed_kmh, sample_index) AS exit_speed_kmh, max(brake) AS peak_brake, avg(brake) AS mean_brake, count(*) AS sample_count, (min(progress) + max(progress)) / 2 AS center_progress, "
+    f"zones AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY {_LAP} ORDER BY run) AS INTEGER) AS zone_number "
+    f"FROM (SELECT {_LAP}, run, min(progress) AS start_progress, max(progress) AS end_progress, min(elapsed_seconds) AS start_elapsed_seconds, "
+    "max(elapsed_seconds) AS end_elapsed_seconds, "
+    "arg_min(speed_kmh, sample_index) AS entry_speed_kmh, min(speed_kmh) AS minimum_speed_kmh, arg_max(speed_kmh, sample_index) AS exit_speed_kmh, "
+    "max(brake) AS peak_brake, avg(brake) AS mean_brake, count(*) AS sample_count, (min(progress) + max(progress)) / 2 AS center_progress, "
     f"max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds FROM ({_ON}) WHERE brake >= 0.1e0 GROUP BY {_LAP}, run HAVING count(*) >= 2))"
 )
-_ZONE_DOUBLES = "start_progress end_progress start_elapsed_seconds end_elapsed_seconds entry_speed_kmh minimum_speed_kmh exit_speed_kmh peak_brake mean_brake center_progress duration_seconds"
+_ZONE_DOUBLES = (
+    "start_progress end_progress start_elapsed_seconds end_elapsed_seconds entry_speed_kmh minimum_speed_kmh exit_speed_kmh peak_brake mean_brake center_progress duration_seconds"
+)
 
 
 @query(_replace(f"{_T}, {_ZONES} SELECT * EXCLUDE (run) FROM zones", _ZONE_DOUBLES))
@@ -132,14 +157,26 @@ def e11_braking_zones(spark, sf_dir):
 
 
 _WITHIN = (
-    "e1 AS (SELECT t.*, z.zone_number, z.start_progress, z.end_progress, z.end_elapsed_seconds, row_number() OVER (PARTITION BY t.session_id, t.lap_number, z.zone_number ORDER BY progress, sample_index) AS n FROM t JOIN zones z ON t.session_id = z.session_id AND t.lap_number = z.lap_number "
-    "AND progress BETWEEN z.start_progress AND least(1e0, z.end_progress + 0.08e0)), e2 AS (SELECT * FROM (SELECT *, min(n) FILTER (abs(steering_angle_deg) >= 5) OVER (PARTITION BY session_id, lap_number, zone_number) AS turn FROM e1) WHERE n >= turn), "
-    "e3 AS (SELECT *, first_value(n) OVER (PARTITION BY session_id, lap_number, zone_number ORDER BY speed_kmh, progress, n) AS apex, count(*) OVER (PARTITION BY session_id, lap_number, zone_number) AS left_over FROM e2), "
-    "entries AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, lap_number ORDER BY source_braking_zone_number) AS INTEGER) AS entry_number FROM (SELECT session_id, lap_number, zone_number AS source_braking_zone_number, min(progress) AS turn_in_progress, max(progress) AS apex_progress, "
-    "max(elapsed_seconds) - min(elapsed_seconds) AS entry_duration_seconds, greatest(0e0, any_value(end_elapsed_seconds) - min(elapsed_seconds)) AS brake_overlap_seconds, arg_min(speed_kmh, n) AS entry_speed_kmh, arg_max(speed_kmh, n) AS apex_speed_kmh, greatest(0e0, arg_min(speed_kmh, n) - arg_max(speed_kmh, n)) AS speed_loss_kmh, "
-    "arg_min(brake, n) AS brake_at_turn_in, arg_min(throttle, n) AS throttle_at_turn_in, arg_max(throttle, n) AS throttle_at_apex, max(abs(steering_angle_deg)) AS maximum_abs_steering_deg, avg(abs(steering_angle_deg)) AS average_abs_steering_deg, count(*) AS sample_count FROM e3 WHERE left_over >= 2 AND n <= apex GROUP BY 1, 2, 3 HAVING count(*) >= 2))"
+    "e1 AS (SELECT t.*, z.zone_number, z.start_progress, z.end_progress, z.end_elapsed_seconds, row_number() OVER (PARTITION BY t.session_id, "
+    "t.lap_number, z.zone_number ORDER BY progress, sample_index) AS n FROM t JOIN zones z ON t.session_id = z.session_id AND t.lap_number = z.lap_number "
+    "AND progress BETWEEN z.start_progress AND least(1e0, z.end_progress + 0.08e0)), e2 AS (SELECT * "
+    "FROM (SELECT *, min(n) FILTER (abs(steering_angle_deg) >= 5) OVER (PARTITION BY session_id, lap_number, zone_number) AS turn FROM e1) "
+    "WHERE n >= turn), "
+    "e3 AS (SELECT *, first_value(n) OVER (PARTITION BY session_id, lap_number, zone_number "
+    "ORDER BY speed_kmh, progress, n) AS apex, count(*) OVER (PARTITION BY session_id, lap_number, zone_number) AS left_over FROM e2), "
+    "entries AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, lap_number "
+    "ORDER BY source_braking_zone_number) AS INTEGER) AS entry_number FROM (SELECT session_id, lap_number, zone_number AS source_braking_zone_number, "
+    "min(progress) AS turn_in_progress, max(progress) AS apex_progress, "
+    "max(elapsed_seconds) - min(elapsed_seconds) AS entry_duration_seconds, greatest(0e0, any_value(end_elapsed_seconds) - min(elapsed_seconds)) "
+    "AS brake_overlap_seconds, arg_min(speed_kmh, n) AS entry_speed_kmh, arg_max(speed_kmh, n) AS apex_speed_kmh, greatest(0e0, arg_min(speed_kmh, "
+    "n) - arg_max(speed_kmh, n)) AS speed_loss_kmh, "
+    "arg_min(brake, n) AS brake_at_turn_in, arg_min(throttle, n) AS throttle_at_turn_in, arg_max(throttle, n) AS throttle_at_apex, "
+    "max(abs(steering_angle_deg)) AS maximum_abs_steering_deg, avg(abs(steering_angle_deg)) AS average_abs_steering_deg, count(*) AS sample_count FROM e3 "
+    "WHERE left_over >= 2 AND n <= apex GROUP BY 1, 2, 3 HAVING count(*) >= 2))"
+)
+_ENTRY_DOUBLES = (
+    "turn_in_progress apex_progress entry_duration_seconds brake_overlap_seconds entry_speed_kmh apex_speed_kmh speed_loss_kmh brake_at_turn_in throttle_at_turn_in throttle_at_apex maximum_abs_steering_deg average_abs_steering_deg"
 )
-_ENTRY_DOUBLES = "turn_in_progress apex_progress entry_duration_seconds brake_overlap_seconds entry_speed_kmh apex_speed_kmh speed_loss_kmh brake_at_turn_in throttle_at_turn_in throttle_at_apex maximum_abs_steering_deg average_abs_steering_deg"
 _ENTRY_COLUMNS = ("session_id", "lap_number", "entry_number", "source_braking_zone_number", "sample_count", *_ENTRY_DOUBLES.split())
 
 
@@ -153,14 +190,25 @@ def e12_corner_entries(spark, sf_dir):
 
 
 _EXITS = (
-    "x1 AS (SELECT t.*, e.entry_number, row_number() OVER (PARTITION BY t.session_id, t.lap_number, e.entry_number ORDER BY progress, sample_index) AS n FROM t JOIN entries e ON t.session_id = e.session_id AND t.lap_number = e.lap_number AND progress BETWEEN e.apex_progress AND least(1e0, e.apex_progress + 0.12e0)), "
+    "x1 AS (SELECT t.*, e.entry_number, row_number() OVER (PARTITION BY t.session_id, t.lap_number, e.entry_number ORDER BY progress, sample_index) AS n "
+    "FROM t JOIN entries e ON t.session_id = e.session_id AND t.lap_number = e.lap_number AND progress BETWEEN e.apex_progress AND least(1e0, "
+    "e.apex_progress + 0.12e0)), "
     "x2 AS (SELECT *, min(n) FILTER (throttle >= 0.2e0) OVER (PARTITION BY session_id, lap_number, entry_number) AS open FROM x1), "
-    "x3 AS (SELECT * FROM (SELECT *, min(n) FILTER (n >= open AND throttle >= 0.7e0 AND abs(steering_angle_deg) <= 8) OVER (PARTITION BY session_id, lap_number, entry_number) AS done FROM x2) WHERE n <= done), "
-    "exits AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, lap_number ORDER BY source_entry_number) AS INTEGER) AS exit_number FROM (SELECT session_id, lap_number, entry_number AS source_entry_number, min(progress) AS apex_progress, max(progress) AS exit_progress, max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds, "
-    "max(progress) FILTER (n = open) AS throttle_application_progress, max(elapsed_seconds) FILTER (n = open) - min(elapsed_seconds) AS time_to_throttle_seconds, arg_min(speed_kmh, n) AS apex_speed_kmh, arg_max(speed_kmh, n) AS exit_speed_kmh, arg_max(speed_kmh, n) - arg_min(speed_kmh, n) AS speed_gain_kmh, "
-    "arg_max(throttle, n) AS throttle_at_exit, abs(arg_max(steering_angle_deg, n)) AS abs_steering_at_exit_deg, greatest(0e0, abs(arg_min(steering_angle_deg, n)) - abs(arg_max(steering_angle_deg, n))) AS steering_unwind_deg, max(elapsed_seconds) AS exit_elapsed_seconds, count(*) AS sample_count FROM x3 GROUP BY 1, 2, 3 HAVING count(*) >= 2))"
+    "x3 AS (SELECT * FROM (SELECT *, min(n) FILTER (n >= open AND throttle >= 0.7e0 AND abs(steering_angle_deg) <= 8) OVER (PARTITION BY session_id, "
+    "lap_number, entry_number) AS done FROM x2) WHERE n <= done), "
+    "exits AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, lap_number ORDER BY source_entry_number) AS INTEGER) AS exit_number "
+    "FROM (SELECT session_id, lap_number, entry_number AS source_entry_number, min(progress) AS apex_progress, max(progress) AS exit_progress, "
+    "max(elapsed_seconds) - min(elapsed_seconds) AS duration_seconds, "
+    "max(progress) FILTER (n = open) AS throttle_application_progress, max(elapsed_seconds) FILTER (n = open) - min(elapsed_seconds) "
+    "AS time_to_throttle_seconds, arg_min(speed_kmh, n) AS apex_speed_kmh, arg_max(speed_kmh, n) AS exit_speed_kmh, arg_max(speed_kmh, "
+    "n) - arg_min(speed_kmh, n) AS speed_gain_kmh, "
+    "arg_max(throttle, n) AS throttle_at_exit, abs(arg_max(steering_angle_deg, n)) AS abs_steering_at_exit_deg, greatest(0e0, "
+    "abs(arg_min(steering_angle_deg, n)) - abs(arg_max(steering_angle_deg, n))) AS steering_unwind_deg, max(elapsed_seconds) AS exit_elapsed_seconds, "
+    "count(*) AS sample_count FROM x3 GROUP BY 1, 2, 3 HAVING count(*) >= 2))"
+)
+_EXIT_DOUBLES = (
+    "apex_progress exit_progress duration_seconds throttle_application_progress time_to_throttle_seconds apex_speed_kmh exit_speed_kmh speed_gain_kmh throttle_at_exit abs_steering_at_exit_deg steering_unwind_deg exit_elapsed_seconds"
 )
-_EXIT_DOUBLES = "apex_progress exit_progress duration_seconds throttle_application_progress time_to_throttle_seconds apex_speed_kmh exit_speed_kmh speed_gain_kmh throttle_at_exit abs_steering_at_exit_deg steering_unwind_deg exit_elapsed_seconds"
 
 
 @query(_replace(f"{_T}, {_ZONES}, {_WITHIN}, {_EXITS} SELECT * FROM exits", _EXIT_DOUBLES))
@@ -171,9 +219,14 @@ def e13_corner_exits(spark, sf_dir):
 
 _CORNER_DOUBLES = "start_progress turn_in_progress apex_progress throttle_application_progress exit_progress minimum_speed_kmh apex_speed_kmh exit_speed_kmh total_duration_seconds"
 _CORNERS = (
-    "corners AS (SELECT z.session_id, z.lap_number, z.zone_number, e.entry_number, x.exit_number, z.start_progress, e.turn_in_progress, e.apex_progress, x.throttle_application_progress, x.exit_progress, z.minimum_speed_kmh, e.apex_speed_kmh, x.exit_speed_kmh, "
-    "greatest(0e0, x.exit_elapsed_seconds - z.start_elapsed_seconds) AS total_duration_seconds, CAST(row_number() OVER (PARTITION BY z.session_id, z.lap_number ORDER BY e.apex_progress, z.zone_number) AS INTEGER) AS corner_number FROM zones z JOIN entries e ON e.session_id = z.session_id AND e.lap_number = z.lap_number AND e.source_braking_zone_number = z.zone_number "
-    "JOIN exits x ON x.session_id = z.session_id AND x.lap_number = z.lap_number AND x.source_entry_number = e.entry_number WHERE z.start_progress <= e.turn_in_progress AND e.turn_in_progress <= e.apex_progress AND e.apex_progress <= x.exit_progress AND abs(e.apex_progress - x.apex_progress) <= 0.02e0)"
+    "corners AS (SELECT z.session_id, z.lap_number, z.zone_number, e.entry_number, x.exit_number, z.start_progress, e.turn_in_progress, e.apex_progress, "
+    "x.throttle_application_progress, x.exit_progress, z.minimum_speed_kmh, e.apex_speed_kmh, x.exit_speed_kmh, "
+    "greatest(0e0, x.exit_elapsed_seconds - z.start_elapsed_seconds) AS total_duration_seconds, CAST(row_number() OVER (PARTITION BY z.session_id, "
+    "z.lap_number ORDER BY e.apex_progress, z.zone_number) AS INTEGER) AS corner_number FROM zones z "
+    "JOIN entries e ON e.session_id = z.session_id AND e.lap_number = z.lap_number AND e.source_braking_zone_number = z.zone_number "
+    "JOIN exits x ON x.session_id = z.session_id AND x.lap_number = z.lap_number AND x.source_entry_number = e.entry_number "
+    "WHERE z.start_progress <= e.turn_in_progress AND e.turn_in_progress <= e.apex_progress AND e.apex_progress <= x.exit_progress "
+    "AND abs(e.apex_progress - x.apex_progress) <= 0.02e0)"
 )
 
 
@@ -189,7 +242,9 @@ def e18_corners(spark, sf_dir):
 
 
 @query(
-    f"{_T}, {_ZONES}, {_WITHIN}, {_EXITS}, {_CORNERS} SELECT {_LAP}, 'zone' AS part, zone_number AS number FROM zones ANTI JOIN corners USING (session_id, lap_number, zone_number) UNION ALL SELECT {_LAP}, 'entry', entry_number FROM entries ANTI JOIN corners USING (session_id, lap_number, entry_number) "
+    f"{_T}, {_ZONES}, {_WITHIN}, {_EXITS}, {_CORNERS} SELECT {_LAP}, 'zone' AS part, zone_number AS number FROM zones ANTI "
+    f"JOIN corners USING (session_id, lap_number, zone_number) UNION ALL SELECT {_LAP}, 'entry', entry_number FROM entries ANTI "
+    "JOIN corners USING (session_id, lap_number, entry_number) "
     f"UNION ALL SELECT {_LAP}, 'exit', exit_number FROM exits ANTI JOIN corners USING (session_id, lap_number, exit_number)"
 )
 def e18_unchained_parts(spark, sf_dir):

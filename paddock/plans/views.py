@@ -99,7 +99,9 @@ _TRACE = {
 }
 _TRACE_NUMBERED = "SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem"
 _TRACE_PLACED = (
-    "SELECT *, 0.35e0 + (lap % 5) * 0.006e0 AS c1, 0.72e0 - (lap % 4) * 0.006e0 + CASE WHEN lap % 6 = 0 THEN 0.09e0 ELSE 0e0 END AS c2, 0.015e0 + 0.01e0 * (lap % 3) AS release FROM (SELECT l_suppkey, CAST({div} + 1 AS INTEGER) AS lap, CAST(i % 100 AS INTEGER) AS k, (i % 100) / 99e0 AS p FROM ({numbered}))"
+    "SELECT *, 0.35e0 + (lap % 5) * 0.006e0 AS c1, 0.72e0 - (lap % 4) * 0.006e0 + CASE WHEN lap % 6 = 0 THEN 0.09e0 "
+    "ELSE 0e0 END AS c2, 0.015e0 + 0.01e0 * (lap % 3) AS release FROM (SELECT l_suppkey, CAST({div} + 1 AS INTEGER) AS lap, CAST(i % 100 AS INTEGER) AS k, "
+    "(i % 100) / 99e0 AS p FROM ({numbered}))"
 )
 _TRACE_SHAPED = "SELECT *, greatest(0e0, 1 - abs(p - c1) / 0.11e0) + greatest(0e0, 1 - abs(p - c2) / 0.11e0) AS h FROM ({placed})"
 
@@ -108,7 +110,8 @@ def _trace_sql(string: str, div: str) -> str:
     shaped = _TRACE_SHAPED.format(placed=_TRACE_PLACED.format(div=div, numbered=_TRACE_NUMBERED))
     columns = ", ".join(f"{e} AS {c}" for c, e in _TRACE.items())
     return (
-        f"SELECT concat('s', CAST(l_suppkey AS {string})) AS session_id, lap AS lap_number, concat('car', CAST(l_suppkey % 5 AS {string})) AS car_id, concat('track', CAST(l_suppkey % 3 AS {string})) AS track_id, "
+        f"SELECT concat('s', CAST(l_suppkey AS {string})) AS session_id, lap AS lap_number, concat('car', CAST(l_suppkey % 5 AS {string})) AS car_id, "
+        f"concat('track', CAST(l_suppkey % 3 AS {string})) AS track_id, "
         f"k AS sample_index, p AS progress, {columns}, CAST(2 + k % 4 AS INTEGER) AS gear, CASE WHEN k % 9 = 0 THEN NULL ELSE (k % 5) / 5e0 END AS clutch FROM ({shaped})"
     )
 
