@@ -15,8 +15,8 @@ from .html_blocks import Block, Element, blocks, element
 from .templates import Hashes, groups, spans
 
 #: Pages to learn from at most, of so many characters at most; each also appears in this many changed copies
-MOST_PAGES, MOST_CHARS, COPIES = 240, 60_000, 4
-PATH_SIZE, WORD_SIZE, HIDDEN = 96, 16, 16
+MOST_PAGES, MOST_CHARS, COPIES = 240, 60_000, 5
+PATH_SIZE, WORD_SIZE, HIDDEN = 256, 16, 16
 SIZE = 2 * PATH_SIZE + WORD_SIZE + 5
 #: Blocks that go through the network at once; a longer page goes through it piece by piece
 CELLS = 8_000
@@ -52,7 +52,7 @@ def _row(inside: Element | None) -> np.ndarray:
 
 
 def _hashed_words(texts: list[str]) -> np.ndarray:
-    """Shares of the hash buckets among all words of each text."""
+    """Square roots of the shares of the hash buckets among all words of each text: one telling word still shows."""
     count = np.zeros((len(texts), WORD_SIZE), np.float32)
     hashes = kept("hashes", Hashes)
     for parts, owners in groups(texts):
@@ -62,7 +62,7 @@ def _hashed_words(texts: list[str]) -> np.ndarray:
         part = np.searchsorted(np.cumsum([len(e) + 1 for e in encoded]), begin, "right")
         bucket = (hashes(data, begin, end) >> np.uint64(32)).astype(np.int64) % WORD_SIZE
         np.add.at(count, (np.array(owners, np.int64)[part], bucket), 1)
-    return count / np.maximum(count.sum(axis=1, keepdims=True), 1)
+    return np.sqrt(count / np.maximum(count.sum(axis=1, keepdims=True), 1))
 
 
 def vectors(page: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -100,7 +100,7 @@ def _changed(page: list[Block], other: list[Block], rng: random.Random) -> tuple
     In half of the copies the main text stands under no name that tells of it, in some of these the
     other matter doesn't either: there, only words, length, links, tags and neighbours tell them apart.
     """
-    bare, all_bare = rng.random() < 0.6, rng.random() < 0.4
+    bare, all_bare, stripped = rng.random() < 0.65, rng.random() < 0.5, rng.random() < 0.4
     made_up = ["." + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 8))) for _ in range(3)]
     named = lambda names: tuple(rng.choice(made_up) if n is None else n for n in names)
     root = named(rng.choice(_BARE_ROOTS if bare else _NAMED_ROOTS))
@@ -119,29 +119,43 @@ def _changed(page: list[Block], other: list[Block], rng: random.Random) -> tuple
         menu = rng.random() < 0.6
         for _ in range(rng.randint(2, 8) if menu else rng.randint(1, 2)):
             words = rng.choice(spare).split()
-            text = " ".join(words[: rng.randint(1, 4 if menu else 9)]).rstrip(".")
-            text = rng.choice(("", "", "", "© ", "» ", "| ")) + text if not menu else text
+            text = " ".join(words[: rng.randint(1, 4 if menu else 20)])
+            text = text.rstrip(".") if menu or rng.random() < 0.5 else rng.choice(("", "", "© ", "© ", "» ", "| ")) + text
             tail = rng.choice((("li", "a"), ("a",), ("li",), ("td", "a"), ("span", "a"))) if menu else rng.choice((("div",), ("span",), ("small",), (), ("td",)))
             out.append((Block(text or "...", element((*place, *tail)), len(text) if menu and (tail[-1:] == ("a",) or rng.random() < 0.7) else 0), 0))
         return out
 
+    bared: dict[tuple[str, ...], tuple[str, ...]] = {}
+
+    def own(b: Block) -> tuple[Block, int]:
+        """Other matter of the page itself, its names gone in some nameless copies."""
+        if not (bare and all_bare and stripped):
+            return b, 0
+        if b.path not in bared:
+            bared[b.path] = (*top, *named(rng.choice(_BARE_PLACES)), *(n for n in b.path if n in ("ul", "ol", "li", "a", "p", "span")))
+        return Block(b.text, element(bared[b.path]), b.linked), 0
+
     kinds = [("header",), ("nav",), ("aside",), ("footer",), ("form",), *(("div", "." + x) for x in sorted(OTHER)), *(("section", "." + x) for x in ("comments", "related", "newsletter"))]
     if bare and all_bare:
         around = lambda n: [x for _ in range(rng.randint(0, n)) for x in scraps()]
     else:
         around = lambda n: [x for _ in range(rng.randint(0, n)) for x in (extra(rng.choice(kinds), rng.randint(1, 4)) if rng.random() < 0.7 else scraps())]
-        made += [(b, 0) for b in rest[: len(rest) // 2]]
+    before = next((k for k, b in enumerate(page) if weak_label(b)), len(page))  # none of them is main text
+    if not (bare and all_bare) or stripped:
+        made += map(own, rest[:before])
     made += around(3)
     for k, b in enumerate(main):
         tail = tuple(n for n in b.path if n in _TEXT_TAGS)
         if rng.random() < 0.4 and k:
-            tail = rng.choice((("p",), ("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("figure", "figcaption"), ("div",), ("p", "b")))
-        made.append((Block(b.text, element((*top, *root, *(tail or ("p",)))), b.linked), 1))
+            tail = rng.choice((("ul", "li"), ("ol", "li"), ("p",), ("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("figure", "figcaption"), ("div",), ("p", "b")))
+        listed = tail[-1:] == ("li",) and rng.random() < 0.5  # an item of a few words
+        text = " ".join(b.text.split()[: rng.randint(2, 15)]) if listed else b.text
+        made.append((Block(text, element((*top, *root, *(tail or ("p",)))), min(b.linked, len(text))), 1))
         if rng.random() < 0.08:
             made += extra((*root, *rng.choice(kinds)), rng.randint(1, 3))
     made += around(3)
-    if not (bare and all_bare):
-        made += [(b, 0) for b in rest[len(rest) // 2 :]]
+    if not (bare and all_bare) or stripped:
+        made += map(own, rest[before:])
     return [b for b, _ in made], [y for _, y in made]
 
 
@@ -159,7 +173,7 @@ class Network:
     def new(cls, seed: int = 0) -> Network:
         rng, w = np.random.default_rng(seed), {}
         for d in "fb":
-            w["x" + d] = rng.normal(0, 0.1, (SIZE, 4 * HIDDEN))
+            w["x" + d] = rng.normal(0, 0.02, (SIZE, 4 * HIDDEN))
             w["h" + d] = rng.normal(0, 0.1, (HIDDEN, 4 * HIDDEN))
             w["b" + d] = np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]  # the forget gate starts open
         w["o"], w["c"] = rng.normal(0, 0.1, 2 * HIDDEN), np.zeros(1)
@@ -244,7 +258,7 @@ def _batches(sizes: list[int], cells: int, most: int) -> list[list[int]]:
     return out
 
 
-def fit(pages: DataFrame, most: int = MOST_PAGES, html: str = "html", page_id: str = "page_id", most_chars: int = MOST_CHARS, rounds: int = 9, seed: int = 0) -> Network:
+def fit(pages: DataFrame, most: int = MOST_PAGES, html: str = "html", page_id: str = "page_id", most_chars: int = MOST_CHARS, steps: int = 400, seed: int = 0) -> Network:
     """Learns from at most ``most`` pages of up to ``most_chars`` characters, chosen by a hash of the id, and changed copies of them.
 
     Their labels are weak: the standard elements and usual names around a block. Most copies
@@ -260,19 +274,20 @@ def fit(pages: DataFrame, most: int = MOST_PAGES, html: str = "html", page_id: s
     data = [(vectors(p), np.array(y, float)) for p, y in made if p]
     batches = _batches([len(y) for _, y in data], 48 * 60, 48)
     first = {k: np.zeros_like(v) for k, v in network.weights.items()}
-    second, k = {k: np.zeros_like(v) for k, v in network.weights.items()}, 0
-    for _ in range(rounds):
-        rng.shuffle(batches)
-        for part in batches:
-            x, mask = _stack([data[i][0] for i in part])
-            y = np.zeros(mask.shape, np.float32)
-            for j, i in enumerate(part):
-                y[: len(data[i][1]), j] = data[i][1]
-            k += 1
-            for name, g in network.gradient(x, mask, y).items():  # Adam
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.999 * second[name] + 0.001 * g**2
-                network.weights[name] -= 0.01 * (first[name] / (1 - 0.9**k)) / (np.sqrt(second[name] / (1 - 0.999**k)) + 1e-8)
+    second = {k: np.zeros_like(v) for k, v in network.weights.items()}
+    for done in range(steps if batches else 0):
+        if done % len(batches) == 0:
+            rng.shuffle(batches)
+        part = batches[done % len(batches)]
+        x, mask = _stack([data[i][0] for i in part])
+        y = np.zeros(mask.shape, np.float32)
+        for j, i in enumerate(part):
+            y[: len(data[i][1]), j] = data[i][1]
+        rate, k = 0.012 * (1 - done / steps) + 0.001, done + 1
+        for name, g in network.gradient(x, mask, y).items():  # Adam
+            first[name] = 0.9 * first[name] + 0.1 * g
+            second[name] = 0.999 * second[name] + 0.001 * g**2
+            network.weights[name] -= rate * (first[name] / (1 - 0.9**k)) / (np.sqrt(second[name] / (1 - 0.999**k)) + 1e-8)
     return network
 
 
