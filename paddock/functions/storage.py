@@ -40,6 +40,16 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Writes ``df`` in the place of a table that it may itself be made from: beside it first, then moved. A reader in between finds no table, never half of one."""
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    files, at = _at(df.sparkSession, path)
+    files.delete(at, True)
+    if not files.rename(_at(df.sparkSession, new)[1], at):
+        raise OSError(f"{new} couldn't be moved to {path}")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables stored inside when it ends. What is still to be read must be written by then."""

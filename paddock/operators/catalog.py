@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.functions.storage import exists, replace
+
 KEYS = {
     "cars": ("car_key",), "tracks": ("track_key",), "setups": ("setup_key",), "sessions": ("id",), "laps": ("session_id", "lap_number"), "sectors": ("session_id", "lap_number", "sector_number"),
     "lap_traces": ("session_id", "lap_number"), "experiments": ("id",), "ml_runs": ("id",), "gold_session_metrics": ("session_id",),
@@ -44,6 +46,15 @@ def load_counts(kinds: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def load(kinds: dict[str, DataFrame], folder: str, newest: Sequence[Column] = ()) -> DataFrame:
+    """Rows of each kind into its catalog table under ``folder``, by the kind's key; returns how many rows of each kind came."""
+    for kind, rows in kinds.items():
+        path = f"{folder}/{kind}"
+        there = rows.sparkSession.read.parquet(path) if exists(rows.sparkSession, path) else rows.limit(0)
+        replace(upsert(there, rows, KEYS[kind], newest), path)
+    return load_counts(kinds)
+
+
 def recent_sessions(sessions: DataFrame, laps: DataFrame, traces: DataFrame, limit: int = 20) -> DataFrame:
     """The newest sessions with their numbers of laps and traces."""
     if not 1 <= limit <= 100:

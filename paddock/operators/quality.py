@@ -68,8 +68,8 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicate(df: DataFrame, key: tuple[str, ...] = ("session_id", "sample_index"), order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
-    """The first row of each key in ``order``."""
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    """The first row of each key in ``order``; of rows that tie there the one whose hash is smallest, so that the choice doesn't depend on their place."""
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*order, F.xxhash64(*(c for c, t in df.dtypes if not t.startswith("map")))))
     return df.withColumn("__n", number).where("__n = 1").drop("__n")
 
 

@@ -92,7 +92,7 @@ def sweep_correlations(sweep: DataFrame, by: tuple[str, ...] = ("sweep_id",), pa
 
 
 def ml_dataset(points: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Sweep points of each seed with their deltas from that seed's baseline, and front minus rear. ``baselines``: seed, baseline_value."""
+    """Sweep points of each seed with their deltas from that seed's baseline, and front minus rear, sorted by seed and value. ``baselines``: seed, baseline_value."""
     delta = F.col("parameter_value") - F.col("baseline_value")
     rows = points.join(baselines, "seed").withColumns({"parameter_delta_from_baseline": delta, "absolute_parameter_delta_from_baseline": F.abs(delta)})
-    return rows.withColumns({f"front_rear_{m}_delta": F.col(f"front_{m}") - F.col(f"rear_{m}") for m in AXLE_METRICS if f"front_{m}" in points.columns})
+    return rows.withColumns({f"front_rear_{m}_delta": F.col(f"front_{m}") - F.col(f"rear_{m}") for m in AXLE_METRICS if f"front_{m}" in points.columns}).orderBy("seed", "parameter_value")
