@@ -205,7 +205,12 @@ def test_marked_windows_are_all_that_meet_the_items():
     rng = random.Random(3)
     plain = [rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(12)]
     word = lambda: rng.choice([*plain, "Tom", "Ann", "It", "the", "12", "$5,", "km", "Élan", "«x»", "--", "a."])
-    texts = ["", "  ", *(" ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(400))]
+    texts = ["", "  ", *(" ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(198))]
+    swap = {"Tom": "Ann", "Ann": "Tom", "12": "$5,", "it": "It", "It": "it"}
+    for _ in range(200):  # documents that hold a changed part of an item
+        part = rng.choice(texts[2:200]).split()
+        part = [swap.get(w, w) if rng.random() < 0.5 else w for w in part[rng.randint(0, len(part) // 2) :]]
+        texts.append(" ".join([*(word() for _ in range(rng.randint(0, 5))), *part, *(word() for _ in range(rng.randint(0, 5)))]))
     read = templates.Reader(50)
     items, docs = read(texts[:200]), read(texts[200:])
     for w, t in ((items, texts[:200]), (docs, texts[200:])):
