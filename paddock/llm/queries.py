@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontamination, html_extraction, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity, url_filters
+from . import conversation_repair, decontamination, html_extraction, packing, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity, url_filters
 from .common import table
 
 
@@ -57,10 +57,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audits(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     known = (
         op1_quality_rules, op2_quality_classifier, op3_html_extraction, op4_url_filters, op5_toxicity, op6_pii, op7_sentencepiece, op8_decontamination,
-        op9_simhash, op10_token_counts, op11_conversation_repair,
+        op9_simhash, op10_token_counts, op11_conversation_repair, op12_packing,
     )
     return {f.__name__: f for f in known}
 
