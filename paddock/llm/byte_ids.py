@@ -9,14 +9,12 @@ import numpy as np
 from .common import kept
 from .token_counts import PATTERN, byte_symbols
 
-#: Words that a worker remembers at most; longer ones are encoded anew each time.
-MOST_WORDS, MOST_WORD_CHARS = 400_000, 64
-#: Characters below this are letters, digits and marks alike in all Unicode versions: words of such texts are looked up alone.
+#: Characters below this are letters, digits and marks alike in all Unicode versions, and so to both libraries.
 LATIN = "ɐ"
 
 
 class ByteIds:
-    """Encodes whole texts to arrays of ids. Words met before come from a bounded cache; new ones, and texts beyond Latin, from the libraries.
+    """Encodes whole texts with the faster of two libraries that know the vocabulary; texts beyond Latin and with special tokens go to the tokenizers library.
 
     ``plain``: strings of special tokens in a text are plain text, otherwise they are those tokens.
     """
@@ -40,35 +38,22 @@ class ByteIds:
             raise ValueError("needs a byte-level BPE file whose ids ascend with its merges, without normalizer and prefix space")
         self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = regex.compile("|".join(map(regex.escape, special))) if special and not plain else None
-        self.cache: dict[str, bytes] = {}
-
-    def _slow(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def packed(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit numbers. A space between two other characters always starts a word."""
+        """Ids of a whole text as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if max(text) >= LATIN or (self.special is not None and self.special.search(text) is not None):
-            return self._slow(text)
-        first, *rest = text.split(" ")
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in rest) or (first and (first[0].isspace() or first[-1].isspace())):
-            return np.array(self.words.encode_ordinary(text), "<u4").tobytes()
-        head = np.array(self.words.encode_ordinary(first), "<u4").tobytes() if first else b""
-        cache = self.cache
-        try:
-            return head + b"".join(map(cache.__getitem__, rest))
-        except KeyError:
-            pass
-        parts = [head]
-        for word in rest:
-            found = cache.get(word)
-            if found is None:
-                found = np.array(self.words.encode_ordinary(" " + word), "<u4").tobytes()
-                if len(cache) < MOST_WORDS and len(word) <= MOST_WORD_CHARS:
-                    cache[word] = found
-            parts.append(found)
-        return b"".join(parts)
+        if not _latin(text) or (self.special is not None and self.special.search(text) is not None):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.words.encode_ordinary(text), "<u4").tobytes()
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < LATIN
+    return True
 
 
 def byte_ids(path: str, plain: bool) -> ByteIds:

@@ -68,7 +68,7 @@ def cuts(n: int, capacity: int) -> list[int]:
     return [0, *range(n % capacity or capacity, n + 1, capacity)]
 
 
-def _packed_where_it_lies(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], capacity: int, ids: bool) -> DataFrame:
+def _packed_where_it_lies(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], capacity: int, ids: bool, window: int) -> DataFrame:
     """Pieces of all documents in local bins: those of a task, or of a part of it that fits in memory."""
     new = fields(_PIECES + (", ids array<int>" if ids else ""))
     stay = [c for c in keep if c not in {f.name for f in new}]
@@ -79,14 +79,14 @@ def _packed_where_it_lies(docs: DataFrame, path: str, text: str, keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = prepared(lambda: byte_ids(path, plain=False)), np.array([END], "<u4").tobytes()
         base, bins_before = TaskContext.get().partitionId() << 36, 0
-        window: list[list] = [[] for _ in range(5)]
+        held_pieces: list[list] = [[] for _ in range(5)]
         kept_columns: list[pa.RecordBatch] = []
         rows: list[int] = []
         size = held = 0
 
         def pack() -> Iterator[pa.RecordBatch]:
             nonlocal bins_before, size, held
-            piece, start, length, crc, own = window
+            piece, start, length, crc, own = held_pieces
             lengths = np.array(length, np.int64)
             bins, offsets, fills = best_fit(lengths, capacity)
             columns = []
@@ -100,7 +100,7 @@ def _packed_where_it_lies(docs: DataFrame, path: str, text: str, keep: tuple[str
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values)).cast(arrow.field(len(arrays)).type))
             bins_before += len(fills)
             out = pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
-            for column in window:
+            for column in held_pieces:
                 column.clear()
             kept_columns.clear()
             rows.clear()
@@ -117,13 +117,13 @@ def _packed_where_it_lies(docs: DataFrame, path: str, text: str, keep: tuple[str
                     bounds = cuts(len(raw) // 4, capacity)
                     for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                         part = raw[4 * a : 4 * b]
-                        for column, value in zip(window, (k, a, b - a, zlib.crc32(part), part), strict=True):
+                        for column, value in zip(held_pieces, (k, a, b - a, zlib.crc32(part), part), strict=True):
                             if value is not part or ids:
                                 column.append(value)
                         rows.append(held + i - first)
                     size += len(raw) if ids else 0
                 held += last - first
-                if len(rows) >= WINDOW_PIECES or size >= WINDOW_BYTES:
+                if len(rows) >= window or size >= WINDOW_BYTES:
                     yield from pack()
         if rows:
             yield from pack()
@@ -149,7 +149,7 @@ def _merged(bins: DataFrame, capacity: int) -> DataFrame:
     return bins.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, ids: bool = False, window: int = WINDOW_PIECES) -> DataFrame:
     """Every piece of every document with the sequence it is in and its offset there; with ``ids`` its token ids too.
 
     A document's ids are followed by id 2. One of at most ``capacity`` tokens is one piece; a longer one is cut into pieces of
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     meets the bins of eight partitions of the round before, until one is left or a round merges less than 1 % of
     them. A task of a round holds two numbers of at most 100,000 bins or so.
     """
-    pieces = stored(_packed_where_it_lies(docs, path, text, keep, capacity, ids), "pieces")
+    pieces = stored(_packed_where_it_lies(docs, path, text, keep, capacity, ids, window), "pieces")
     is_open = F.col("__fill") < capacity - NEARLY
     bins = pieces.where(is_open & (F.col("offset") == 0)).select(F.col("__bin").alias("bin"), F.col("__fill").alias("fill"))
     rounds, parts, left = [], max(2, pieces.rdd.getNumPartitions()), bins.count()

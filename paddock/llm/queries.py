@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontamination, html_extraction, packing, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity, url_filters
+from . import alignment, conversation_repair, decontamination, html_extraction, packing, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity, url_filters
 from .common import table
 
 
@@ -61,10 +61,14 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     known = (
         op1_quality_rules, op2_quality_classifier, op3_html_extraction, op4_url_filters, op5_toxicity, op6_pii, op7_sentencepiece, op8_decontamination,
-        op9_simhash, op10_token_counts, op11_conversation_repair, op12_packing,
+        op9_simhash, op10_token_counts, op11_conversation_repair, op12_packing, op13_alignment,
     )
     return {f.__name__: f for f in known}
 

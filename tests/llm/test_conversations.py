@@ -125,8 +125,15 @@ def test_query_equals_plain_loop(spark):
     assert _rows(repair.audits(repair.damaged(given))) == _expected(rows)
 
 
-def test_nulls_ties_repeats_and_clashing_columns(spark, monkeypatch):
+def test_many_texts_wait_in_a_file(monkeypatch):
     monkeypatch.setattr(repair, "SPOOL_CHARS", 500)
+    spool, rows = repair._Spool(), [(k, "user", "x" * (k % 70)) for k in range(100)]
+    for row in rows:
+        spool.add(row)
+    assert spool.file is not None and len(spool.rows) < 10 and list(spool) == rows == list(spool)
+
+
+def test_nulls_ties_repeats_and_clashing_columns(spark):
     rng = random.Random(5)
     rows = []
     for conv in [None, *range(120)]:

@@ -101,11 +101,10 @@ def test_documents_are_packed_densely(spark):
 
 
 def test_small_windows_rounds_and_odd_texts(spark, monkeypatch):
-    monkeypatch.setattr(packing, "WINDOW_PIECES", 20)
     monkeypatch.setattr(packing, "ROUND_BINS", 40)
     rows = texts()[:400] + [None, "", "x " * 5000, "<|endoftext|>" * 40]
     docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(rows)], "doc_id long, text string, offset string").repartition(9)
-    found = packing.pack(docs, BYTES, capacity=32, ids=True, keep=("doc_id", "offset"))
+    found = packing.pack(docs, BYTES, capacity=32, ids=True, keep=("doc_id", "offset"), window=20)
     made, least = _check(found.collect(), dict(enumerate(rows)), 32)
     assert made <= least * 1.1 + 1
     whole = packing.sequences(found).collect()
