@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from paddock.functions.storage import exists, replace
+from paddock.functions import versions
 
 KEYS = {
     "cars": ("car_key",), "tracks": ("track_key",), "setups": ("setup_key",), "sessions": ("id",), "laps": ("session_id", "lap_number"), "sectors": ("session_id", "lap_number", "sector_number"),
@@ -46,13 +47,29 @@ def load_counts(kinds: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def load(kinds: dict[str, DataFrame], folder: str, newest: Sequence[Column] = ()) -> DataFrame:
-    """Rows of each kind into its catalog table under ``folder``, by the kind's key; returns how many rows of each kind came."""
-    for kind, rows in kinds.items():
-        path = f"{folder}/{kind}"
-        there = rows.sparkSession.read.parquet(path) if exists(rows.sparkSession, path) else rows.limit(0)
-        replace(upsert(there, rows, KEYS[kind], newest), path)
-    return load_counts(kinds)
+def load(kinds: dict[str, DataFrame], folder: str, newest: Sequence[Column] = (), batch: tuple[str, int] | None = None) -> DataFrame | None:
+    """Rows of each kind into its catalog table under ``folder``, by the kind's key, all in one commit; returns how many rows of each kind came.
+
+    With ``batch``, its source and number, a load is done once: None, and nothing changes, if that or a later batch of the source was loaded before. Of a load's rows
+    with one key the first by ``newest`` counts. Only the parts of a table that hold a key of the load are rewritten.
+    """
+    spark = next(iter(kinds.values())).sparkSession
+    changes = [versions.Change(kind, upsert(rows.limit(0), rows, KEYS[kind], newest), KEYS[kind]) for kind, rows in kinds.items()]
+    return None if versions.put(spark, folder, changes, batch) is None else load_counts(kinds)
+
+
+def loaded(spark: SparkSession, folder: str, kind: str) -> DataFrame | None:
+    """A catalog table as of the newest load."""
+    return versions.read(spark, folder, kind)
+
+
+def load_stream(stream: DataFrame, kind: str, folder: str, checkpoint: str, newest: Sequence[Column] = ()) -> StreamingQuery:
+    """Each micro-batch of a stream loaded once, also if it is delivered again after a failure or under a new checkpoint that counts its batches alike."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        load({kind: batch}, folder, newest, (kind, number))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def recent_sessions(sessions: DataFrame, laps: DataFrame, traces: DataFrame, limit: int = 20) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 OFF, REPLAY, LIVE, PAUSE = "OFF", "REPLAY", "LIVE", "PAUSE"
 
@@ -70,32 +73,96 @@ def stale(snapshots: DataFrame, seconds: float = 2.0, source: str = "source_id",
     return snapshots.withColumn("unchanged_seconds", F.col(clock) - since).withColumn("is_stale", F.col("unchanged_seconds") >= seconds)
 
 
-def live_state(snapshots: DataFrame, seconds: float = 2.0, source: str = "source_id", arrival: str = "arrival", clock: str = "seen_at_seconds") -> DataFrame:
-    """``live_state``: waiting, live, paused, replay or disconnected.
+class Monitor:
+    """Follows one source: what a reader that polls it would show at each snapshot.
 
-    A pause counts as a change; more than ``seconds`` without one is disconnected, as is a live snapshot with a value that isn't a finite number.
+    A source whose packet number stands still for more than ``seconds`` is given up, as is one with a status that
+    nobody knows or a value that isn't a finite number; a pause counts as a change. What was given up is
+    opened anew at the first snapshot at least ``retry`` seconds later, and shows until then what it showed.
     """
-    numbers = [f.name for f in snapshots.schema.fields if f.dataType.typeName() in ("double", "float")]
-    broken = F.lit(False)
-    for c in numbers:
-        broken = broken | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
-    w = _order(source, arrival)
-    changed = ~F.lag("packet_id").over(w).eqNullSafe(F.col("packet_id")) | (F.col("status") == PAUSE)
-    since = F.last(F.when(changed, F.col(clock)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    state = (
-        F.when(F.col("status") == OFF, "waiting").when(F.col("status") == REPLAY, "replay").when(F.col("status") == PAUSE, "paused")
-        .when(broken | (F.col(clock) - since > seconds), "disconnected").otherwise("live")
-    )
-    return snapshots.withColumn("live_state", state)
+
+    def __init__(self, seconds: float = 2.0, retry: float = 0.0, known: tuple | None = None):
+        self.seconds, self.retry = seconds, retry
+        self.packet, self.changed_at, self.retry_at, self.opened, self.connected = known or (None, None, None, False, False)
+
+    def known(self) -> tuple:
+        """What must be kept to go on later."""
+        return self.packet, self.changed_at, self.retry_at, self.opened, self.connected
+
+    def lost(self, clock: float | None, state: str = "disconnected") -> str:
+        self.packet, self.opened, self.retry_at = None, False, None if clock is None else clock + self.retry
+        return state
+
+    def step(self, clock: float, packet: int | None, status: str | None, broken: bool) -> str:
+        if not self.opened:
+            if self.retry_at is not None and clock < self.retry_at:
+                return "disconnected" if self.connected else "waiting"
+            self.opened, fresh = True, True
+        else:
+            fresh = packet != self.packet
+        if status not in STATUS_SHOWN:
+            return self.lost(clock)
+        if status == OFF:
+            return self.lost(clock, "waiting")
+        if fresh or status == PAUSE:
+            self.packet, self.changed_at = packet, clock
+        elif clock - self.changed_at > self.seconds:
+            return self.lost(clock)
+        if broken:
+            return self.lost(clock)
+        self.connected = True
+        return STATUS_SHOWN[status]
+
+
+STATUS_SHOWN = {OFF: "waiting", REPLAY: "replay", LIVE: "live", PAUSE: "paused"}
+
+
+def broken(snapshots: DataFrame) -> Column:
+    """Whether a value of a snapshot isn't a finite number; a missing one isn't looked at."""
+    found = F.lit(False)
+    for f in snapshots.schema.fields:
+        if f.dataType.typeName() in ("double", "float"):
+            found = found | F.coalesce(F.isnan(f.name) | (F.abs(F.col(f"`{f.name}`")) == float("inf")), F.lit(False))
+    return found
+
+
+def live_state(snapshots: DataFrame, seconds: float = 2.0, source: str = "source_id", arrival: str = "arrival", clock: str = "seen_at_seconds", retry: float = 0.0) -> DataFrame:
+    """``live_state`` of each snapshot: waiting, live, paused, replay or disconnected (see ``Monitor``).
+
+    Whether a source is given up depends on when it was given up before, so its snapshots are followed in order; a task holds one source's state at a time.
+    """
+    columns = snapshots.columns
+    schema = T.StructType([*snapshots.schema.fields, T.StructField("live_state", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, monitor = object(), None
+        for batch in batches:
+            states = []
+            for key, *values in zip(*(batch.column(c).to_pylist() for c in (source, clock, "packet_id", "status", "__broken")), strict=True):
+                if key != of:
+                    of, monitor = key, Monitor(seconds, retry)
+                states.append(monitor.step(*values))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in columns), pa.array(states, pa.string())], schema=arrow)
+
+    return snapshots.withColumn("__broken", broken(snapshots)).repartition(source).sortWithinPartitions(source, arrival).mapInArrow(run, schema)
+
+
+def stepping_back(samples: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Samples with ``__back``: whether any sample of their lap has less progress or elapsed time than the one before. Of a lap without one all samples are accepted."""
+    w = Window.partitionBy(*key)
+    less = lambda c: F.coalesce(F.col(c) < F.lag(c).over(w.orderBy(order)), F.lit(False))
+    stepped = samples.withColumn("__step", less("progress") | less("elapsed_seconds"))
+    return stepped.withColumn("__back", F.max("__step").over(w)).drop("__step")
 
 
 def _accept(samples: DataFrame, key: list[str], order: str) -> DataFrame:
     """Samples in order without those behind the last accepted one in elapsed time or progress; of equal progress the last stays.
 
-    What was accepted last holds the greatest progress so far among the accepted, and its elapsed time.
-    A sample that is behind in either is skipped, and doesn't raise the bar for the other; so a window
-    that carries the pair of both maxima isn't enough, and each lap's samples are folded in order in a
-    grouped map whose memory is one batch: the state is the pair alone.
+    What was accepted last holds the greatest progress so far among the accepted, and its elapsed time. A sample that is behind in
+    either is skipped, and doesn't raise the bar for the other; so a window that carries the pair of both
+    maxima isn't enough where a lap steps back anywhere. Only such laps are folded in order in Python, whose state is the pair alone; nearly all
+    others stay where they are.
     """
     schema = samples.schema
 
@@ -117,7 +184,9 @@ def _accept(samples: DataFrame, key: list[str], order: str) -> DataFrame:
                     state[k] = elapsed, progress
             yield frame[keep]
 
-    kept = samples.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+    marked = stepping_back(samples, key, order)
+    folded = marked.where("__back").drop("__back").repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+    kept = marked.where("not __back").drop("__back").unionByName(folded)
     # of equal progress the last accepted
     last = F.lead("progress").over(Window.partitionBy(*key).orderBy(order))
     return kept.withColumn("__next", last).where("__next is null or __next != progress").drop("__next")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paddock.functions import versions
+from paddock.functions.storage import stored
 from paddock.operators.sessions import sql_summary
 
 METRICS = (
@@ -34,6 +37,26 @@ def changed(current: DataFrame, manifest: DataFrame, by: tuple[str, ...] = ("ses
     return current.join(manifest.select(*by, "fingerprint"), [*by, "fingerprint"], "left_anti").select(*by)
 
 
+def refresh(frames: DataFrame, folder: str, table: str, compute: Callable[[DataFrame], DataFrame], version: int = 1, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Keeps ``compute(frames)``, with a row or more for each key of ``by``, as a stored table, and computes only what has changed; returns ``by`` and ``status``.
+
+    The table's manifest has the fingerprint of the frames that each key was computed from, ``version`` (that of the computation) and the
+    number of the commit. Keys whose fingerprint and version it has are ``skipped``: their frames are left out by an anti-join before
+    anything is computed, and their stored rows aren't touched. The table and its manifest change in one commit, so a run that fails is done again.
+    """
+    spark, manifest = frames.sparkSession, f"{table}_manifest"
+    at = versions.snapshot(spark, folder)
+    now = stored(fingerprint(frames, by).withColumn("version", F.lit(version)), "fingerprints")
+    known = versions.read(spark, folder, manifest, at)
+    work = now if known is None else now.join(known.select(*by, "fingerprint", "version"), [*by, "fingerprint", "version"], "left_anti")
+    work = stored(work, "work")
+    if not work.isEmpty():
+        made = compute(frames.join(work.select(*by), list(by), "left_semi"))
+        entries = work.select(*by, "rows", "fingerprint", "version", F.lit(at["number"] + 1).alias("made_in"))
+        versions.put(spark, folder, [versions.Change(table, made, by, work.select(*by)), versions.Change(manifest, entries, by)])
+    return now.select(*by).join(work.select(*by, F.lit("computed").alias("status")), list(by), "left").fillna("skipped", ["status"])
+
+
 def compare(a: DataFrame, b: DataFrame, relative: float = 1e-6, absolute: float = 1e-6) -> DataFrame:
     """Per session: row counts, frames only one side has, metrics beyond tolerance, the largest difference, and the verdict.
 

@@ -243,17 +243,6 @@ def c8_stale_sources(spark, sf_dir):
     return events.stale(snapshots(spark, sf_dir), seconds=0.5).select("source_id", "arrival", "unchanged_seconds", "is_stale")
 
 
-_STATE_PAUSED = _SINCE.format("changed OR status = 'PAUSE'")
-
-
-@query(
-    "SELECT source_id, arrival, CASE status WHEN 'OFF' THEN 'waiting' WHEN 'REPLAY' THEN 'replay' WHEN 'PAUSE' THEN 'paused' ELSE CASE "
-    f"WHEN seen_at_seconds - {_STATE_PAUSED} > 0.5e0 THEN 'disconnected' ELSE 'live' END END AS live_state FROM {_CHANGED}"
-)
-def c9_live_state(spark, sf_dir):
-    return events.live_state(snapshots(spark, sf_dir), seconds=0.5).select("source_id", "arrival", "live_state")
-
-
 _STRETCHES = (
     "SELECT *, sum(CASE WHEN coalesce(completed_laps <> before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, session_number "
     "ORDER BY arrival) AS stretch FROM (SELECT *, lag(completed_laps) OVER (PARTITION BY source_id, session_number ORDER BY arrival) AS before "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paddock.plans import lap_queries, more_queries, session_queries, sink_queries, storage_queries, trace_queries  # noqa: F401  importing registers
+from paddock.plans import lap_queries, live_queries, more_queries, session_queries, sink_queries, storage_queries, trace_queries  # noqa: F401  importing registers
 from paddock.plans.session_queries import QUERIES, SQL
 
 

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paddock.functions import versions
 from paddock.functions.storage import shared_folder, stored
-from paddock.operators import catalog, quality, traces
+from paddock.operators import catalog, parity, quality, sessions, traces
 from paddock.plans import storage_queries
 from paddock.plans.session_queries import AUDIT_SQL, ONCE_SQL, _once, query
 from paddock.plans.views import LAPS_SQL, TRACE_SQL, laps, trace
@@ -122,4 +123,42 @@ def a14_event_load(spark, sf_dir):
     catalog.load({"laps": rows.where("lap_number <= 3 or lap_number % 2 = 0")}, folder)
     later = rows.where("lap_number > 3 or lap_number % 2 = 0").withColumn("lap_time_ms", F.when(F.col("lap_number") % 2 == 0, F.col("lap_time_ms") + 1).otherwise(F.col("lap_time_ms")))
     catalog.load({"laps": later}, folder)
-    return spark.read.parquet(f"{folder}/laps").groupBy("session_id").agg(F.count(F.lit(1)).alias("laps"), F.sum("lap_time_ms").alias("total_ms"))
+    return catalog.loaded(spark, folder, "laps").groupBy("session_id").agg(F.count(F.lit(1)).alias("laps"), F.sum("lap_time_ms").alias("total_ms"))
+
+
+_TWICE = "CASE WHEN lap_number % 2 = 0 THEN lap_time_ms + 1 ELSE lap_time_ms END"
+
+
+@query(f"SELECT session_id, count(*) AS laps, CAST(sum({_TWICE}) AS BIGINT) AS total_ms, 2 AS commits FROM ({LAPS_SQL}) GROUP BY session_id")
+def a14_replayed_load(spark, sf_dir):
+    """Laps loaded by a stream of two micro-batches; both are delivered again under a new checkpoint, with other times, and change nothing."""
+    folder = _folder(spark, "catalog")
+    rows = laps(spark, sf_dir).select("session_id", "lap_number", "lap_time_ms", "occurred_at")
+    rows.write.parquet(f"{folder}-in/1")
+    rows.where("lap_number % 2 = 0").withColumn("lap_time_ms", F.col("lap_time_ms") + 1).write.parquet(f"{folder}-in/2")
+    schema = spark.read.parquet(f"{folder}-in/1").schema
+    for checkpoint, add in (("first", 0), ("again", 1000)):
+        for part in (1, 2):
+            delivered = stages.read_stream(spark, f"{folder}-in/{{{','.join(map(str, range(1, part + 1)))}}}", schema, 1000).withColumn("lap_time_ms", F.col("lap_time_ms") + add)
+            catalog.load_stream(delivered, "laps", folder, f"{folder}-{checkpoint}").awaitTermination()
+    commits = versions.snapshot(spark, folder)["number"]
+    return catalog.loaded(spark, folder, "laps").groupBy("session_id").agg(F.count(F.lit(1)).alias("laps"), F.sum("lap_time_ms").alias("total_ms")).withColumn("commits", F.lit(commits))
+
+
+_SEVENTH = "CAST(substr(session_id, 2) AS BIGINT) % 7 = 0"
+
+
+@query(
+    f"SELECT session_id, CASE WHEN {_SEVENTH} THEN 2 ELSE 1 END AS made_in, CASE WHEN {_SEVENTH} THEN 'computed' ELSE 'skipped' END AS status, count(*) AS sample_count, "
+    f"max(vehicle_speed_kmh) + CASE WHEN {_SEVENTH} THEN 1 ELSE 0 END AS maximum_speed_kmh FROM ({AUDIT_SQL}) WHERE is_valid GROUP BY session_id",
+    "maximum_speed_kmh",
+)
+def a17_incremental_gold(spark, sf_dir):
+    """Gold summaries kept twice, the second time with every seventh session changed: only those are computed again, as the manifest tells."""
+    folder = _folder(spark, "gold")
+    valid = stored(quality.silver(_once(spark, sf_dir))[0], "silver")
+    parity.refresh(valid, folder, "gold", sessions.gold_summary)
+    changed = valid.withColumn("vehicle_speed_kmh", F.when(F.substring("session_id", 2, 20).cast("long") % 7 == 0, F.col("vehicle_speed_kmh") + 1).otherwise(F.col("vehicle_speed_kmh")))
+    status = parity.refresh(changed, folder, "gold", sessions.gold_summary)
+    gold = versions.read(spark, folder, "gold").select("session_id", "sample_count", "maximum_speed_kmh")
+    return gold.join(versions.read(spark, folder, "gold_manifest").select("session_id", "made_in"), "session_id").join(status, "session_id")
