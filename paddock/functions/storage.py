@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths that the open scopes delete, the innermost last
-_SCOPES: list[list[str]] = []
+#: Paths that the open scopes delete, the innermost last; each thread and task of the driver has its own
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,33 +35,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a table or a partition of one, wherever it is stored."""
+def create(spark: SparkSession, path: str) -> None:
+    """An empty folder, if there is none."""
     files, at = _at(spark, path)
-    files.delete(at, True)
+    files.mkdirs(at)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Writes ``df`` in the place of a table that it may itself be made from: beside it first, then moved. A reader in between finds no table, never half of one."""
-    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    files, at = _at(df.sparkSession, path)
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table or a partition of one, wherever it is stored."""
+    files, at = _at(spark, path)
     files.delete(at, True)
-    if not files.rename(_at(df.sparkSession, new)[1], at):
-        raise OSError(f"{new} couldn't be moved to {path}")
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables stored inside when it ends. What is still to be read must be written by then."""
-    _SCOPES.append([])
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for path in own:
             delete(spark, path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the innermost ``scratch`` ends; without one it stays."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read again: later stages plan and compute from there, also after an executor is lost.
 
@@ -69,6 +76,6 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    if not keep and (scopes := _SCOPES.get()):
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

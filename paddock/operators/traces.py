@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.functions.storage import stored
+
 LAP = ("session_id", "lap_number")
 PAIR = ("session_id", "ref_lap", "target_lap")
 CHANNELS = ("elapsed_seconds", "speed_kmh", "throttle", "brake", "steering_angle_deg")
@@ -64,8 +66,8 @@ def unique_progress(trace: DataFrame) -> DataFrame:
 def interpolate(probes: DataFrame, points: DataFrame, key: tuple[str, ...], position: str, channels: tuple[str, ...], clamp: bool = False, hold: tuple[str, ...] = ()) -> DataFrame:
     """``probes`` with the channels of ``points`` at their position, on the line between the points around it.
 
-    An as-of join without a range join: probes and points of a key are shuffled together once, sorted
-    up and down, and running windows carry the nearest point from either side. Outside the points the channels are
+    An as-of join without a range join: probes and points of a key are shuffled together and sorted once; the last point at or before a
+    probe and the next one after it come from the same window. Outside the points the channels are
     null, or with ``clamp`` those of the end point. Channels in ``hold`` keep the left point's value.
     """
     carried = [c for c in probes.columns if c not in (*key, position)]
@@ -74,35 +76,68 @@ def interpolate(probes: DataFrame, points: DataFrame, key: tuple[str, ...], posi
     rows = probes.select(*key, position, F.struct(F.lit(0).alias("__probe"), *carried).alias("__row"), F.lit(None).cast(kind).alias("__point"))
     empty = rows.schema["__row"].dataType.simpleString()
     rows = rows.unionByName(points.select(*key, position, F.lit(None).cast(empty).alias("__row"), point.alias("__point")))
-    is_point = F.col("__point").isNotNull().cast("int")
-    up, down = Window.partitionBy(*key).orderBy(position, is_point), Window.partitionBy(*key).orderBy(F.desc(position), is_point.desc())
-    last = lambda w: F.last("__point", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # a probe sorts before a point at its own place, so the left point lies strictly below it and the right one at it or above
-    placed = rows.withColumn("__l", last(up)).withColumn("__r", last(down)).where("__row is not null")
+    w = Window.partitionBy(*key).orderBy(position, F.col("__row").isNotNull())  # points before probes at their place
+    order = f"PARTITION BY {', '.join(key)} ORDER BY {position}, __row IS NOT NULL"
+    before = F.last("__point", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.select("*", before.alias("__l"), F.expr(f"lead(__point, 1) IGNORE NULLS OVER ({order})").alias("__r")).where("__row is not null")
     left, right = F.col("__l"), F.col("__r")
     ratio = (F.col(position) - left["x"]) / (right["x"] - left["x"])
 
     def value(c: str) -> Column:
-        inner = F.when(right["x"] == F.col(position), right[c]).when(left.isNotNull() & right.isNotNull(), left[c] if c in hold else left[c] + (right[c] - left[c]) * ratio)
+        inner = F.when(left["x"] == F.col(position), left[c]).when(left.isNotNull() & right.isNotNull(), left[c] if c in hold else left[c] + (right[c] - left[c]) * ratio)
         return F.coalesce(inner, F.when(left.isNull(), right[c]).when(right.isNull(), left[c])) if clamp else inner
 
     return placed.select(*key, position, *(F.col(f"__row.{c}").alias(c) for c in carried), *(value(c).alias(c) for c in channels))
 
 
-def align(pairs: DataFrame, trace: DataFrame, points: int = 201) -> DataFrame:
-    """Both laps of each pair on a uniform grid of their shared progress, with target minus reference. Laps that share no stretch give no rows."""
-    once = unique_progress(trace)
-    shared = shared_coverage(pairs, trace).where("shared_span > 0")
-    at = F.when(F.col("grid_index") == points - 1, F.col("shared_end")).otherwise(F.least("shared_end", F.col("shared_start") + F.col("shared_span") / (points - 1) * F.col("grid_index")))
-    grid = shared.select(*PAIR, "shared_start", "shared_end", "shared_span", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_index")).withColumn("progress", at).select(*PAIR, "grid_index", "progress")
+#: So many pairs meet a reference lap's stretches under one key
+PAIRS_TOGETHER = 256
+
+
+def stretches(trace: DataFrame) -> DataFrame:
+    """Each lap cut between its samples, of equal progress the last: a row with the samples at either end (``l``, null before the first, and ``r``)."""
+    w = Window.partitionBy(*LAP).orderBy("progress", "sample_index")
+    sample = F.struct("progress", *CHANNELS)
+    last = trace.select(*LAP, "progress", "sample_index", sample.alias("r"), F.lead("progress").over(w).alias("__next")).where("__next is null or __next != progress")
+    return last.select(*LAP, F.lag("r").over(w).alias("l"), "r")
+
 
-    def side(name: str, grid: DataFrame) -> DataFrame:
-        lap = once.select("session_id", F.col("lap_number").alias(f"{name}_lap"), "progress", *CHANNELS)
-        return interpolate(grid, lap, ("session_id", f"{name}_lap"), "progress", CHANNELS).withColumnsRenamed({c: f"{name}_{c}" for c in CHANNELS})
+def align(pairs: DataFrame, trace: DataFrame, points: int = 201) -> DataFrame:
+    """Both laps of each pair on a uniform grid of their shared progress, with target minus reference. Laps that share no stretch give no rows.
 
-    both = side("target", side("ref", grid))
+    A lap is cut once into the stretches between its samples, after one sort. A pair meets those of either lap by an equality join, and each stretch makes the grid points
+    that lie on it; both laps' values of a grid point come together in an aggregation. A reference lap of many pairs is dealt out under as many keys as it takes, so that no task gets all of its session.
+    """
+    cut = stored(stretches(trace), "stretches")
+    ends = cut.groupBy(*LAP).agg(F.min("r.progress").alias("start"), F.max("r.progress").alias("end"))
+    side = lambda n: ends.select("session_id", F.col("lap_number").alias(f"{n}_lap"), F.struct("start", "end").alias(n))
+    both = pairs.join(side("ref"), ["session_id", "ref_lap"]).join(side("target"), ["session_id", "target_lap"])
+    low, high = F.greatest("ref.start", "target.start"), F.least("ref.end", "target.end")
+    shared = both.select(*PAIR, low.alias("low"), high.alias("high"), (high - low).alias("span")).where("span > 0")
+    key = ["session_id", "ref_lap"]
+    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*key)) / PAIRS_TOGETHER)
+    dealt = stored(shared.withColumn("deal", F.pmod(F.xxhash64("target_lap"), many)), "pairs")
+    reference = cut.withColumnRenamed("lap_number", "ref_lap").join(dealt.select(*key, "deal").distinct(), key)
+
+    def on_grid(met: DataFrame, ref: bool) -> DataFrame:
+        """Grid points on the stretches: their numbers by division, with one more on either side, then those that do lie on it."""
+        step = F.col("span") / (points - 1)
+        number = lambda c: ((F.col(c) - F.col("low")) / step).cast("int")
+        first = F.col("l").isNull()  # of the first sample only the start can be a grid point
+        least, most = F.when(first, 0).otherwise(F.greatest(F.lit(0), number("l.progress") - 1)), F.when(first, 0).otherwise(F.least(F.lit(points - 1), number("r.progress") + 1))
+        placed = met.select(*PAIR, "low", "high", "span", "l", "r", F.explode(F.when(least <= most, F.sequence(least, most))).alias("grid_index"))
+        at = F.when(F.col("grid_index") == points - 1, F.col("high")).otherwise(F.least("high", F.col("low") + step * F.col("grid_index")))
+        placed = placed.withColumn("progress", at).where("progress = r.progress or (l.progress < progress and progress < r.progress)")
+        ratio = (F.col("progress") - F.col("l.progress")) / (F.col("r.progress") - F.col("l.progress"))
+        value = lambda c: F.when(F.col("progress") == F.col("r.progress"), F.col(f"r.{c}")).otherwise(F.col(f"l.{c}") + (F.col(f"r.{c}") - F.col(f"l.{c}")) * ratio)
+        sides = [(n, value if (n == "ref") == ref else lambda c: F.lit(None).cast("double")) for n in ("ref", "target")]
+        return placed.select(*PAIR, "grid_index", "progress", *(of(c).alias(f"{n}_{c}") for n, of in sides for c in CHANNELS))
+
+    rows = on_grid(dealt.join(reference, [*key, "deal"]), True).unionByName(on_grid(dealt.join(cut.withColumnRenamed("lap_number", "target_lap"), ["session_id", "target_lap"]), False))
+    values = [f"{n}_{c}" for n in ("ref", "target") for c in CHANNELS]
+    met = rows.groupBy(*PAIR, "grid_index").agg(F.max("progress").alias("progress"), *(F.max(v).alias(v) for v in values))
     delta = {f"{c}_delta": F.col(f"target_{c}") - F.col(f"ref_{c}") for c in CHANNELS}
-    return both.withColumns(delta).withColumnRenamed("elapsed_seconds_delta", "time_delta_seconds")
+    return met.withColumns(delta).withColumnRenamed("elapsed_seconds_delta", "time_delta_seconds")
 
 
 def alignment_summary(aligned: DataFrame) -> DataFrame:

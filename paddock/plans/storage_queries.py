@@ -148,7 +148,7 @@ def decoded(rows: DataFrame) -> DataFrame:
 @query(DECODED_SQL)
 def b7_kafka_decode(spark, sf_dir):
     """The records decoded and flagged as a batch."""
-    return decoded(kafka.bronze_and_audit(broker_records(spark, sf_dir)))
+    return decoded(kafka.audit(kafka.decode(broker_records(spark, sf_dir))))
 
 
 _SESSIONS = f"SELECT session_id AS id, min(occurred_at) AS started_at, count(*) AS n FROM ({LAPS_SQL}) GROUP BY session_id"
@@ -402,7 +402,7 @@ def h2_streamed_silver(spark, sf_dir):
     run = f"{folder}/{uuid.uuid4().hex}"
     source = telemetry(spark, sf_dir)
     source.write.parquet(f"{run}/in")
-    stages.run_available(spark, f"{run}/in", source.schema, f"{run}/out", stages.Settings(source.schema.simpleString(), watermark="60 days", files_per_trigger=1000))
+    stages.frames_chain(spark, f"{run}/in", source.schema, f"{run}/out", stages.Settings(source.schema.simpleString(), watermark="60 days", files_per_trigger=1000)).run()
     return spark.read.parquet(f"{run}/out/silver").groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.functions.storage import delete, exists
+from paddock.functions import versions
 from paddock.schemas import ENVIRONMENT_FIELDS, FRAME, SESSION_METADATA, VEHICLE_FIELDS, WHEEL_FIELDS, WHEELS, require_columns
 
 CORRUPT = "_corrupt_record"
@@ -102,19 +100,12 @@ def write_table(rows: DataFrame, path: str, mode: str = "append", partitions: tu
     rows.hint("rebalance", *partitions).sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def write_silver(valid: DataFrame, quarantined: DataFrame, path: str, partitions: tuple[str, ...] = ("session_id",)) -> None:
-    """Valid and quarantined rows to trees of their own. Every session of this run is replaced whole in both, so a row that was quarantined before and is valid now is in one tree only.
+def write_silver(spark: SparkSession, valid: DataFrame, quarantined: DataFrame, path: str) -> None:
+    """Valid and quarantined rows as the tables ``valid`` and ``quarantine`` of a folder, in one commit.
 
-    Dynamic overwrite leaves a session's partition in a tree for which this run has no rows of it;
-    such partitions are looked up by their folders and deleted first.
+    Every session of this run is replaced whole in both, so a row that was quarantined before and is valid now is in one table only, and a
+    reader sees a session as it was before or as it is after.
     """
-    spark = valid.sparkSession
-    trees = {f"{path}/valid": valid, f"{path}/quarantine": quarantined}
-    sessions = valid.select("session_id").union(quarantined.select("session_id")).distinct()
-    for tree, rows in trees.items():
-        if exists(spark, tree):
-            stale = spark.read.parquet(tree).select("session_id", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
-            gone = stale.join(sessions, "session_id", "left_semi").join(rows.select("session_id").distinct(), "session_id", "left_anti")
-            for r in gone.select("folder").collect():
-                delete(spark, unquote(r["folder"]))  # it comes as a URI
-        write_table(rows, tree, "overwrite", partitions)
+    session = ("session_id",)
+    seen = valid.select(*session).union(quarantined.select(*session)).distinct()
+    versions.put(spark, path, [versions.Change("valid", valid, session, seen), versions.Change("quarantine", quarantined, session, seen)])

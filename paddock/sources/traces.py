@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paddock.functions import versions
 from paddock.operators.traces import LAP
 from paddock.schemas import TRACE, require_columns
 
@@ -17,15 +18,17 @@ def numbered(samples: DataFrame) -> DataFrame:
     return samples.where("lap_number > 0 and lap_time_ms > 0").withColumn("sample_index", F.row_number().over(order) - 1)
 
 
-def write_traces(samples: DataFrame, path: str) -> None:
-    """The trace table; a lap that is written again replaces its partition."""
-    rows = numbered(require_columns(samples, REQUIRED)).hint("rebalance", *LAP).sortWithinPartitions(*LAP, "sample_index")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "lap_number").parquet(path)
+def write_traces(samples: DataFrame, path: str, buckets: int = versions.BUCKETS) -> None:
+    """The trace table; a lap that is written again replaces its samples. Laps lie together in parts by a hash of session and lap, of which only those that hold a written lap are rewritten, all in one commit."""
+    rows = numbered(require_columns(samples, REQUIRED))
+    versions.put(samples.sparkSession, path, [versions.Change("traces", rows, LAP)], buckets=buckets)
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """All laps; ``gear`` and ``clutch`` are null where files lack them."""
-    rows = spark.read.parquet(path)
+    """All laps; ``gear`` and ``clutch`` are null where they were written without."""
+    rows = versions.read(spark, path, "traces")
+    if rows is None:
+        raise FileNotFoundError(f"no traces in {path}")
     for name in ("gear", "clutch"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(TRACE[name].dataType))

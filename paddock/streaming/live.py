@@ -247,7 +247,7 @@ class _States(StatefulProcessor):
 
 
 def live_states(snapshots: DataFrame, seconds: float = 2.0, retry: float = 2.0, source: str = "source_id", clock: str = "seen_at_seconds", silent_ms: int | None = None) -> DataFrame:
-    """(source_id, arrival, live_state) of each snapshot as it comes in (see ``events.Monitor``), and with ``silent_ms`` one row more, disconnected, for a source from which nothing has come for so long by the clock of the cluster.
+    """(source_id, arrival, live_state) of each snapshot as it comes in (see ``events.Monitor``), and with ``silent_ms`` one row more, disconnected, for a source from which nothing has come for so long by the clock of the cluster; such a stream goes on until it is stopped, also under ``availableNow``.
 
     Snapshots that come after later ones of their source are left out. Begin the stream inside ``keyed_state``.
     """

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paddock.functions import scalars
+from paddock.functions import scalars, versions
 from paddock.operators import events, laps, learn, matching, parity, quality, rules, sessions, setups, traces, zones
 from paddock.schemas import WHEEL_FIELDS
 from paddock.sources import frames, kafka, tables
@@ -258,9 +258,9 @@ def test_unmatched_parts(spark):
 def test_silver_replaces_quarantine(spark, tmp_path):
     rows = lambda *items: spark.createDataFrame(list(items), "session_id string, sample_index int, timestamp int")
     none, path = rows(("x", 0, 0)).limit(0), str(tmp_path / "silver")
-    frames.write_silver(rows(("a/b c", 1, 1), ("b", 1, 1)), rows(("a/b c", 2, 2), ("b", 2, 2)), path)
-    frames.write_silver(rows(("a/b c", 1, 1), ("a/b c", 2, 2)), none, path)
-    read = lambda t: sorted((r.session_id, r.sample_index) for r in spark.read.parquet(f"{path}/{t}").collect())
+    frames.write_silver(spark, rows(("a/b c", 1, 1), ("b", 1, 1)), rows(("a/b c", 2, 2), ("b", 2, 2)), path)
+    frames.write_silver(spark, rows(("a/b c", 1, 1), ("a/b c", 2, 2)), none, path)
+    read = lambda t: sorted((r.session_id, r.sample_index) for r in versions.read(spark, path, t).collect())
     assert read("valid") == [("a/b c", 1), ("a/b c", 2), ("b", 1)] and read("quarantine") == [("b", 2)]
 
 

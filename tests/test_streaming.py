@@ -19,20 +19,21 @@ def test_stages(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     first = rows(spark, [(0, 1, 80.0, 0.5), (0, 1, 80.0, 0.5), (1, 3, 120.0, 0.5), (2, 3, 100.0, 1.5), (3, None, 100.0, 0.5)])
     first.write.mode("append").parquet(source)
-    stages.run_available(spark, source, first.schema, out)
+    stages.frames_chain(spark, source, first.schema, out).run()
     assert spark.read.parquet(f"{out}/audit").count() == 5
     assert spark.read.parquet(f"{out}/silver").count() == 2
     assert stages.quarantine(spark, out).count() == 2
     rows(spark, [(4, 2, 100.0, 0.5), (5, 40, 90.0, 0.5)]).write.mode("append").parquet(source)
-    stages.run_available(spark, source, first.schema, out)
+    stages.frames_chain(spark, source, first.schema, out).run()
     rows(spark, [(6, 1, 60.0, 0.5), (7, 80, 90.0, 0.5)]).write.mode("append").parquet(source)
-    stages.run_available(spark, source, first.schema, out)
+    late = stages.frames_chain(spark, source, first.schema, out).run()
+    assert {r.stage: r.n for r in late.groupBy("stage").agg(F.sum("late_rows").alias("n")).collect()} == {"audit": 0, "silver": 1, "analytics": 0}
     assert sorted(r.sample_index for r in spark.read.parquet(f"{out}/silver").collect()) == [0, 1, 4, 5, 7]  # the late row 6 is only in the audit
     assert spark.read.parquet(f"{out}/audit").count() == 9
     closed = spark.read.parquet(f"{out}/analytics").orderBy("window_start").collect()
     assert (closed[0].sample_count, closed[0].average_speed_kmh, closed[0].maximum_speed_kmh) == (3, 100, 120)
     with pytest.raises(ValueError, match="other settings"):
-        stages.run_available(spark, source, first.schema, out, stages.Settings(first.schema.simpleString(), window="5 seconds"))
+        stages.frames_chain(spark, source, first.schema, out, stages.Settings(first.schema.simpleString(), window="5 seconds"))
     with pytest.raises(ValueError, match="nested"):
         stages.freeze(spark, stages.Settings("x"), f"{source}/out", source)
 
@@ -41,21 +42,17 @@ def test_continuous_group(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     first = rows(spark, [(0, 1, 80.0, 0.5), (1, 30, 120.0, 1.5), (2, 60, 100.0, 0.5)])
     first.write.mode("append").parquet(source)
-    for name in ("audit", "silver"):
-        (tmp_path / "out" / name).mkdir(parents=True)
-    group = stages.run_continuous(spark, source, first.schema, out, every="100 milliseconds")
-    try:
+    chain = stages.frames_chain(spark, source, first.schema, out)
+    with chain.running(every="100 milliseconds") as live:
         for _ in range(3):
-            group.drain()
+            live.caught_up()
         assert spark.read.parquet(f"{out}/audit").count() == 3 and spark.read.parquet(f"{out}/silver").count() == 2
-    finally:
-        group.stop()
-    group.check()
-    assert not any(q.isActive for q in group.queries)
+        assert sum(r[2] for r in live.progress() if r[0] == "audit") == 3
+    assert not any(q.isActive for q in live.queries.values())
     spark.conf.set("spark.sql.shuffle.partitions", "5")
     try:
         with pytest.raises(ValueError, match="other settings"):
-            stages.freeze(spark, stages.Settings(first.schema.simpleString()), out, source)
+            stages.frames_chain(spark, source, first.schema, out)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
