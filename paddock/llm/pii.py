@@ -17,7 +17,15 @@ from .common import map_texts
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "date", "secret")
 ROUNDS = 8
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-_FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: First and last years within which dates are permuted
+_ERAS = ((1, 1899), (1900, 2099), (2100, 9999))
+#: Lengths of IBANs by country (fixed values)
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 #: Forms of personal data (fixed values); each find is validated before it is changed
 _SECRET_HEADS = r"(?:AKIA|ASIA)(?=[A-Z0-9]{16}(?!\w))|gh[pousr]_(?=[A-Za-z0-9]{20})|github_pat_(?=\w{20})|[spr]k_(?:live|test)_(?=[A-Za-z0-9]{10})|sk-(?=[\w-]{20})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[\w-]{35})|eyJ(?=[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
@@ -25,23 +33,25 @@ _SECRET_KEYS = r"(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|acc
 _SECRET = re.compile(
     rf"(?P<head>(?<!\w)(?:{_SECRET_HEADS}))(?P<body>[\w.-]+)"
     r"|(?P<bearer>(?<!\w)(?i:bearer)\s+)(?P<shown>[A-Za-z0-9._~+/-]{16,}=*)"
-    rf"|(?P<key>(?<![A-Za-z0-9]){_SECRET_KEYS})(?P<given>[^\s\"',;<>()]{{8,}})"
+    rf"|(?P<key>(?<![A-Za-z0-9]){_SECRET_KEYS})(?P<given>[^\s\"',;<>()]+)"
     r"|(?P<begin>-----BEGIN [A-Z ]*PRIVATE KEY-----)(?P<block>[A-Za-z0-9+/=\s]+)"
 )
+_DATES = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 _FORMS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.+-])[^\W_][\w.%+-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}",
     "secret": re.sub(r"\?P<\w+>", "?:", _SECRET.pattern),
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<!\w)(?i:ssn|social security(?: number)?)[:# ]{1,3}\d{3} \d{2} \d{4}(?![\w-])",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)",
+    "date": rf"(?<![\w/.-])(?:{_DATES})(?!(?!T\d\d:\d\d)\w|[/-]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\w)|(?<!\w)(?i:ssn|social security(?: number)?)[:# ]{1,3}\d{3} \d{2} \d{4}(?![\w-])",
     "card": r"(?<![\w+-])\d(?:[ -]?\d){12,}(?![\w-])",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w|-\d)|(?<!\w)\+\d{1,3}(?:[ .-]\d{2,4}){2,6}(?!\w)|(?<!\w)\+[1-9]\d{7,14}(?!\w)"
+    r"|(?<![\w.+-])1(?P<first>[ .-])[2-9]\d\d(?P=first)[2-9]\d\d(?P=first)\d{4}(?!\w|[.-]\d)|(?<![\w.+-])00[1-9]\d{0,2}(?:[ .-]\d{2,8}){2,6}(?!\w|[.-]\d)|(?<![\w.+-])00[1-9]\d{7,14}(?!\w|[.-]\d)"
     r"|(?<![\w.+-])[2-9]\d\d(?P<mark>[ .-])[2-9]\d\d(?P=mark)\d{4}(?!\w|[.-]\d)|(?<![\w.+-])0[1-9](?:\d{8,9}|(?:[ .-]\d\d){4})(?!\w|[.-]\d)",
 }
 PATTERN, _NO_CARD = (re.compile("|".join(f"(?P<{k}>{f})" for k, f in _FORMS.items() if k != without)) for without in ("", "card"))
 #: Forms that end a run of digits in which a card is looked for: they are exchanged by themselves
-_OWN = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{3}-\d{2}-\d{4})(?![\w/-]|\.\d)")
+_OWN = re.compile(rf"\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\w|\.\d)|(?:{_DATES}|\d{{3}}-\d{{2}}-\d{{4}})(?!(?!T\d\d:\d\d)\w|[/-]|\.\d)")
 _GROUP = re.compile(r"(?<=[ -])\d")
 #: What stands before four numbers that are a version or a section, not an address
 _VERSION = re.compile(r"(?i)(?<!\w)(?:version|ver|v|release|revision|rev|build|section|chapter|firmware)[.:]?\s?\Z")
@@ -130,20 +140,42 @@ def _secret(text: str, c: Cipher, back: bool) -> str | None:
     m = _SECRET.fullmatch(text)
     head = m["head"] or m["bearer"] or m["key"] or m["begin"]
     body = text[len(head) :]
-    # after "password:" without quotes, prose may follow: only what has a digit or capitals inside counts
+    # prose or code may follow a key: after "password:" without quotes only what has a digit or capitals inside counts, and short words and numbers never do
     if m["key"] and "=" not in head and head[-1] not in "\"'" and not re.search(r"\d|[^A-Z\W_][A-Z]", body):
         return None
+    if m["key"] and len(body) < 8 and not (re.search(r"[A-Za-z]", body) and re.search(r"\d", body)):
+        return None
     return head + c.characters(body, b"secret", back)
 
 
+def _iban_check(plain: str) -> int:
+    return int("".join(str(int(x, 36)) for x in plain[4:] + plain[:4])) % 97
+
+
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN at ``start`` ends, at ``end`` at most: at its country's length, for unknown countries at the first word end with right check digits. None if it isn't one."""
+    plain, length = "", IBAN_LENGTHS.get(text[start : start + 2])
+    for i in range(start, end):
+        if text[i] == " ":
+            continue
+        plain += text[i]
+        whole = not (text[i + 1 : i + 2].isalnum() or text[i + 1 : i + 2] == "_")
+        if (len(plain) == length if length else len(plain) >= 15) and whole and _iban_check(plain) == 1:
+            return i + 1
+        if len(plain) == length:
+            return None
+    return None
+
+
 def _iban(text: str, c: Cipher, back: bool) -> str | None:
     plain = text.replace(" ", "")
-    check = lambda s: int("".join(str(int(x, 36)) for x in s[4:] + s[:4])) % 97
-    if not 15 <= len(plain) <= 34 or check(plain) != 1:
-        return None
-    body = c.characters(plain[4:], b"iban", back)
-    new = iter(plain[:2] + f"{98 - check(plain[:2] + '00' + body):02d}" + body)
-    return "".join(x if x == " " else next(new) for x in text)
+    while True:  # of an unknown country until no earlier end would do, so that it is found again
+        body = c.characters(plain[4:], b"iban", back)
+        plain = plain[:2] + f"{98 - _iban_check(plain[:2] + '00' + body):02d}" + body
+        new = iter(plain)
+        made = "".join(x if x == " " else next(new) for x in text)
+        if _iban_end(made, 0, len(made)) == len(made):
+            return made
 
 
 def _ip(text: str, c: Cipher, back: bool) -> str | None:
@@ -153,7 +185,7 @@ def _ip(text: str, c: Cipher, back: bool) -> str | None:
             ipaddress.IPv6Address(text)
         except ValueError:
             return None
-        if len(groups) < 3 or not any(x in _DIGITS for x in text):
+        if len(groups) < 3 and (len(groups) < 2 or max(map(len, groups)) < 4) or not any(x in _DIGITS for x in text):
             return None
         small = lambda x: any(y in _LOWER for y in x) or not any(y in _UPPER for y in x)
         sets, new = ("0123456789abcdef", "ABCDEF") if small(text) else ("0123456789ABCDEF",), text
@@ -169,28 +201,28 @@ def _ip(text: str, c: Cipher, back: bool) -> str | None:
 
 
 def _date(text: str, c: Cipher, back: bool) -> str | None:
-    parts = [int(x) for x in re.split(r"\D", text)]
-    order = "ymd" if text[4] == "-" else "mdy" if "/" in text and parts[0] <= 12 else "dmy"
+    parts, mark = [int(x) for x in re.split(r"\D", text)], re.search(r"\D", text)[0]
+    order = "ymd" if text[4:5] == mark else "mdy" if mark != "." and parts[0] <= 12 else "dmy"
     at = dict(zip(order, parts, strict=True))
     try:
         day = datetime.date(at["y"], at["m"], at["d"]).toordinal()
     except ValueError:
         return None
-    if not _FIRST_DAY <= day <= _LAST_DAY:
-        return None
-    if "/" in text:
+    first, last = next(era for era in _ERAS if era[0] <= at["y"] <= era[1])
+    if order != "ymd" and mark != ".":
         # the day stays, since days over 12 tell which of the two readings holds; year and month are permuted
-        month = (at["y"] - 1900) * 12 + at["m"] - 1
+        month = (at["y"] - first) * 12 + at["m"] - 1
         while True:
-            month = c.permute(month, 2400, b"month", back)
-            at |= {"y": 1900 + month // 12, "m": month % 12 + 1}
+            month = c.permute(month, 12 * (last - first + 1), b"month", back)
+            at |= {"y": first + month // 12, "m": month % 12 + 1}
             if at["d"] <= calendar.monthrange(at["y"], at["m"])[1]:
                 break
     else:
-        new = datetime.date.fromordinal(_FIRST_DAY + c.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, b"date", back))
+        low, high = datetime.date(first, 1, 1).toordinal(), datetime.date(last, 12, 31).toordinal()
+        new = datetime.date.fromordinal(low + c.permute(day - low, high - low + 1, b"date", back))
         at = {"y": new.year, "m": new.month, "d": new.day}
     bare = re.search(r"(?<!\d)\d(?!\d)", text) is not None  # written without leading zeros
-    return re.search(r"\D", text)[0].join(f"{at[k]:04d}" if k == "y" else str(at[k]) if bare else f"{at[k]:02d}" for k in order)
+    return mark.join(f"{at[k]:04d}" if k == "y" else str(at[k]) if bare else f"{at[k]:02d}" for k in order)
 
 
 def _ssn(text: str, c: Cipher, back: bool) -> str | None:
@@ -245,19 +277,20 @@ def _card(run: str, at: tuple[int, int], c: Cipher, back: bool) -> str:
 
 def _phone_end(text: str) -> int:
     """Where a phone number in international form ends: a run of groups with over 15 digits holds another number as well, and goes on after at most 13 of them."""
-    if text[0] == "+" and "(" not in text and sum(x in _DIGITS for x in text) > 15:
+    abroad = 2 if text.startswith("00") else 0
+    if (text[0] == "+" or abroad) and "(" not in text and sum(x in _DIGITS for x in text) > 15 + abroad:
         ends = [m.end() for m in re.finditer(r"\d+", text)]
-        return max((e for e in ends if sum(x in _DIGITS for x in text[:e]) <= 13), default=0)
+        return max((e for e in ends if sum(x in _DIGITS for x in text[:e]) <= 13 + abroad), default=0)
     return len(text)
 
 
 def _phone(text: str, c: Cipher, back: bool) -> str | None:
     """Country codes, the first digit of compact numbers and a leading 0 stay; area codes and exchanges that start with 2 to 9 still do."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|0|", text)[0]
+    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|00[1-9]\d{0,2}(?=[ .-])|00[1-9]|0|1(?=[ .-])|", text)[0]
     digits = re.sub(r"\D", "", text[len(head) :])
-    if not 8 <= len(digits) + sum(x in _DIGITS for x in head) <= 15:
+    if not 8 <= len(digits) + sum(x in _DIGITS for x in head) - 2 * head.startswith("00") <= 15:
         return None
-    plain = not head and text[0] != "("
+    plain = head in ("", "1") and text[0] != "("
     lowest = "".join("2" if plain and i in (0, 3) else "1" if head == "0" and not i else "0" for i in range(len(digits)))
     return head + _put(text[len(head) :], c.digits(digits, lowest, b"phone%d" % len(digits), back))
 
@@ -299,6 +332,9 @@ class Pseudonyms:
                     at, refused = match.start(), stop
             else:
                 value = match[0]
+                if kind == "iban":
+                    stop_at = _iban_end(text, match.start(), match.end())
+                    value, at = text[match.start() : stop_at] if stop_at else "", stop_at or match.start() + 4
                 if kind == "phone":
                     value = value[: _phone_end(value)]
                     at = match.start() + max(1, len(value))

@@ -250,3 +250,40 @@ def test_slot_dense_items(spark):
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()}
     assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3), (8, 4)}
+
+
+FORMS = [
+    "ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "1990-02-28", "1990/02/28", "28-02-1990", "28.02.1990", "02/28/1990", "1785-03-04", "2150-01-01",
+    "1990-02-28T10:00:00Z", "1-988-555-2485", "+1 988 555 2485", "988-555-2485", "0049 151 12345678", "josé@exämple.com", "ana.b@mail.example.org", "192.168.20.7", "2001:db8::8a2e:370:7334", "fe80::1f2b", "4111 1111 1111 1111",
+    "4111111111111111", "123-45-6789",
+]
+
+
+def test_no_value_stays_whatever_stands_beside_it():
+    """Every form before and behind every other and usual words: an independent search for the values themselves finds none, and the text comes back."""
+    p = pii.Pseudonyms(b"k")
+    around = ["", "EUR 500", "2024", "BIC CAIXESBB", "and", "No. 12,", "(x)", "USD", "A1"]
+    texts = [f"{a} {v} {b}".strip() for v in FORMS for a in around for b in around]
+    texts += [f"{v}{sep}{w}" for v in FORMS for w in FORMS for sep in (", ", "; ", " and ", "\n")]
+    clear = []
+    for text in texts:
+        out, _ = p.text(text)
+        assert p.text(out, back=True)[0] == text, (text, out)
+        clear += [(v, text, out) for v in FORMS if v in text and v.partition("T1")[0] in out]
+    assert not clear, clear[:5]
+
+
+def test_ibans_by_country_and_short_secrets():
+    p = pii.Pseudonyms(b"k")
+    for country, length in pii.IBAN_LENGTHS.items():
+        body = "".join("0123456789"[i * 7 % 10] for i in range(length - 4))
+        iban = f"{country}{98 - pii._iban_check(country + '00' + body):02d}{body}"
+        for text in (iban, f"{iban} AB12", f"to {' '.join(iban[i : i + 4] for i in range(0, length, 4))} EUR"):
+            out, n = p.text(text)
+            assert n["iban"] == 1 and p.text(out, back=True)[0] == text
+        assert p.text(f"{iban}0")[0] == f"{iban}0"  # another length is no IBAN
+    for text in ("password=abc1234", '"password": "hunter2"', "pwd=Qx7", "token: a1b2"):
+        out, n = p.text(text)
+        assert n["secret"] == 1 and out != text and p.text(out, back=True)[0] == text
+    for text in ("token = 5", "password: yes", "secret=no", "AB12 is the name of a road", "XX12 ABCD EFGH 1234 5678"):
+        assert p.text(text)[0] == text
