@@ -7,8 +7,9 @@ from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
+#: A quote opens a value only behind an equals sign; elsewhere it is part of a name or value, and the next ``>`` ends the tag
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$)|<[!?/][^>]*(?:>|$)|(?P<text>[^<]+|<)", re.S
+    r"<!--.*?(?:-->|$)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|$)|<[!?/][^>]*(?:>|$)|(?P<text>[^<]+|<)", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -125,8 +126,6 @@ def blocks(html: str) -> list[Block]:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else size
             continue
-        if rest.endswith("/"):
-            continue
         marks = []
         if rest:
             for name, *values in _ATTRIBUTE.findall(rest):

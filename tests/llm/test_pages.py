@@ -164,3 +164,12 @@ def test_rules_of_the_tables(spark):
     pages, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "labels"))
     mined = url_filters.mine(url_filters.training_rows(pages, labels))
     assert mined and all(any(i.startswith("h:") for i in items) for items, _ in mined)
+
+
+def test_attributes_by_the_rules_of_html():
+    found = lambda page: [(b.text, b.linked) for b in blocks(page)]
+    assert found("<article><p class=it's>Hello world text</p><p class=it's>More</p></article>") == [("Hello world text", 0), ("More", 0)]
+    assert found("<p><a href=/x/>text</a> after</p>") == [("text after", 4)]
+    assert found("<article id=x/><p>Held</p></article>") == [("Held", 0)] and blocks("<article id=x/><p>Held</p></article>")[0].path[0] == "article"
+    assert found("<p title = \"a > b\" data-q='c > d'>One</p><p \"odd>Two</p><p title=\"never closed>Three</p>")[:2] == [("One", 0), ("Two", 0)]
+    assert found("<p title='" + "x=\"" * 50_000 + "'>Long</p>") == [("Long", 0)]
