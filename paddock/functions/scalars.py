@@ -48,3 +48,8 @@ def signed_delta_text(ms: Column) -> Column:
     """``+s.mmm s`` or ``-s.mmm s``; null stays null."""
     whole = F.abs(ms.cast("long"))
     return F.when(ms.isNotNull(), F.format_string("%s%d.%03d s", F.when(ms < 0, "-").otherwise("+"), F.floor(whole / 1000), whole % 1000))
+
+
+def hex_number(digest: Column) -> Column:
+    """The first 60 bits of a hex digest as a number, which other engines can compute too."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")

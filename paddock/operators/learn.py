@@ -11,18 +11,19 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.functions.scalars import hex_number
 from paddock.schemas import require_columns
 
 FEATURE, TARGET = "absolute_parameter_delta_from_baseline", "front_slip_angle_deg"
 
 
 def group_split(df: DataFrame, group: str = "seed", test_size: float = 0.2, random_state: int = 42) -> DataFrame:
-    """``df`` with ``is_test``: all rows of a group are on one side, the first ceil(test_size · n) groups by hash are the test groups."""
+    """``df`` with ``is_test``: all rows of a group are on one side, the first ceil(test_size · n) groups by the MD5 of ``group:random_state`` are the test groups."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    groups = df.select(group).distinct().withColumn("__h", F.xxhash64(group, F.lit(random_state)))
+    groups = df.select(group).distinct().withColumn("__h", hex_number(F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{random_state}")))))
     # where the last test group lies: counts of 1,024 ranges of hashes, then ranks within the one range that is cut
-    ranged = groups.withColumn("__range", F.shiftright("__h", 54))
+    ranged = groups.withColumn("__range", F.shiftright("__h", 50))
     counts = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
     left, cut = math.ceil(sum(counts.values()) * test_size), None
     for cut in sorted(counts):
@@ -90,6 +91,34 @@ def compare_models(split: DataFrame, features: tuple[str, ...] = (FEATURE,), tre
     return metrics(scored, ("model",))
 
 
+def fit_parabola(df: DataFrame, x: str = FEATURE, y: str = TARGET) -> DataFrame:
+    """Least squares parabola c0 + c1·x + c2·x² in one row: the normal equations of the sums of powers, which one aggregation gives; nulls if the values of x are too few."""
+    power = lambda k: F.sum(F.pow(F.col(x), F.lit(k)))
+    sums = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *(power(k).alias(f"x{k}") for k in (1, 2, 3, 4)), F.sum(y).alias("y0"), F.sum(F.col(x) * F.col(y)).alias("y1"), F.sum(F.pow(F.col(x), F.lit(2)) * F.col(y)).alias("y2")
+    )
+    return sums.selectExpr(*(f"try_divide({e}, {PARABOLA['d']}) AS {c}" for c, e in PARABOLA.items() if c != "d"))
+
+
+#: Cramer's rule for the normal equations, over the sums n, x1 to x4 (of powers of x) and y0 to y2 (of y times powers of x)
+PARABOLA = {
+    "d": "(n * (x2 * x4 - x3 * x3) - x1 * (x1 * x4 - x2 * x3) + x2 * (x1 * x3 - x2 * x2))",
+    "c0": "(y0 * (x2 * x4 - x3 * x3) - x1 * (y1 * x4 - y2 * x3) + x2 * (y1 * x3 - y2 * x2))",
+    "c1": "(n * (y1 * x4 - y2 * x3) - y0 * (x1 * x4 - x2 * x3) + x2 * (x1 * y2 - x2 * y1))",
+    "c2": "(n * (x2 * y2 - x3 * y1) - x1 * (x1 * y2 - x2 * y1) + y0 * (x1 * x3 - x2 * x2))",
+}
+
+
+def compare_curves(split: DataFrame, x: str = FEATURE, y: str = TARGET) -> DataFrame:
+    """Test metrics of the least squares line and parabola of one feature on the same split, each fitted by one aggregation."""
+    train, test = split.where("not is_test"), split.where("is_test")
+    line = simple_regression(train, (), x, y).select(F.struct("coefficient", "intercept").alias("f")).scalar()
+    curve = fit_parabola(train, x, y).select(F.struct("c0", "c1", "c2").alias("f")).scalar()
+    made = {"linear": line["intercept"] + line["coefficient"] * F.col(x), "polynomial_2": curve["c0"] + curve["c1"] * F.col(x) + curve["c2"] * F.col(x) * F.col(x)}
+    scored = [test.select(F.lit(name).alias("model"), y, p.alias("prediction")) for name, p in made.items()]
+    return metrics(scored[0].unionByName(scored[1]), ("model",), y)
+
+
 def evaluate(df: DataFrame, predictions: DataFrame, test_seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Metrics on the rows of the recorded test seeds."""
     return metrics(df.join(predictions, [c for c in df.columns if c in predictions.columns]).join(test_seeds, "seed", "left_semi"), by)

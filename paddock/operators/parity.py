@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions import versions
+from paddock.functions.scalars import hex_number
 from paddock.functions.storage import stored
 from paddock.operators.sessions import sql_summary
 
@@ -16,17 +17,29 @@ METRICS = (
     "duration_seconds", "maximum_speed_kmh", "average_speed_kmh", "average_front_pressure_psi", "average_rear_pressure_psi", "average_front_core_temp_c", "average_rear_core_temp_c",
     "average_front_brake_temp_c", "average_rear_brake_temp_c", "average_front_slip_angle_deg", "average_rear_slip_angle_deg", "valid_row_percentage",
 )
-_FORMATS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def canonical(column: Column, kind: str) -> Column:
+    """A value as text that tells all values of its type apart: its length and itself, or ``-`` for null; times in microseconds."""
+    if kind in ("timestamp", "timestamp_ntz"):
+        text = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    elif kind.startswith(("struct", "array", "map")):
+        text = F.to_json(F.struct(column), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    elif kind == "binary":
+        text = F.hex(column)
+    else:
+        text = column.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def fingerprint(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """SHA-256 of the schema with count, sum, least and greatest row hash; the order of rows and partitions doesn't matter.
 
-    An empty table gives no row, or with ``by`` no group.
+    A row's hash is 60 bits of the MD5 of its values' texts, which any engine with MD5 can compute. An empty table gives no row, or with ``by`` no group.
     """
     columns = sorted(c for c in df.columns if c not in by)
-    row = F.xxhash64(F.to_json(F.struct(*columns), _FORMATS))
     kinds = dict(df.dtypes)
+    row = hex_number(F.md5(F.concat(*(canonical(F.col(f"`{c}`"), kinds[c]) for c in columns))))
     schema = ";".join(f"{c}:{kinds[c]}" for c in columns)
     sums = df.withColumn("__h", row).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("__h").cast("decimal(38,0)")).alias("s"), F.min("__h").alias("lo"), F.max("__h").alias("hi"))
     return sums.where("rows > 0").select(*by, "rows", F.sha2(F.concat_ws("|", F.lit(schema), "rows", "s", "lo", "hi"), 256).alias("fingerprint"))

@@ -210,3 +210,19 @@ def a17_incremental_gold(spark, sf_dir):
     status = parity.refresh(changed, folder, "gold", sessions.gold_summary)
     gold = versions.read(spark, folder, "gold").select("session_id", "sample_count", "maximum_speed_kmh")
     return gold.join(versions.read(spark, folder, "gold_manifest").select("session_id", "made_in"), "session_id").join(status, "session_id")
+
+
+@query(
+    f"SELECT session_id, count(*) AS frames, sum(sample_index) AS indexes FROM ({ONCE_SQL}) WHERE event_id % 101 <> 0 GROUP BY session_id "
+    f"UNION ALL SELECT 'corrupt', count(*), NULL FROM ({ONCE_SQL}) WHERE event_id % 101 = 0"
+)
+def a1_raw_files(spark, sf_dir):
+    """Frames as JSON lines in files, some cut short and some blank, read with the broken lines apart."""
+    path = _folder(spark, "raw")
+    nested = frames.unflatten(_once(spark, sf_dir))
+    line = F.to_json(F.struct("timestamp", "session_id", "sample_index", "elapsed_seconds", "car_id", "track_id", "vehicle", "environment", "wheels"))
+    cut = nested.select(F.when(F.col("event_id") % 101 == 0, F.substring(line, 1, 60)).otherwise(line).alias("value"))
+    cut.unionByName(cut.select(F.lit("  ").alias("value")).limit(5)).write.text(path)
+    good, corrupt = frames.read_frames(spark, path)
+    counted = good.groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("sample_index").alias("indexes"))
+    return counted.unionByName(corrupt.agg(F.lit("corrupt").alias("session_id"), F.count(F.lit(1)).alias("frames"), F.lit(None).cast("long").alias("indexes")))

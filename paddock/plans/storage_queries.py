@@ -79,10 +79,18 @@ def a14_load_counts(spark, sf_dir):
     return catalog.load_counts({"events": _table(spark, sf_dir, "events"), "laps": _table(spark, sf_dir, "orders"), "sectors": _table(spark, sf_dir, "lineitem")})
 
 
-@query()
+_PRINTED = {"car_id": "string", "fl_load_n": "double", "sample_index": "bigint", "timestamp": "timestamp", "vehicle_brake": "double", "vehicle_gear": "bigint", "vehicle_speed_kmh": "double", "vehicle_steering_angle_deg": "double", "vehicle_throttle": "double"}
+_TEXTS = [f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%f')" if k == "timestamp" else f"CAST({c} AS VARCHAR)" for c, k in _PRINTED.items()]
+_ROW_HASH = "CAST('0x' || substr(md5(concat(" + ", ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in _TEXTS) + ")), 1, 15) AS BIGINT)"
+
+
+@query(
+    f"SELECT session_id, count(*) AS rows, sha256(concat_ws('|', '{';'.join(f'{c}:{k}' for c, k in _PRINTED.items())}', count(*), sum(h), min(h), max(h))) AS fingerprint "
+    f"FROM (SELECT session_id, {_ROW_HASH} AS h FROM ({TELEMETRY_SQL})) GROUP BY session_id"
+)
 def a16_fingerprints(spark, sf_dir):
-    """Each session's content hash: tests hold it against reordered and changed tables."""
-    return parity.fingerprint(telemetry(spark, sf_dir), ("session_id",))
+    """Each session's content hash over text, whole numbers, doubles, times and nulls."""
+    return parity.fingerprint(telemetry(spark, sf_dir).select("session_id", *_PRINTED), ("session_id",))
 
 
 @query(f"SELECT session_id FROM ({ONCE_SQL}) GROUP BY session_id HAVING max(CASE WHEN event_id % 89 = 3 THEN 1 ELSE 0 END) = 1")
@@ -323,7 +331,10 @@ def i1_ml_dataset(spark, sf_dir):
     return _dataset(spark, sf_dir).select("seed", "point_id", "parameter_delta_from_baseline", "absolute_parameter_delta_from_baseline", "front_slip_angle_deg")
 
 
-@query()
+_SPLIT = f"SELECT seed, row_number() OVER (ORDER BY md5(concat(seed, ':42'))) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM (SELECT DISTINCT seed FROM ({_DATASET}))"
+
+
+@query(f"SELECT seed, is_test, 1 AS sides, count(*) AS rows FROM ({_DATASET}) JOIN ({_SPLIT}) USING (seed) GROUP BY ALL")
 def i2_group_split(spark, sf_dir):
     return learn.group_split(_dataset(spark, sf_dir)).groupBy("seed").agg(F.min("is_test").alias("is_test"), F.countDistinct("is_test").alias("sides"), F.count(F.lit(1)).alias("rows"))
 
@@ -347,8 +358,25 @@ def i5_metrics_by_seed(spark, sf_dir):
     return learn.metrics(learn.predict_line(data, learn.simple_regression(data, ("seed",)), ("seed",)), ("seed",))
 
 
-@query()
+_SUMS = f"SELECT CAST(count(*) AS DOUBLE) AS n, {', '.join(f'sum(pow({_X}, {k})) AS x{k}' for k in (1, 2, 3, 4))}, sum({_Y}) AS y0, sum({_X} * {_Y}) AS y1, sum(pow({_X}, 2) * {_Y}) AS y2 FROM data WHERE NOT is_test"
+
+
+@query(
+    f"WITH data AS (SELECT * FROM ({_DATASET}) JOIN ({_SPLIT}) USING (seed)), line AS (SELECT regr_slope({_Y}, {_X}) AS a, regr_intercept({_Y}, {_X}) AS b FROM data WHERE NOT is_test), "
+    f"curve AS (SELECT {', '.join(f'{e} / {learn.PARABOLA["d"]} AS {c}' for c, e in learn.PARABOLA.items() if c != 'd')} FROM ({_SUMS})), "
+    f"scored AS (SELECT 'linear' AS model, {_Y} AS y, (SELECT b FROM line) + (SELECT a FROM line) * {_X} AS p FROM data WHERE is_test UNION ALL "
+    f"SELECT 'polynomial_2', {_Y}, (SELECT c0 FROM curve) + (SELECT c1 FROM curve) * {_X} + (SELECT c2 FROM curve) * {_X} * {_X} FROM data WHERE is_test) "
+    "SELECT model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM scored GROUP BY model",
+    "mae rmse r2",
+)
 def i4_model_comparison(spark, sf_dir):
+    """A line and a parabola by least squares on the same split."""
+    return learn.compare_curves(learn.group_split(_dataset(spark, sf_dir))).drop("rows")
+
+
+@query()
+def i4_random_forest(spark, sf_dir):
+    """The three models of the machine learning library on that split, with the forest."""
     return learn.compare_models(learn.group_split(_dataset(spark, sf_dir))).drop("rows")
 
 

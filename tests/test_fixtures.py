@@ -395,3 +395,25 @@ def test_scratch_tables_go(spark):
         assert stored(spark.range(3), "gone").count() == 3 and len(found()) == 1
         kept = stored(spark.range(4), "kept", keep=True)
     assert not found() and kept.count() == 4
+
+
+def test_parabola_and_split(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-3, 5, 200)
+    y = 2 - 0.5 * x + 0.25 * x * x + rng.normal(0, 0.1, 200)
+    df = spark.createDataFrame([(int(i % 20), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "seed long, x double, y double")
+    got = learn.fit_parabola(df, "x", "y").first()
+    assert np.allclose([got.c2, got.c1, got.c0], np.polyfit(x, y, 2))
+    assert learn.fit_parabola(df.where("seed < 0"), "x", "y").first().c0 is None and learn.fit_parabola(df.withColumn("x", F.lit(1.0)), "x", "y").first().c1 is None
+    split = learn.group_split(df).groupBy("seed").agg(F.countDistinct("is_test").alias("n"), F.max("is_test").alias("t")).collect()
+    assert sum(r.t for r in split) == 4 and all(r.n == 1 for r in split)
+    found = {r.model: r.rmse for r in learn.compare_curves(learn.group_split(df), "x", "y").collect()}
+    assert found["polynomial_2"] < 0.2 < found["linear"]
+
+
+def test_decode_tells_all_faults(spark):
+    value = b'{"schema_version":99,"source":"","session_type":"race","setup_id":null,"frame":{"session_id":"s"}}'
+    df = spark.createDataFrame([(b"k", value, "t", 0, 0), (b"s", None, "t", 0, 1)], "key binary, value binary, topic string, partition int, offset long")
+    got = kafka.decode(df).orderBy("kafka_offset").collect()
+    assert got[0].decode_faults == ["unsupported_schema", "invalid_metadata"] and got[0].decode_error == "unsupported_schema" and got[0].schema_version == 1
+    assert got[1].decode_error == "invalid_json" and got[1].source_file == "kafka://t/0/1"
