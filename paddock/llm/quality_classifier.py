@@ -20,7 +20,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 
 def apply(docs: DataFrame, forest: trees.Forest, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """Every row with ``score`` in 0..1 and ``predicted``; null texts are scored as empty ones."""
+    """Every row with ``score`` in 0..1 and ``predicted``; null texts are scored as empty ones, very long ones whole.
+
+    Repeated rows are scored each and alike, an empty table gives no rows, and of the input only the columns of ``keep`` stay; one with the name of a new column gives way to it.
+    """
 
     def make():
         def work(texts):

@@ -267,7 +267,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
     """Every row with ``n_tokens``, and SHA-256 of its ids joined by commas and of the text decoded from them.
 
     Null and empty texts have no ids. Very long texts and words are whole; repeated rows are
-    encoded alike.
+    encoded alike; an empty table gives no rows. Of the input only the columns of ``keep`` stay; one with the name of a new column gives way to it.
     """
 
     def make():

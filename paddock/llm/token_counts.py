@@ -135,7 +135,8 @@ def merges(path: str) -> Merges:
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
     """Every row with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` of its whole text.
 
-    Null and empty texts have 0 of both. Nothing is cut or padded, and no special token is added.
+    Null and empty texts have 0 of both. Nothing is cut or padded, and no special token is added; very long texts are counted whole. Repeated rows are
+    counted each, an empty table gives no rows, and of the input only the columns of ``keep`` stay; one with the name of a new column gives way to it.
     """
 
     def make():
