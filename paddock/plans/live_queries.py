@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.functions.storage import shared_folder
+from paddock.functions.storage import folder
 from paddock.operators import events
 from paddock.plans.lap_queries import _CHANNELS, _LAP_TRACES, SNAPSHOT_SQL, snapshots
 from paddock.plans.session_queries import query
@@ -37,7 +36,7 @@ def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fed(spark: SparkSession, rows: DataFrame, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a stream gives that is stopped and begun again while the snapshots of each source arrive in four parts."""
-    run = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    run = folder(spark, name)
     with live.keyed_state(spark):
         for part in range(4):
             rows.where(F.least(F.floor(F.col("arrival") / 20), F.lit(3)) == part).write.mode("append").parquet(f"{run}/in")

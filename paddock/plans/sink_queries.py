@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.functions import versions
-from paddock.functions.storage import shared_folder, stored
+from paddock.functions.storage import folder, stored
 from paddock.operators import catalog, parity, quality, sessions, traces
 from paddock.plans import storage_queries
 from paddock.plans.session_queries import AUDIT_SQL, ONCE_SQL, _once, query
@@ -19,10 +17,6 @@ from paddock.sources import traces as trace_files
 from paddock.streaming import stages
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _EVEN = "CAST(substr(session_id, 2) AS BIGINT) % 2 = 0"
 
 
@@ -31,7 +25,7 @@ _EVEN = "CAST(substr(session_id, 2) AS BIGINT) % 2 = 0"
 )
 def a9_silver_sink(spark, sf_dir):
     """Silver written twice: in the second run the sessions with even numbers come corrected, and none of their rows may stay in quarantine."""
-    path = _folder(spark, "silver")
+    path = folder(spark, "silver")
     first = _once(spark, sf_dir)
     frames.write_silver(spark, *quality.silver(first), path)
     mended = first.where("substring(session_id, 2) % 2 = 0").withColumns(
@@ -52,7 +46,7 @@ def _records_chain(spark: SparkSession, sf_dir: str, run: str, **settings) -> st
 @query(storage_queries.DECODED_SQL)
 def h9_kafka_bronze(spark, sf_dir):
     """The stream from broker records to audited rows."""
-    run = _folder(spark, "kafka")
+    run = folder(spark, "kafka")
     _records_chain(spark, sf_dir, run).run()
     return storage_queries.decoded(spark.read.parquet(f"{run}/out/audit"))
 
@@ -67,7 +61,7 @@ _KAFKA_VALID = f"SELECT * FROM ({AUDIT_SQL}) WHERE is_valid AND event_id % 19 <>
 )
 def h9_kafka_chain(spark, sf_dir):
     """Broker records through Bronze, audit, Silver and daily windows; a second run finds nothing new."""
-    run = _folder(spark, "chain")
+    run = folder(spark, "chain")
     chain = _records_chain(spark, sf_dir, run, window="1 day")
     chain.run()
     chain.run()
@@ -87,7 +81,7 @@ _LATE = f"SELECT *, event_id % 3 = 0 AS second, max(CASE WHEN event_id % 3 <> 0
 )
 def h4_late_rows(spark, sf_dir):
     """Frames in two runs: what each stage's batches took in, and how many rows of the second run came later than the watermark that the first one left."""
-    run = _folder(spark, "late")
+    run = folder(spark, "late")
     source = _once(spark, sf_dir)
     chain = None
     for part in (False, True):
@@ -106,7 +100,7 @@ def h4_late_rows(spark, sf_dir):
 )
 def a11_trace_table(spark, sf_dir):
     """The trace table written and read, with the laps of even sessions written a second time."""
-    path = _folder(spark, "traces")
+    path = folder(spark, "traces")
     rows = trace(spark, sf_dir).withColumn("lap_time_ms", F.lit(90000))
     trace_files.write_traces(rows, path)
     trace_files.write_traces(rows.where("substring(session_id, 2) % 2 = 0"), path)
@@ -117,7 +111,7 @@ def a11_trace_table(spark, sf_dir):
 @query(f"SELECT session_id, lap_number, lap_time_ms, lap_key FROM ({LAPS_SQL}) WHERE lap_time_ms IS NOT NULL AND lap_number % 5 <> 0")
 def a7_dataset_round_trip(spark, sf_dir):
     """Laps as CSV, some without a time, read by their columns: rows that lack one are left out."""
-    path = _folder(spark, "laps") + ".csv"
+    path = folder(spark, "laps") + "/laps.csv"
     rows = laps(spark, sf_dir).withColumn("lap_time_ms", F.when(F.col("lap_number") % 5 != 0, F.col("lap_time_ms")))
     tables.write_csv(rows, path)
     return tables.read_dataset(spark, path, ("session_id", "lap_number", "lap_time_ms", "lap_key"), rows.schema)
@@ -126,7 +120,7 @@ def a7_dataset_round_trip(spark, sf_dir):
 @query("SELECT s_suppkey AS id, s_nationkey AS dataset FROM supplier WHERE s_nationkey % 3 = 1")
 def a15_json_catalog(spark, sf_dir):
     """A log of runs as JSON lines, read with its schema and looked up by a column."""
-    path = _folder(spark, "runs")
+    path = folder(spark, "runs")
     runs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("dataset"), (F.col("s_nationkey") % 3).alias("model"))
     tables.append_run(runs.where("id % 2 = 0"), path)
     tables.append_run(runs.where("id % 2 = 1"), path)
@@ -136,7 +130,7 @@ def a15_json_catalog(spark, sf_dir):
 @query(f"SELECT session_id, count(*) AS rows FROM ({ONCE_SQL}) GROUP BY session_id")
 def a5_bronze_ingest(spark, sf_dir):
     """Accepted frames of two runs over the same sessions: the second finds them stored and writes none."""
-    path = _folder(spark, "bronze")
+    path = folder(spark, "bronze")
     nested = frames.unflatten(_once(spark, sf_dir))
     seen = nested.groupBy("session_id").agg(
         F.first("car_id").alias("car_id"), F.first("track_id").alias("track_id"), F.first("setup_id").alias("setup_id"), F.first("session_type").alias("session_type"),
@@ -166,12 +160,12 @@ _LOADED = f"SELECT session_id, lap_number, CASE WHEN lap_number % 2 = 0 THEN lap
 @query(f"SELECT session_id, count(*) AS laps, CAST(sum(lap_time_ms) AS BIGINT) AS total_ms FROM ({_LOADED}) GROUP BY session_id")
 def a14_event_load(spark, sf_dir):
     """Completed laps loaded in two drains; the second brings later laps and corrects the even ones."""
-    folder = _folder(spark, "catalog")
+    path = folder(spark, "catalog")
     rows = laps(spark, sf_dir).select("session_id", "lap_number", "lap_time_ms", "occurred_at")
-    catalog.load({"laps": rows.where("lap_number <= 3 or lap_number % 2 = 0")}, folder)
+    catalog.load({"laps": rows.where("lap_number <= 3 or lap_number % 2 = 0")}, path)
     later = rows.where("lap_number > 3 or lap_number % 2 = 0").withColumn("lap_time_ms", F.when(F.col("lap_number") % 2 == 0, F.col("lap_time_ms") + 1).otherwise(F.col("lap_time_ms")))
-    catalog.load({"laps": later}, folder)
-    return catalog.loaded(spark, folder, "laps").groupBy("session_id").agg(F.count(F.lit(1)).alias("laps"), F.sum("lap_time_ms").alias("total_ms"))
+    catalog.load({"laps": later}, path)
+    return catalog.loaded(spark, path, "laps").groupBy("session_id").agg(F.count(F.lit(1)).alias("laps"), F.sum("lap_time_ms").alias("total_ms"))
 
 
 _TWICE = "CASE WHEN lap_number % 2 = 0 THEN lap_time_ms + 1 ELSE lap_time_ms END"
@@ -180,17 +174,17 @@ _TWICE = "CASE WHEN lap_number % 2 = 0 THEN lap_time_ms + 1 ELSE lap_time_ms END
 @query(f"SELECT session_id, count(*) AS laps, CAST(sum({_TWICE}) AS BIGINT) AS total_ms, 2 AS commits FROM ({LAPS_SQL}) GROUP BY session_id")
 def a14_replayed_load(spark, sf_dir):
     """Laps loaded by a stream of two micro-batches; both are delivered again under a new checkpoint, with other times, and change nothing."""
-    folder = _folder(spark, "catalog")
+    path = folder(spark, "catalog")
     rows = laps(spark, sf_dir).select("session_id", "lap_number", "lap_time_ms", "occurred_at")
-    rows.write.parquet(f"{folder}-in/1")
-    rows.where("lap_number % 2 = 0").withColumn("lap_time_ms", F.col("lap_time_ms") + 1).write.parquet(f"{folder}-in/2")
-    schema = spark.read.parquet(f"{folder}-in/1").schema
+    rows.write.parquet(f"{path}/in-1")
+    rows.where("lap_number % 2 = 0").withColumn("lap_time_ms", F.col("lap_time_ms") + 1).write.parquet(f"{path}/in-2")
+    schema = spark.read.parquet(f"{path}/in-1").schema
     for checkpoint, add in (("first", 0), ("again", 1000)):
         for part in (1, 2):
-            delivered = stages.read_stream(spark, f"{folder}-in/{{{','.join(map(str, range(1, part + 1)))}}}", schema, 1000).withColumn("lap_time_ms", F.col("lap_time_ms") + add)
-            catalog.load_stream(delivered, "laps", folder, f"{folder}-{checkpoint}").awaitTermination()
-    commits = versions.snapshot(spark, folder)["number"]
-    return catalog.loaded(spark, folder, "laps").groupBy("session_id").agg(F.count(F.lit(1)).alias("laps"), F.sum("lap_time_ms").alias("total_ms")).withColumn("commits", F.lit(commits))
+            delivered = stages.read_stream(spark, f"{path}/in-{{{','.join(map(str, range(1, part + 1)))}}}", schema, 1000).withColumn("lap_time_ms", F.col("lap_time_ms") + add)
+            catalog.load_stream(delivered, "laps", path, f"{path}/{checkpoint}").awaitTermination()
+    commits = versions.snapshot(spark, path)["number"]
+    return catalog.loaded(spark, path, "laps").groupBy("session_id").agg(F.count(F.lit(1)).alias("laps"), F.sum("lap_time_ms").alias("total_ms")).withColumn("commits", F.lit(commits))
 
 
 _SEVENTH = "CAST(substr(session_id, 2) AS BIGINT) % 7 = 0"
@@ -203,13 +197,13 @@ _SEVENTH = "CAST(substr(session_id, 2) AS BIGINT) % 7 = 0"
 )
 def a17_incremental_gold(spark, sf_dir):
     """Gold summaries kept twice, the second time with every seventh session changed: only those are computed again, as the manifest tells."""
-    folder = _folder(spark, "gold")
+    path = folder(spark, "gold")
     valid = stored(quality.silver(_once(spark, sf_dir))[0], "silver")
-    parity.refresh(valid, folder, "gold", sessions.gold_summary)
+    parity.refresh(valid, path, "gold", sessions.gold_summary)
     changed = valid.withColumn("vehicle_speed_kmh", F.when(F.substring("session_id", 2, 20).cast("long") % 7 == 0, F.col("vehicle_speed_kmh") + 1).otherwise(F.col("vehicle_speed_kmh")))
-    status = parity.refresh(changed, folder, "gold", sessions.gold_summary)
-    gold = versions.read(spark, folder, "gold").select("session_id", "sample_count", "maximum_speed_kmh")
-    return gold.join(versions.read(spark, folder, "gold_manifest").select("session_id", "made_in"), "session_id").join(status, "session_id")
+    status = parity.refresh(changed, path, "gold", sessions.gold_summary)
+    gold = versions.read(spark, path, "gold").select("session_id", "sample_count", "maximum_speed_kmh")
+    return gold.join(versions.read(spark, path, "gold_manifest").select("session_id", "made_in"), "session_id").join(status, "session_id")
 
 
 @query(
@@ -218,7 +212,7 @@ def a17_incremental_gold(spark, sf_dir):
 )
 def a1_raw_files(spark, sf_dir):
     """Frames as JSON lines in files, some cut short and some blank, read with the broken lines apart."""
-    path = _folder(spark, "raw")
+    path = folder(spark, "raw")
     nested = frames.unflatten(_once(spark, sf_dir))
     line = F.to_json(F.struct("timestamp", "session_id", "sample_index", "elapsed_seconds", "car_id", "track_id", "vehicle", "environment", "wheels"))
     cut = nested.select(F.when(F.col("event_id") % 101 == 0, F.substring(line, 1, 60)).otherwise(line).alias("value"))
