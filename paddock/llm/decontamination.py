@@ -11,6 +11,7 @@ pairs is marked, and only leaves the scan if it is marked itself.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +34,8 @@ SURE = 5
 COVER_WORDS, COVER_SHARE = 13, 0.5
 #: Share of a match's placeholders that must stand for one value each
 CONSISTENT = 0.8
+#: Where parts of an item stand apart, so many roles of one may stand for other values than in those before it
+DIFFER = 2
 #: The bit map's size: 2**22 to 2**26 bits (8 MB), by the number of hashes. Beyond that it lets more through, and the join decides as before.
 LEAST_BITS, MOST_BITS = 22, 26
 PAGE_BITS = 15
@@ -211,6 +214,20 @@ def _bare(role: str) -> str:
     return role.partition("\0")[0]
 
 
+def _steady(pairs: dict[int, tuple[str, str]]) -> float:
+    """Share of the slots that stand for each other, in the worse direction: of an item's role for one value, and of a document's for one of the item's."""
+    found = pairs.values()
+    return min(_share((x, _bare(y)) for x, y in found), _share((y, _bare(x)) for x, y in found))
+
+
+def _values(pairs: Iterable[tuple[str, str]], common: tuple[Counter, Counter]) -> tuple[dict[str, str], dict[str, str]]:
+    """What each of the item's roles stands for most often, and each of the document's; of values as frequent the one that is more ``common``."""
+    found = list(pairs)
+    there, back = Counter((x, _bare(y)) for x, y in found), Counter((y, _bare(x)) for x, y in found)
+    order = lambda told, all_: dict(sorted(told, key=lambda k: (told[k], all_[k], k)))
+    return order(there, common[0]), order(back, common[1])
+
+
 class Occurrence:
     """Where a document holds words of an item: the item's positions, the pairs of roles at its slots and the positions that agree literally."""
 
@@ -230,17 +247,18 @@ class Occurrence:
             if not x or not y or _bare(x) == _bare(y):
                 self.same.add(p)  # by a literal window or a plain word, or with the item's value
 
-    def joined(self, other: Occurrence) -> Occurrence:
-        """Both together; where both hold a position this one's value stays."""
-        new = Occurrence()
-        new.windows, new.covered, new.pairs = self.windows | other.windows, self.covered | other.covered, other.pairs | self.pairs
-        new.same = self.same | (other.same - self.covered)
-        return new
+    def join(self, other: Occurrence) -> None:
+        """Takes in ``other``; where both hold a position this one's value stays."""
+        self.same |= other.same - self.covered
+        self.windows |= other.windows
+        self.covered |= other.covered
+        self.pairs = other.pairs | self.pairs
 
     def share(self) -> float:
-        """Share of the slots that stand for each other, in the worse direction: of an item's role for one value, and of a document's for one of the item's."""
-        found = self.pairs.values()
-        return min(_share((x, _bare(y)) for x, y in found), _share((y, _bare(x)) for x, y in found))
+        return _steady(self.pairs)
+
+    def share_with(self, other: Occurrence) -> float:
+        return _steady(other.pairs | self.pairs)
 
     def enough(self, item_words: int) -> bool:
         return len(self.covered) >= min(COVER_WORDS, COVER_SHARE * item_words)
@@ -261,43 +279,167 @@ class Occurrence:
         return tuple(sorted(self.covered)), tuple(sorted(self.pairs.items())), tuple(sorted(self.same))
 
 
-def verdict(hits: list[dict], item_words: int) -> tuple[int, int, float] | None:
-    """(windows, covered words, slot share) of the best occurrence that makes a document contaminated, None if none does.
+class Pieces:
+    """Parts of an item that stand apart in a text, none of which suffices.
 
-    Hits of one alignment (document start minus item start) are one occurrence, so values of different copies never mix.
-    Where no occurrence suffices (words inserted, sentences apart), those that agree with each other are taken together.
+    Parts may be taken together if the slots of both stand for each other in the share that an occurrence needs, and at most ``DIFFER`` of the
+    roles that both hold stand for different values. A part is looked up by the positions that it covers and by its values of
+    those roles, the fewest differences first; what has been looked up once is kept. So parts that can't agree never
+    meet, and n parts take time in proportion to n and to the places of the item, not to their pairs.
     """
-    aligned: dict[int, Occurrence] = {}
-    for h in hits:
-        aligned.setdefault(h["start"] - h["at"], Occurrence()).add(h["at"], h["theirs"], h["roles"])
-    good = [o for o in aligned.values() if o.passes(item_words)]
-    if not good and len(set().union(*(o.covered for o in aligned.values()))) >= min(COVER_WORDS, COVER_SHARE * item_words):
-        found = {o.key(): o for o in aligned.values()}
-        order = [o for _, o in sorted(found.items(), key=lambda x: (-len(x[1].covered), x[0]))]
-        taken: set[int] = set()
-        for i, seed in enumerate(order):
-            if i in taken:
+
+    def __init__(self, found: list[Occurrence]):
+        self.all = sorted(found, key=lambda o: (-len(o.covered), o.key()))
+        pairs = [pair for o in self.all for pair in o.pairs.values()]
+        self.common = Counter((x, _bare(y)) for x, y in pairs), Counter((y, _bare(x)) for x, y in pairs)
+        self.values = [_values(o.pairs.values(), self.common) for o in self.all]
+        self.shapes: dict[tuple, list[int]] = {}
+        for i, o in enumerate(self.all):
+            self.shapes.setdefault((frozenset(o.covered), frozenset((p, x) for p, (x, _) in o.pairs.items())), []).append(i)
+        self.views: dict[tuple, tuple] = {}
+        self.by_value: dict[tuple, dict[tuple, list[int]]] = {}
+        self.first: dict[tuple, int | None] = {}
+
+    def _view(self, shape: tuple, fresh: frozenset) -> tuple[set[str], set[str], dict[int, tuple]]:
+        """The roles and values that parts of a shape have at the positions ``fresh``, and those of each part."""
+        if (shape, fresh) not in self.views:
+            each = {i: _values((pair for p, pair in self.all[i].pairs.items() if p in fresh), self.common) for i in self.shapes[shape]}
+            self.views[shape, fresh] = {x for p, x in shape[1] if p in fresh}, {y for _, back in each.values() for y in back}, each
+        return self.views[shape, fresh]
+
+    def _lookup(self, shape: tuple, fresh: frozenset, known: tuple, told: tuple, taken: frozenset) -> int | None:
+        """The first part of a shape with these values of these roles, whose values stand for what ``taken`` says."""
+        asked = shape, fresh, known, told, taken
+        if asked not in self.first:
+            each = self._view(shape, fresh)[2]
+            index = self.by_value.get((shape, fresh, known))
+            if index is None:
+                index = self.by_value[shape, fresh, known] = {}
+                for i, (there, _) in each.items():
+                    index.setdefault(tuple(there[x] for x in known), []).append(i)
+            bound = dict(taken)
+            agrees = lambda i: all(bound.get(y, x) == x for y, x in each[i][1].items())
+            self.first[asked] = next((i for i in index.get(told, ()) if agrees(i)), None)
+        return self.first[asked]
+
+    def _partner(self, seed: Occurrence, shape: tuple, there: dict[str, str], back: dict[str, str]) -> int | None:
+        """A part of a shape that may be taken together with ``seed``, whose values these are; where both hold a position the seed's value stays."""
+        fresh = frozenset(p for p, _ in shape[1] if p not in seed.covered)
+        roles, values, _ = self._view(shape, fresh)
+        ours, theirs = sorted(roles & there.keys()), sorted(values & back.keys())
+        most = min(DIFFER, int((1 - CONSISTENT) * (len(seed.pairs) + len(fresh)) + 1e-9))
+        bonds = [*((x, None) for x in ours), *((None, y) for y in theirs)]
+        for n in range(most + 1):
+            for loose in itertools.combinations(bonds, n):
+                known = tuple(x for x in ours if (x, None) not in loose)
+                taken = frozenset((y, back[y]) for y in theirs if (None, y) not in loose)
+                j = self._lookup(shape, fresh, known, tuple(there[x] for x in known), taken)
+                if j is not None and seed.share_with(self.all[j]) >= CONSISTENT:
+                    return j
+        return None
+
+    def whole(self, item_words: int) -> Occurrence | None:
+        """The first part that passes together with those that agree with it, the largest first."""
+        held = Counter(y for there, _ in self.values for y in set(there.values()))
+        tried = set()
+        for i, o in enumerate(self.all):
+            # values that no other part holds make no difference but by where they come again
+            names: dict[str, int] = {}
+            for _, (_, y) in sorted(o.pairs.items()):
+                names.setdefault(y, len(names))
+            sign = tuple(sorted(o.covered)), tuple(sorted(o.same)), tuple((p, x, y if held[_bare(y)] > 1 else names[y]) for p, (x, y) in sorted(o.pairs.items()))
+            if sign in tried:
                 continue
-            for j, other in enumerate(order):
-                if j != i and not other.covered <= seed.covered and (both := seed.joined(other)).share() >= CONSISTENT:
-                    seed = both
-                    taken.add(j)
+            tried.add(sign)
+            seed, (there, back) = Occurrence(), self.values[i]
+            seed.join(o)
+            for shape in self.shapes:
+                if not shape[0] <= seed.covered and (j := self._partner(seed, shape, there, back)) is not None:
+                    seed.join(self.all[j])
+                    there, back = _values(seed.pairs.values(), self.common)
             if seed.passes(item_words):
-                good.append(seed)
-                break
-    if not good:
+                return seed
         return None
-    return max((len(o.windows), len(o.covered), o.share()) for o in good)
+
+
+class Verdict:
+    """Takes in the hits of one item in one text, sorted by alignment (document start minus item start).
+
+    Hits of one alignment are one occurrence, so values of different copies never mix. Where no
+    occurrence suffices (words inserted, sentences apart), those that agree with each other are taken together. What
+    it holds of an occurrence that has passed are three numbers; of the others it keeps one of each kind.
+    """
+
+    def __init__(self, item_words: int):
+        self.item_words, self.alignment = item_words, None
+        self.open, self.best = Occurrence(), None
+        self.parts: dict[tuple, Occurrence] = {}
+        self.covered: set[int] = set()
+
+    def add(self, start: int, at: int, theirs: list[str], roles: list[str]) -> None:
+        if start - at != self.alignment:
+            self._close()
+            self.alignment = start - at
+        self.open.add(at, theirs, roles)
+
+    def _close(self) -> None:
+        done, self.open = self.open, Occurrence()
+        if not done.covered:
+            return
+        if done.passes(self.item_words):
+            told = len(done.windows), len(done.covered), done.share()
+            self.best = max(self.best or told, told)
+            self.parts.clear()
+        elif self.best is None:
+            self.parts.setdefault(done.key(), done)
+            self.covered |= done.covered
+
+    def result(self) -> tuple[int, int, float] | None:
+        """(windows, covered words, slot share) of the best occurrence that makes a document contaminated, None if none does."""
+        self._close()
+        if self.best is None and len(self.parts) > 1 and len(self.covered) >= min(COVER_WORDS, COVER_SHARE * self.item_words):
+            whole = Pieces(list(self.parts.values())).whole(self.item_words)
+            if whole is not None:
+                self.best = len(whole.windows), len(whole.covered), whole.share()
+        return self.best
+
+
+def verdict(hits: list[dict], item_words: int) -> tuple[int, int, float] | None:
+    """The verdict of hits in any order."""
+    made = Verdict(item_words)
+    for h in sorted(hits, key=lambda h: (h["start"] - h["at"], h["at"], h["theirs"], h["roles"])):
+        made.add(h["start"], h["at"], h["theirs"], h["roles"])
+    return made.result()
+
+
+#: What tells one item in one text from another
+_PAIR = ["doc", "copy", "item", "item_copy", "item_words"]
 
 
 def _judged(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The verdicts of hits sorted by text, item and alignment, read as a stream: a text's hits are never together in one row."""
+    key, made, rows = None, None, []
+
+    def told() -> None:
+        if made is not None and (m := made.result()) is not None:
+            rows.append((*key[:3], key[4], *m))
+
+    def batch_of(some: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
     for batch in batches:
-        made = [verdict(hits, words) for words, hits in zip(batch.column("item_words").to_pylist(), batch.column("hits").to_pylist(), strict=True)]
-        some = batch.filter(pa.array([m is not None for m in made]))
-        if some.num_rows:
-            found = list(zip(*(m for m in made if m), strict=True))
-            columns = [some.column(f.name) for f in list(schema)[:4]] + [pa.array(v, f.type) for v, f in zip(found, list(schema)[4:], strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        columns = [batch.column(c).to_pylist() for c in (*_PAIR, "start", "at", "theirs", "roles")]
+        for *own, start, at, theirs, roles in zip(*columns, strict=True):
+            if own != key:
+                told()
+                key, made = own, Verdict(own[4])
+            made.add(start, at, theirs, roles)
+        if rows:
+            yield batch_of(rows)
+            rows = []
+    told()
+    if rows:
+        yield batch_of(rows)
 
 
 def found(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -316,11 +458,9 @@ def found(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
         "hash", "size", F.col("id").alias("item"), F.col("copy").alias("item_copy"), F.col("n_words").alias("item_words"), F.col("start").alias("at"), F.col("roles").alias("item_roles"),
         F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"),
     )
-    joined = hits.join(theirs, ["hash", "size", "salt"]).select(
-        F.col("id").alias("doc"), "copy", "item", "item_copy", "item_words", F.struct("start", "at", F.col("roles").alias("theirs"), F.col("item_roles").alias("roles")).alias("hit")
-    )
-    # one row per text and item, with every place where the text holds a window of the item
-    held = joined.groupBy("doc", "copy", "item", "item_copy", "item_words").agg(F.collect_list("hit").alias("hits"))
+    joined = hits.join(theirs, ["hash", "size", "salt"]).select(F.col("id").alias("doc"), "copy", "item", "item_copy", "item_words", "start", "at", F.col("roles").alias("theirs"), F.col("item_roles").alias("roles"))
+    # the hits of a text and item come together, one alignment after the other
+    held = joined.repartition(*_PAIR).sortWithinPartitions(*_PAIR, F.col("start") - F.col("at"), "at", "theirs", "roles")
     schema = T.StructType([*(held.schema[c] for c in ("doc", "copy", "item", "item_words")), *fields("n_windows long, covered_words long, slot_share double")])
     arrow = to_arrow_schema(schema)
     made = held.mapInArrow(lambda batches: _judged(batches, arrow), schema)

@@ -287,3 +287,64 @@ def test_ibans_by_country_and_short_secrets():
         assert n["secret"] == 1 and out != text and p.text(out, back=True)[0] == text
     for text in ("token = 5", "password: yes", "secret=no", "AB12 is the name of a road", "XX12 ABCD EFGH 1234 5678"):
         assert p.text(text)[0] == text
+
+
+def _stitched(hits: list[dict], item_words: int):
+    """The verdict by trying every pair of occurrences."""
+    aligned: dict[int, decontamination.Occurrence] = {}
+    for h in sorted(hits, key=lambda h: (h["start"] - h["at"], h["at"], h["theirs"], h["roles"])):
+        aligned.setdefault(h["start"] - h["at"], decontamination.Occurrence()).add(h["at"], h["theirs"], h["roles"])
+    if any(o.passes(item_words) for o in aligned.values()):
+        return True
+    for seed in aligned.values():
+        whole = decontamination.Occurrence()
+        whole.join(seed)
+        for other in sorted(aligned.values(), key=lambda o: -len(o.covered)):
+            if not other.covered <= whole.covered and whole.share_with(other) >= decontamination.CONSISTENT:
+                whole.join(other)
+        if whole.passes(item_words):
+            return True
+    return False
+
+
+def test_parts_are_taken_together_as_by_pairs():
+    """Parts of renamed copies, in any order: the verdict of a loop over all pairs."""
+    rng = random.Random(7)
+    seen = set()
+    for noise in (0.0, 0.05):
+        for _ in range(600):
+            item = ["" if rng.random() < 0.6 else rng.choice("abcd") for _ in range(24)]
+            names = [{x: f"{x}{rng.randrange(3)}" for x in "abcd"} for _ in range(3)]
+            hits = []
+            for k in range(rng.randint(1, 8)):
+                at, told = rng.randrange(17), rng.choice(names)
+                roles = [f"{x}\0" if x else "" for x in item[at : at + 8]]
+                theirs = [(f"z{rng.randrange(3)}\0" if rng.random() < noise else f"{told[x]}\0") if x else "" for x in item[at : at + 8]]
+                hits.append({"start": at + 1000 * k, "at": at, "theirs": theirs, "roles": roles})
+            want = _stitched(hits, 24)
+            assert (decontamination.verdict(hits, 24) is not None) == want
+            seen.add(want)
+    assert seen == {True, False}
+
+
+def test_many_parts_in_one_text(spark):
+    """20,000 places that each hold a part of an item take time in proportion to their number, and a text's hits are read as a stream."""
+    import time
+
+    rng = random.Random(2)
+    for values in (5, 1000, None):  # few values, many, and one of each
+        hits = []
+        for k in range(20_000):
+            at = 0 if k % 2 else 9
+            a, b = (f"{'nm'[k % 2]}{rng.randrange(values) if values else k}\0" for _ in range(2))
+            roles, theirs = ["a\0", "", "b\0", *[""] * 5], [a, "", b, *[""] * 5]
+            hits.append({"start": at + 50 * k, "at": at, "theirs": theirs, "roles": roles})
+        began = time.monotonic()
+        assert decontamination.verdict(hits, 40) is None
+        assert time.monotonic() - began < 20
+    item = "the old clock on the wall of Alice strikes 12 times at noon and then the boy called Bob counts 7 birds that sit on the roof"
+    part = "the old clock on the wall of {} strikes {} no more"
+    text = " . ".join(part.format(f"Name{i}x", i) for i in range(3000))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, text + " . " + item.replace("Alice", "Carol").replace("12", "3"))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()] == [(2, 1)]
