@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import held_out, labelled_sample, map_texts, slices
 
-#: Rows to learn from at most, and n-gram buckets that the model has. More buckets don't help: on the held-out labels of the given tables 6,000, 30,000,
-#: 100,000 and all 275,000 give 0.984, 0.973, 0.968 and 0.966 of right verdicts.
+#: Rows to learn from at most, and n-gram buckets that the model has. By folds of the training rows of the given tables (two of four, 1,528 rows judged by models
+#: that hadn't seen them) 1,000, 6,000 and 30,000 buckets have a log loss of 0.0665, 0.0648 and 0.0657, and give 0.981, 0.980 and 0.975 of right verdicts.
 MOST_ROWS, MOST_FEATURES = 12_000, 6_000
 ORDERS, BITS, THRESHOLD = (4, 6), 19, 0.5
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +64,27 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(row, self.weight[bucket], len(texts)))))
 
 
+#: Rows whose features are gone through together while the weights are learned
+CHUNK_ROWS = 2_000
+
+
+class _Rows:
+    """Which features some rows have, four bytes each."""
+
+    def __init__(self, packed):
+        self.feature = np.frombuffer(b"".join(packed), np.int32)
+        self.lengths = np.array([len(x) // 4 for x in packed])
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        made, some = np.zeros(len(self.lengths)), self.lengths > 0
+        if some.any():
+            made[some] = np.add.reduceat(weight[self.feature], (np.cumsum(self.lengths) - self.lengths)[some])
+        return made
+
+    def back(self, error: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.feature, np.repeat(error, self.lengths), size)
+
+
 def _counts(sample: DataFrame) -> DataFrame:
     """(bucket, pos, neg): in how many documents of each class a bucket occurs."""
 
@@ -109,19 +130,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     def has(texts: list[str]) -> list:
         row, bucket = present(texts, among)
         cuts = np.searchsorted(row, np.arange(1, len(texts)))
-        return [[x.tolist() for x in np.split(place[bucket], cuts)] if texts else []]
+        return [[x.astype(np.int32).tobytes() for x in np.split(place[bucket], cuts)] if texts else []]
 
-    rows = map_texts(sample, lambda: has, "f array<int>", keep=("doc_id", "label")).toPandas().sort_values("doc_id", kind="stable")
-    y, lengths = rows["label"].to_numpy(float), rows["f"].map(len).to_numpy()
-    feature, owner = np.concatenate([np.asarray(x, int) for x in rows["f"]]), np.repeat(np.arange(len(rows)), lengths)
+    rows = map_texts(sample, lambda: has, "f binary", keep=("doc_id", "label")).toPandas().sort_values("doc_id", kind="stable")
+    y = rows["label"].to_numpy(float)
+    parts = [_Rows(rows["f"].iloc[k : k + CHUNK_ROWS]) for k in range(0, len(rows), CHUNK_ROWS)]
     w = np.zeros(len(at))
     balance = np.where(y > 0, (pos + neg) / (2 * pos), (pos + neg) / (2 * neg)) ** 0.5
-    value = ratio[feature]
     first, second, step = np.zeros(len(at) + 1), np.zeros(len(at) + 1), 0.02
     for k in range(1, steps + 1):  # Adam on the weighted logistic loss
-        z = bias + np.bincount(owner, value * w[feature], len(y))
+        z = bias + np.concatenate([x.sums(w * ratio) for x in parts])
         error = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        slope = np.r_[np.bincount(feature, value * error[owner], len(at)) + l2 * w, error.sum()]
+        slope = np.r_[ratio * sum(x.back(error[j * CHUNK_ROWS : (j + 1) * CHUNK_ROWS], len(at)) for j, x in enumerate(parts)) + l2 * w, error.sum()]
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         move = step * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
