@@ -131,7 +131,7 @@ def a15_json_catalog(spark, sf_dir):
 def a5_bronze_ingest(spark, sf_dir):
     """Accepted frames of two runs over the same sessions: the second finds them stored and writes none."""
     path = folder(spark, "bronze")
-    nested = frames.unflatten(_once(spark, sf_dir))
+    nested = stored(frames.unflatten(_once(spark, sf_dir)), "frames")
     seen = nested.groupBy("session_id").agg(
         F.first("car_id").alias("car_id"), F.first("track_id").alias("track_id"), F.first("setup_id").alias("setup_id"), F.first("session_type").alias("session_type"),
         F.lit("events").alias("source"), F.min("timestamp").alias("started_at"), F.count(F.lit(1)).alias("sample_count"),
@@ -140,7 +140,7 @@ def a5_bronze_ingest(spark, sf_dir):
     rows, _ = frames.bronze(nested.drop("setup_id", "session_type", "telemetry_source"), metadata)
     frames.write_table(rows, path)
     frames.write_table(frames.new_sessions(rows, spark.read.parquet(path)), path)
-    return require_columns(spark.read.parquet(path), frames.PARTITIONS).groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))
+    return require_columns(spark.read.parquet(path), (*frames.PARTITIONS, "session_id")).groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 _STUBS = f"SELECT session_id AS id, car_id AS car_key, track_id AS track_key, CAST(min(timestamp) AS TIMESTAMP) AS started_at FROM ({ONCE_SQL}) WHERE NOT ({_EVEN}) GROUP BY ALL"

@@ -10,7 +10,8 @@ from paddock.functions import versions
 from paddock.schemas import ENVIRONMENT_FIELDS, FRAME, SESSION_METADATA, VEHICLE_FIELDS, WHEEL_FIELDS, WHEELS, require_columns
 
 CORRUPT = "_corrupt_record"
-PARTITIONS = ("date", "car_id", "track_id", "session_id")
+#: Folders of the Bronze table: as many as there are days, cars and tracks. A session is a column that files are sorted by, since a folder for each would make files grow with sessions
+PARTITIONS = ("date", "car_id", "track_id")
 
 
 def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +93,10 @@ def new_sessions(rows: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def write_table(rows: DataFrame, path: str, mode: str = "append", partitions: tuple[str, ...] = PARTITIONS) -> None:
-    """Parquet by date, car, track and session; rows of a task are in time order. ``overwrite`` replaces only the partitions it has rows for.
+    """Parquet by date, car and track; rows of a task are in order of session and time. ``overwrite`` replaces only the partitions it has rows for.
 
-    Rows are first brought together by partition, so that each has few files; a large partition is split over tasks at run time.
+    Rows are first brought together by partition, so that each has few files; a large partition is split over tasks at run time. A session is
+    found by the least and greatest session of files and row groups.
     """
     order = [*partitions, *(c for c in ("session_id", "timestamp", "sample_index") if c in rows.columns and c not in partitions)]
     rows.hint("rebalance", *partitions).sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)

@@ -417,3 +417,15 @@ def test_decode_tells_all_faults(spark):
     got = kafka.decode(df).orderBy("kafka_offset").collect()
     assert got[0].decode_faults == ["unsupported_schema", "invalid_metadata"] and got[0].decode_error == "unsupported_schema" and got[0].schema_version == 1
     assert got[1].decode_error == "invalid_json" and got[1].source_file == "kafka://t/0/1"
+
+
+def test_bronze_folders_do_not_grow_with_sessions(spark, tmp_path):
+    rows = spark.range(400).selectExpr(
+        "concat('s', id % 200) AS session_id", "id AS sample_index", "timestamp_seconds(id) AS timestamp", "date'2024-01-01' AS date", "concat('car', id % 2) AS car_id", "concat('track', id % 2) AS track_id"
+    )
+    path = str(tmp_path / "bronze")
+    frames.write_table(rows, path)
+    assert len(list((tmp_path / "bronze").glob("date=*/car_id=*/track_id=*"))) == 2 and len(list((tmp_path / "bronze").rglob("*.parquet"))) < 20
+    frames.write_table(frames.new_sessions(rows, spark.read.parquet(path)), path)
+    assert spark.read.parquet(path).count() == 400
+    assert frames.new_sessions(rows.withColumn("session_id", F.lit("s201")), spark.read.parquet(path)).count() == 400
