@@ -10,6 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most rows of a stored file. Tables that compress well would else be read by a few tasks, each with far more rows than its bytes tell; Spark counts a file as 4 MB or more when it deals files to tasks
+ROWS_PER_FILE = 200_000
 #: Paths that the open scopes delete, the innermost last; each thread and task of the driver has its own
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
@@ -75,7 +77,7 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
     if not keep and (scopes := _SCOPES.get()):
         scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

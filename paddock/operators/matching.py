@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.traces import PAIR, time_delta_at
+from paddock.operators.traces import PAIR
 
 ZONE = ("start_progress", "end_progress", "center_progress", "duration_seconds", "entry_speed_kmh", "minimum_speed_kmh", "exit_speed_kmh", "peak_brake", "mean_brake")
 ENTRY = (
@@ -55,11 +57,26 @@ def _span_candidates(ref: DataFrame, target: DataFrame, low: str, high: str, cen
     return near, center[0], [(F.col("overlap_ratio") < overlap_ratio).cast("int"), F.col("__distance"), -F.col("overlap_ratio")]
 
 
-def _deltas(candidates: DataFrame, matches: DataFrame, aligned: DataFrame, fields: tuple[str, ...], probes: dict[str, str], changes: dict[str, tuple[str, str]]) -> DataFrame:
-    """Matched rows with target minus reference of ``fields``, time deltas at reference positions (``probes``: name to field) and their differences."""
+#: Fields of the parts of reference laps at which their deltas need the time delta, of zones, entries, exits and corners
+ZONE_PLACES, ENTRY_PLACES, EXIT_PLACES = ("start_progress", "end_progress"), ("turn_in_progress", "apex_progress"), ("apex_progress", "exit_progress")
+CORNER_PLACES = ("start_progress", "apex_progress", "exit_progress")
+
+
+def places(pairs: DataFrame, parts: list[tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """Where on the reference laps of ``pairs`` the time deltas of their ``parts`` (each with its fields) are needed: PAIR and position."""
+    each = [df.select("session_id", F.col("lap_number").alias("ref_lap"), F.explode(F.array(*fields)).alias("position")) for df, fields in parts]
+    return pairs.select(*PAIR).join(reduce(DataFrame.unionByName, each).distinct(), ["session_id", "ref_lap"])
+
+
+def _deltas(candidates: DataFrame, matches: DataFrame, times: DataFrame, fields: tuple[str, ...], probes: dict[str, str], changes: dict[str, tuple[str, str]]) -> DataFrame:
+    """Matched rows with target minus reference of ``fields``, time deltas (``times``) at reference positions (``probes``: name to field) and their differences.
+
+    A pair's time deltas, tens of them, meet its rows as one map.
+    """
     out = candidates.join(matches, [*PAIR, "ref_number", "target_number"]).withColumns({f"{f}_delta": F.col(f"target_{f}") - F.col(f"ref_{f}") for f in fields}).drop("__distance")
-    for name, field in probes.items():
-        out = time_delta_at(out, aligned, f"ref_{field}", name)
+    known = times.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("position", "time_delta_seconds"))).alias("__times"))
+    out = out.join(known, list(PAIR), "left")
+    out = out.withColumns({name: F.try_element_at("__times", F.col(f"ref_{field}")) for name, field in probes.items()}).drop("__times")
     change = {n: F.col(b) - F.col(a) for n, (a, b) in changes.items()}
     return out.withColumns(change).drop(*probes)
 
@@ -77,9 +94,9 @@ def match_zones(pairs: DataFrame, zones: DataFrame, overlap_ratio: float = 0.2,
     return near, greedy(near, place, score)
 
 
-def zone_deltas(pairs: DataFrame, zones: DataFrame, aligned: DataFrame) -> DataFrame:
+def zone_deltas(pairs: DataFrame, zones: DataFrame, times: DataFrame) -> DataFrame:
     near, found = match_zones(pairs, zones)
-    return _lost(_deltas(near, found, aligned, ZONE, {"__a": "start_progress", "__b": "end_progress"}, {"time_delta_change_seconds": ("__a", "__b")}))
+    return _lost(_deltas(near, found, times, ZONE, dict(zip(("__a", "__b"), ZONE_PLACES, strict=True)), {"time_delta_change_seconds": ("__a", "__b")}))
 
 
 def match_entries(pairs: DataFrame, entries: DataFrame, overlap_ratio: float = 0.2, distance: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -89,9 +106,9 @@ def match_entries(pairs: DataFrame, entries: DataFrame, overlap_ratio: float = 0
     return near, greedy(near, place, score)
 
 
-def entry_deltas(pairs: DataFrame, entries: DataFrame, aligned: DataFrame) -> DataFrame:
+def entry_deltas(pairs: DataFrame, entries: DataFrame, times: DataFrame) -> DataFrame:
     near, found = match_entries(pairs, entries)
-    return _lost(_deltas(near, found, aligned, ENTRY, {"__a": "turn_in_progress", "__b": "apex_progress"}, {"time_delta_change_seconds": ("__a", "__b")}))
+    return _lost(_deltas(near, found, times, ENTRY, dict(zip(("__a", "__b"), ENTRY_PLACES, strict=True)), {"time_delta_change_seconds": ("__a", "__b")}))
 
 
 def _match_apexes(pairs: DataFrame, parts: DataFrame, number: str, fields: tuple[str, ...], distance: float) -> tuple[DataFrame, DataFrame]:
@@ -100,16 +117,24 @@ def _match_apexes(pairs: DataFrame, parts: DataFrame, number: str, fields: tuple
     return near, greedy(near, F.col("ref_apex_progress"), [F.col("__distance")])
 
 
-def exit_deltas(pairs: DataFrame, exits: DataFrame, aligned: DataFrame, distance: float = 0.05) -> DataFrame:
-    near, found = _match_apexes(pairs, exits, "exit_number", EXIT, distance)
-    return _lost(_deltas(near, found, aligned, EXIT, {"__a": "apex_progress", "__b": "exit_progress"}, {"time_delta_change_seconds": ("__a", "__b")}))
+def match_exits(pairs: DataFrame, exits: DataFrame, distance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    return _match_apexes(pairs, exits, "exit_number", EXIT, distance)
+
+
+def match_corners(pairs: DataFrame, corners: DataFrame, distance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    return _match_apexes(pairs, corners, "corner_number", CORNER, distance)
+
+
+def exit_deltas(pairs: DataFrame, exits: DataFrame, times: DataFrame, distance: float = 0.05) -> DataFrame:
+    near, found = match_exits(pairs, exits, distance)
+    return _lost(_deltas(near, found, times, EXIT, dict(zip(("__a", "__b"), EXIT_PLACES, strict=True)), {"time_delta_change_seconds": ("__a", "__b")}))
 
 
-def corner_deltas(pairs: DataFrame, corners: DataFrame, aligned: DataFrame, distance: float = 0.05) -> DataFrame:
+def corner_deltas(pairs: DataFrame, corners: DataFrame, times: DataFrame, distance: float = 0.05) -> DataFrame:
     """Matched corners with changes of the time delta to the apex, after it and in all."""
-    near, found = _match_apexes(pairs, corners, "corner_number", CORNER, distance)
+    near, found = match_corners(pairs, corners, distance)
     changes = {"time_to_apex_change_seconds": ("__a", "__b"), "exit_time_change_seconds": ("__b", "__c"), "time_delta_change_seconds": ("__a", "__c")}
-    out = _lost(_deltas(near, found, aligned, CORNER, {"__a": "start_progress", "__b": "apex_progress", "__c": "exit_progress"}, changes))
+    out = _lost(_deltas(near, found, times, CORNER, dict(zip(("__a", "__b", "__c"), CORNER_PLACES, strict=True)), changes))
     loss = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.col(c), F.lit(0.0)))
     return out.withColumns({"entry_time_loss_seconds": loss("time_to_apex_change_seconds"), "exit_time_loss_seconds": loss("exit_time_change_seconds")})
 

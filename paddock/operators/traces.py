@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,21 +64,27 @@ def unique_progress(trace: DataFrame) -> DataFrame:
     return trace.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def interpolate(probes: DataFrame, points: DataFrame, key: tuple[str, ...], position: str, channels: tuple[str, ...], clamp: bool = False, hold: tuple[str, ...] = ()) -> DataFrame:
+def interpolate(probes: DataFrame, points: DataFrame, key: tuple[str, ...], position: str, channels: tuple[str, ...], clamp: bool = False, hold: tuple[str, ...] = (), tie: str | None = None, tasks: int | None = None) -> DataFrame:
     """``probes`` with the channels of ``points`` at their position, on the line between the points around it.
 
     An as-of join without a range join: probes and points of a key are shuffled together and sorted once; the last point at or before a
     probe and the next one after it come from the same window. Outside the points the channels are
-    null, or with ``clamp`` those of the end point. Channels in ``hold`` keep the left point's value.
+    null, or with ``clamp`` those of the end point. Channels in ``hold`` keep the left point's value. With ``tie``, of points at one
+    position only the one with the greatest value of that column counts. ``tasks`` is the number that the keys are dealt to, by default the session's.
     """
     carried = [c for c in probes.columns if c not in (*key, position)]
-    point = F.struct(F.col(position).alias("x"), *channels)
+    point = F.struct(F.col(position).alias("x"), *channels, *([F.col(tie).alias("__tie")] if tie else []))
     kind = points.select(point.alias("s")).schema["s"].dataType.simpleString()
     rows = probes.select(*key, position, F.struct(F.lit(0).alias("__probe"), *carried).alias("__row"), F.lit(None).cast(kind).alias("__point"))
     empty = rows.schema["__row"].dataType.simpleString()
     rows = rows.unionByName(points.select(*key, position, F.lit(None).cast(empty).alias("__row"), point.alias("__point")))
-    w = Window.partitionBy(*key).orderBy(position, F.col("__row").isNotNull())  # points before probes at their place
-    order = f"PARTITION BY {', '.join(key)} ORDER BY {position}, __row IS NOT NULL"
+    rows = rows if tasks is None else rows.repartition(tasks, *key)
+    last = ("__point.__tie",) if tie else ()
+    w = Window.partitionBy(*key).orderBy(position, F.col("__row").isNotNull(), *last)  # points before probes at their place
+    order = f"PARTITION BY {', '.join(key)} ORDER BY {', '.join((position, '__row IS NOT NULL', *last))}"
+    if tie:  # the same order, so no further sort
+        after = F.lead(F.struct(position, F.col("__row").isNull())).over(w)
+        rows = rows.withColumn("__later", after).where(f"__row is not null or __later is null or __later != struct({position}, true)").drop("__later")
     before = F.last("__point", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.select("*", before.alias("__l"), F.expr(f"lead(__point, 1) IGNORE NULLS OVER ({order})").alias("__r")).where("__row is not null")
     left, right = F.col("__l"), F.col("__r")
@@ -92,6 +99,8 @@ def interpolate(probes: DataFrame, points: DataFrame, key: tuple[str, ...], posi
 
 #: So many pairs meet a reference lap's stretches under one key
 PAIRS_TOGETHER = 256
+#: So many samples, with the places to look up on their laps, are sorted in one task at a time, some 100 MB
+SAMPLES_TOGETHER = 250_000
 
 
 def stretches(trace: DataFrame) -> DataFrame:
@@ -102,6 +111,21 @@ def stretches(trace: DataFrame) -> DataFrame:
     return last.select(*LAP, F.lag("r").over(w).alias("l"), "r")
 
 
+def _dealt(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Pairs that share a stretch, with its ends, and a number that deals out the pairs of a reference lap."""
+    side = lambda n: ends.select("session_id", F.col("lap_number").alias(f"{n}_lap"), F.struct("start", "end").alias(n))
+    both = pairs.join(side("ref"), ["session_id", "ref_lap"]).join(side("target"), ["session_id", "target_lap"])
+    low, high = F.greatest("ref.start", "target.start"), F.least("ref.end", "target.end")
+    shared = both.select(*PAIR, low.alias("low"), high.alias("high"), (high - low).alias("span")).where("span > 0")
+    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("session_id", "ref_lap")) / PAIRS_TOGETHER)
+    return stored(shared.withColumn("deal", F.pmod(F.xxhash64("target_lap"), many)), "pairs")
+
+
+def _place(index: Column, points: int) -> Column:
+    """Where on the track a grid point of a pair lies."""
+    return F.when(index == points - 1, F.col("high")).otherwise(F.least("high", F.col("low") + F.col("span") / (points - 1) * index))
+
+
 def align(pairs: DataFrame, trace: DataFrame, points: int = 201) -> DataFrame:
     """Both laps of each pair on a uniform grid of their shared progress, with target minus reference. Laps that share no stretch give no rows.
 
@@ -110,13 +134,8 @@ def align(pairs: DataFrame, trace: DataFrame, points: int = 201) -> DataFrame:
     """
     cut = stored(stretches(trace), "stretches")
     ends = cut.groupBy(*LAP).agg(F.min("r.progress").alias("start"), F.max("r.progress").alias("end"))
-    side = lambda n: ends.select("session_id", F.col("lap_number").alias(f"{n}_lap"), F.struct("start", "end").alias(n))
-    both = pairs.join(side("ref"), ["session_id", "ref_lap"]).join(side("target"), ["session_id", "target_lap"])
-    low, high = F.greatest("ref.start", "target.start"), F.least("ref.end", "target.end")
-    shared = both.select(*PAIR, low.alias("low"), high.alias("high"), (high - low).alias("span")).where("span > 0")
     key = ["session_id", "ref_lap"]
-    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*key)) / PAIRS_TOGETHER)
-    dealt = stored(shared.withColumn("deal", F.pmod(F.xxhash64("target_lap"), many)), "pairs")
+    dealt = _dealt(pairs, ends)
     reference = cut.withColumnRenamed("lap_number", "ref_lap").join(dealt.select(*key, "deal").distinct(), key)
 
     def on_grid(met: DataFrame, ref: bool) -> DataFrame:
@@ -126,8 +145,7 @@ def align(pairs: DataFrame, trace: DataFrame, points: int = 201) -> DataFrame:
         first = F.col("l").isNull()  # of the first sample only the start can be a grid point
         least, most = F.when(first, 0).otherwise(F.greatest(F.lit(0), number("l.progress") - 1)), F.when(first, 0).otherwise(F.least(F.lit(points - 1), number("r.progress") + 1))
         placed = met.select(*PAIR, "low", "high", "span", "l", "r", F.explode(F.when(least <= most, F.sequence(least, most))).alias("grid_index"))
-        at = F.when(F.col("grid_index") == points - 1, F.col("high")).otherwise(F.least("high", F.col("low") + step * F.col("grid_index")))
-        placed = placed.withColumn("progress", at).where("progress = r.progress or (l.progress < progress and progress < r.progress)")
+        placed = placed.withColumn("progress", _place(F.col("grid_index"), points)).where("progress = r.progress or (l.progress < progress and progress < r.progress)")
         ratio = (F.col("progress") - F.col("l.progress")) / (F.col("r.progress") - F.col("l.progress"))
         value = lambda c: F.when(F.col("progress") == F.col("r.progress"), F.col(f"r.{c}")).otherwise(F.col(f"l.{c}") + (F.col(f"r.{c}") - F.col(f"l.{c}")) * ratio)
         sides = [(n, value if (n == "ref") == ref else lambda c: F.lit(None).cast("double")) for n in ("ref", "target")]
@@ -155,6 +173,35 @@ def time_delta_at(probes: DataFrame, aligned: DataFrame, position: str, name: st
     return interpolate(probes, points, PAIR, position, (name,))
 
 
+def time_deltas(places: DataFrame, pairs: DataFrame, trace: DataFrame, points: int = 201) -> DataFrame:
+    """What ``time_delta_at`` gives on the aligned pair at ``places`` (PAIR and position): these, each once, with time_delta_seconds; places outside the shared stretch are left out.
+
+    Only the two grid points around a place are made, in place of the whole grid: their times on either lap come from one as-of
+    interpolation, which sorts laps and grid points together. Reference laps are dealt out as in ``align``.
+    """
+    ends = stored(trace.groupBy(*LAP).agg(F.min("progress").alias("start"), F.max("progress").alias("end"), F.count(F.lit(1)).alias("samples")), "ends")
+    tasks = math.ceil((ends.agg(F.sum("samples")).first()[0] or 1) / SAMPLES_TOGETHER)
+    dealt = _dealt(pairs, ends)
+    met = dealt.join(places.select(*PAIR, "position").distinct(), list(PAIR)).where("position between low and high")
+    near = F.greatest(F.lit(0), F.least(F.lit(points - 1), ((F.col("position") - F.col("low")) / (F.col("span") / (points - 1))).cast("int")))
+    # the division may be off by one on either side
+    left = F.when((F.col("__near") < points - 1) & (_place(F.col("__near") + 1, points) <= F.col("position")), F.col("__near") + 1).when(_place(F.col("__near"), points) <= F.col("position"), F.col("__near")).otherwise(F.col("__near") - 1)
+    around = met.withColumn("__near", near).withColumn("__left", left).withColumns({"__a": _place(F.col("__left"), points), "__b": _place(F.least(F.lit(points - 1), F.col("__left") + 1), points)})
+    side = lambda lap, deal, end: F.struct(F.col(lap).alias("lap_number"), deal.alias("deal"), F.lit(lap).alias("of"), F.lit(end).alias("end"), F.col(end).alias("progress"))
+    on_target = F.lit(-1).cast("long")
+    needed = F.array(*(side(lap, deal, end) for lap, deal in (("ref_lap", F.col("deal")), ("target_lap", on_target)) for end in ("__a", "__b")))
+    probes = around.select(*PAIR, "position", F.explode(needed).alias("n")).select("session_id", "ref_lap", "target_lap", "position", "n.*").where("`end` = '__a' or progress > position")
+    # a lap's samples are needed once for each deal that it is a reference of, and once if it is a target
+    copies = dealt.select("session_id", F.col("ref_lap").alias("lap_number"), "deal").unionByName(dealt.select("session_id", F.col("target_lap").alias("lap_number"), on_target.alias("deal"))).distinct()
+    samples = trace.select(*LAP, "progress", "sample_index", "elapsed_seconds").join(copies, list(LAP))
+    timed = interpolate(probes, samples, (*LAP, "deal"), "progress", ("elapsed_seconds",), tie="sample_index", tasks=tasks)
+    pick = lambda lap, end: F.max(F.when((F.col("of") == lap) & (F.col("end") == end), F.col("elapsed_seconds")))
+    at = lambda end: F.max(F.when(F.col("end") == end, F.col("progress")))
+    both = timed.groupBy(*PAIR, "position").agg(*((pick("target_lap", e) - pick("ref_lap", e)).alias(f"d{e}") for e in ("__a", "__b")), at("__a").alias("a"), at("__b").alias("b"))
+    delta = F.when(F.col("a") == F.col("position"), F.col("d__a")).otherwise(F.col("d__a") + (F.col("d__b") - F.col("d__a")) * ((F.col("position") - F.col("a")) / (F.col("b") - F.col("a"))))
+    return both.select(*PAIR, "position", delta.alias("time_delta_seconds"))
+
+
 def live_delta(samples: DataFrame, reference: DataFrame, buckets: int = 256) -> DataFrame:
     """Samples with the time against their car's and track's reference lap at the same progress, or the reason why there is none.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -49,29 +50,44 @@ class LapPairAnalysis:
     def corners(self) -> DataFrame:
         return stored(zones.corners(self.zones, self.entries, self.exits), "corners")
 
+    def _times(self, parts: list[tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+        return stored(traces.time_deltas(matching.places(self.pairs, parts), self.pairs, self.trace, self.points), "times")
+
+    @cached_property
+    def times(self) -> DataFrame:
+        """Time deltas at the places of all kinds of parts, for stages that need every kind: the trace is sorted for them once."""
+        return self._times([(self.zones, matching.ZONE_PLACES), (self.entries, matching.ENTRY_PLACES), (self.exits, matching.EXIT_PLACES)])
+
+    def _deltas(self, name: str, compute: Callable, parts: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+        """Deltas of one kind of parts. Stages of that kind alone need only its places."""
+        times = self.times if "times" in self.__dict__ else self._times([(parts, fields)])
+        return stored(compute(self.pairs, parts, times), name)
+
     @cached_property
     def zone_deltas(self) -> DataFrame:
-        return stored(matching.zone_deltas(self.pairs, self.zones, self.aligned), "zone-deltas")
+        return self._deltas("zone-deltas", matching.zone_deltas, self.zones, matching.ZONE_PLACES)
 
     @cached_property
     def entry_deltas(self) -> DataFrame:
-        return stored(matching.entry_deltas(self.pairs, self.entries, self.aligned), "entry-deltas")
+        return self._deltas("entry-deltas", matching.entry_deltas, self.entries, matching.ENTRY_PLACES)
 
     @cached_property
     def exit_deltas(self) -> DataFrame:
-        return stored(matching.exit_deltas(self.pairs, self.exits, self.aligned), "exit-deltas")
+        return self._deltas("exit-deltas", matching.exit_deltas, self.exits, matching.EXIT_PLACES)
 
     @cached_property
     def corner_deltas(self) -> DataFrame:
-        return stored(matching.corner_deltas(self.pairs, self.corners, self.aligned), "corner-deltas")
+        return self._deltas("corner-deltas", matching.corner_deltas, self.corners, matching.CORNER_PLACES)
 
     @cached_property
     def issues(self) -> DataFrame:
+        _ = self.times  # before the deltas, which then read those of all kinds
         return rules.all_issues(self.zone_deltas, self.entry_deltas, self.exit_deltas)
 
     @cached_property
     def corner_issues(self) -> DataFrame:
-        return stored(rules.corner_issues(self.corner_deltas, self.issues), "corner-issues")
+        issues = self.issues  # before the corners' deltas, for the same reason
+        return stored(rules.corner_issues(self.corner_deltas, issues), "corner-issues")
 
     @cached_property
     def advice(self) -> DataFrame:
@@ -83,4 +99,5 @@ class LapPairAnalysis:
 
     @cached_property
     def report(self) -> DataFrame:
-        return rules.report(self.pairs, self.corner_deltas, self.issues, self.advice, self.plan)
+        issues = self.issues
+        return rules.report(self.pairs, self.corner_deltas, issues, self.advice, self.plan)

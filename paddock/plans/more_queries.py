@@ -153,7 +153,8 @@ _PROBE = "SELECT session_id, ref_lap, target_lap, 0.21e0 + 0.03e0 * (target_lap
 def e8_time_delta_probes(spark, sf_dir):
     analysis = trace_queries._analysis(spark, sf_dir)
     probes = analysis.pairs.withColumn("position", F.lit(0.21) + F.lit(0.03) * (F.col("target_lap") % 5))
-    return traces.time_delta_at(probes, analysis.aligned, "position", "time_delta_seconds")
+    times = traces.time_deltas(probes, analysis.pairs, analysis.trace)
+    return probes.join(times, [*traces.PAIR, "position"], "left")
 
 
 #: The reference lap of a car and track: of complete laps the one of least time, ties by session and lap

@@ -296,13 +296,13 @@ def e20_unmatched_entries(spark, sf_dir):
 @query(f"{_CHAIN} {pair_sql.unmatched('exit', 'exits')}")
 def e20_unmatched_exits(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return matching.unmatched(a.pairs, a.exits, "exit_number", a.exit_deltas.select(*traces.PAIR, "ref_number", "target_number"))
+    return matching.unmatched(a.pairs, a.exits, "exit_number", matching.match_exits(a.pairs, a.exits)[1])
 
 
 @query(f"{_CHAIN} {pair_sql.unmatched('corner', 'corners')}")
 def e20_unmatched_corners(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return matching.unmatched(a.pairs, a.corners, "corner_number", a.corner_deltas.select(*traces.PAIR, "ref_number", "target_number"))
+    return matching.unmatched(a.pairs, a.corners, "corner_number", matching.match_corners(a.pairs, a.corners)[1])
 
 
 def _flat(issues: DataFrame) -> DataFrame:
@@ -333,7 +333,8 @@ def e24_corner_issues(spark, sf_dir):
 @query(f"{_CHAIN} SELECT * FROM issues ANTI JOIN corner_issues USING (session_id, ref_lap, target_lap, source, code, center_progress)", pair_sql.ISSUE_DOUBLES)
 def e24_stray_issues(spark, sf_dir):
     analysis = _analysis(spark, sf_dir)
-    return _flat(rules.stray_issues(analysis.corner_deltas, analysis.issues))
+    issues = analysis.issues
+    return _flat(rules.stray_issues(analysis.corner_deltas, issues))
 
 
 @query(f"{_CHAIN} SELECT * FROM advice", pair_sql.CORNER_ISSUE_DOUBLES)

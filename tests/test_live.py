@@ -3,6 +3,7 @@
 import time
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from paddock.operators import events, traces
@@ -120,3 +121,30 @@ def test_alignment_of_a_session_of_thousands_of_laps(spark):
     assert aligned.count() == 4999 * 11
     bad = aligned.where(F.abs(F.col("time_delta_seconds") - F.col("progress") * (F.col("target_lap") % 7 - 1)) > 1e-9)
     assert bad.count() == 0
+
+
+def test_time_deltas_are_those_of_the_whole_grid(spark):
+    random = np.random.default_rng(3)
+    rows = []
+    for lap in range(1, 7):
+        at = np.sort(np.round(random.uniform(0, 1, 60), 2))  # with equal progress
+        rows += [("s", lap, i, float(p), float(60 * p + random.uniform()), 1.0, 1.0, 1.0, 1.0) for i, p in enumerate(at)]
+    trace = spark.createDataFrame(rows, "session_id string, lap_number int, sample_index int, progress double, elapsed_seconds double, speed_kmh double, throttle double, brake double, steering_angle_deg double")
+    pairs = spark.createDataFrame([("s", a, b) for a in (1, 2) for b in range(1, 7) if a != b], "session_id string, ref_lap int, target_lap int")
+    aligned = traces.align(pairs, trace, 21)
+    on_grid = aligned.select(*traces.PAIR, F.col("progress").alias("position"))
+    places = pairs.crossJoin(spark.createDataFrame([(float(p),) for p in np.linspace(-0.1, 1.1, 61)], "position double")).unionByName(on_grid).distinct()
+    want = {(r.ref_lap, r.target_lap, r.position): r.d for r in traces.time_delta_at(places, aligned, "position", "d").where("d is not null").collect()}
+    made = traces.time_deltas(places, pairs, trace, 21)
+    got = {(r.ref_lap, r.target_lap, r.position): r.time_delta_seconds for r in made.where("time_delta_seconds is not null").collect()}
+    assert len(want) > 600 and got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_deltas_of_matched_parts_make_no_grid(spark, monkeypatch):
+    from paddock.plans import trace_queries
+
+    def refuse(*_, **__):
+        raise AssertionError("the whole grid is made")
+
+    monkeypatch.setattr(traces, "align", refuse)
+    assert trace_queries.e25_advice(spark, "/root/testdata/sf0.001").count() > 0
