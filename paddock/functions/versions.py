@@ -56,11 +56,12 @@ def read(spark: SparkSession, folder: str, table: str, at: dict | None = None) -
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def put(spark: SparkSession, folder: str, changes: Sequence[Change], load: tuple[str, int] | None = None, buckets: int = BUCKETS) -> dict | None:
+def put(spark: SparkSession, folder: str, changes: Sequence[Change], load: tuple[str, int] | None = None, buckets: int = BUCKETS, at_rest: bool = False) -> dict | None:
     """Commits all changes as one and returns the new snapshot. A ``load`` (source, number) is done once: None if the folder has that or a later one already.
 
     Only the buckets that hold a changed group are read and written, and the number of files grows with them and not with the
     groups. Readers keep the files of the snapshot they have read until ``expire``. Of two writers of one folder the second fails and leaves nothing visible.
+    The rows are computed once, into a stored table; ``at_rest`` tells that they are read from one already.
     """
     before = snapshot(spark, folder)
     if load is not None and before["loads"].get(load[0], -1) >= load[1]:
@@ -69,7 +70,7 @@ def put(spark: SparkSession, folder: str, changes: Sequence[Change], load: tuple
     for change in changes:
         known = tables.get(change.table, {"buckets": {}, "count": buckets})
         bucket = F.pmod(F.xxhash64(*change.group), F.lit(known["count"])).cast("int")
-        rows = stored(change.rows, change.table)
+        rows = change.rows if at_rest else stored(change.rows, change.table)
         groups = (change.groups if change.groups is not None else rows).select(*change.group).distinct()
         touched = {str(r[0]) for r in groups.select(bucket).distinct().collect()}  # at most as many as there are buckets
         kept = {b: p for b, p in known["buckets"].items() if b not in touched}

@@ -85,7 +85,11 @@ def partition_dates(df: DataFrame) -> DataFrame:
     return df.groupBy("session_id").agg(F.to_date(F.min("timestamp")).alias("date"))
 
 
+def silver_rows(df: DataFrame, schema_version: int = 1) -> DataFrame:
+    """De-duplicated frames with features, flags and audit columns."""
+    return audited(deduplicate(df)).withColumns({"silver_processed_at": F.current_timestamp(), "silver_schema_version": F.lit(schema_version)})
+
+
 def silver(df: DataFrame, schema_version: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(valid, quarantined) of de-duplicated frames with features, flags and audit columns."""
-    made = audited(deduplicate(df)).withColumns({"silver_processed_at": F.current_timestamp(), "silver_schema_version": F.lit(schema_version)})
-    return split(made)
+    """(valid, quarantined) of ``silver_rows``."""
+    return split(silver_rows(df, schema_version))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paddock.functions import versions
+from paddock.functions.storage import stored
 from paddock.schemas import ENVIRONMENT_FIELDS, FRAME, SESSION_METADATA, VEHICLE_FIELDS, WHEEL_FIELDS, WHEELS, require_columns
 
 CORRUPT = "_corrupt_record"
@@ -102,12 +103,14 @@ def write_table(rows: DataFrame, path: str, mode: str = "append", partitions: tu
     rows.hint("rebalance", *partitions).sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def write_silver(spark: SparkSession, valid: DataFrame, quarantined: DataFrame, path: str) -> None:
-    """Valid and quarantined rows as the tables ``valid`` and ``quarantine`` of a folder, in one commit.
+def write_silver(spark: SparkSession, valid: DataFrame, quarantined: DataFrame, path: str, at_rest: bool = False) -> None:
+    """Valid and quarantined rows as the tables ``valid`` and ``quarantine`` of a folder, in one commit. Both are computed once, or read again where they lie ``at_rest`` in a stored table.
 
     Every session of this run is replaced whole in both, so a row that was quarantined before and is valid now is in one table only, and a
     reader sees a session as it was before or as it is after.
     """
     session = ("session_id",)
-    seen = valid.select(*session).union(quarantined.select(*session)).distinct()
-    versions.put(spark, path, [versions.Change("valid", valid, session, seen), versions.Change("quarantine", quarantined, session, seen)])
+    if not at_rest:
+        valid, quarantined = stored(valid, "valid"), stored(quarantined, "quarantine")
+    seen = stored(valid.select(*session).union(quarantined.select(*session)).distinct(), "sessions")
+    versions.put(spark, path, [versions.Change("valid", valid, session, seen), versions.Change("quarantine", quarantined, session, seen)], at_rest=True)

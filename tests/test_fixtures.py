@@ -429,3 +429,29 @@ def test_bronze_folders_do_not_grow_with_sessions(spark, tmp_path):
     frames.write_table(frames.new_sessions(rows, spark.read.parquet(path)), path)
     assert spark.read.parquet(path).count() == 400
     assert frames.new_sessions(rows.withColumn("session_id", F.lit("s201")), spark.read.parquet(path)).count() == 400
+
+
+def test_silver_is_computed_once_for_both_tables(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    rows = spark.createDataFrame([(f"s{i % 5}", i) for i in range(100)], "session_id string, sample_index long")
+    valid, bad = (rows.where(c).mapInPandas(counted, rows.schema) for c in ("sample_index % 10 > 0", "sample_index % 10 = 0"))
+    path = str(tmp_path / "silver")
+    frames.write_silver(spark, valid, bad, path)
+    assert seen.value == 100
+    assert [versions.read(spark, path, t).count() for t in ("valid", "quarantine")] == [90, 10]
+
+
+def test_quick_fingerprint(spark):
+    base = [("a", 1, None, 2.0), ("a", None, 1, 3.0), ("b", 5, 6, None)]
+    of = lambda rows: {r.k: r.fingerprint for r in parity.quick_fingerprint(spark.createDataFrame(rows, "k string, x int, y int, z double"), ("k",)).collect()}
+    first = of(base)
+    assert of(base[::-1]) == first
+    swapped = of([("a", None, 1, 2.0), *base[1:]])  # the null in another column
+    assert swapped["a"] != first["a"] and swapped["b"] == first["b"]
+    assert of([*base, base[2]])["b"] != first["b"] and of([*base[:2], ("b", 5, 6, 0.0)])["b"] != first["b"]
