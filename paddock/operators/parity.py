@@ -53,9 +53,9 @@ def quick_fingerprint(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
     columns = sorted(c for c in df.columns if c not in by)
     kinds = dict(df.dtypes)
     value = lambda c: F.to_json(F.struct(F.col(f"`{c}`")), {"ignoreNullFields": "false"}) if "map<" in kinds[c] else F.col(f"`{c}`")
-    nulls = F.concat(F.lit(""), *(F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in columns))
+    nulls = [F.col(f"`{c}`").isNull() for c in columns]
     values = [value(c) for c in columns]
-    rows = df.select(*by, F.xxhash64(*values, nulls).alias("__a"), F.xxhash64(F.lit(1), *reversed(values), nulls).alias("__b"))
+    rows = df.select(*by, F.xxhash64(F.lit(0), *values, *nulls).alias("__a"), F.xxhash64(F.lit(1), *reversed(values), *nulls).alias("__b"))
     schema = ";".join(f"{c}:{kinds[c]}" for c in columns)
     total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(f"s{c}")
     sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), total("__a"), total("__b"), F.min("__a").alias("lo"), F.max("__a").alias("hi"))
