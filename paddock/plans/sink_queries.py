@@ -39,7 +39,7 @@ def a9_silver_sink(spark, sf_dir):
 
 def _records_chain(spark: SparkSession, sf_dir: str, run: str, **settings) -> stages.Chain:
     """The chain over broker records in files: one micro-batch a stage."""
-    storage_queries.broker_records(spark, sf_dir).write.parquet(f"{run}/in")
+    storage_queries.broker_records(spark, sf_dir).write.option("compression", "zstd").parquet(f"{run}/in")
     feed = stages.files(spark, f"{run}/in", BROKER_RECORD, 1000)
     return stages.records_chain(spark, feed, f"{run}/out", stages.Settings(BROKER_RECORD.simpleString(), files_per_trigger=1000, **settings))
 

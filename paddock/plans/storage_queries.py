@@ -136,9 +136,7 @@ DECODED_SQL = (
 
 def broker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broker records of all frames, some broken, of another version, with a wrong key or with a time that can't be read."""
-    numbered = _once(spark, sf_dir)
-    at = numbered.select(F.col("session_id").cast("binary").alias("key"), F.col("sample_index").alias("sequence"), "event_id")
-    sent = kafka.encode(frames.unflatten(numbered)).join(at, ["key", "sequence"])
+    sent = kafka.encode(frames.unflatten(_once(spark, sf_dir)), keep=("event_id",))
     text = F.col("value").cast("string")
     timed = F.when(F.col("event_id") % 31 == 0, F.regexp_replace(text, r'"timestamp":"[^"]*"', '"timestamp":"not a time"')).otherwise(text)
     value = F.when(F.col("event_id") % 19 == 0, F.substring(text, 1, 40)).when(F.col("event_id") % 23 == 0, F.regexp_replace(timed, '"schema_version":1', '"schema_version":99')).otherwise(timed)

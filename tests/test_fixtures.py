@@ -455,3 +455,16 @@ def test_quick_fingerprint(spark):
     swapped = of([("a", None, 1, 2.0), *base[1:]])  # the null in another column
     assert swapped["a"] != first["a"] and swapped["b"] == first["b"]
     assert of([*base, base[2]])["b"] != first["b"] and of([*base[:2], ("b", 5, 6, 0.0)])["b"] != first["b"]
+
+
+def test_training_rows_are_dealt_evenly(spark):
+    rows = spark.range(1000).selectExpr("id", "0 AS seed").repartition(4, "seed")  # all in one task
+    sizes = learn.evenly(rows, 100).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 200
+
+
+def test_records_keep_columns_without_a_join(spark):
+    from paddock.plans import storage_queries
+
+    plan = storage_queries.broker_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
